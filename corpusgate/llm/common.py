@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusgate.functions.ship import ship
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A word between ASCII white space, and a word of ASCII digits and letters and everything above ASCII.
 SPACED = "[^\\x20\\x09-\\x0D]+"
@@ -43,3 +45,9 @@ def materialised(df: DataFrame, what: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def shipped(df: DataFrame) -> DataFrame:
+    """df, after sending this package to the executors that will map functions over it."""
+    ship(df.sparkSession)
+    return df

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusgate.llm import fingerprints, mixing, secrets, sharding
+from corpusgate.llm import decontamination, fingerprints, mixing, neardup, secrets, sharding, tokencount
 from corpusgate.llm.common import table
 
 
@@ -30,7 +30,26 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.counted(table(spark, sf_dir, "documents"))
 
 
+def vocabulary() -> str:
+    """Path of the vocabulary that op6 counts with."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.limited(tokencount.count_tokens(table(spark, sf_dir, "documents"), vocabulary()))
+
+
+def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_fingerprints, op2_mixing, op3_sharding, op5_secrets)
+    f.__name__: f for f in (op1_fingerprints, op2_mixing, op3_sharding, op5_secrets, op6_tokens, op8_neardup, op9_decontamination)
 }
 ORACLES: dict[str, str] = {}
