@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusgate.llm import decontamination, fingerprints, mixing, neardup, secrets, sharding, tokencount
+from corpusgate.llm import decontamination, extraction, fingerprints, langid, licenses, mixing, neardup, secrets, sharding, tokencount
 from corpusgate.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(table(spark, sf_dir, "documents"), SHARD_BYTES).select("doc_id", "shard", "shard_bytes", "oversized")
 
 
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.languages(table(spark, sf_dir, "documents"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.counted(table(spark, sf_dir, "documents"))
 
@@ -41,6 +45,10 @@ def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.limited(tokencount.count_tokens(table(spark, sf_dir, "documents"), vocabulary()))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.counted(table(spark, sf_dir, "documents"))
+
+
 def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -49,7 +57,23 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.main_texts(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_fingerprints, op2_mixing, op3_sharding, op5_secrets, op6_tokens, op8_neardup, op9_decontamination)
+    f.__name__: f
+    for f in (
+        op1_fingerprints,
+        op2_mixing,
+        op3_sharding,
+        op4_langid,
+        op5_secrets,
+        op6_tokens,
+        op7_licenses,
+        op8_neardup,
+        op9_decontamination,
+        op10_extraction,
+    )
 }
 ORACLES: dict[str, str] = {}
