@@ -6,7 +6,8 @@ the source's target. Weights being targets, a fair server that has handed out th
 time 1, whatever the source; the mix is the copies in order of finish time, cut there. The copy that each source
 has in service at that time is cut too, so a source gives as many words as its target says, to rounding.
 
-Cumulative words come from two levels: sums of ranges of the shuffled order, then a running sum inside each range,
+Cumulative words come from two levels: sums of ranges of the shuffled order (as many as the square root of the
+source's documents), then a running sum inside each range,
 so that a source with a third of all rows is spread over many tasks. Null or word-less texts have size 0 and give no words.
 A null source is a source of its own, the last. Equal shuffle keys (repeated rows) are ordered by doc_id and size.
 """
@@ -22,8 +23,6 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 EPOCHS = 2
 SEED = "mix-1|"
-#: Rows that one range of a source's shuffled order holds, about.
-RANGE_ROWS = 20_000
 #: Sources up to this many are broadcast with their few numbers; more are joined by shuffles.
 BROADCAST_SOURCES = 100_000
 
@@ -74,7 +73,7 @@ def queued(docs: DataFrame, weights: tuple[int, ...], share: float, epochs: int,
     sizes = materialised(sized(docs, seed), "mix-sizes")
     by = materialised(targets(sizes, weights, share, epochs), "mix-targets")
     small = by.count() <= BROADCAST_SOURCES
-    by = by.withColumn("ranges", F.ceil(F.col("docs") / RANGE_ROWS)).withColumnRenamed("source", "of")
+    by = by.withColumn("ranges", F.ceil(F.sqrt(F.col("docs").cast("double")))).withColumnRenamed("source", "of")
     joined = sizes.join(F.broadcast(by) if small else by, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
     joined = joined.withColumn("range", F.floor(F.col("place") * F.col("ranges")))
     totals = joined.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
@@ -114,9 +113,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     """The mix itself: the rows of docs that it takes, a row for each copy, range-sorted by virtual finish time.
 
-    doc_id must be a key here. A copy that is cut at the end of the budget comes whole."""
-    taken = mix(docs, **settings).filter("taken > 0").select("doc_id", F.col("copy").alias("mix_copy"), F.col("finish").alias("mix_finish"))
-    return docs.join(taken, "doc_id").orderBy("mix_finish", "doc_id")
+    A copy that is cut at the end of the budget comes whole. Rows that repeat a doc_id (or have none) come together,
+    as often as the mix takes one of them."""
+    taken = mix(docs, **settings).filter("taken > 0").groupBy(F.col("doc_id").alias("of"), F.col("copy").alias("mix_copy"))
+    taken = taken.agg(F.min("finish").alias("mix_finish"))
+    rows = docs.drop("mix_copy", "mix_finish").join(taken, F.col("doc_id").eqNullSafe(F.col("of"))).drop("of")
+    return rows.orderBy("mix_finish", "doc_id")
 
 
 def shares(
