@@ -12,6 +12,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from corpusgate.functions import pyrules, regexrules
 from corpusgate.functions.ship import ship
@@ -102,7 +103,7 @@ def regex_literals(files: DataFrame) -> DataFrame:
     return wanted.mapInArrow(_literals, "repo string, rev string, path string, line int, pattern string")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _hazards(patterns: pd.Series) -> pd.Series:
     return patterns.map(lambda p: None if p is None else regexrules.hazard(p))
 

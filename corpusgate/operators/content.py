@@ -9,6 +9,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from corpusgate.functions import filerules
 from corpusgate.functions.ship import ship
@@ -51,7 +52,7 @@ def decode_text(files: DataFrame, mode: str = "conflict") -> DataFrame:
     return rows.withColumn("text", text).withColumn("error", F.when(~F.col("plain"), F.col("odd.error"))).drop("plain", "odd", "content")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def infer_bomless_utf(contents: pd.Series) -> pd.Series:
     """The encoding of UTF-16 and 32 without a mark, null for others."""
     return contents.map(lambda c: None if c is None else filerules.inferred_utf(bytes(c)))

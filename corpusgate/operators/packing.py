@@ -12,7 +12,9 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
+from corpusgate.functions.ship import ship
 from corpusgate.functions.text import escaped_size
 
 #: Bytes that an envelope may have, and chunks of a review.
@@ -85,7 +87,7 @@ def _canonical(value: object) -> str:
     return hashlib.sha256(json.dumps(value, sort_keys=True, ensure_ascii=False).encode("utf-8", "surrogatepass")).hexdigest()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical_digest(values: pd.Series) -> pd.Series:
     """SHA-256 of the canonical form (sorted keys, ", " and ": ") of a JSON text."""
     return values.map(lambda x: None if x is None else _canonical(json.loads(x)))
@@ -127,6 +129,7 @@ def build_envelopes(changes: DataFrame, packed: DataFrame, findings: DataFrame,
     """key, chunk, chunks, files, prescan_items, envelope, bytes, error: a row for each chunk within the limit.
 
     changes: key, ord, path, patch. findings: with id. prs: key, metadata (a struct without chunk), context."""
+    ship(changes.sparkSession)
     kept = packed.filter("not oversized and not overflow")
     placed = changes.select(*key, "ord", "patch").join(kept.select(*key, "ord", "path", "chunk"), [*key, "ord"])
     files = placed.groupBy(*key, "chunk").agg(F.array_sort(F.collect_list(F.struct("ord", "path", "patch"))).alias("rows"))
@@ -137,7 +140,9 @@ def build_envelopes(changes: DataFrame, packed: DataFrame, findings: DataFrame,
     rows = rows.withColumn("prescan", F.coalesce("prescan", none))
     label = F.concat_ws("/", F.col("chunk").cast("string"), F.col("chunks").cast("string"))
     rows = rows.withColumn("metadata", F.col("metadata").withField("chunk", label))
-    rows = rows.withColumn("map", F.map_from_entries(F.transform("rows", lambda r: F.struct(r["path"], r["patch"]))))
+    # A path that a chunk holds twice has its last patch.
+    last = F.filter("rows", lambda r, i: ~F.exists(F.slice(F.col("rows"), i + 2, F.size("rows")), lambda x: x["path"] == r["path"]))
+    rows = rows.withColumn("map", F.map_from_entries(F.transform(last, lambda r: F.struct(r["path"], r["patch"]))))
     options = {"ignoreNullFields": "false"}
     rows = rows.withColumn("trusted_hash", canonical_digest(F.to_json(F.struct("metadata", "prescan"), options)))
     rows = rows.withColumn("target_hash", canonical_digest(F.to_json(F.struct("context", F.col("map").alias("files")), options)))

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from corpusgate.functions.ship import ship
 from corpusgate.operators.reports import validate_reports, verdict_name, verdict_rank
@@ -66,7 +67,7 @@ def call_model(envelopes: DataFrame, model: Callable[[str, str, str], str], prom
     return rows.mapInArrow(called, f"{kinds}, text string, error string")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _noted(envelopes, problems):
     return envelopes.combine(problems, lambda e, p: with_retry_note(e, list(p)))
 

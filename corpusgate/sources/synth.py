@@ -71,7 +71,7 @@ SELECT 'repo' || CAST(c_nationkey AS STRING) AS repo, md5(CAST(o_orderkey AS STR
     WHEN 1 THEN 'Text' || {NL} || {NL} || 'Signed-off-by: A <a@b.io>' || {NL} || 'co-authored-by: Ann <ann@b.io>'
     WHEN 2 THEN 'Text' || {NL} || {NL} || 'Co-authored-by: Bob' || {NL} || ' <bob@b.io>' WHEN 3 THEN 'Key: value' || {NL} || 'not a trailer'
     WHEN 4 THEN 'Co-authored-by: xAI <dev@x.ai>' || {NL} || {NL} WHEN 5 THEN '' WHEN 6 THEN 'Text' || {NL} || {NL} || 'Co-Authored-By: <no@name.io>'
-    ELSE 'plain body' || {NL} || {NL} || 'Refs: 1' END AS body,
+    ELSE 'It was written by hand' || {NL} || {NL} || 'Refs: 1' END AS body,
   o_orderkey AS seq, o_orderkey % 11 = 0 AS is_merge
 FROM {{orders}} AS o JOIN {{customer}} AS c ON o.o_custkey = c.c_custkey"""
 VIEWS["accounts"] = """
