@@ -36,7 +36,7 @@ def narration(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.report_findings(reports.parse_reports(_reports(spark, sf_dir)).filter("payload is not null"), PR)
+    return reports.report_findings(reports.parse_reports(_reports(spark, sf_dir)), PR)
 
 
 def finding_problems(spark: SparkSession, sf_dir: str) -> DataFrame:

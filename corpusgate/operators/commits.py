@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusgate.functions.text import splitlines
+from corpusgate.functions.text import LINE_END
 
 #: Subjects, addresses, names and limits.
 TYPES = ["feat", "fix", "chore", "docs", "test", "ci"]
@@ -15,7 +15,8 @@ MAX_SUBJECT = 50
 NOREPLY = "(?i)^(?:[0-9]+\\+)?[A-Za-z0-9-]+(?:\\[bot\\])?@users\\.noreply\\.github\\.com$"
 NUMBERED = "(?i)^([0-9]+)\\+([A-Za-z0-9-]+)@users\\.noreply\\.github\\.com$"
 PLATFORM_COMMITTER = "noreply@github.com"
-TRAILER = "^([A-Za-z0-9-]+):[ \\t]*(.*)$"
+TRAILER = "^([A-Za-z0-9-]+):"
+PARAGRAPH = "^[A-Za-z0-9-]+:[^\\n]*(?:\\n(?:[ \\t]|[A-Za-z0-9-]+:)[^\\n]*)*$"
 COAUTHOR = "^([^<>]+?)\\s*(?:<([^<>]+)>)?$"
 DENIED_NAMES = ["grok", "xai"]
 DENIED_DOMAINS = ["x.ai"]
@@ -62,28 +63,17 @@ def trailers_of(body: Column) -> Column:
     """array<struct<key, value>>: the trailers of a message.
 
     The last paragraph counts only if each of its lines is ``Key: value`` or, after one, a folded line."""
-    lines = splitlines(body)
-    blank = lambda x: F.regexp_replace(x, "(?U)\\s+", "") == ""
-    numbered = F.transform(lines, lambda x, i: F.struct(i.alias("i"), blank(x).alias("blank")))
-    last = F.array_max(F.transform(F.filter(numbered, lambda x: ~x["blank"]), lambda x: x["i"]))
-    gap = F.coalesce(F.array_max(F.transform(F.filter(numbered, lambda x: x["blank"] & (x["i"] < last)), lambda x: x["i"])), F.lit(-1))
-    paragraph = F.slice(lines, gap + 2, F.greatest(last - gap, F.lit(0)))
-    kind = "array<struct<key:string,value:string>>"
-    empty = F.array().cast(kind)
-    start = F.struct(F.lit(True).alias("ok"), empty.alias("out"))
-
-    def step(acc: Column, line: Column) -> Column:
-        folded = line.rlike("^[ \\t]")
-        size = F.size(acc["out"])
-        before = F.try_element_at(acc["out"], F.lit(-1))
-        longer = F.struct(before["key"].alias("key"), F.concat(before["value"], F.lit("\n"), F.regexp_replace(line, "(?U)^\\s+", "")).alias("value"))
-        extended = F.concat(F.slice(acc["out"], F.lit(1), F.greatest(size - 1, F.lit(0))), F.array(longer))
-        fresh = F.struct(F.regexp_extract(line, TRAILER, 1).alias("key"), F.regexp_extract(line, TRAILER, 2).alias("value"))
-        ok = acc["ok"] & F.when(folded, size > 0).otherwise(line.rlike(TRAILER))
-        return F.struct(ok.alias("ok"), F.when(~ok, acc["out"]).when(folded, extended).otherwise(F.concat(acc["out"], F.array(fresh))).alias("out"))
-
-    walked = F.aggregate(paragraph, start, step)
-    return F.when(last.isNotNull() & walked["ok"], walked["out"]).otherwise(empty)
+    # Line ends other than line feeds are rare, and become such.
+    plain = F.when(body.rlike("[\\r\\x0B\\x0C\\x1C-\\x1E\\x85\\u2028\\u2029]"), F.regexp_replace(body, LINE_END, "\n")).otherwise(body)
+    paragraph = F.regexp_replace(F.element_at(F.split(F.regexp_replace(plain, "(?U)\\s+$", ""), "(?U)\\n\\s*\\n", -1), -1), "^\n+", "")
+    entries = F.when(paragraph.rlike(PARAGRAPH), F.split(paragraph, "\\n(?![ \\t])", -1)).otherwise(F.array().cast("array<string>"))
+    folded = lambda v: F.regexp_replace(v, "(?U)\\n\\s+", "\n")
+    return F.transform(
+        entries,
+        lambda e: F.struct(
+            F.regexp_extract(e, TRAILER, 1).alias("key"), folded(F.regexp_replace(e, "^[A-Za-z0-9-]+:[ \\t]*", "")).alias("value")
+        ),
+    )
 
 
 def terminal_trailers(commits: DataFrame) -> DataFrame:

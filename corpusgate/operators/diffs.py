@@ -71,12 +71,12 @@ def match_globs(path: Column, globs: Iterable[str]) -> Column:
 def keep_on_added(findings: DataFrame, changes: DataFrame, added: DataFrame, key: list[str], exclude: Iterable[str] = ()) -> DataFrame:
     """Findings of changed, not excluded files that lie on added lines or are of a project class.
 
-    Both sides are joined on equality of key, path and line, so a file with very many added lines is spread."""
+    added are the lines that these changes add. Both sides are joined on equality of key, path and line, so a file with
+    very many added lines is spread."""
     kept = findings.filter(~match_globs(F.col("path"), exclude))
     project = F.col("class_id").isin(PROJECT_CLASSES)
     whole = kept.filter(project).join(changes.select(*key, "path").distinct(), [*key, "path"], "left_semi")
-    paths = changes.select(*key, "path")
-    lines = kept.filter(~project).join(added.join(paths, [*key, "path"], "left_semi"), [*key, "path", "line"], "left_semi")
+    lines = kept.filter(~project).join(added, [*key, "path", "line"], "left_semi")
     return lines.unionByName(whole)
 
 

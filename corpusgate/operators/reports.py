@@ -26,6 +26,10 @@ NARRATION = (
     "check|recheck|reconsider|look|start|trace|read|inspect|apply|want|have|only\\s+(?:see|have|know))\\b|let\\s+me\\b|"
     "need\\s+to\\s+(?:verify|check|confirm|read|inspect|trace)\\b|^\\s*(?:wait|actually|reconsider(?:ing)?)\\b)"
 )
+_ODD_ENDS = "[\\x0B\\x0C\\x1C-\\x1E]"
+#: White space within a line.
+_SPACE = "[^\\S\\r\\n\\x0B\\x0C\\x1C-\\x1E\\x85\\u2028\\u2029]"
+_FINALS = f"(?mU)^{_SPACE}*(?:VERDICT|RISK \\(partial\\)|RISK):{_SPACE}*\\S.*$"
 _EDGES = "(?U)^\\s+|\\s+$"
 _NONE = "array<string>"
 
@@ -44,7 +48,14 @@ def verdict_name(rank: Column) -> Column:
 
 
 def process_narration(text: Column) -> Column:
-    """Whether the prose tells how the review went; an outer fence is opened, other code, JSON lines and inline code don't count."""
+    """Whether the prose tells how the review went; an outer fence is opened, other code, JSON lines and inline code don't count.
+
+    A text without code, and with plain line ends, needs no walk over its lines."""
+    plain = F.regexp_replace(text, "(?m)^VERDICT_JSON:.*$", "").rlike(NARRATION)
+    return F.coalesce(F.when(text.rlike("[`\\r" + _ODD_ENDS[1:]), _narration_by_line(text)).otherwise(plain), F.lit(False))
+
+
+def _narration_by_line(text: Column) -> Column:
     lines = splitlines(text)
     fence = lambda x: stripped(x).startswith("```")
     outer = (F.size(lines) >= 2) & fence(F.try_element_at(lines, F.lit(1))) & fence(F.try_element_at(lines, F.lit(-1)))
@@ -57,17 +68,17 @@ def process_narration(text: Column) -> Column:
         kept = F.concat(acc["prose"], F.array(F.regexp_replace(line, "`[^`]*`", "")))
         return F.struct((acc["inside"] != mark).alias("inside"), F.when(skip, acc["prose"]).otherwise(kept).alias("prose"))
 
-    return F.coalesce(F.array_join(F.aggregate(lines, start, step)["prose"], "\n").rlike(NARRATION), F.lit(False))
+    return F.array_join(F.aggregate(lines, start, step)["prose"], "\n").rlike(NARRATION)
 
 
 def kind(value: Column) -> Column:
     """What a VARIANT holds: OBJECT, ARRAY, STRING, BIGINT, BOOLEAN, ...; null for a missing one."""
-    return F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
+    return F.substring_index(F.substring_index(F.schema_of_variant(value), "<", 1), "(", 1)
 
 
 def as_text(value: Column) -> Column:
     """A VARIANT's string, null if it holds none."""
-    return F.when(kind(value) == "STRING", F.try_variant_get(value, "$", "string"))
+    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
 
 
 def field(value: Column, name: str) -> Column:
@@ -76,11 +87,11 @@ def field(value: Column, name: str) -> Column:
 
 def parse_reports(reports: DataFrame) -> DataFrame:
     """reports with label, value, token, final_lines, payload (VARIANT, an object) and json_error."""
-    lines = F.transform(splitlines(F.col("text")), stripped)
-    rows = reports.withColumn("lines", lines)
-    rows = rows.withColumn("finals", F.filter("lines", lambda x: x.rlike(FINAL))).withColumn("last", F.try_element_at("finals", F.lit(-1)))
-    raw = F.try_element_at(F.filter("lines", lambda x: x.startswith(JSON_PREFIX)), F.lit(-1))
-    rows = rows.withColumn("raw", F.trim(F.substr(raw, F.lit(len(JSON_PREFIX) + 1)))).withColumn("data", F.try_parse_json("raw"))
+    # Patterns know fewer line ends than splitlines does; the rest become line feeds first, in the few texts with any.
+    text = F.when(F.col("text").rlike(_ODD_ENDS), F.regexp_replace("text", _ODD_ENDS, "\n")).otherwise(F.col("text"))
+    rows = reports.withColumn("finals", F.regexp_extract_all(text, F.lit(_FINALS), F.lit(0)))
+    rows = rows.withColumn("raw", F.try_element_at(F.regexp_extract_all(text, F.lit(f"(?m)^{_SPACE}*{JSON_PREFIX}(.*)$"), F.lit(1)), F.lit(-1)))
+    rows = rows.withColumn("data", F.try_parse_json(stripped(F.col("raw")))).withColumn("last", stripped(F.try_element_at("finals", F.lit(-1))))
     error = (
         F.when(F.col("raw").isNull(), "missing VERDICT_JSON line")
         .when(F.col("data").isNull(), "VERDICT_JSON is not valid JSON")
@@ -90,23 +101,23 @@ def parse_reports(reports: DataFrame) -> DataFrame:
     rows = rows.withColumn("label", F.nullif(F.regexp_extract("last", FINAL, 1), F.lit("")))
     rows = rows.withColumn("value", F.nullif(F.regexp_extract("last", FINAL, 2), F.lit("")))
     rows = rows.withColumn("token", F.try_element_at(F.split("value", "\\s+", 2), F.lit(1)))
-    return rows.withColumn("final_lines", F.size("finals")).drop("lines", "finals", "last", "raw", "data")
+    return rows.withColumn("final_lines", F.size("finals")).drop("finals", "last", "raw", "data")
 
 
-def report_findings(parsed: DataFrame, key: list[str]) -> DataFrame:
-    """key, ord, is_object, class_id, severity, confidence, file, line_ok of each finding; a value of another kind is null.
-
-    Booleans pass as line numbers, fractions don't."""
+def report_findings(parsed: DataFrame, key: list[str], keep: list[str] | None = None) -> DataFrame:
+    """key, columns to keep, ord, is_object, class_id, severity, confidence, file, line_ok of each finding; a value of another
+    kind is null. Booleans pass as line numbers, fractions don't."""
     items = F.try_variant_get(F.col("payload"), "$.findings", "array<variant>")
-    rows = parsed.select(*key, F.posexplode(items).alias("ord", "item"))
+    rows = parsed.select(*key, *(keep or []), F.posexplode(items).alias("ord", "item"))
     item = F.col("item")
     names = {"class_id": "class", "severity": "severity", "confidence": "confidence", "file": "file"}
     return rows.select(
         *key,
+        *(keep or []),
         "ord",
         F.coalesce(kind(item) == "OBJECT", F.lit(False)).alias("is_object"),
         *[as_text(field(item, json)).alias(name) for name, json in names.items()],
-        F.coalesce(kind(field(item, "line")).isin("BIGINT", "BOOLEAN"), F.lit(False)).alias("line_ok"),
+        F.coalesce(F.schema_of_variant(field(item, "line")).isin("BIGINT", "BOOLEAN"), F.lit(False)).alias("line_ok"),
     )
 
 
@@ -119,12 +130,11 @@ def _first(*pairs: tuple[Column, Column | str]) -> Column:
     return out
 
 
-def finding_problems(findings: DataFrame, classes: DataFrame, envelopes: DataFrame, key: list[str]) -> DataFrame:
-    """key, ord, n, problem: what is wrong with each finding.
+def _judged(findings: DataFrame, classes: DataFrame) -> DataFrame:
+    """findings (with mode and changed_files) with problems, an array, and rank, what the class's tier asks for.
 
-    classes is the policy's table, 41 rows; envelopes are joined by key, and their files looked up in the array."""
-    tiers = F.broadcast(classes.select("class_id", "tier"))
-    rows = findings.join(tiers, "class_id", "left").join(envelopes.select(*key, "mode", "changed_files"), key)
+    classes is the policy's table, 41 rows."""
+    rows = findings.join(F.broadcast(classes.select("class_id", "tier")), "class_id", "left")
     known = F.col("tier").isNotNull()
     severity = F.concat(F.lit("advisory class "), "class_id", F.lit(" rated "), "severity", F.lit(", ceiling is LOW"))
     is_in = lambda c, values: F.coalesce(F.col(c).isin(values), F.lit(False))
@@ -147,16 +157,25 @@ def finding_problems(findings: DataFrame, classes: DataFrame, envelopes: DataFra
             ),
         ),
     )
-    found = F.when(~F.col("is_object"), F.array(F.lit("finding must be a JSON object"))).otherwise(F.array_compact(found))
-    return rows.select(*key, "ord", F.posexplode(found).alias("n", "problem"))
+    problems = F.when(~F.col("is_object"), F.array(F.lit("finding must be a JSON object"))).otherwise(F.array_compact(found))
+    return rows.withColumn("problems", problems).withColumn("rank", F.when(known, _rank()))
+
+
+def _rank() -> Column:
+    high = (F.col("tier") == "Graded") & F.coalesce(F.col("severity") == "HIGH", F.lit(False))
+    return F.when((F.col("tier") == "Blocking") | high, 2).when(F.col("tier") == "Escalate", 1).otherwise(0)
+
+
+def finding_problems(findings: DataFrame, classes: DataFrame, envelopes: DataFrame, key: list[str]) -> DataFrame:
+    """key, ord, n, problem: what is wrong with each finding; an envelope's files are looked up in its array."""
+    rows = _judged(findings.join(envelopes.select(*key, "mode", "changed_files"), key), classes)
+    return rows.select(*key, "ord", F.posexplode("problems").alias("n", "problem"))
 
 
 def required_verdict(findings: DataFrame, classes: DataFrame, key: list[str]) -> DataFrame:
     """key, required: the rank that the tiers ask for; a maximum, so it is summed up before the shuffle."""
     rows = findings.join(F.broadcast(classes.select("class_id", "tier")), "class_id")
-    high = (F.col("tier") == "Graded") & (F.col("severity") == "HIGH")
-    rank = F.when((F.col("tier") == "Blocking") | high, 2).when(F.col("tier") == "Escalate", 1).otherwise(0)
-    return rows.groupBy(*key).agg(F.max(rank).alias("required"))
+    return rows.groupBy(*key).agg(F.max(_rank()).alias("required"))
 
 
 def verdict_problem(token: Column, required: Column, unreviewed: Column) -> Column:
@@ -194,9 +213,11 @@ def validate_reports(reports: DataFrame, envelopes: DataFrame, classes: DataFram
     """key, token, problems: every problem of each report, in order; none means that it is valid."""
     parsed = parse_reports(reports).join(envelopes, key)
     payload = F.col("payload")
-    findings = report_findings(parsed.filter("payload is not null"), key)
-    required = required_verdict(findings, classes, key)
-    rows = parsed.join(required, key, "left").withColumn("required", F.coalesce("required", F.lit(0)))
+    findings = report_findings(parsed, key, ["mode", "changed_files"])
+    judged = _judged(findings, classes).groupBy(*key).agg(
+        F.max("rank").alias("required"), F.array_sort(F.collect_list(F.when(F.size("problems") > 0, F.struct("ord", "problems")))).alias("m")
+    )
+    rows = parsed.join(judged, key, "left").withColumn("required", F.coalesce("required", F.lit(0)))
     pr = F.col("mode") == "PR"
     final = pr & ((F.coalesce(F.col("label"), F.lit("")) != "VERDICT") | (F.col("final_lines") != 1))
     has = payload.isNotNull()
@@ -218,11 +239,8 @@ def validate_reports(reports: DataFrame, envelopes: DataFrame, classes: DataFram
     none = F.array().cast(_NONE)
     verdicts = F.when(pr & F.col("token").isNotNull(), verdict_problem(F.col("token"), F.col("required"), F.col("unreviewed"))).otherwise(none)
     tail = F.when(has & listed, F.concat(verdicts, prescan_problem(payload, F.col("prescan_ids")))).otherwise(none)
-    rows = rows.select(*key, "token", head.alias("head"), tail.alias("tail"))
-    middle = finding_problems(findings, classes, envelopes, key).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("ord", "n", "problem"))).alias("m"))
-    rows = rows.join(middle, key, "left")
-    per_finding = F.transform(F.coalesce("m", F.array().cast("array<struct<ord:int,n:int,problem:string>>")), lambda x: x["problem"])
-    return rows.select(*key, "token", F.concat("head", per_finding, "tail").alias("problems"))
+    middle = F.coalesce(F.flatten(F.transform("m", lambda x: x["problems"])), none)
+    return rows.select(*key, "token", F.concat(head, middle, tail).alias("problems"))
 
 
 def problem_rows(validated: DataFrame, key: list[str]) -> DataFrame:
