@@ -181,7 +181,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
             for kind, values in (("bucket", array), ("script", scripts[name]), ("texts", np.array([texts_of[name]]))):
                 at = np.flatnonzero(values)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * len(at)), pa.array([kind] * len(at)), pa.array(at.astype(np.int64)), pa.array(values[at])],
+                    [pa.array([name] * len(at), pa.string()), pa.array([kind] * len(at), pa.string()), pa.array(at.astype(np.int64)), pa.array(values[at].astype(np.int64))],
                     ["lang", "kind", "at", "n"],
                 )
 

@@ -145,7 +145,7 @@ def scan(docs: DataFrame) -> DataFrame:
     rows = rows.join(found.withColumnRenamed("labels", "of_notices"), "doc_id", "left")
     base = F.transform("places", lambda x: x["label"])
     labels = F.array_sort(F.array_distinct(F.concat(base, F.coalesce("of_notices", F.array().cast("array<string>")))))
-    score = F.when(F.size("places") > 0, F.lit(1.0)).otherwise(F.coalesce("share", F.lit(0.0)))
+    score = F.when(F.size("places") > 0, F.lit(1.0)).otherwise(F.coalesce(F.round("share", 6), F.lit(0.0)))
     return rows.select("doc_id", "n_words", "places", labels.alias("labels"), score.alias("score"))
 
 

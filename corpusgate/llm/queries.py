@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusgate.llm import decontamination, extraction, fingerprints, langid, licenses, mixing, neardup, secrets, sharding, tokencount
+from corpusgate.llm import decontamination, extraction, fingerprints, langid, licenses, mixing, neardup, oracles, secrets, sharding, tokencount
 from corpusgate.llm.common import table
 
 
@@ -76,4 +76,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_extraction,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_fingerprints": oracles.OP1,
+    "op2_mixing": oracles.OP2,
+    "op3_sharding": oracles.op3(SHARD_BYTES),
+    "op5_secrets": oracles.OP5,
+    "op7_licenses": oracles.OP7,
+    "op8_neardup": oracles.OP8,
+    "op9_decontamination": oracles.OP9,
+}
