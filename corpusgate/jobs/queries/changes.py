@@ -112,6 +112,12 @@ def _with_packed(sql: str, *names: str) -> str:
 _KEPT = f"""
 SELECT DISTINCT f.* FROM pr_findings AS f JOIN (SELECT DISTINCT pr, path FROM changes) AS c USING (pr, path)
 WHERE NOT {_EXCLUDED.replace('path', 'f.path')} AND (class_id = 'D2' OR EXISTS (SELECT 1 FROM {_ADDED} AS a WHERE a.pr = f.pr AND a.path = f.path AND a.line = f.line))"""
+_ZEROS = "'" + "0" * 64 + "'"
+_BUDGET = f"""
+SELECT pr, CAST({packing.MAX_BYTES} - strlen('{{"schema_version":"1","mode":"PR","TRUSTED_CONTEXT":{{"note":"{packing.TRUSTED_NOTE}","metadata":{{"pr_number":' || pr || ',"base_sha":"' || repeat('0', 40)
+  || '","head_sha":"' || repeat('1', 40) || '","chunk":"","changed_files":["' || string_agg(path, '","') || '"],"unreviewed":[]}},"prescan":[],"sha256":"' || {_ZEROS}
+  || '"}},"REVIEW_TARGET":{{"note":"{packing.TARGET_NOTE}","context":"Title: order ' || pr || '____","files":{{"' || string_agg(path, '":"","') || '":""}},"sha256":"' || {_ZEROS} || '"}}}}') AS BIGINT) AS budget,
+  CAST(NULL AS VARCHAR) AS error FROM (SELECT DISTINCT pr, path FROM changes) GROUP BY pr"""
 _SOURCE = f"({SUFFIX} IN {IN(SOURCE)} AND NOT {TEST})"
 QUERIES = {
     "p1_split_patches": (
@@ -134,7 +140,7 @@ QUERIES = {
         with_views("SELECT DISTINCT * FROM pr_findings", "pr_findings"),
     ),
     "p8_p9_pack_chunks": (_packed, _with_packed("SELECT * FROM packed")),
-    "p10_chunk_budget": (budgets, None),
+    "p10_chunk_budget": (budgets, with_views(_BUDGET, "changes")),
     "p11_unreviewed_files": (
         unreviewed,
         _with_packed(

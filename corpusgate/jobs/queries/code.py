@@ -155,7 +155,12 @@ SELECT 'repo' || CAST(s_suppkey AS VARCHAR) AS repo, 'head' AS rev, path, name F
     "t3_js_empty_catch": (_on("web_files", textscan.js_empty_catch), samples.expected(samples.WEB, _FINDING, _classes("M1"))),
     "t7_t8_regex_python": (_on("python_files", astscan.regex_findings), samples.expected(samples.PYTHON, _FINDING, _classes("Q3"))),
     "t7_t8_regex_js": (_on("web_files", astscan.regex_findings), samples.expected(samples.WEB, _FINDING, _classes("Q3"))),
-    "t8_regex_patterns": (regex_patterns, None),
+    "t8_regex_patterns": (
+        regex_patterns,
+        """SELECT pattern, hazard, count(*) AS places FROM part JOIN (VALUES (12, 11, '(a+)+', 'nested quantifier'), (12, 11, '(x|x)*y', 'overlapping alternation under a quantifier'), (12, 11, '(a|b)+', NULL),
+          (12, 11, '(ab{2,3})*', 'nested quantifier'), (3, 1, '(a*)*b', 'nested quantifier'), (3, 1, '[/]+c', NULL), (3, 1, '(z|z)+', 'overlapping alternation under a quantifier'))
+          AS t(n, k, pattern, hazard) ON p_partkey % n = k GROUP BY pattern, hazard""",
+    ),
     "t9_conflict_markers": _rules("conflict", filescan.conflict_markers),
     "t10_weak_hash_text": (
         _on("tree_files", lambda f: filescan.weak_hash_text(f).select("repo", "rev", "path", "line", "message")),

@@ -225,6 +225,30 @@ _FAILURES = f"""list_filter([CASE WHEN forbid_process_narration AND slug % 10 =
   || CASE WHEN slug % 7 = 0 THEN [] ELSE list_transform(list_sort(list_filter(want, lambda c: NOT list_contains(got, c))), lambda c: 'missing expected class ' || c)
   || list_transform(list_sort(list_filter(got, lambda c: NOT list_contains(want, c))), lambda c: 'unexpected class ' || c) END"""
 _PASSED = f"(SELECT slug, mode, class_a, class_b, len({_FAILURES}) = 0 AS passed FROM {_LISTS})"
+_PER_FINDING = f"""(SELECT pr, flatten(list(problems ORDER BY ord)) AS found, max(r) AS required FROM (SELECT pr, ord, CASE WHEN tier IS NULL THEN NULL ELSE {_TIER} END AS r, list_filter([
+  CASE WHEN tier IS NULL THEN 'unknown class ' || class_id END, CASE WHEN tier = 'Advisory' AND severity <> 'LOW' THEN 'advisory class ' || class_id || ' rated ' || severity || ', ceiling is LOW' END,
+  CASE WHEN k = 14 AND ord = 0 THEN 'finding confidence must be certain or likely' END, CASE WHEN k = 13 AND ord = 0 THEN 'finding line must be an integer' END,
+  CASE WHEN k = 12 AND ord = 0 THEN 'finding cites other.py outside the changed files' END], lambda x: x IS NOT NULL) AS problems FROM {_ROWS} LEFT JOIN classes USING (class_id)) GROUP BY pr)"""
+_STATED_RANK = "CASE token WHEN 'APPROVE' THEN 0 WHEN 'NEEDS-HUMAN' THEN 1 ELSE 2 END"
+_VALIDATED = f"""
+SELECT pr, CAST(len(p) AS BIGINT) AS n, p[1] AS first FROM (SELECT pr, list_filter([
+    CASE WHEN k = 2 THEN 'report contains process narration' END,
+    CASE k WHEN 1 THEN 'expected exactly one final VERDICT line, found 2' WHEN 4 THEN 'expected exactly one final VERDICT line, found 0' END,
+    CASE k WHEN 6 THEN 'missing VERDICT_JSON line' WHEN 7 THEN 'VERDICT_JSON is not valid JSON' WHEN 8 THEN 'VERDICT_JSON must be a JSON object' WHEN 9 THEN 'VERDICT_JSON schema_version must be ''1''' END,
+    CASE WHEN k = 4 THEN 'VERDICT_JSON verdict ''' || regexp_extract(text, '"verdict":"([^"]*)"', 1) || ''' differs from final line ''None''' WHEN k = 10 AND token <> 'BLOCK' THEN 'VERDICT_JSON verdict ''BLOCK'' differs from final line ''' || token || '''' END,
+    CASE WHEN k = 11 THEN 'VERDICT_JSON findings must be an array' END], lambda x: x IS NOT NULL) || coalesce(found, [])
+  || CASE WHEN k IN (4, 6, 7, 8, 11) THEN [] ELSE list_filter([
+    CASE WHEN (q > 0 AND s <> q) OR (q = 0 AND s = 2) THEN 'verdict ' || token || ' conflicts with tiers, expected ' || CASE WHEN q = 0 THEN 'APPROVE or NEEDS-HUMAN' ELSE {_NAME}[q + 1] END END,
+    CASE WHEN pr % 23 = 0 AND s = 0 THEN 'unreviewed files forbid APPROVE' END], lambda x: x IS NOT NULL) END
+  || CASE WHEN k = 15 THEN ['prescan item P1 lacks a resolution'] ELSE [] END AS p
+  FROM (SELECT pr, text, {_K} AS k, {_STATED} AS token, found, coalesce(required, 0) AS q, {_STATED_RANK.replace('token', _STATED)} AS s FROM reports LEFT JOIN {_PER_FINDING} AS f USING (pr)))"""
+_FIXTURE = """CASE WHEN k = 1 OR k = 2 OR (k <> 0 AND mode <> 'PR') THEN CASE WHEN mode = 'PR' THEN 'non-PR mode requires an input.<ext> file' END
+  WHEN mode <> 'PR' OR k = 7 THEN 'PR mode requires diff.patch' END"""
+_STRUCTURE = f"""
+SELECT slug, CAST(unnest(range(len(p))) AS INT) AS n, unnest(p) AS problem FROM (SELECT slug, CASE k WHEN 0 THEN ['missing key ''expected_verdict''', 'missing key ''expected_classes''', 'missing key ''expect_json''', 'missing key ''notes''']
+  WHEN 1 THEN ['unreadable case'] WHEN 2 THEN ['invalid mode ''Other'''] WHEN 3 THEN CASE WHEN mode = 'PR' THEN ['verdict ''RISK: LOW'' does not fit mode PR'] ELSE [] END
+  WHEN 4 THEN ['unknown class ''Z1'''] WHEN 5 THEN ['notes must be a non-empty string'] WHEN 6 THEN ['active_work_elapsed_seconds must be a non-negative integer'] ELSE [] END
+  || list_filter([{_FIXTURE}], lambda x: x IS NOT NULL) AS p FROM (SELECT slug, mode, slug % 10 AS k FROM eval_cases))"""
 QUERIES = {
     "r1_parse_reports": (
         parsed,
@@ -261,7 +285,7 @@ QUERIES = {
             "reports",
         ),
     ),
-    "r7_validate_reports": (validated, None),
+    "r7_validate_reports": (validated, with_views(_VALIDATED, "reports", "classes")),
     "r9_merge_verdicts": (merged, with_views(f"SELECT * FROM {_MERGED}", "changes")),
     "r10_gate": (gated, with_views(f"SELECT *, verdict <> 'APPROVE' AS fails FROM {_MERGED}", "changes")),
     "r11_result_table": (
@@ -314,7 +338,7 @@ QUERIES = {
             f"SELECT DISTINCT nation, 'class or tier changes need a changed evaluation case' AS violation FROM {_DIFF} WHERE d.kind <> 'renamed' AND nation % 2 = 1", "policies", "classes"
         ),
     ),
-    "e1_validate_cases": (structure, None),
+    "e1_validate_cases": (structure, with_views(_STRUCTURE, "eval_cases")),
     "e2_verdict_matches": (matches, with_views(f"SELECT slug, {_MATCH} AS matches FROM eval_cases", "eval_cases")),
     "e3_e4_evaluate_responses": (
         failures,
