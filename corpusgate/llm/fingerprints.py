@@ -206,17 +206,18 @@ def with_next(docs: DataFrame) -> DataFrame:
     rows = with_slots(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text")))
     inside = Window.partitionBy("slot").orderBy(F.col("doc_id").desc_nulls_last(), "text")
     paired = rows.withColumn("next_text", F.lead("text").over(inside)).withColumn("rn", F.row_number().over(inside))
-    # One row for each range: its first document.
+    # The first document of each range, and the range that comes after it: numbers only, a row for each range.
     heads = rows.groupBy(F.col("slot").alias("at")).agg(F.max("doc_id").alias("head_id"))
+    ring = Window.orderBy(F.col("at").desc())
+    every = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    order = heads.select("at", F.coalesce(F.lead("at").over(ring), F.first("at").over(every)).alias("after_at"))
     firsts = (
         rows.join(F.broadcast(heads), (F.col("slot") == F.col("at")) & F.col("doc_id").eqNullSafe(F.col("head_id")))
-        .groupBy("at")
-        .agg(F.min("text").alias("head_text"))
+        .groupBy(F.col("at").alias("after_at"))
+        .agg(F.min("text").alias("after_text"))
     )
-    ring = Window.orderBy(F.col("at").desc())
-    every = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    after = firsts.select("at", F.coalesce(F.lead("head_text").over(ring), F.first("head_text").over(every)).alias("after_text"))
-    return paired.join(F.broadcast(after), F.col("slot") == F.col("at"), "left").drop("at")
+    after = order.join(firsts, "after_at").drop("after_at")
+    return paired.join(after, F.col("slot") == F.col("at"), "left").drop("at")
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
