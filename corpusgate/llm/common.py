@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from corpusgate.functions.shared import shared_folder
 from corpusgate.functions.ship import ship
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 1000
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A word between ASCII white space, and a word of ASCII digits and letters and everything above ASCII.
 SPACED = "[^\\x20\\x09-\\x0D]+"
@@ -39,6 +41,11 @@ def materialised(df: DataFrame, what: str) -> DataFrame:
 
 
 def shipped(df: DataFrame) -> DataFrame:
-    """df, after sending this package to the executors that will map functions over it."""
-    ship(df.sparkSession)
+    """df, after sending this package to the executors that will map functions over it.
+
+    Spark's Arrow batches have 10,000 rows unless told otherwise; with texts that may be long they are made smaller."""
+    spark = df.sparkSession
+    ship(spark)
+    if int(spark.conf.get(_BATCH)) > BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     return df

@@ -23,17 +23,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusgate.llm.common import shipped
-from corpusgate.llm.wordhash import mixed
 
-#: Trigrams are counted in this many buckets.
-BUCKETS = 1 << 18
+#: Trigrams are counted in so many buckets.
+BITS = 18
+BUCKETS = 1 << BITS
 #: Labelled documents that training takes: all up to about this many, else as many by a hash of doc_id.
 SAMPLE = 20_000
 #: What a switch costs in Viterbi, in units of log probability.
 SWITCH = 8.0
 #: A language is a candidate for a script that at least this share of its training letters has.
 SHARE = 0.001
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 UND = "und"
 #: First code points of the ranges of scripts, each up to the next; "" is no script of its own.
 SCRIPTS = (
@@ -89,17 +89,19 @@ def words_of(texts: list[str]) -> Words:
     # Trigrams around each letter: what is no letter of the same word counts as the word's edge.
     at = np.flatnonzero(letter)
     lengths = ends - begins
-    inside = codes[at].astype(np.uint64)
+    inside = codes[at]
     first = np.zeros(len(at), bool)
     last = np.zeros(len(at), bool)
     starts = np.cumsum(lengths) - lengths
     if len(at):
         first[starts] = True
         last[np.cumsum(lengths) - 1] = True
-    before = np.where(first, 0, np.concatenate([inside[:1], inside[:-1]]))
-    after = np.where(last, 1, np.concatenate([inside[1:], inside[-1:]]))
+    before = np.where(first, np.uint32(0), np.concatenate([inside[:1], inside[:-1]]))
+    after = np.where(last, np.uint32(1), np.concatenate([inside[1:], inside[-1:]]))
     with np.errstate(over="ignore"):
-        buckets = (mixed((before << np.uint64(42)) ^ (inside << np.uint64(21)) ^ after.astype(np.uint64)) & np.uint64(BUCKETS - 1)).astype(np.int32)
+        mix = (before * np.uint32(0x9E3779B1)) ^ (inside * np.uint32(0x85EBCA77) + np.uint32(0x27D4EB2F)) ^ (after * np.uint32(0xC2B2AE3D))
+        mix = (mix ^ (mix >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+        buckets = (mix >> np.uint32(32 - BITS)).astype(np.int32)
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     text_starts = np.concatenate([[0], np.cumsum(sizes + 1)]) + 1
     return Words(buckets, starts, lengths, script[begins], np.searchsorted(begins, text_starts))
