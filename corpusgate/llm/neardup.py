@@ -35,6 +35,8 @@ BANDS = 26
 ROWS = 6
 B = 4
 SLACK = 0.16
+#: Identifiers, of 8 bytes, that are broadcast at most; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 #: Hashes of a set that go through all permutations at once; bounds memory on long texts.
 _STEP = 2048
 _SKETCH = "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, signature binary, bands array<bigint>"
@@ -190,7 +192,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     placed = materialised(members.join(buckets, "band"), "neardup-buckets")
     first = placed.filter("rep <> hub").select(F.col("hub").alias("u"), F.col("rep").alias("v"))
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = shipped(texts).join(placed.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    # Few documents share a bucket. Up to BROADCAST_IDS of them are sent around, so that only their texts are dealt.
+    wanted = materialised(placed.select(F.col("rep").alias("doc_id")).distinct(), "neardup-wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    texts = shipped(texts).join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     sets = materialised(texts.mapInArrow(_set_rows, "doc_id bigint, shingles array<bigint>"), "neardup-sets")
     links = materialised(_confirmed(_likely(first, reps, percent), sets, percent), "neardup-links")
     labels = components(links)
