@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusgate.operators import astscan, content, dependencies, filescan, findings, textscan
 from corpusgate.sources import samples
-from corpusgate.sources.synth import VIEWS, view, with_views
+from corpusgate.sources.synth import VIEWS, table, view, with_views
 
 VIEWS |= {
     "python_files": samples.files_view(samples.PYTHON),
@@ -78,7 +78,7 @@ def lockfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def odd_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents written in several encodings, by doc_id, and decoded again: the texts' digests, and the inferred encodings."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     way = F.col("doc_id") % 5
     text = F.col("text")
     bom = F.unhex(F.lit("EFBBBF"))

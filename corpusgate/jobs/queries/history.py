@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusgate.functions.text import explode_lines, sanitize_ascii
 from corpusgate.operators import commits as C
 from corpusgate.operators import prose
-from corpusgate.sources.synth import view, with_views
+from corpusgate.sources.synth import table, view, with_views
 
 _SHAPE = "regexp_matches(bare, '^(?:feat|fix|chore|docs|test|ci): \\S.*$')"
 _BARE = "regexp_replace(subject, ' \\(#[0-9]+\\)$', '')"
@@ -64,7 +64,7 @@ def denylist(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def english(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").filter("lang = 'en'").select("doc_id", "text")
+    return table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", "text")
 
 
 def prose_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +79,7 @@ def sanitized(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusgate.functions.ship import ship
 
     ship(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", sanitize_ascii(200)(F.col("text")).alias("shown"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusgate.functions import text as T
 from corpusgate.operators import dependencies, findings, prose, textscan
 from corpusgate.operators.content import scan_distinct_blobs
-from corpusgate.sources.synth import view, with_views
+from corpusgate.sources.synth import table, view, with_views
 
 ENDS = "'\\r\\n|[\\n\\r\\x0B\\x0C\\x1C-\\x1E\\x{85}\\x{2028}\\x{2029}]'"
 
@@ -74,7 +74,7 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return table(spark, sf_dir, "documents")
 
 
 def all_line_findings(spark: SparkSession, sf_dir: str) -> DataFrame:

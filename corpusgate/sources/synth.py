@@ -11,6 +11,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusgate.functions.spread import spread
+
 NL = "chr(10)"
 #: Lines that doc_files appends to documents, by doc_id modulo 12: each is a finding of a scan, or nearly one.
 APPENDED = (
@@ -119,10 +121,16 @@ def tables_of(sql: str) -> set[str]:
     return set(re.findall(r"(?<!\{)\{(\w+)\}(?!\})", sql))
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of a folder; the texts that scans work on are spread over the cores."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in ("documents", "orders", "part") else rows
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view as a DataFrame over the Parquet tables of a folder."""
     sql = VIEWS[name]
-    return spark.sql(sql, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables_of(sql)})
+    return spark.sql(sql, **{t: table(spark, sf_dir, t) for t in tables_of(sql)})
 
 
 def views(spark: SparkSession, sf_dir: str, *names: str) -> tuple[DataFrame, ...]:
