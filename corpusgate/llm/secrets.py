@@ -1,15 +1,16 @@
 """Secret scans: fixed patterns, and windows of high entropy in strings that look random.
 
 Patterns (kinds assign, access and hex) are matched leftmost and without overlap, each kind on its own. Candidate
-strings of two further kinds are read window by window; a string is reported if the Shannon entropy of one of its
+strings of three further kinds are read window by window; a string is reported if the Shannon entropy of one of its
 windows reaches its class's threshold:
 
 - b64: runs of letters, digits, ``+ / _ -``, which have a digit, an upper-case and a lower-case letter;
-- upper: runs of digits and A-Z, which have both.
+- upper: runs of digits and A-Z, which have both;
+- lower: runs of digits and a-z, which have both, where no string of the other two is reported.
 
 Each window's entropy comes from counts that change by one character in and one out, H = log2 W - S / W with
-S = sum of c log2 c. Strings of the allow list (runs of one path or word list, UUIDs, placeholders) and those that a
-pattern has found are left out. Null text counts as empty. Positions are code points, the end exclusive.
+S = sum of c log2 c. Left out are UUIDs, words between separators (a number may end them), strings that are shorter than a
+window without their placeholders, and those that a pattern has found. Null text counts as empty. Positions are code points, the end exclusive.
 """
 
 from __future__ import annotations
@@ -32,7 +33,14 @@ WINDOW = 20
 CLASSES = {
     "b64": ("[A-Za-z0-9+/_-]{20,}", ("[0-9]", "[A-Z]", "[a-z]"), 3.75),
     "upper": ("[A-Z0-9]{20,}", ("[0-9]", "[A-Z]"), 3.5),
+    "lower": ("[a-z0-9]{20,}", ("[0-9]", "[a-z]"), 3.5),
 }
+_UUID = "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
+_WORD = "(?:[A-Z]?[a-z]+(?:[A-Z][a-z]{2,})*|[A-Z]+)"
+_WORDS = f"^[/_+-]*(?:{_WORD}[/_+-]+)+(?:{_WORD})?[0-9]{{0,4}}$"
+#: Words count as whole segments only; runs anywhere.
+_PLACEHOLDER = "(?i)(?<![a-z0-9])(?:example|sample|placeholder|changeme|dummy|test)(?![a-z0-9])|x{4,}|0123456789|abcdefgh[i-z]*"
+#: What the SQL to compare with leaves out; wider than allowed(), as prefixed tokens match it too.
 ALLOWED = (
     "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     "(?i)example|sample|placeholder|changeme|dummy|test|xxxx|0123456789|abcdefgh",
@@ -110,27 +118,32 @@ def highest_entropy(string: Column, window: int = WINDOW) -> Column:
     return F.when(least < worst, top).otherwise(F.lit(0.0))
 
 
+def allowed(found: Column) -> Column:
+    rest = F.char_length(F.regexp_replace(found, _PLACEHOLDER, ""))
+    return found.rlike(_UUID) | found.rlike(_WORDS) | (found.rlike(_PLACEHOLDER) & (rest < WINDOW))
+
+
 def _kept(base: Column, needed: tuple[str, ...]):
     def kept(m: Column) -> Column:
         ok = ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
         for p in needed:
             ok = ok & m["found"].rlike(p)
-        for p in ALLOWED:
-            ok = ok & ~m["found"].rlike(p)
-        return ok
+        return ok & ~allowed(m["found"])
 
     return kept
 
 
 def entropy_candidates(text: Column, base: Column) -> Column:
-    """Strings of CLASSES with their places, without allowed ones and those that overlap a base span."""
+    """Strings of CLASSES with their places, without allowed ones and those that overlap a base span.
+
+    Lower strings may lie in wider ones here, whose threshold is higher."""
     found = []
     for kind, (pattern, needed, _) in CLASSES.items():
         found.append(F.filter(spans(text, kind, pattern), _kept(base, needed)))
-    # A string of both classes counts once, as the narrower one.
-    wide, narrow = found
+    # A string of both first classes counts once, as the narrower one.
+    wide, narrow, lower = found
     wide = F.filter(wide, lambda m: ~F.exists(narrow, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    return F.concat(wide, narrow)
+    return F.concat(wide, narrow, lower)
 
 
 def joined(found: Column) -> Column:
@@ -144,9 +157,12 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     rows = rows.withColumn("candidates", entropy_candidates(F.col("text"), F.col("base"))).drop("text")
     entropy = F.filter(
         F.transform(F.col("candidates"), lambda m: F.struct(m.alias("m"), highest_entropy(m["found"]).alias("h"))),
-        lambda x: x["h"] >= F.when(x["m"]["kind"] == "b64", F.lit(CLASSES["b64"][2])).otherwise(F.lit(CLASSES["upper"][2])),
+        lambda x: x["h"] >= F.when(x["m"]["kind"] == "b64", F.lit(CLASSES["b64"][2])).when(x["m"]["kind"] == "upper", F.lit(CLASSES["upper"][2])).otherwise(F.lit(CLASSES["lower"][2])),
     )
-    return rows.withColumn("entropy", F.transform(entropy, lambda x: x["m"])).drop("candidates")
+    rows = rows.withColumn("found", F.transform(entropy, lambda x: x["m"])).drop("candidates")
+    other = F.filter("found", lambda m: m["kind"] != "lower")
+    once = F.filter("found", lambda m: (m["kind"] != "lower") | ~F.exists(other, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+    return rows.withColumn("entropy", once).drop("found")
 
 
 def counted(docs: DataFrame) -> DataFrame:
