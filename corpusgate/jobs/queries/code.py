@@ -68,7 +68,7 @@ def regex_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def compliance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = filescan.compliance_scan(view(spark, sf_dir, "tree_files"), limit=100_000)
+    rows = filescan.compliance_scan(view(spark, sf_dir, "tree_files"), limit=None)
     return rows.select("repo", "rev", "path", F.col("check").alias("check_name"), "line", "message")
 
 

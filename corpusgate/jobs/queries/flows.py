@@ -24,7 +24,7 @@ def prescan(spark: SparkSession, sf_dir: str) -> DataFrame:
     by = changes.groupBy("repo", "rev").agg(F.array_sort(F.collect_set("path")).alias("paths"))
     metadata = F.struct(F.col("repo").alias("repo"), F.lit("").alias("chunk"), F.array().cast("array<string>").alias("unreviewed"))
     prs = by.select("repo", "rev", "paths", metadata.alias("metadata"), F.lit("Title: all\n\n").alias("context"))
-    made = workloads.prescan_changes(changes, files.select("repo", "rev", "path", "text"), prs, budget=20_000)
+    made = workloads.prescan_changes(changes, files.select("repo", "rev", "path", "text"), prs, budget=20_000, chunks=None)
     per = made.prescan.groupBy("repo").agg(F.count(F.lit(1)).alias("findings"), F.count_if("blocking").alias("blocking"))
     chunks = made.envelopes.groupBy("repo").agg(F.count(F.lit(1)).alias("chunks"), F.sum("prescan_items").alias("items"), F.max("bytes").cast("bigint").alias("largest"))
     return chunks.join(per, "repo", "left")

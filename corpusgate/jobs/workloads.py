@@ -44,11 +44,11 @@ def project_checks(tree: DataFrame, changes: DataFrame) -> DataFrame:
     return findings.union(parts)
 
 
-def prescan_changes(changes: DataFrame, tree: DataFrame, prs: DataFrame, exclude: tuple[str, ...] = (), budget: int | None = None) -> Prescan:
+def prescan_changes(changes: DataFrame, tree: DataFrame, prs: DataFrame, exclude: tuple[str, ...] = (), budget: int | None = None, chunks: int | None = packing.MAX_CHUNKS) -> Prescan:
     """Change sets, with their trees, to envelopes.
 
     changes: repo, rev, ord, path, patch, is_binary, decodable. tree: repo, rev, path, text. prs: repo, rev, metadata,
-    context and paths. Scans see only changed files that aren't excluded; only (path, size) reach the step that packs."""
+    context and paths. chunks: the most of a change set, None for no limit. Scans see only changed files that aren't excluded; only (path, size) reach the step that packs."""
     shown = changes.filter("not is_binary and decodable and coalesce(patch, '') <> ''")
     scanned = shown.filter(~diffs.match_globs(F.col("path"), exclude)).select(*TREE, "path").distinct()
     files = tree.join(scanned, [*TREE, "path"], "left_semi")
@@ -66,7 +66,7 @@ def prescan_changes(changes: DataFrame, tree: DataFrame, prs: DataFrame, exclude
         packed = packing.pack_chunks(sizes, TREE, F.col("budget"))
     else:
         packed = packing.pack_chunks(packing.measured(shown), TREE, budget)
-    packed = packing.limit_chunks(packed)
+    packed = packing.limit_chunks(packed, chunks)
     unreviewed = packing.unreviewed_files(changes, packed, TREE, unparsed)
     envelopes = packing.build_envelopes(shown, packed, prescan, prs.select(*TREE, "metadata", "context"), TREE)
     return Prescan(prescan, unreviewed, packed, envelopes)
@@ -85,7 +85,7 @@ def gate_reports(answers: DataFrame, contexts: DataFrame, classes: DataFrame, pr
 
 def audit(files: DataFrame, history: DataFrame, branches: DataFrame, approved: DataFrame) -> DataFrame:
     """repo, subject, rule, violation: a whole tree's files, its commits and branches, in one table."""
-    tree = filescan.compliance_scan(files)
+    tree = filescan.compliance_scan(files, limit=None)
     told = F.concat_ws(":", "path", F.when(F.col("line") > 0, F.col("line").cast("string")))
     rows = [tree.select("repo", told.alias("subject"), F.col("check").alias("rule"), F.col("message").alias("violation"))]
     banned = commits.banned_authors(history).withColumn("violation", F.concat(F.lit("banned "), "role", F.lit(" "), "name"))

@@ -116,11 +116,11 @@ def dispatch_key() -> Column:
     )
 
 
-def compliance_scan(files: DataFrame, limit: int = MAX_ROWS) -> DataFrame:
+def compliance_scan(files: DataFrame, limit: int | None = MAX_ROWS) -> DataFrame:
     """repo, rev, path, check, line, message over whole trees: every rule on the files it is for, each distinct blob once.
 
     files: repo, rev, path, blob_id, mode, text. Fixtures aren't held to the rule on hashes. Beyond `limit` findings of
-    a tree, one row says so; conflicts are looked for only in trees below it."""
+    a tree, one row says so; conflicts are looked for only in trees below it. None: no limit."""
     tree = ["repo", "rev"]
     names = ["repo", "rev", "path", "blob_id", "mode"]
 
@@ -132,12 +132,17 @@ def compliance_scan(files: DataFrame, limit: int = MAX_ROWS) -> DataFrame:
     held = files.select(*names, "text")
     rules = scan_distinct_blobs(held.filter("mode <> '120000'"), dispatch_key(), scan).select(*tree, "path", "check", "line", "message")
     rules = rules.unionByName(critical_links(held).select(*tree, "path", "check", "line", "message"))
-    full = rules.groupBy(*tree).count().filter(F.col("count") >= limit).select(*tree)
-    rest = held.filter("mode <> '120000'").join(full, tree, "left_anti")
+    rest = held.filter("mode <> '120000'")
+    if limit is not None:
+        full = rules.groupBy(*tree).count().filter(F.col("count") >= limit).select(*tree)
+        rest = rest.join(full, tree, "left_anti")
     conflicts = scan_distinct_blobs(
         rest, dispatch_key(), lambda rows: conflict_markers(rows).select("blob_id", "dispatch", "check", "line", "message")
     ).select(*tree, "path", "check", "line", "message")
 
+    if limit is None:
+        return rules.unionByName(conflicts)
+
     def sentinel(units: DataFrame) -> DataFrame:
         told = F.lit(f"reached violation limit ({limit}), stopping")
         return units.select(*tree, F.lit("").alias("path"), F.lit("limit").alias("check"), F.lit(0).alias("line"), told.alias("message"))

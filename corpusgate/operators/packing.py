@@ -68,9 +68,10 @@ def pack_chunks(sizes: DataFrame, key: list[str], budget: Column | int) -> DataF
     return rows.withColumn("oversized", F.col("chunk").isNull())
 
 
-def limit_chunks(packed: DataFrame, most: int = MAX_CHUNKS) -> DataFrame:
-    """packed with overflow: files of chunks beyond the limit."""
-    return packed.withColumn("overflow", F.coalesce(F.col("chunk") > most, F.lit(False)))
+def limit_chunks(packed: DataFrame, most: int | None = MAX_CHUNKS) -> DataFrame:
+    """packed with overflow: files of chunks beyond the limit, if there is one."""
+    over = F.lit(False) if most is None else F.coalesce(F.col("chunk") > most, F.lit(False))
+    return packed.withColumn("overflow", over)
 
 
 def unreviewed_files(changes: DataFrame, packed: DataFrame, key: list[str], unparsed: DataFrame | None = None) -> DataFrame:

@@ -27,6 +27,25 @@ def test_splitlines(spark, texts):
     assert column(spark, texts, T.splitlines) == [t.splitlines() for t in texts]
 
 
+def test_no_limits(spark):
+    from corpusgate.jobs import workloads
+    from corpusgate.operators import filescan
+
+    bad = "import hashlib\n" + "hashlib.md5(b'')\n" * 30
+    files = [("r", "1", f"f{i}.py", f"b{i}", "100644", f"{bad}# {i}\n") for i in range(40)] + [("r", "1", "z.txt", "z", "100644", "<<<<<<< a\nx\n=======\ny\n>>>>>>> b\n")]
+    tree = spark.createDataFrame(files, "repo string, rev string, path string, blob_id string, mode string, text string")
+    got = {r.check: r["count"] for r in filescan.compliance_scan(tree, limit=None).groupBy("check").count().collect()}
+    assert got["weak-hash"] == 1200 and "limit" not in got
+    assert len(got) == 2
+    history = spark.createDataFrame([], "repo string, sha string, seq int, subject string, body string, is_merge boolean, author_name string, author_email string, author_login string, committer_name string, committer_email string, committer_login string")
+    none = spark.createDataFrame([], "repo string, branch string")
+    approved = spark.createDataFrame([], "name string, email string")
+    rules = {r.rule: r["count"] for r in workloads.audit(tree, history, none, approved).groupBy("rule").count().collect()}
+    assert rules == got
+    chunks = spark.createDataFrame([(1,), (20,), (21,), (None,)], "chunk int")
+    assert [r.overflow for r in packing.limit_chunks(chunks, None).collect()] == [False] * 4
+
+
 def test_suffix(spark):
     names = "a.py .bashrc a. a.b.c x/.y.z ..a ... a..b noext .a.b b.tar.gz a/.hidden".split()
     assert column(spark, names, T.suffix) == [pathlib.PurePosixPath(n).suffix for n in names]
