@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusgate.functions.text import explode_lines, sanitize_ascii
@@ -54,15 +54,25 @@ def unpushed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.unpushed_commits(rows, rows.filter("seq % 13 <> 0")).select("repo", "sha", "seq")
 
 
+def _denylist(fault: Column) -> Column:
+    """The rules' list, with a fault by a number."""
+    extra = F.when(fault == 1, "\nUtilize").when(fault == 2, "\n[nowhere]").otherwise("\n" + "other words")
+    return F.concat(F.when(fault == 3, "loose\n").otherwise(""), F.lit(prose.DENYLIST), extra)
+
+
 def denylist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A deny list for each region: the rules' list, with a fault by its key."""
+    """The list of one region, as its SQL has it; s7_load_denylists reads lists with every fault."""
     regions = spark.read.parquet(f"{sf_dir}/region.parquet")
-    extra = F.when(F.col("r_regionkey") == 1, "\nUtilize").when(F.col("r_regionkey") == 2, "\n[nowhere]").otherwise("\n" + "other words")
-    text = F.concat(F.when(F.col("r_regionkey") == 3, "loose\n").otherwise(""), F.lit(prose.DENYLIST), extra)
-    lines = explode_lines(regions.filter("r_regionkey = 1").select("r_regionkey", text.alias("text")), ["r_regionkey"])
+    lines = explode_lines(regions.filter("r_regionkey = 1").select("r_regionkey", _denylist(F.col("r_regionkey")).alias("text")), ["r_regionkey"])
     return prose.load_denylist(lines)
 
 
+def denylists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A deny list for each supplier, with a fault by its key."""
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", _denylist(F.col("s_suppkey") % 5).alias("text"))
+    return prose.load_denylist(explode_lines(rows, ["s_suppkey"]), ["s_suppkey"])
+
+
 def english(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", "text")
 
@@ -85,6 +95,7 @@ def sanitized(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _WHO = "(SELECT repo, sha, 'author' AS role, author_name AS name, author_email AS email, author_login AS login, seq FROM commits UNION ALL SELECT repo, sha, 'committer', committer_name, committer_email, committer_login, seq FROM commits)"
 _SIZE = "strlen(subject || chr(10) || chr(10) || body)"
+_ENTRIES = ", ".join(f"('{entry}', '{scope}', {line})" for entry, scope, line in prose.default_denylist())
 _LAST = "list_extract(string_split(regexp_replace(branch, '^[^/]*/', ''), '-'), -1)"
 QUERIES = {
     "g1_subject_violations": (
@@ -170,6 +181,14 @@ QUERIES = {
         "('this session', 'handoff-exempt', 12), ('a round', 'handoff-exempt', 13), ('could not carry', 'handoff-exempt', 14), ('denied outright', 'handoff-exempt', 15), ('Denied:', 'handoff-exempt', 16), "
         "('the user', 'handoff-exempt', 17), ('Utilize', 'handoff-exempt', 18)) AS t(entry, scope, line)",
     ),
+    "s7_load_denylists": (
+        denylists,
+        f"""SELECT s_suppkey, entry, scope, CAST(line + CASE WHEN s_suppkey % 5 = 3 THEN 1 ELSE 0 END AS INT) AS line, CAST(NULL AS VARCHAR) AS error
+          FROM supplier, (VALUES {_ENTRIES}) AS t(entry, scope, line)
+        UNION ALL SELECT s_suppkey, CASE s_suppkey % 5 WHEN 1 THEN 'Utilize' WHEN 2 THEN '[nowhere]' ELSE 'other words' END, CASE s_suppkey % 5 WHEN 2 THEN 'nowhere' ELSE 'handoff-exempt' END,
+          CASE s_suppkey % 5 WHEN 3 THEN 19 ELSE 18 END, CASE s_suppkey % 5 WHEN 1 THEN 'duplicate denylist entry' WHEN 2 THEN 'unknown denylist scope' END FROM supplier
+        UNION ALL SELECT s_suppkey, 'loose', NULL, 1, 'denylist entry lacks a scope' FROM supplier WHERE s_suppkey % 5 = 3""",
+    ),
     "w1_w3_prose_findings": (prose_findings, None),
     "w5_message_prose": (message_prose, None),
     "w8_sanitize_ascii": (sanitized, None),

@@ -36,24 +36,27 @@ TYPE_PREFIX = "^(?:feat|fix|chore|docs|test|ci):\\s+"
 _KIND = "array<struct<start:int,end:int,category:string,detail:string>>"
 
 
-def load_denylist(lines: DataFrame) -> DataFrame:
-    """entry, scope, line, error from rows line, line_text: sections in brackets, an entry to a line.
+def load_denylist(lines: DataFrame, key: list[str] | None = None) -> DataFrame:
+    """key, entry, scope, line, error from rows key, line, line_text: sections in brackets, an entry to a line.
+
+    Each key has a list of its own; without one, all lines are one list.
 
     Errors: an unknown scope, an entry before any, an entry that repeats another whatever its case."""
     rows = lines.withColumn("value", F.trim("line_text")).filter("value <> ''")
     named = F.regexp_extract("value", "^\\[(.*)\\]$", 1)
     rows = rows.withColumn("section", F.when(F.col("value").rlike("^\\[.*\\]$"), named))
-    # A deny list has a few lines, so one task orders them.
-    before = Window.orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    # A deny list has a few lines, so one task orders those of a key.
+    key = key or []
+    before = Window.partitionBy(*key).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("scope", F.last("section", ignorenulls=True).over(before))
-    rows = rows.withColumn("turn", F.row_number().over(Window.partitionBy(F.lower("value"), F.col("section").isNull()).orderBy("line")))
+    rows = rows.withColumn("turn", F.row_number().over(Window.partitionBy(*key, F.lower("value"), F.col("section").isNull()).orderBy("line")))
     error = (
         F.when(F.col("section").isNotNull() & ~F.col("section").isin(SCOPES), "unknown denylist scope")
         .when(F.col("section").isNull() & F.col("scope").isNull(), "denylist entry lacks a scope")
         .when(F.col("section").isNull() & (F.col("turn") > 1), "duplicate denylist entry")
     )
     rows = rows.withColumn("error", error).filter("section is null or error is not null")
-    return rows.select(F.col("value").alias("entry"), "scope", "line", "error")
+    return rows.select(*key, F.col("value").alias("entry"), "scope", "line", "error")
 
 
 def default_denylist() -> list[tuple[str, str, int]]:
