@@ -73,12 +73,9 @@ def denylists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prose.load_denylist(explode_lines(rows, ["s_suppkey"]), ["s_suppkey"])
 
 
-def english(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", "text")
-
-
 def prose_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prose.prose_findings(english(spark, sf_dir), ["doc_id"])
+    """Of every text, whatever its language."""
+    return prose.prose_findings(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
 
 
 def message_prose(spark: SparkSession, sf_dir: str) -> DataFrame:

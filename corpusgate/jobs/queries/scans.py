@@ -180,9 +180,14 @@ def hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of English texts, as its SQL has it; w2_prose_category_counts_all reads every text."""
     return prose.prose_category_counts(_documents(spark, sf_dir).filter("lang = 'en'"), ["source"])
 
 
+def all_category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prose.prose_category_counts(_documents(spark, sf_dir), ["source"])
+
+
 def import_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Import names of distributions called after parts."""
     parts = spark.read.parquet(f"{sf_dir}/part.parquet")
@@ -245,6 +250,7 @@ QUERIES = {
     "p7_escaped_size": (escaped, "SELECT doc_id, CAST(strlen(CAST(to_json(text) AS VARCHAR)) - 2 AS BIGINT) AS bytes FROM documents"),
     "d6_import_name": (import_names, SQL_IMPORT_NAMES),
     "w2_prose_category_counts": (category_counts, f"SELECT source, count(*) AS texts, {_COUNTS} FROM documents WHERE lang = 'en' GROUP BY source"),
+    "w2_prose_category_counts_all": (all_category_counts, f"SELECT source, count(*) AS texts, {_COUNTS} FROM documents GROUP BY source"),
     "w4_locate": (
         located,
         """

@@ -21,6 +21,14 @@ def test_runs(spark, name):
     assert QUERIES[name](spark, str(DATA)).count() > 0
 
 
+def test_prose_of_every_language(spark, tmp_path):
+    text = "This was changed from one to the other, which is not only slow."
+    rows = [(1, text, "en", "a"), (2, text, "fr", "a"), (3, text, None, "a")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id for r in QUERIES["w1_w3_prose_findings"](spark, str(tmp_path)).collect()} == {1, 2, 3}
+    assert [(r.texts, r.history) for r in QUERIES["w2_prose_category_counts_all"](spark, str(tmp_path)).collect()] == [(3, 3)]
+
+
 def test_entry_has_every_query():
     import __spark_entry__ as entry
 
