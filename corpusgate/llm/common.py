@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusgate.functions.shared import shared_folder
 from corpusgate.functions.ship import ship
+from corpusgate.functions.spread import spread
 
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 BATCH_ROWS = 1000
@@ -19,7 +20,8 @@ PLAIN = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table as stored; one of few splits is dealt to all cores."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def ascii_lower(text: Column) -> Column:

@@ -15,9 +15,12 @@ window without their placeholders, and those that a pattern has found. Null text
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusgate.functions.arrays import let, literal, running, running_sum
 from corpusgate.llm.common import text_or_empty
 
 _KEY = "(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
@@ -36,8 +39,9 @@ CLASSES = {
     "lower": ("[a-z0-9]{20,}", ("[0-9]", "[a-z]"), 3.5),
 }
 _UUID = "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
-_WORD = "(?:[A-Z]?[a-z]+(?:[A-Z][a-z]{2,})*|[A-Z]+)"
-_WORDS = f"^[/_+-]*(?:{_WORD}[/_+-]+)+(?:{_WORD})?[0-9]{{0,4}}$"
+# Each string fits in one way at most, so nothing is given back (++): long ones need no stack.
+_WORD = "(?:[A-Z]?+[a-z]++(?:[A-Z][a-z]{2,}+)*+|[A-Z]++)"
+_WORDS = f"^[/_+-]*+(?:{_WORD}[/_+-]++)++(?:{_WORD})?+[0-9]{{0,4}}$"
 #: Words count as whole segments only; runs anywhere.
 _PLACEHOLDER = "(?i)(?<![a-z0-9])(?:example|sample|placeholder|changeme|dummy|test)(?![a-z0-9])|x{4,}|0123456789|abcdefgh[i-z]*"
 #: What the SQL to compare with leaves out; wider than allowed(), as prefixed tokens match it too.
@@ -46,104 +50,89 @@ ALLOWED = (
     "(?i)example|sample|placeholder|changeme|dummy|test|xxxx|0123456789|abcdefgh",
     "^[/_+-]*(?:[A-Za-z]+[/_+-]+)+[A-Za-z0-9]*$",
 )
+#: What every span holds: a run that is long enough, or a value after a sign.
+_ANY = r"""(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16}|[:=]\x20*["']?[A-Za-z0-9+/_.=-]{12}"""
+#: Characters of a candidate that are walked at a time.
+BLOCK = 100
+_FAR = 2**31 - 1
 ORDER = [*PATTERNS, *CLASSES]
-_NO_SPANS = "array<struct<start:int,place:int,kind:string,end:int,found:string>>"
-
-
-def spans(text: Column, kind: str, pattern: str) -> Column:
-    """Matches of a pattern with their places. The gaps between matches come from splitting at them."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    zipped = F.zip_with(found, F.slice(gaps, 1, F.greatest(F.size(found), F.lit(1))), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
-    empty = F.array().cast(_NO_SPANS)
-    walked = F.aggregate(
-        F.filter(zipped, lambda z: z["m"].isNotNull()),
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda acc, z: F.struct(
-            (acc["at"] + F.char_length(z["g"]) + F.char_length(z["m"])).alias("at"),
-            F.concat(
-                acc["out"],
-                F.array(
-                    F.struct(
-                        (acc["at"] + F.char_length(z["g"])).alias("start"),
-                        F.lit(ORDER.index(kind)).alias("place"),
-                        F.lit(kind).alias("kind"),
-                        (acc["at"] + F.char_length(z["g"]) + F.char_length(z["m"])).alias("end"),
-                        z["m"].alias("found"),
-                    )
-                ),
-            ).alias("out"),
-        ),
-    )
-    return F.when(text.rlike(pattern), walked["out"]).otherwise(empty)
+_SPAN = "array<struct<start:int,place:int,kind:string,end:int,found:string>>"
 
 
-def _long_enough(head: str, least: int):
-    return lambda m: F.char_length(F.regexp_replace(m["found"], head, "") if head else m["found"]) >= least
+def _spans(text: str, kind: str, pattern: str, keep: str = "true") -> str:
+    """Matches m of a pattern with their places, those that `keep` holds for. The gaps between matches come from splitting at them."""
+    asked = literal(pattern)
+    sizes = f"zip_with(found, slice(split({text}, {asked}, -1), 1, size(found)), (m, gap) -> CAST(char_length(gap) + char_length(m) AS BIGINT))"
+    place = f"named_struct('start', CAST(stop AS INT) - char_length(m), 'place', {ORDER.index(kind)}, 'kind', '{kind}', 'end', CAST(stop AS INT), 'found', m)"
+    placed = let("found", f"regexp_extract_all({text}, {asked}, 0)", f"zip_with(found, {running_sum(sizes)}, (m, stop) -> {place})")
+    return f"CASE WHEN {text} RLIKE {asked} THEN filter({placed}, m -> {keep}) ELSE CAST(array() AS {_SPAN}) END"
 
 
-def base_spans(text: Column) -> Column:
+def base_spans(text: str = "text") -> str:
     """The spans of PATTERNS in order of start, then kind as listed."""
     found = []
     for kind, (pattern, head, least) in PATTERNS.items():
-        found.append(F.filter(spans(text, kind, pattern), _long_enough(head, least)))
-    return F.array_sort(F.concat(*found))
+        value = f"regexp_replace(m.found, {literal(head)}, '')" if head else "m.found"
+        found.append(_spans(text, kind, pattern, f"char_length({value}) >= {least}"))
+    return f"array_sort(concat({', '.join(found)}))"
 
 
-def highest_entropy(string: Column, window: int = WINDOW) -> Column:
-    """The greatest entropy of a window of the string, 0 if it is shorter than a window.
+def candidates(kind: str, text: str = "text") -> str:
+    """Strings of one of CLASSES, without allowed ones."""
+    pattern, needed, _ = CLASSES[kind]
+    rest = f"char_length(regexp_replace(m.found, {literal(_PLACEHOLDER)}, ''))"
+    allowed = [f"m.found RLIKE {literal(_UUID)}", f"m.found RLIKE {literal(_WORDS)}", f"m.found RLIKE {literal(_PLACEHOLDER)} AND {rest} < {WINDOW}"]
+    return _spans(text, kind, pattern, " AND ".join([f"m.found RLIKE '{p}'" for p in needed] + [f"NOT ({x})" for x in allowed]))
 
-    State: counts by ASCII code, S = sum of c log2 c, the least S of a full window so far."""
-    codes = F.transform(F.split(string, ""), F.ascii)
-    positions = F.sequence(F.lit(1), F.size(codes))
-    c_log_c = F.array(*[F.lit(0.0)] + [F.lit(c).cast("double") * F.log2(F.lit(float(c))) for c in range(1, window + 2)])
 
-    def moved(acc: Column, code: Column, by: int) -> Column:
-        old = F.element_at(acc["counts"], code)
-        counts = F.concat(F.slice(acc["counts"], F.lit(1), code - 1), F.array(old + by), F.slice(acc["counts"], code + 1, 128 - code))
-        change = F.element_at(c_log_c, old + by + 1) - F.element_at(c_log_c, old + 1)
-        return F.struct(counts.alias("counts"), (acc["s"] + change).alias("s"), acc["least"].alias("least"))
+def clear_of(found: str, others: str) -> str:
+    """Those of the spans that overlap none of the others, in order of start. Both are names of columns.
 
-    def step(acc: Column, i: Column) -> Column:
-        # The character that leaves goes first, so counts never exceed the window.
-        less = F.when(i > window, moved(acc, F.element_at(codes, F.greatest(i - window, F.lit(1))), -1)).otherwise(acc)
-        more = moved(less, F.element_at(codes, i), 1)
-        least = F.when(i >= window, F.least(more["least"], more["s"])).otherwise(more["least"])
-        return F.struct(more["counts"].alias("counts"), more["s"].alias("s"), least.alias("least"))
+    Both are put in one order; a span is clear if no other that starts before or with it ends after its start, and
+    none that starts after it does so before its end."""
+    tagged = lambda spans, other: f"transform({spans}, m -> named_struct('start', m.start, 'other', {other}, 'm', m))"
+    every = f"array_sort(concat({tagged(found, 'false')}, {tagged(others, 'true')}))"
+    before = running("transform(every, e -> CASE WHEN e.other THEN e.m.end ELSE -1 END)", "greatest(x, y)", "-1")
+    after = running(f"reverse(transform(every, e -> CASE WHEN e.other THEN e.m.start ELSE {_FAR} END))", "least(x, y)", str(_FAR))
+    marked = f"zip_with(zip_with(every, {before}, (e, b) -> named_struct('e', e, 'b', b)), reverse({after}), (z, a) -> named_struct('e', z.e, 'b', z.b, 'a', a))"
+    clear = f"transform(filter({marked}, z -> NOT z.e.other AND z.b <= z.e.m.start AND z.a >= z.e.m.end), z -> z.e.m)"
+    return f"CASE WHEN size({found}) > 0 AND size({others}) > 0 THEN {let('every', every, clear)} ELSE {found} END"
 
-    worst = float(window) * 64
-    start = F.struct(F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0.0).alias("s"), F.lit(worst).alias("least"))
-    least = F.aggregate(positions, start, step)["least"]
-    top = F.log2(F.lit(float(window))) - least / F.lit(float(window))
-    return F.when(least < worst, top).otherwise(F.lit(0.0))
 
+def highest_entropy(string: str, window: int = WINDOW) -> str:
+    """The greatest entropy of a window of an ASCII string, 0 if it is shorter than a window.
 
-def allowed(found: Column) -> Column:
-    rest = F.char_length(F.regexp_replace(found, _PLACEHOLDER, ""))
-    return found.rlike(_UUID) | found.rlike(_WORDS) | (found.rlike(_PLACEHOLDER) & (rest < WINDOW))
+    State: counts by character, S = sum of c log2 c, the least S of a full window so far. A count n is the letter of
+    code 65 + n in a string, so that a change copies some bytes."""
+    c_log_c = "array(0D, " + ", ".join(f"{c}D * log2({c}D)" for c in range(1, window + 2)) + ")"
+    worst = f"{window * 64}D"
 
+    def moved(acc: str, at: str, by: int) -> str:
+        counts = f"overlay({acc}.counts PLACING char(old + {65 + by}) FROM element_at(codes, {at}) FOR 1)"
+        change = f"element_at({c_log_c}, old + {by + 1}) - element_at({c_log_c}, old + 1)"
+        state = f"named_struct('counts', {counts}, 's', {acc}.s + {change}, 'least', {acc}.least)"
+        return let("old", f"ascii(substring({acc}.counts, element_at(codes, {at}), 1)) - 65", state)
 
-def _kept(base: Column, needed: tuple[str, ...]):
-    def kept(m: Column) -> Column:
-        ok = ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
-        for p in needed:
-            ok = ok & m["found"].rlike(p)
-        return ok & ~allowed(m["found"])
+    # The character that leaves goes first, so counts never exceed the window.
+    less = f"CASE WHEN i > {window} THEN {moved('acc', f'i - {window}', -1)} ELSE acc END"
+    least = f"CASE WHEN i >= {window} THEN least(now.least, now.s) ELSE now.least END"
+    step = let("now", let("less", less, moved("less", "i", 1)), f"named_struct('counts', now.counts, 's', now.s, 'least', {least})")
+    start = f"named_struct('counts', repeat('A', 127), 's', 0D, 'least', {worst})"
+    walked = let("codes", f"transform(split({string}, ''), c -> ascii(c))", f"aggregate(sequence(1, size(codes)), {start}, (acc, i) -> {step}, acc -> acc.least)")
+    return let("low", walked, f"CASE WHEN low < {worst} THEN log2({window}D) - low / {window}D ELSE 0D END")
 
-    return kept
 
+def reaches(string: str, entropy: float, window: int = WINDOW) -> str:
+    """Whether a window of the string has so much entropy.
 
-def entropy_candidates(text: Column, base: Column) -> Column:
-    """Strings of CLASSES with their places, without allowed ones and those that overlap a base span.
-
-    Lower strings may lie in wider ones here, whose threshold is higher."""
-    found = []
-    for kind, (pattern, needed, _) in CLASSES.items():
-        found.append(F.filter(spans(text, kind, pattern), _kept(base, needed)))
-    # A string of both first classes counts once, as the narrower one.
-    wide, narrow, lower = found
-    wide = F.filter(wide, lambda m: ~F.exists(narrow, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    return F.concat(wide, narrow, lower)
+    A long string goes through in blocks that overlap by a window less one, up to the first that has it. A block with too few
+    distinct characters for that entropy isn't walked."""
+    enough = math.ceil(2**entropy - 1e-9)
+    full = f"element_at(blocks, at) || substring(coalesce(try_element_at(blocks, at + 1), ''), 1, {window - 1})"
+    high = f"CASE WHEN size(array_distinct(split(block, ''))) >= {enough} THEN {highest_entropy('block', window)} >= {entropy}D ELSE false END"
+    any_block = f"exists(sequence(1, size(blocks)), at -> {let('block', full, high)})"
+    blocks = f"regexp_extract_all({string}, '.{{1,{BLOCK}}}', 0)"
+    return f"CASE WHEN char_length({string}) >= {window} THEN {let('blocks', blocks, any_block)} ELSE false END"
 
 
 def joined(found: Column) -> Column:
@@ -151,18 +140,19 @@ def joined(found: Column) -> Column:
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, base and entropy, arrays of struct<start, place, kind, end, found>; one narrow pass."""
+    """key, base and entropy, arrays of struct<start, place, kind, end, found>; one narrow pass.
+
+    Texts without a run that could be of any kind aren't searched kind by kind."""
     rows = docs.select(F.col(key), text_or_empty(text).alias("text"))
-    rows = rows.withColumn("base", base_spans(F.col("text")))
-    rows = rows.withColumn("candidates", entropy_candidates(F.col("text"), F.col("base"))).drop("text")
-    entropy = F.filter(
-        F.transform(F.col("candidates"), lambda m: F.struct(m.alias("m"), highest_entropy(m["found"]).alias("h"))),
-        lambda x: x["h"] >= F.when(x["m"]["kind"] == "b64", F.lit(CLASSES["b64"][2])).when(x["m"]["kind"] == "upper", F.lit(CLASSES["upper"][2])).otherwise(F.lit(CLASSES["lower"][2])),
-    )
-    rows = rows.withColumn("found", F.transform(entropy, lambda x: x["m"])).drop("candidates")
-    other = F.filter("found", lambda m: m["kind"] != "lower")
-    once = F.filter("found", lambda m: (m["kind"] != "lower") | ~F.exists(other, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    return rows.withColumn("entropy", once).drop("found")
+    rows = rows.withColumn("text", F.when(F.col("text").rlike(_ANY), F.col("text")).otherwise(""))
+    # What a step names more than once is a column by then.
+    rows = rows.select(key, F.expr(base_spans()).alias("base"), *[F.expr(candidates(k)).alias(k) for k in CLASSES])
+    rows = rows.select(key, "base", *[F.expr(clear_of(k, "base")).alias(k) for k in CLASSES])
+    # A string of both first classes counts once, as the narrower one.
+    rows = rows.withColumn("b64", F.expr(clear_of("b64", "upper")))
+    high = lambda kind: F.expr(f"filter({kind}, m -> {reaches('m.found', CLASSES[kind][2])})")
+    rows = rows.select(key, "base", F.concat(high("b64"), high("upper")).alias("wider"), high("lower").alias("lower"))
+    return rows.select(key, "base", F.concat("wider", F.expr(clear_of("lower", "wider"))).alias("entropy"))
 
 
 def counted(docs: DataFrame) -> DataFrame:

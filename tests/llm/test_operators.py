@@ -242,13 +242,43 @@ def test_prefixed_and_lower_case_secrets(spark):
     assert shown == [[t] for t in whole] + [[t] for t in part.values()] + [[] for _ in left_out]
 
 
+def test_long_texts_with_many_secrets(spark):
+    """Strings that need deep stacks or growing arrays elsewhere; positions are checked against a plain search."""
+    import re
+    import string
+
+    rng = random.Random(12)
+    token = lambda n: "".join(rng.choices(string.ascii_letters + string.digits, k=n))
+    texts = ["Ab/" * 10_000 + "1", "AbcDefGhi" * 10_000 + "/1", "Ab1" * 400_000, "token=" * 50_000]
+    texts += [" é".join("AKIA" + token(16).upper() for _ in range(20_000)), token(5_000_000), " ".join(token(24) for _ in range(2000))]
+    rows = {r.doc_id: r for r in secrets.counted(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(4)).collect()}
+    assert [rows[i].spans for i in range(3)] == ["", "", ""]
+    assert rows[3].spans == f"assign:0:{len(texts[3])}"
+    assert rows[4].n_access == 20_000
+    assert rows[4].spans == ",".join(f"access:{m.start()}:{m.end()}" for m in re.finditer("AKIA[A-Z0-9]+", texts[4]))
+    assert rows[5].spans  # a run of upper case within, or the whole
+    wanted = [m.span() for m in re.finditer("[A-Za-z0-9]{24}", texts[6]) if all(re.search(p, m.group()) for p in ("[0-9]", "[A-Z]", "[a-z]"))]
+    found = [tuple(map(int, s.split(":")[1:])) for s in rows[6].spans.split(",")]
+    assert len(set(found) & set(wanted)) >= 0.95 * len(wanted)
+
+
+def test_clear_of_by_brute_force(spark):
+    rng = random.Random(3)
+    make = lambda n: [(a, 0, "k", a + rng.randint(1, 6), "") for a in sorted(rng.sample(range(60), n))]
+    rows = [(i, make(rng.randint(0, 9)), make(rng.randint(0, 4))) for i in range(60)]
+    kind = "array<struct<start:int,place:int,kind:string,end:int,found:string>>"
+    out = spark.createDataFrame(rows, f"i int, a {kind}, b {kind}").select("i", F.expr(secrets.clear_of("a", "b")).alias("c")).collect()
+    wanted = {i: [x for x in a if not any(y[0] < x[3] and x[0] < y[3] for y in b)] for i, a, b in rows}
+    assert {r.i: [tuple(x) for x in r.c] for r in out} == wanted
+
+
 def test_window_entropy(spark):
     import math
     from collections import Counter
 
     rng = random.Random(4)
     texts = ["".join(rng.choices("abcAB12", k=n)) for n in (5, 20, 21, 60)]
-    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", secrets.highest_entropy(F.col("t")).alias("h")).orderBy("i").collect()
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", F.expr(secrets.highest_entropy("t")).alias("h")).orderBy("i").collect()
     for r, t in zip(got, texts, strict=True):
         windows = [Counter(t[i : i + 20]) for i in range(len(t) - 19)]
         want = max((-sum(c / 20 * math.log2(c / 20) for c in w.values()) for w in windows), default=0.0)
