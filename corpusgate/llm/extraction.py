@@ -2,7 +2,8 @@
 
 Every block element, and every inline one with a class, id or role, is a variable: content or not. Its own potential
 comes from its names, how much text and how many links it holds; a potential for each edge tells how
-parents and children of each tag go together. Both are smoothed counts over labelled pages. Sum-product messages go from the leaves up and
+parents and children of each tag go together. Both are smoothed counts over labelled pages: pages made from seeds, and a
+bounded sample of the table's own pages that have one article element, which labels them. Sum-product messages go from the leaves up and
 from the root down, which gives the exact marginal of every element; the text of those above one half, outside of what
 a page never shows, is the page's text, in page order.
 
@@ -23,10 +24,15 @@ from pyspark.sql import functions as F
 
 from corpusgate.llm.common import shipped
 from corpusgate.llm.dom import Node, Tree, joined
-from corpusgate.llm.pagetraining import Page
-
-#: Labelled pages to train on.
-PAGES = 2000
+from corpusgate.llm.pagetraining import NAMES, Page
+
+#: Pages to train on that are made from seeds.
+MADE = 2000
+#: Pages of the table to train on, about, at most; a hash of page_id chooses them.
+SAMPLE = 1000
+#: Elements and names inside an article that may be something else than content.
+OTHER_TAGS = frozenset("nav aside form footer header section".split())
+OTHER_NAMES = frozenset(word for kind, names in NAMES.items() if kind != "content" for name in names for word in name.split("-") if word)
 SMOOTHING = 0.5
 #: Weight of the text's features, which depend on each other.
 TEXT_WEIGHT = 0.5
@@ -35,11 +41,11 @@ _TEXT = ("own", "chars", "linked", "stops", "paragraphs")
 
 class Model(NamedTuple):
     """Log odds of content by feature; by the child's tag edges[tag][parent][child], the probability of the child's
-    label given the parent's, "" for other tags; the same of elements without a parent."""
+    label given the parent's, "" for other tags; root[tag] is the probability of each label without a parent."""
 
     odds: dict[str, float]
     edges: dict[str, tuple[tuple[float, float], tuple[float, float]]]
-    root: tuple[float, float]
+    root: dict[str, tuple[float, float]]
 
 
 def features(node: Node) -> list[str]:
@@ -54,10 +60,9 @@ def features(node: Node) -> list[str]:
     ]
 
 
-def counts(html: str) -> Counter:
+def counts(nodes: list[Node]) -> Counter:
     """What one labelled page adds: features and edges with their labels."""
     found: Counter = Counter()
-    nodes = Tree(html).nodes
     for node in nodes[1:]:
         if node.label is None:
             continue
@@ -65,25 +70,50 @@ def counts(html: str) -> Counter:
         found["all", node.label] += 1
         up = nodes[node.parent].label
         found["root" if up is None else f"edge {up}", node.label] += 1
-        found[f"edge {up} {node.tag}", node.label] += 1
+        found[f"root {node.tag}" if up is None else f"edge {up} {node.tag}", node.label] += 1
     return found
 
 
-def train(spark: SparkSession, pages: int = PAGES) -> Model:
-    """Counts over labelled pages, made and parsed by the executors; what comes back is a row for each feature and label."""
+def structure_labels(nodes: list[Node]) -> None:
+    """Labels of a user's page by its structure: what its one article holds is content, but for parts that are named as
+    something else, which are left open; what lies outside of it isn't. Other pages get no labels."""
+    if sum(x.tag == "article" for x in nodes) != 1:
+        return
+    inside, other = [False] * len(nodes), [False] * len(nodes)
+    for i, node in enumerate(nodes[1:], 1):
+        inside[i] = inside[node.parent] or node.tag == "article"
+        other[i] = other[node.parent] or inside[node.parent] and (node.tag in OTHER_TAGS or not OTHER_NAMES.isdisjoint(node.tokens))
+        node.label = None if other[i] else int(inside[i])
+
+
+def train(spark: SparkSession, made: int = MADE, pages: DataFrame | None = None, sample: int = SAMPLE) -> Model:
+    """Counts over `made` pages from seeds, and about `sample` at most of `pages` (columns page_id, html), labelled by their structure.
+
+    Pages are parsed by the executors; what comes back is a row for each feature and label."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
         for batch in batches:
-            for seed in batch.column(0).to_pylist():
-                total.update(counts(Page(seed).html()))
+            for seed, html in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if seed is None:
+                    nodes = Tree(html.as_py()).nodes
+                    structure_labels(nodes)
+                else:
+                    page = Page(seed)
+                    nodes = Tree(page.html(), labelled=True, implied=page.body_y).nodes
+                total.update(counts(nodes))
         keys = list(total)
         yield pa.RecordBatch.from_arrays(
             [pa.array([k for k, _ in keys], pa.string()), pa.array([y for _, y in keys], pa.int64()), pa.array([total[k] for k in keys], pa.int64())],
             ["feature", "label", "n"],
         )
 
-    rows = shipped(spark.range(0, pages, 1, 4)).mapInArrow(counted, "feature string, label bigint, n bigint")
+    rows = spark.range(0, made, 1, 4).select("id", F.lit(None).cast("string").alias("html"))
+    if pages is not None:
+        share = int(1_000_000 * min(1.0, sample / max(1, pages.count())))
+        chosen = F.pmod(F.xxhash64("page_id"), F.lit(1_000_000)) < share
+        rows = rows.unionByName(pages.filter(chosen & F.col("html").contains("<article")).select(F.lit(None).cast("bigint").alias("id"), F.col("html").cast("string")))
+    rows = shipped(rows).mapInArrow(counted, "feature string, label bigint, n bigint")
     n = {(r.feature, r.label): r.n for r in rows.groupBy("feature", "label").agg(F.sum("n").alias("n")).collect()}
     return fitted(n)
 
@@ -104,11 +134,13 @@ def fitted(n: dict[tuple[str, int], int]) -> Model:
     edges = {"": (pair("edge 0"), pair("edge 1"))}
     for tag in {f.split(" ")[2] for f, _ in n if f.startswith("edge") and f.count(" ") == 2}:
         edges[tag] = (pair(f"edge 0 {tag}", edges[""][0]), pair(f"edge 1 {tag}", edges[""][1]))
-    return Model(odds, edges, pair("root"))
+    root = {"": pair("root")}
+    root |= {tag: pair(f"root {tag}", root[""]) for tag in {f.split(" ")[1] for f, _ in n if f.startswith("root ")}}
+    return Model(odds, edges, root)
 
 
 def marginals(model: Model, nodes: list[Node]) -> list[float]:
-    """The probability of content of each node, node 0 being above the page's root.
+    """The probability of content of each node, node 0 being above the page's root and without text.
 
     The edge potential is the probability of the child's label given the parent's; messages are kept as log odds."""
     odds = model.odds
@@ -125,11 +157,11 @@ def marginals(model: Model, nodes: list[Node]) -> list[float]:
         up[i] = math.log((e10 + e11 * x) / (e00 + e01 * x))
         inside[nodes[i].parent] += up[i]
     belief = [0.0] * n
-    root = math.log(model.root[1] / model.root[0])
     for i in range(1, n):
         p = nodes[i].parent
         if p == 0:
-            belief[i] = inside[i] + root
+            root = model.root.get(nodes[i].tag, model.root[""])
+            belief[i] = inside[i] + math.log(root[1] / root[0])
             continue
         (e00, e01), (e10, e11) = edges[i]
         y = math.exp(max(-50.0, min(50.0, belief[p] - up[i])))  # the parent without this child's message
@@ -140,7 +172,8 @@ def marginals(model: Model, nodes: list[Node]) -> list[float]:
 def main_text(model: Model, html: str) -> str:
     tree = Tree(html)
     keep = [x > 0.5 for x in marginals(model, tree.nodes)]
-    keep[0] = len(tree.nodes) == 1  # a page without any element is all text
+    if not tree.elements:  # nothing but text
+        keep = [True] * len(keep)
     return joined(tree.texts, keep)
 
 
@@ -162,4 +195,4 @@ def extract(pages: DataFrame, model: Model, html: str = "html") -> DataFrame:
 
 def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for each row."""
-    return extract(pages.select("page_id", "url", "html"), train(pages.sparkSession))
+    return extract(pages.select("page_id", "url", "html"), train(pages.sparkSession, pages=pages))

@@ -27,6 +27,7 @@ class Page:
     def __init__(self, seed: int) -> None:
         self.r = random.Random(seed)
         self.odd = False
+        self.body_y = 0  # the label of a body that no tag opens
 
     def words(self, n: int) -> str:
         r = self.r
@@ -129,10 +130,18 @@ class Page:
         after = [self.boiler(k) for k in ("sidebar", "comments", "share", "ad", "notice", "menu", "footer") if r.random() < 0.45]
         after += [self.form()] if r.random() < 0.25 else []
         if r.random() < 0.2:
-            body_y, parts = 1, [self.el("h1", 1, self.words(4)), *[self.el("p", 1, self.words(r.randint(3, 80))) for _ in range(r.randint(1, 8))]]
+            self.body_y, parts = 1, [self.el("h1", 1, self.words(4)), *[self.el("p", 1, self.words(r.randint(3, 80))) for _ in range(r.randint(1, 8))]]
+            for _ in range(r.choice([0, 0, 1, 3])):
+                parts.insert(r.randint(0, len(parts)), self.words(r.choice([1, 2, 5, 15, 60])) + r.choice(["", "<br>"]))
+            bare = r.random() < 0.25
+            if bare:  # text and next to no markup
+                before, after, parts = [], [], [self.words(r.choice([1, 2, 5, 30, 200])), *parts[: r.choice([0, 0, 1])]]
         else:
-            body_y, parts = 0, [self.article(1)]
+            bare, parts = False, [self.article(1)]
         if r.random() < 0.3:
             r.shuffle(before)
         body = "".join([*before, *parts, *after])
-        return f'<!DOCTYPE html><html data-y="0"><head><title>{self.words(5)}</title><style>a{{b:c}}</style></head><body data-y="{body_y}">{body}</body></html>'
+        if r.random() < (0.6 if bare else 0.1):
+            return body
+        head = f"<head><title>{self.words(5)}</title><style>a{{b:c}}</style>" + r.choice(["</head>", "</head>", ""])
+        return f'<!DOCTYPE html><html data-y="0">{head}<body data-y="{self.body_y}">{body}</body></html>'

@@ -435,9 +435,11 @@ def page_model(spark):
 def test_held_out_pages(page_model):
     right = lost = 0
     for seed in range(50_000, 50_200):
-        tree = Tree(Page(seed).html())
+        page = Page(seed)
+        html = page.html()
+        tree = Tree(html, labelled=True, implied=page.body_y)
         want = joined(tree.texts, [n.label == 1 for n in tree.nodes]).split("\n")
-        got = extraction.main_text(page_model, Page(seed).html()).split("\n")
+        got = extraction.main_text(page_model, html).split("\n")
         right += want == got
         lost += len(set(want) - set(got)) > len(set(want)) / 4
     assert right >= 140
@@ -460,13 +462,36 @@ def test_marginals_by_brute_force(page_model):
             weight *= math.exp(own[i] * y[i])
             p = nodes[i].parent
             edges = page_model.edges.get(nodes[i].tag, page_model.edges[""])
-            weight *= page_model.root[y[i]] if p == 0 else edges[y[p]][y[i]]
+            weight *= page_model.root.get(nodes[i].tag, page_model.root[""])[y[i]] if p == 0 else edges[y[p]][y[i]]
         total += weight
         for i in range(1, len(nodes)):
             sums[i] += weight * y[i]
     assert extraction.marginals(page_model, nodes)[1:] == pytest.approx([s / total for s in sums[1:]])
 
 
+def test_any_markup(page_model):
+    """Attributes of users' pages that look like labels, sections that no page should hold, and text outside of elements."""
+    text = lambda html: extraction.main_text(page_model, html)
+    long = "One two three, and four. Five six seven, and eight. " * 4
+    for odd in ('<div data-y="top">', '<div data-y="12.5">', "<![foo[bar]]>", "<![CDATA[x>", "<?php y ?>", "<!bogus>", "</ >", "<>", "<p class='a", "<!-- "):
+        assert long.strip() in text(f"<html><body><article><h1>Title of it</h1><p>{long}</p>{odd}<p>{long}</p></article></body></html>"), odd
+    assert text("<![ x") == "<![ x"
+    assert text("a < b <![foo[bar]]> c") == "a < b c"
+    assert text(f"Intro, {long}<p>Body. {long}</p> tail, {long}") == f"Intro, {long}\nBody. {long}\ntail, {long}".replace(". \n", ".\n").strip()
+    assert text(f"<html><head><title>T</title><article><h1>A title</h1><p>{long}</p></article>") == f"A title\n{long.strip()}"
+    assert "a x b" in text(f"<body><article><h1>A title</h1><p>{long} a <math><mi>x</mi></math> b</p></article>")
+
+
+def test_deep_and_broken_markup_is_linear(page_model):
+    import time
+
+    n = 100_000
+    for piece in ("<b>", "<span class=a>", "<div>", "<li>", "<div><li>", "<p>", "<!-- ", "<a ", "<a b='", "</b></div>", "<![ ", "<td>", "<font><p>", "&lt;", "<title>", "<script>", "<"):
+        began = time.process_time()
+        extraction.main_text(page_model, "<body><p>Some text." + piece * n + " end")
+        assert time.process_time() - began < 12, piece
+
+
 def test_markup(page_model):
     html = (
         "<html><head><title>T</title><script>if (a < b) x('<p>no</p>')</script></head><body><nav><a href=/>Home page</a></nav><article><h1>A&nbsp;title &lt;b&gt;</h1>"
