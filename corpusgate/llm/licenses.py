@@ -1,93 +1,108 @@
-"""License scans: phrases, and license notices found by a positional index of rare words.
+"""License scans: phrases, and license texts found by a positional index of rare words.
 
 Words are runs of ASCII digits, ASCII letters (lower-cased) and everything above ASCII.
 
 - Phrases (PHRASES) are found wherever their words stand one after another.
-- Notices (NOTICES) are found by their rare words. How many documents hold each notice word is counted over all
-  documents. A notice's anchors are its rarest words, enough of them that a text without any can't reach SCORE of its
-  weight. Documents with an anchor look up their notice words in the postings (word, notice, position); places that
-  agree on where the notice begins, position in the document less position in the notice, are put together, each
-  word weighed by its rarity. An alignment with SCORE of the notice's weight and all its key phrases is a match.
-
-Notices are written in this file, so vocabulary, postings and what is counted for them have a fixed size. Null text
-counts as empty. Rows that repeat a doc_id share the notices that any of them holds.
+- License texts (licensetexts.TEXTS) are found by their rare words. How many documents hold each of their words is counted
+  over all documents. A text's anchors are its rarest words, enough of them that the others weigh less than half of SCORE.
+  A document looks up its anchors in the postings (word, text, position); places that agree on where the text begins,
+  position in the document less position in the text, are put together. Where anchors agree on enough weight for the
+  others to fill it up to SCORE, all words are compared. An alignment with SCORE of the text's weight, in a document
+  with all its key phrases, is a match.
+
+Each row is matched by itself, in blocks of BLOCK words that overlap by the longest text, so rows that repeat a doc_id, or
+have none, get what their text alone gives, and memory doesn't depend on a text's length. A document without any text's first
+key phrase isn't looked up. Null text counts as empty. The texts are part of this package, so vocabulary, postings and what is
+counted for them have a fixed size.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusgate.functions.arrays import let, literal, running
 from corpusgate.llm.common import PLAIN, ascii_lower, materialised, text_or_empty
+from corpusgate.llm.licensetexts import TEXTS
 
 #: Phrase and label.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: Label, opening or notice of a license, the phrases it can't do without.
-NOTICES = (
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", ("hereby granted", "free of charge")),
-    ("mit", "released under the mit license", ("mit license",)),
-    ("apache", "licensed under the apache license version 2 0", ("apache license", "version 2 0")),
-    ("gpl", "this work is licensed under the gnu general public license version 3", ("gnu general public license",)),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", ("free software", "gnu general public license")),
-    ("lgpl", "under the terms of the gnu lesser general public license as published by the free software foundation", ("lesser general public license",)),
-    ("cc-by-nc", "licensed under cc by nc 4 0", ("cc by nc",)),
-    ("cc-by-nc", "creative commons attribution noncommercial 4 0 international license", ("attribution noncommercial",)),
-    ("cc-by-sa", "licensed under cc by sa 4 0", ("cc by sa",)),
-    ("cc-by", "licensed under a creative commons attribution 4 0 international license", ("creative commons attribution 4 0",)),
-    ("cc0", "to the extent possible under law the author has waived all copyright and related rights to this work", ("waived all copyright",)),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", ("source and binary forms",)),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
-    ("unlicense", "this is free and unencumbered software released into the public domain", ("unencumbered software",)),
-    ("proprietary", "all rights reserved no part of this publication may be reproduced", ("all rights reserved",)),
-)
-#: Share of a notice's weight that an alignment must have.
+#: Share of a text's weight that an alignment must have.
 SCORE = 0.7
+#: Weights are whole parts of this, so that sums are exact.
+UNIT = 1_000_000
+#: Words of a document that are looked up at a time.
+BLOCK = 4096
 _WORD = re.compile(r"[0-9a-z]+")
+WORDS = [_WORD.findall(text.lower()) for _, _, text in TEXTS]
+LONGEST = max(map(len, WORDS))
+VOCABULARY = sorted({w for words in WORDS for w in words})
+_KEYS = [[f" {k} " for k in keys] for _, keys, _ in TEXTS]
 
 
-def _vocabulary() -> list[str]:
-    return sorted({w for _, text, _ in NOTICES for w in _WORD.findall(text)})
+class Index(NamedTuple):
+    """postings: by anchor, its text, position and weight; weights: by text, of each position; need: what anchors must agree on."""
 
+    postings: dict[str, list[dict[str, int]]]
+    weights: list[list[int]]
+    need: list[int]
 
-def rarities(words: DataFrame) -> dict[str, float]:
-    """log((documents + 1) / documents that hold it) of each notice word; a row for each of them comes to the driver."""
-    vocabulary = F.array(*[F.lit(w) for w in _vocabulary()])
-    known = words.select(F.explode(F.concat(F.array(F.lit("")), F.array_intersect("words", vocabulary))).alias("word"))
-    held = {r.word: r.df for r in known.groupBy("word").agg(F.count(F.lit(1)).alias("df")).collect()}
-    return {w: math.log((held.get("", 0) + 1) / max(1, held.get(w, 0))) for w in _vocabulary()}
 
+def rarities(known: DataFrame) -> dict[str, float]:
+    """log((documents + 1) / documents that hold it) of each word of VOCABULARY, from a column known of each document's
+    distinct ones; a row for each of them comes to the driver."""
+    rows = known.select(F.explode(F.concat(F.array(F.lit("")), "known")).alias("word"))
+    held = {r.word: r.df for r in rows.groupBy("word").agg(F.count(F.lit(1)).alias("df")).collect()}
+    return {w: math.log((held.get("", 0) + 1) / max(1, held.get(w, 0))) for w in VOCABULARY}
 
-def postings(spark: SparkSession, idf: dict[str, float]) -> DataFrame:
-    """word, notice, position, share: a row for each word of each notice; share is of the notice's weight."""
-    rows = []
-    for n, (_, text, _) in enumerate(NOTICES):
-        parts = _WORD.findall(text)
-        whole = sum(idf[w] for w in parts) or 1.0
-        rows += [(w, n, i, idf[w] / whole) for i, w in enumerate(parts)]
-    return spark.createDataFrame(rows, "word string, notice int, position int, share double")
 
-
-def anchors(idf: dict[str, float]) -> list[str]:
-    found = set()
-    for _, text, _ in NOTICES:
-        parts = _WORD.findall(text)
-        left = sum(idf[w] for w in parts)
-        enough = left * SCORE
-        for w in sorted(set(parts), key=lambda w: (-idf[w], w)):
-            found.add(w)
-            left -= idf[w] * parts.count(w)
-            if left < enough:
+def index(idf: dict[str, float]) -> Index:
+    out = Index({}, [], [])
+    for n, words in enumerate(WORDS):
+        whole = sum(idf[w] for w in words) or 1.0
+        weights = [round(UNIT * idf[w] / whole) for w in words]
+        others = sum(weights)
+        for anchor in sorted(set(words), key=lambda w: (-idf[w], w)):
+            if 2 * others < SCORE * UNIT:
                 break
-    return sorted(found)
-
-
-def notices(spark: SparkSession) -> DataFrame:
-    """notice, label, keys: keys are the phrases that must stand in the document, each between spaces."""
-    rows = [(n, label, [f" {k} " for k in keys]) for n, (label, _, keys) in enumerate(NOTICES)]
-    return spark.createDataFrame(rows, "notice int, label string, keys array<string>")
+            places = [i for i, w in enumerate(words) if w == anchor]
+            out.postings.setdefault(anchor, []).extend({"n": n, "p": i, "w": weights[i]} for i in places)
+            others -= sum(weights[i] for i in places)
+        out.weights.append(weights)
+        out.need.append(max(1, math.ceil(SCORE * UNIT) - others))
+    return out
+
+
+def _constant(value: object, kind: str) -> str:
+    """A literal of a nested type: Spark folds it once."""
+    return f"from_json({literal(json.dumps(value))}, '{kind}')"
+
+
+def alignments(words: str, found: Index) -> str:
+    """SQL for the matches in an array of words: array<struct<notice, share>>, share in parts of UNIT."""
+    postings = _constant(found.postings, "map<string,array<struct<n:int,p:int,w:bigint>>>")
+    texts = _constant([[{"t": w, "w": x} for w, x in zip(*pair, strict=True)] for pair in zip(WORDS, found.weights, strict=True)], "array<array<struct<t:string,w:bigint>>>")
+    asked = ", ".join(map(literal, sorted(found.postings)))
+    places = f"filter(sequence(s, least(size({words}), s + {BLOCK + LONGEST}) - 1), i -> {words}[i] IN ({asked}))"
+    vote = "named_struct('n', p.n, 'begin', i - p.p, 'w', p.w)"
+    inside = f"v -> (s = 0 OR v.begin >= s) AND v.begin < s + {BLOCK}"
+    votes = f"array_sort(flatten(transform({places}, i -> filter(transform(element_at({postings}, {words}[i]), p -> {vote}), {inside}))))"
+    agreed = running(votes, "named_struct('n', y.n, 'begin', y.begin, 'w', y.w + CASE WHEN x.n = y.n AND x.begin = y.begin THEN x.w ELSE 0L END)", "named_struct('n', -1, 'begin', 0, 'w', 0L)")
+    enough = f"filter({agreed}, c -> c.w >= element_at({_constant(found.need, 'array<bigint>')}, c.n + 1))"
+    begins = f"array_distinct(transform({enough}, c -> named_struct('n', c.n, 'begin', c.begin)))"
+    here = f"slice({words}, greatest(c.begin, 0) + 1, size(t))"
+    there = "slice(t, greatest(-c.begin, 0) + 1, size(t))"
+    share = f"aggregate(zip_with({here}, {there}, (x, y) -> CASE WHEN x = y.t THEN y.w ELSE 0L END), 0L, (a, w) -> a + w)"
+    aligned = f"transform({begins}, c -> named_struct('notice', c.n, 'share', {let('t', f'element_at({texts}, c.n + 1)', share)}))"
+    whole = f"filter(flatten(transform(sequence(0, greatest(size({words}) - 1, 0), {BLOCK}), s -> {aligned})), m -> m.share >= {math.ceil(SCORE * UNIT)})"
+    keys = f"forall(element_at({_constant(_KEYS, 'array<array<string>>')}, m.notice + 1), k -> contains(joined, k))"
+    sure = let("joined", f"concat(' ', array_join({words}, ' '), ' ')", f"filter({let('found', whole, 'found')}, m -> {keys})")
+    return f"CASE WHEN size({words}) > 0 THEN {sure} ELSE CAST(array() AS array<struct<notice:int,share:bigint>>) END"
 
 
 def _starts(words: Column, phrase: str) -> Column:
@@ -104,60 +119,40 @@ def _starts(words: Column, phrase: str) -> Column:
     return F.transform(F.filter(first, here), lambda i: (i - 1).cast("bigint"))
 
 
-def _lowered(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", ascii_lower(text_or_empty()).alias("text"))
-
-
-def _words() -> Column:
-    return F.regexp_extract_all(F.col("text"), F.lit(PLAIN), F.lit(0))
-
+def _places(words: Column) -> Column:
+    def labelled(label: str):
+        return lambda i: F.struct(i.alias("start"), F.lit(label).alias("label"))
 
-def found_notices(docs: DataFrame, idf: dict[str, float]) -> DataFrame:
-    """doc_id, labels (sorted), share (the best alignment's): a row for each document that holds a notice."""
-    spark = docs.sparkSession
-    asked = "(?:^|[^0-9a-z\\x80-\\x{10FFFF}])(?:" + "|".join(anchors(idf)) + ")(?:$|[^0-9a-z\\x80-\\x{10FFFF}])"
-    held = materialised(_lowered(docs).filter(F.col("text").rlike(asked)).select("doc_id", _words().alias("words")), "license-candidates")
-    placed = held.select("doc_id", F.posexplode("words").alias("at", "word")).filter(F.col("word").isin(_vocabulary()))
-    aligned = placed.join(F.broadcast(postings(spark, idf)), "word").groupBy("doc_id", "notice", (F.col("at") - F.col("position")).alias("begin"))
-    best = aligned.agg(F.least(F.lit(1.0), F.sum("share")).alias("share")).filter(F.col("share") >= SCORE)
-    best = best.groupBy("doc_id", "notice").agg(F.max("share").alias("share")).join(F.broadcast(notices(spark)), "notice")
-    text = held.select("doc_id", F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")).alias("joined"))
-    sure = best.join(text, "doc_id").filter(F.forall("keys", lambda k: F.contains("joined", k)))
-    return sure.groupBy("doc_id").agg(F.array_sort(F.collect_set("label")).alias("labels"), F.max("share").alias("share"))
+    return F.array_sort(F.concat(*[F.transform(_starts(words, phrase), labelled(label)) for phrase, label in PHRASES.items()]))
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, places (array<struct<start, label>> of phrases in order), labels (of phrases and notices,
-    sorted), score: 1 where a phrase stands, else the best notice's share, 0 without any."""
-    words = materialised(
-        _lowered(docs).select("doc_id", _words().alias("words")).select(
-            "doc_id",
-            F.size("words").cast("bigint").alias("n_words"),
-            F.array_intersect("words", F.array(*[F.lit(w) for w in _vocabulary()])).alias("known"),
-            F.when(F.array_contains("words", "license"), _places(F.col("words"))).alias("places"),
-        ),
-        "license-words",
-    )
-    idf = rarities(words.select(F.col("known").alias("words")))
-    found = found_notices(docs, idf)
+    """doc_id, n_words, places (array<struct<start, label>> of phrases in order), labels (of phrases and texts,
+    sorted), score: 1 where a phrase stands, else the best alignment's share, 0 without any.
+
+    One pass over the texts, which writes what little the index needs; the second one reads that."""
+    words = F.regexp_extract_all(ascii_lower(text_or_empty()), F.lit(PLAIN), F.lit(0))
+    joined = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
+    asked = F.lit(False)
+    for key in sorted({keys[0] for keys in _KEYS}):
+        asked = asked | F.contains("joined", F.lit(key))
     none = F.array().cast("array<struct<start:bigint,label:string>>")
-    rows = words.select("doc_id", "n_words", F.coalesce("places", none).alias("places"))
-    rows = rows.join(found.withColumnRenamed("labels", "of_notices"), "doc_id", "left")
-    base = F.transform("places", lambda x: x["label"])
-    labels = F.array_sort(F.array_distinct(F.concat(base, F.coalesce("of_notices", F.array().cast("array<string>")))))
-    score = F.when(F.size("places") > 0, F.lit(1.0)).otherwise(F.coalesce(F.round("share", 6), F.lit(0.0)))
-    return rows.select("doc_id", "n_words", "places", labels.alias("labels"), score.alias("score"))
-
-
-def _places(words: Column) -> Column:
-    parts = [
-        F.transform(_starts(words, phrase), _labelled(label)) for phrase, label in PHRASES.items()
-    ]
-    return F.array_sort(F.concat(*parts))
-
-
-def _labelled(label: str):
-    return lambda i: F.struct(i.alias("start"), F.lit(label).alias("label"))
+    read = docs.select("doc_id", words.alias("words")).select("doc_id", "words", joined.alias("joined"))
+    read = read.select(
+        "doc_id",
+        F.size("words").cast("bigint").alias("n_words"),
+        F.array_intersect("words", F.array(*[F.lit(w) for w in VOCABULARY])).alias("known"),
+        F.when(F.contains("joined", F.lit(" license ")), _places(F.col("words"))).otherwise(none).alias("places"),
+        F.when(asked, F.col("words")).otherwise(F.array().cast("array<string>")).alias("held"),
+    )
+    read = materialised(read, "license-words")
+    found = index(rarities(read.select("known")))
+    rows = read.select("doc_id", "n_words", "places", F.expr(alignments("held", found)).alias("matches"))
+    names = F.array(*[F.lit(label) for label, _, _ in TEXTS])
+    labels = F.concat(F.transform("places", lambda x: x["label"]), F.transform("matches", lambda m: F.get(names, m["notice"])))
+    best = F.array_max(F.transform("matches", lambda m: m["share"]))
+    score = F.when(F.size("places") > 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.coalesce(best, F.lit(0)) / F.lit(float(UNIT))))
+    return rows.select("doc_id", "n_words", "places", F.array_sort(F.array_distinct(labels)).alias("labels"), score.alias("score"))
 
 
 def counted(docs: DataFrame) -> DataFrame:

@@ -121,30 +121,29 @@ every AS (SELECT doc_id, string_agg(kind || ':' || start || ':' || stop, ',' ORD
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM documents LEFT JOIN each USING (doc_id) LEFT JOIN every USING (doc_id)"""
 
-_TEXTS = [(n, label, licenses._WORD.findall(text), keys) for n, (label, text, keys) in enumerate(licenses.NOTICES)]
-_POSTINGS = ", ".join(f"({n}, {i}, '{w}')" for n, _, words, _ in _TEXTS for i, w in enumerate(words))
-_KEYS = ", ".join(f"({n}, '{label}', [{', '.join(repr(f' {k} ') for k in keys)}])" for n, label, _, keys in _TEXTS)
+_POSTINGS = ", ".join(f"({n}, {i}, '{w}')" for n, words in enumerate(licenses.WORDS) for i, w in enumerate(words))
+_KEYS = ", ".join(f"({n}, '{label}', [{', '.join(repr(f' {k} ') for k in keys)}])" for n, (label, keys, _) in enumerate(licenses.TEXTS))
 _PHRASES = " UNION ALL ".join(
-    f"SELECT doc_id, CAST(i - 1 AS BIGINT) AS start, '{label}' AS label FROM w, unnest(range(1, len(words) + 1)) AS u(i) WHERE words[i:i + {len(phrase.split()) - 1}] = {phrase.split()}"
+    f"SELECT r, CAST(i - 1 AS BIGINT) AS start, '{label}' AS label FROM w, unnest(range(1, len(words) + 1)) AS u(i) WHERE words[i:i + {len(phrase.split()) - 1}] = {phrase.split()}"
     for phrase, label in licenses.PHRASES.items()
 )
 OP7 = f"""
-WITH w AS (SELECT doc_id, regexp_extract_all({LOWER}, {PLAIN}) AS words FROM documents),
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({LOWER}, {PLAIN}) AS words FROM documents),
 p AS (SELECT * FROM (VALUES {_POSTINGS}) AS t(notice, position, word)), k AS (SELECT * FROM (VALUES {_KEYS}) AS t(notice, label, keys)),
 df AS (SELECT word, count(*) AS df FROM (SELECT unnest(list_distinct(words)) AS word FROM w) WHERE word IN (SELECT word FROM p) GROUP BY word),
 idf AS (SELECT word, ln(((SELECT count(*) FROM documents) + 1.0) / coalesce(df, 1)) AS idf FROM (SELECT DISTINCT word FROM p) LEFT JOIN df USING (word)),
-shares AS (SELECT notice, position, word, idf / sum(idf) OVER (PARTITION BY notice) AS share FROM p JOIN idf USING (word)),
-places AS (SELECT doc_id, i - 1 AS here, words[i] AS word FROM w, unnest(range(1, len(words) + 1)) AS u(i) WHERE words[i] IN (SELECT word FROM p)),
-aligned AS (SELECT doc_id, notice, here - position AS start, least(1.0, sum(share)) AS share FROM places JOIN shares USING (word) GROUP BY ALL HAVING least(1.0, sum(share)) >= {licenses.SCORE}),
-sure AS (SELECT doc_id, label, max(share) AS share FROM aligned JOIN k USING (notice) JOIN w USING (doc_id)
+shares AS (SELECT notice, position, word, CAST(round({licenses.UNIT} * idf / sum(idf) OVER (PARTITION BY notice)) AS BIGINT) AS share FROM p JOIN idf USING (word)),
+places AS (SELECT r, i - 1 AS here, words[i] AS word FROM w, unnest(range(1, len(words) + 1)) AS u(i) WHERE words[i] IN (SELECT word FROM p)),
+aligned AS (SELECT r, notice, here - position AS start, sum(share) AS share FROM places JOIN shares USING (word) GROUP BY ALL HAVING sum(share) >= {licenses.SCORE} * {licenses.UNIT}),
+sure AS (SELECT r, label, max(share) AS share FROM aligned JOIN k USING (notice) JOIN w USING (r)
   WHERE len(list_filter(keys, lambda x: NOT contains(' ' || array_to_string(words, ' ') || ' ', x))) = 0 GROUP BY ALL),
 ph AS ({_PHRASES}),
-b AS (SELECT doc_id, count(*) AS n, min(start) AS lo, max(start) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM ph GROUP BY doc_id),
-a AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM ph UNION ALL SELECT doc_id, label FROM sure) GROUP BY doc_id),
-m AS (SELECT doc_id, max(share) AS share FROM sure GROUP BY doc_id)
+b AS (SELECT r, count(*) AS n, min(start) AS lo, max(start) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM ph GROUP BY r),
+a AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM ph UNION ALL SELECT r, label FROM sure) GROUP BY r),
+m AS (SELECT r, max(share) AS share FROM sure GROUP BY r)
 SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(b.n, 0) AS n_base, b.lo AS first_word, b.hi AS last_word, coalesce(b.labels, '') AS base_labels, coalesce(a.labels, '') AS labels,
-  CASE WHEN b.n > 0 THEN 1.0::DOUBLE ELSE CAST(coalesce(round(m.share, 6), 0.0) AS DOUBLE) END AS score
-FROM w LEFT JOIN b USING (doc_id) LEFT JOIN a USING (doc_id) LEFT JOIN m USING (doc_id)"""
+  CASE WHEN b.n > 0 THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, coalesce(CAST(m.share AS DOUBLE) / {float(licenses.UNIT)}::DOUBLE, 0.0)) END AS score
+FROM w LEFT JOIN b USING (r) LEFT JOIN a USING (r) LEFT JOIN m USING (r)"""
 
 OP8 = f"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({LOWER}, {SPACED}) AS words FROM documents),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import pytest
@@ -319,6 +320,37 @@ def test_licenses(spark):
     assert rows[3].labels == "cc-by-nc"
 
 
+def test_licenses_row_by_row(spark):
+    """Rows that repeat or lack a doc_id, parts of texts, other words in place of some, and long documents, against a plain comparison."""
+    rng = random.Random(21)
+    words = [list(w) for w in licenses.WORDS]
+    texts = ["other text", None, "", " ".join(words[0]), " ".join(words[0][:90])]
+    for w in words:
+        changed = [rng.choice(["zz", x]) if rng.random() < 0.3 else x for x in w]
+        texts += [" ".join(w), "a b c " + "-".join(w).upper() + " d", " ".join(w[len(w) // 4 :]), " ".join(changed)]
+    texts += [" ".join([*["filler", "software"] * 3000, *words[3], "x"]), " ".join(["sublicense"] * 20_000)]
+    rows = [(rng.choice([None, 5, i]), t) for i, t in enumerate(texts)] * 2
+    got = licenses.counted(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+    parts = [licenses._WORD.findall((t or "").lower()) for _, t in rows]
+    idf = {w: math.log((len(rows) + 1) / max(1, sum(w in set(p) for p in parts))) for w in licenses.VOCABULARY}
+    wanted = []
+    for (i, _), p in zip(rows, parts, strict=True):
+        labels, best, joined = set(), 0, f" {' '.join(p)} "
+        for w, (label, keys, _) in zip(words, licenses.TEXTS, strict=True):
+            if not all(f" {k} " in joined for k in keys):
+                continue
+            weights = [round(licenses.UNIT * idf[x] / sum(idf[y] for y in w)) for x in w]
+            share = max(sum(n for k, (x, n) in enumerate(zip(w, weights, strict=True)) if 0 <= at + k < len(p) and p[at + k] == x) for at in range(-len(w), len(p)))
+            if share >= licenses.SCORE * licenses.UNIT:
+                labels.add(label)
+                best = max(best, share)
+        base = {label for phrase, label in licenses.PHRASES.items() if f" {phrase} " in joined}
+        wanted.append((i, len(p), ",".join(sorted(base)), ",".join(sorted(base | labels)), 1.0 if base else min(1.0, best / licenses.UNIT)))
+    order = lambda r: [(x is None, x) for x in r]
+    assert sorted([(r.doc_id, r.n_words, r.base_labels, r.labels, r.score) for r in got], key=order) == sorted(wanted, key=order)
+    assert sum("mit" in w[3] for w in wanted) > 10
+
+
 # near duplicates
 
 
