@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusgate.llm.common import materialised
+from corpusgate.llm.common import discard, materialised
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -24,10 +24,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         hooks = seen.groupBy(F.col("component").alias("root")).agg(F.min("near").alias("hook"))
         hooks = materialised(hooks, "component-hooks")
         if hooks.filter("hook < root").isEmpty():
+            discard(both, hooks)
             return labels
         once = hooks.select(F.col("root").alias("hook"), F.col("hook").alias("next"))
         twice = hooks.join(once, "hook", "left").select("root", F.least("hook", F.coalesce("next", "hook")).alias("hook"))
+        before = labels
         labels = materialised(
             labels.join(twice, labels["component"] == twice["root"]).select("id", F.col("hook").alias("component")), "component-labels"
         )
+        discard(before, hooks)
     raise RuntimeError(f"components didn't settle in {rounds} rounds")

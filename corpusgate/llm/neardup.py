@@ -3,9 +3,10 @@
 A document's set is that of its distinct runs of five words (A-Z lower-cased, words between ASCII white space); with
 fewer words, the one run of all; without words, nothing, and such a document is linked with none.
 
-1. Documents with equal sets form a class; its smallest doc_id stands for it from here on.
+1. Documents with equal sets form a class, which has a number of its own; what follows is between classes, so it doesn't
+   depend on doc_ids being there or being different.
 2. BANDS x ROWS minima of each set make band keys, and the low B bits of each minimum a packed signature.
-3. Members of a band's bucket are paired with its smallest member, the hub. A pair is a candidate if set sizes allow
+3. Classes in a band's bucket are paired with the smallest of them, the hub. A pair is a candidate if set sizes allow
    the wanted similarity and the bit counts of the signatures, corrected for chance collisions, estimate it within
    SLACK (over five standard errors).
 4. Candidates are confirmed on the full sets, and links make components.
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusgate.llm.common import materialised, shipped
+from corpusgate.llm.common import discard, materialised, shipped, text_or_empty
 from corpusgate.llm.components import components
 from corpusgate.llm.wordhash import blocks, hashed_words, mixed, odd_numbers
 
@@ -39,7 +40,11 @@ SLACK = 0.16
 BROADCAST_IDS = 1_000_000
 #: Hashes of a set that go through all permutations at once; bounds memory on long texts.
 _STEP = 2048
-_SKETCH = "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, signature binary, bands array<bigint>"
+#: What tells sets apart, and what tells texts apart.
+EQUAL = ["n_shingles", "set_a", "set_b"]
+TEXT = ["text_a", "text_b"]
+_SKETCH = "doc_id bigint, text_a bigint, text_b int, n_shingles bigint, set_a bigint, set_b bigint, signature binary, bands array<bigint>"
+_SETS = "n_shingles bigint, set_a bigint, set_b bigint, shingles array<bigint>"
 
 
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
@@ -69,18 +74,27 @@ def _minima(hashes: np.ndarray, factors: np.ndarray, shifts: np.ndarray) -> np.n
     return out
 
 
+def _identity(hashes: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    """128 bits that are equal for equal sets."""
+    return mixed(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(), mixed(hashes + np.uint64(0x1234567887654321)).sum()
+
+
+def _bits(values: list[np.uint64]) -> pa.Array:
+    return pa.array(np.array(values, np.uint64).view(np.int64))
+
+
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     k = BANDS * ROWS
     factors, shifts, band, row = odd_numbers(k, 3), odd_numbers(k, 4), odd_numbers(BANDS, 5), odd_numbers(ROWS, 6)
     for batch in batches:
-        ids = batch.column(0)
-        for first, texts in blocks(batch.column(1)):
+        for first, texts in blocks(batch.column(3)):
             sizes, set_a, set_b, signatures, keys = [], [], [], [], []
             with np.errstate(over="ignore"):
                 for hashes in shingle_sets(texts):
                     sizes.append(len(hashes))
-                    set_a.append(mixed(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum())
-                    set_b.append(mixed(hashes + np.uint64(0x1234567887654321)).sum())
+                    one, other = _identity(hashes)
+                    set_a.append(one)
+                    set_b.append(other)
                     if not len(hashes):
                         signatures.append(None)
                         keys.append(None)
@@ -91,28 +105,44 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     keys.append(mixed((low.reshape(BANDS, ROWS) * row).sum(axis=1) + band).view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [
-                    ids.slice(first, len(texts)),
+                    *[batch.column(i).slice(first, len(texts)) for i in range(3)],
                     pa.array(sizes, pa.int64()),
-                    pa.array(np.array(set_a, np.uint64).view(np.int64)),
-                    pa.array(np.array(set_b, np.uint64).view(np.int64)),
+                    _bits(set_a),
+                    _bits(set_b),
                     pa.array(signatures, pa.binary()),
                     pa.array(keys, pa.list_(pa.int64())),
                 ],
-                ["doc_id", "n_shingles", "set_a", "set_b", "signature", "bands"],
+                ["doc_id", *TEXT, *EQUAL, "signature", "bands"],
             )
 
 
+def text_keys(text: str = "text") -> list[Column]:
+    """TEXT: 96 bits of a text, by which rows are found again; nulls count as empty."""
+    value = text_or_empty(text)
+    return [F.xxhash64(value).alias("text_a"), F.hash(value).alias("text_b")]
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_a and set_b (128 bits that are equal for equal sets), signature, bands."""
-    return shipped(docs).select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(_sketched, _SKETCH)
+    """doc_id, text_a, text_b, n_shingles, set_a and set_b (128 bits that are equal for equal sets), signature, bands."""
+    rows = shipped(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), *text_keys(), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(_sketched, _SKETCH)
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = batch.column(0)
-        for first, texts in blocks(batch.column(1)):
-            rows = [x.view(np.int64) for x in shingle_sets(texts)]
-            yield pa.RecordBatch.from_arrays([ids.slice(first, len(texts)), pa.array(rows, pa.list_(pa.int64()))], ["doc_id", "shingles"])
+        for _, texts in blocks(batch.column(0)):
+            with np.errstate(over="ignore"):
+                sets = shingle_sets(texts)
+                marks = [_identity(x) for x in sets]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([len(x) for x in sets], pa.int64()),
+                    _bits([x for x, _ in marks]),
+                    _bits([x for _, x in marks]),
+                    pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())),
+                ],
+                [*EQUAL, "shingles"],
+            )
 
 
 def estimate(one: Column, other: Column) -> Column:
@@ -135,7 +165,7 @@ def estimate(one: Column, other: Column) -> Column:
 
 def _likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """The distinct pairs that sizes and signatures don't rule out."""
-    side = lambda c: reps.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("signature").alias(f"s_{c}"))
+    side = lambda c: reps.select(F.col("rep").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("signature").alias(f"s_{c}"))
     both = pairs.select("u", "v").distinct().join(side("u"), "u").join(side("v"), "v")
     fits = F.least("n_u", "n_v") * 100 >= F.greatest("n_u", "n_v") * percent
     return both.filter(fits).filter(estimate(F.col("s_u"), F.col("s_v")) >= percent / 100 - SLACK).select("u", "v", "n_u", "n_v")
@@ -143,60 +173,61 @@ def _likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs whose full sets are similar enough."""
-    side = lambda c: sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"set_{c}"))
+    side = lambda c: sets.select(F.col("rep").alias(c), F.col("shingles").alias(f"set_{c}"))
     both = pairs.join(side("v"), "v").join(side("u"), "u")
     links = both.select("u", "v", "n_u", "n_v", F.size(F.array_intersect("set_u", "set_v")).alias("shared"))
     return links.filter(F.col("shared") * 100 >= (F.col("n_u") + F.col("n_v") - F.col("shared")) * percent).select("u", "v")
 
 
 def _across(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) of different components that prefixes don't rule out; rest has doc_id and component.
+    """Pairs (u, v) of different components that prefixes don't rule out; rest has rep and component.
 
     Each set is put in one order for all: shingles that only one component has, then the rarer before the more
     frequent. Of two similar sets the first ones can't all be unshared, so some shingle of both short prefixes is the
     same, and at their first such shingle enough must be left of both to reach the wanted overlap. No pair of
-    similar sets is lost. Shingles of one component only are counted, never joined."""
-    rows = sets.join(rest, "doc_id").select("doc_id", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    similar sets is lost. Shingles of one component only are counted, never joined; where a shingle's components meet in
+    pairs first, members of one component are never compared."""
+    rows = sets.join(rest, "rep").select("rep", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
     spread = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"), F.min("component").alias("low"), F.max("component").alias("high"))
     shared = materialised(rows.join(spread.filter("low < high").select("shingle", "df"), "shingle"), "neardup-shared")
     # A set needs this many shingles in common with another, whatever its size.
     needed = F.ceil(F.col("n") * percent / 100)
-    held = shared.groupBy("doc_id").agg(F.count(F.lit(1)).alias("m"), F.max("n").alias("of")).filter(F.col("m") >= F.ceil(F.col("of") * percent / 100))
-    order = Window.partitionBy("doc_id").orderBy("df", "shingle")
-    ranked = shared.join(held.drop("of"), "doc_id").withColumn("place", F.col("n") - F.col("m") + F.row_number().over(order))
+    held = shared.groupBy("rep").agg(F.count(F.lit(1)).alias("m"), F.max("n").alias("of")).filter(F.col("m") >= F.ceil(F.col("of") * percent / 100))
+    order = Window.partitionBy("rep").orderBy("df", "shingle")
+    ranked = shared.join(held.drop("of"), "rep").withColumn("place", F.col("n") - F.col("m") + F.row_number().over(order))
     prefix = materialised(ranked.filter(F.col("place") <= F.col("n") - needed + 1), "neardup-prefixes")
+    discard(shared)
+    at = prefix.select("shingle", "component").distinct()
+    meet = at.withColumnRenamed("component", "c_u").join(at.withColumnRenamed("component", "c_v"), "shingle").filter("c_u < c_v")
     side = lambda c: prefix.select(
-        "shingle", F.col("doc_id").alias(c), F.col("component").alias(f"c_{c}"), F.col("n").alias(f"n_{c}"), F.col("place").alias(f"p_{c}")
+        "shingle", F.col("rep").alias(c), F.col("component").alias(f"c_{c}"), F.col("n").alias(f"n_{c}"), F.col("place").alias(f"p_{c}")
     )
     left = F.least(F.col("n_u") - F.col("p_u"), F.col("n_v") - F.col("p_v")) + 1
     enough = left * (100 + percent) >= (F.col("n_u") + F.col("n_v")) * percent
-    return side("u").join(side("v"), "shingle").filter("u < v and c_u <> c_v").filter(enough).select("u", "v")
+    return meet.join(side("u"), ["shingle", "c_u"]).join(side("v"), ["shingle", "c_v"]).filter(enough).select("u", "v")
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of docs.
-
-    component_id is the smallest doc_id that links reach, its own for a document without links; kept tells whether
-    that is the row's own. A null doc_id takes no part in links and is kept; rows that repeat a doc_id share
-    its component."""
+def linked_classes(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """Rows: doc_id, text_a, text_b, n_shingles, set_a, set_b of each row of docs. Classes that have several rows or a link: n_shingles,
+    set_a, set_b, members, component (a number) and component_id (the smallest doc_id in it, null if none has one)."""
     marks = materialised(sketches(docs), "neardup-sketches")
-    usable = marks.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    equal = ["n_shingles", "set_a", "set_b"]
-    classes = usable.groupBy(*equal).agg(F.min("doc_id").alias("rep"))
-    reps = materialised(
-        usable.join(classes.select(F.col("rep").alias("doc_id"), *equal), ["doc_id", *equal], "left_semi").dropDuplicates(["doc_id"]),
-        "neardup-classes",
+    classes = marks.filter(F.col("n_shingles") > 0).groupBy(*EQUAL)
+    # Rows of equal sets have equal signatures and bands.
+    classes = classes.agg(
+        F.count(F.lit(1)).alias("members"), F.min("doc_id").alias("doc_id"), F.min(F.struct(*TEXT)).alias("of"), F.first("signature").alias("signature"), F.first("bands").alias("bands")
     )
-    members = reps.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("band"))
+    reps = materialised(classes.withColumn("rep", F.monotonically_increasing_id()), "neardup-classes")
+    members = reps.select("rep", F.explode("bands").alias("band"))
     buckets = members.groupBy("band").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("held")).filter("held > 1")
     placed = materialised(members.join(buckets, "band"), "neardup-buckets")
     first = placed.filter("rep <> hub").select(F.col("hub").alias("u"), F.col("rep").alias("v"))
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # Few documents share a bucket. Up to BROADCAST_IDS of them are sent around, so that only their texts are dealt.
-    wanted = materialised(placed.select(F.col("rep").alias("doc_id")).distinct(), "neardup-wanted")
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    texts = shipped(texts).join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = materialised(texts.mapInArrow(_set_rows, "doc_id bigint, shingles array<bigint>"), "neardup-sets")
+    wanted = materialised(reps.join(placed.select("rep").distinct(), "rep", "left_semi").select("rep", *EQUAL, "of.*"), "neardup-wanted")
+    keys = wanted.select(*TEXT)
+    keys = F.broadcast(keys) if wanted.count() <= BROADCAST_IDS else keys
+    texts = shipped(docs).select(*text_keys(), F.col("text").cast("string").alias("text")).join(keys, TEXT, "left_semi").dropDuplicates(TEXT)
+    sets = texts.select("text").mapInArrow(_set_rows, _SETS).join(wanted.drop(*TEXT), EQUAL).select("rep", "shingles")
+    sets = materialised(sets, "neardup-sets")
     links = materialised(_confirmed(_likely(first, reps, percent), sets, percent), "neardup-links")
     labels = components(links)
 
@@ -204,16 +235,62 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     labelled = placed.filter("held > 2").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
     labelled = labelled.withColumn("component", F.coalesce("component", "rep"))
     split = labelled.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    rest = labelled.join(split.select("band"), "band", "left_semi").select(F.col("rep").alias("doc_id"), "component").distinct()
-    across = _across(materialised(rest, "neardup-rest"), sets, percent)
-    more = _confirmed(_likely(across, reps, percent), sets, percent)
+    rest = labelled.join(split.select("band"), "band", "left_semi").select("rep", "component").distinct()
+    rest = materialised(rest, "neardup-rest")
+    more = materialised(_confirmed(_likely(_across(rest, sets, percent), reps, percent), sets, percent), "neardup-more")
     # The components so far take part as links of their members.
-    joined = more.unionByName(labels.filter("id <> component").select(F.col("component").alias("u"), F.col("id").alias("v")))
-    labels = components(joined)
-
-    by_set = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
-    by_set = by_set.select(*equal, F.coalesce("component", "rep").alias("component_id"))
-    out = marks.select("doc_id", *equal).join(by_set, equal, "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    out = out.select("doc_id", "n_shingles", component.alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    old = labels
+    labels = components(more.unionByName(old.filter("id <> component").select(F.col("component").alias("u"), F.col("id").alias("v"))))
+    found = reps.drop("signature", "bands", "of").join(labels.withColumnRenamed("id", "rep"), "rep", "left").filter("members > 1 or component is not null")
+    found = found.withColumn("component", F.coalesce("component", "rep"))
+    least = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    found = materialised(found.drop("doc_id").join(least, "component").select(*EQUAL, "members", "component", "component_id"), "neardup-components")
+    discard(wanted, placed, sets, links, rest, more, old, labels, reps)
+    return marks.drop("signature", "bands"), found
+
+
+def of_rows(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Left join of rows and their class. Up to BROADCAST_IDS classes are broadcast. Beyond it only the largest are, each with more
+    than an even share of the rows for so many, so that none of those that are dealt is hot."""
+    if classes.count() <= BROADCAST_IDS:
+        return rows.join(F.broadcast(classes), EQUAL, "left")
+    hot = F.col("members") > F.lit(rows.count() // BROADCAST_IDS)
+    large = F.broadcast(classes.filter(hot))
+    rest = rows.join(large, EQUAL, "left_anti")
+    dealt = rest.filter("n_shingles > 0").join(classes.filter(~hot), EQUAL, "left")
+    return rows.join(large, EQUAL).unionByName(dealt).unionByName(rest.filter("n_shingles = 0"), allowMissingColumns=True)
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row of docs.
+
+    component_id is the smallest doc_id that links reach, its own for a document without links; kept tells whether
+    that is the row's own. Links are between texts, row by row: rows that repeat a doc_id with different texts may be in different
+    components, equal rows have equal answers. A row without a doc_id takes part in links; it is kept only where no row that links
+    reach has one, and component_id is null then."""
+    rows, classes = linked_classes(docs, percent)
+    out = of_rows(rows.drop(*TEXT), classes.drop("component"))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
+    out = out.select("doc_id", "n_shingles", F.when(F.col("members").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.withColumn("kept", kept)
+
+
+def first_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs without near duplicates: of each component the row with the smallest doc_id, rows without one last, and of those
+    with equal doc_ids and texts one. Documents without words stay."""
+    rows, classes = linked_classes(docs, percent)
+    rows = of_rows(rows, classes.select(*EQUAL, "members", "component"))
+    of = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *TEXT)
+    grouped = rows.filter("members is not null")
+    first = grouped.groupBy("component").agg(F.min(of).alias("of")).select("of.*").drop("none")
+    first = materialised(first.withColumnRenamed("doc_id", "first_id"), "neardup-first")
+    # Texts of components; each of them goes but for its first row.
+    several = materialised(grouped.select(*TEXT).distinct(), "neardup-several")
+    marked = docs.select("*", *text_keys())
+    clash = [c for c in docs.columns if c in TEXT]
+    assert not clash, clash
+    small = several.count() <= BROADCAST_IDS
+    sent = F.broadcast if small else lambda df: df
+    single = marked.join(sent(several), TEXT, "left_anti")
+    chosen = marked.join(sent(first), [marked[c] == first[c] for c in TEXT] + [marked["doc_id"].eqNullSafe(first["first_id"])], "left_semi")
+    return single.unionByName(chosen.dropDuplicates(["doc_id", *TEXT])).drop(*TEXT)

@@ -392,6 +392,32 @@ def test_near_duplicates_by_brute_force(spark, seed):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+@pytest.mark.parametrize("broadcast", [neardup.BROADCAST_IDS, 3])
+def test_near_duplicates_of_repeated_ids(spark, monkeypatch, broadcast):
+    """Rows that repeat a doc_id with equal or other texts, or have none: links are between texts."""
+    monkeypatch.setattr(neardup, "BROADCAST_IDS", broadcast)
+    rng = random.Random(31)
+    words = [f"w{i}" for i in range(300)]
+    a, b = rng.choices(words, k=100), rng.choices(words, k=60)
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (8, " ".join([*a, "x"])), (9, " ".join([*b, "y"])), (None, " ".join([*a, "x"]))]
+    rows += [(3, " ".join(b)), (3, " ".join(b)), (None, "alone and without any number here"), (None, "alone and without any number here"), (None, ""), (2, None), (2, None)]
+    rows += [(rng.randrange(20, 40), " ".join([*a[:80], *rng.choices(words, k=rng.choice([0, 1, 1, 20]))])) for _ in range(40)]
+    found = brute({i: t or "" for i, (_, t) in enumerate(rows)})
+    ids = {c: min((rows[i][0] for i in found if found[i] == c and rows[i][0] is not None), default=None) for c in found.values()}
+    wanted = [(k, ids[found[i]], ids[found[i]] is None or k == ids[found[i]]) for i, (k, _) in enumerate(rows)]
+    docs = spark.createDataFrame([(*r, "x", i) for i, r in enumerate(rows)], "doc_id bigint, text string, band string, n_u int").repartition(4)
+    order = lambda r: [(x is None, x) for x in r]
+    got = neardup.near_duplicates(docs).collect()
+    assert sorted([(r.doc_id, r.component_id, r.kept) for r in got], key=order) == sorted(wanted, key=order)
+    left = neardup.first_of_each(docs)
+    assert left.columns == docs.columns
+    one = {c: min((i for i in found if found[i] == c), key=lambda i: (rows[i][0] is None, rows[i][0] or 0)) for c in set(found.values())}
+    empty = [i for i, (_, t) in enumerate(rows) if not t]
+    got = left.collect()
+    assert sorted([r.doc_id for r in got], key=lambda x: (x is None, x)) == sorted([rows[i][0] for i in {*one.values(), *empty}], key=lambda x: (x is None, x))
+    assert len({found[r.n_u] for r in got}) == len(got)
+
+
 def test_estimate(spark):
     import numpy as np
     import pyarrow as pa
