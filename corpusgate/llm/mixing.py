@@ -1,15 +1,16 @@
 """Mixing sources to target weights by weighted fair queueing.
 
-Each source is a queue of its documents in shuffled order, repeated for as many epochs as its target asks for. A
+Each source is a queue of its documents in shuffled order, repeated for as many epochs as its target may ask for. A
 copy of a document has a virtual start and finish time: the words of its source before it, and with it, divided by
-the source's target. Weights being targets, a fair server that has handed out the whole budget stands at virtual
-time 1, whatever the source; the mix is the copies in order of finish time, cut there. The copy that each source
-has in service at that time is cut too, so a source gives as many words as its target says, to rounding.
-
-Cumulative words come from two levels: sums of ranges of the shuffled order (as many as the square root of the
-source's documents), then a running sum inside each range,
-so that a source with a third of all rows is spread over many tasks. Null or word-less texts have size 0 and give no words.
-A null source is a source of its own, the last. Equal shuffle keys (repeated rows) are ordered by doc_id and size.
+the source's target in whole words, which is its weight. Copies are put in ranges of virtual time, RANGES to the time in which
+every source gets its target. The words of each range add up to running totals over all sources, and the mix ends with the
+last range that the total budget, the sum of the targets, still pays for. A copy of which words lie on both sides is cut there.
+
+Cumulative words of a source come from two levels: sums of ranges of the shuffled order (as many as the square root of the
+source's documents), then a running sum inside each range, so that a source with a third of all rows is spread over
+many tasks. Null or word-less texts have size 0 and give no words. A null source is a source of its own, the last. Repeated
+rows each have their place in the queue, next to each other in order of doc_id and size; the place of a row without a doc_id
+comes from its text.
 """
 
 from __future__ import annotations
@@ -17,12 +18,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusgate.llm.common import SPACED, materialised, text_or_empty
+from corpusgate.llm.common import SPACED, discard, materialised, text_or_empty
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 EPOCHS = 2
 SEED = "mix-1|"
+#: Ranges of virtual time.
+RANGES = 64
 #: Sources up to this many are broadcast with their few numbers; more are joined by shuffles.
 BROADCAST_SOURCES = 100_000
 
@@ -32,11 +35,12 @@ def words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(SPACED)).cast("bigint")
 
 
-def sized(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """doc_id, source, size and place, the document's place in [0, 1) of the shuffled order."""
-    digest = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+def sized(docs: DataFrame, seed: str = SEED, *keep: Column) -> DataFrame:
+    """doc_id, source, size and place, the document's place in [0, 1) of the shuffled order, and what is to be kept."""
+    named = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text|"), text_or_empty()))
+    digest = F.md5(F.concat(F.lit(seed), named))
     place = F.conv(F.substring(digest, 1, 12), 16, 10).cast("bigint") / F.lit(float(1 << 48))
-    return docs.select("doc_id", F.col("source").cast("string").alias("source"), words(text_or_empty()).alias("size"), place.alias("place"))
+    return docs.select("doc_id", F.col("source").cast("string").alias("source"), words(text_or_empty()).alias("size"), place.alias("place"), *keep)
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
@@ -68,13 +72,12 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     )
 
 
-def queued(docs: DataFrame, weights: tuple[int, ...], share: float, epochs: int, seed: str) -> DataFrame:
-    """Each row's doc_id, source, size, source_size, target and upto, the words of its source up to it."""
-    sizes = materialised(sized(docs, seed), "mix-sizes")
-    by = materialised(targets(sizes, weights, share, epochs), "mix-targets")
-    small = by.count() <= BROADCAST_SOURCES
-    by = by.withColumn("ranges", F.ceil(F.sqrt(F.col("docs").cast("double")))).withColumnRenamed("source", "of")
-    joined = sizes.join(F.broadcast(by) if small else by, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
+def queued(sizes: DataFrame, by: DataFrame) -> DataFrame:
+    """The rows of sizes, which has the columns of `sized`, with source_size, target, weight (the target in whole words) and upto, the
+    words of the row's source up to it."""
+    by = by.withColumn("ranges", F.ceil(F.sqrt(F.col("docs").cast("double")))).withColumnRenamed("source", "of").drop("docs")
+    by = by.withColumn("weight", F.round("target").cast("bigint"))
+    joined = sizes.join(_sent(by), F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
     joined = joined.withColumn("range", F.floor(F.col("place") * F.col("ranges")))
     totals = joined.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     below = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -86,44 +89,83 @@ def queued(docs: DataFrame, weights: tuple[int, ...], share: float, epochs: int,
     )
     running = joined.withColumn("inside", F.sum("size").over(inside))
     placed = running.join(totals, F.col("source").eqNullSafe(F.col("of")) & (F.col("range") == F.col("at")))
-    upto = (F.col("before") + F.col("inside")).alias("upto")
-    return placed.select("doc_id", "source", "size", "source_size", "target", upto)
+    return placed.withColumn("upto", F.col("before") + F.col("inside")).drop("before", "inside", "range", "ranges", "of", "at", "place")
+
+
+def _sent(by: DataFrame) -> DataFrame:
+    return F.broadcast(by) if by.count() <= BROADCAST_SOURCES else by
+
+
+def _end(copy: Column | int) -> Column:
+    """Words of the source up to the end of a row's copy."""
+    return copy * F.col("source_size") + F.col("upto")
+
+
+def _copies(queue: DataFrame, epochs: int) -> DataFrame:
+    """A row for each document and epoch, with end, its last word in its source's queue, and finish, when that is served."""
+    copies = queue.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))).withColumn("end", _end(F.col("copy")))
+    return copies.withColumn("finish", F.when(F.col("weight") > 0, F.col("end") / F.col("weight")).otherwise(F.lit(0.0)))
 
 
-def _taken(copy: Column | int) -> Column:
-    """Words that the budget reaches of a copy: the part of its span that lies below the target."""
-    end = copy * F.col("source_size") + F.col("upto")
-    served = lambda x: F.round(F.least(x.cast("double"), F.col("target"))).cast("bigint")
-    return served(end) - served(end - F.col("size"))
+def totals(copies: DataFrame) -> DataFrame:
+    """range, size, upto: the words of the copies by the range of virtual time in which they are served, and up to it.
 
+    A copy counts in each range that it reaches into. Ranges beyond twice the time that the budget lasts are one."""
+    last = 2 * RANGES
+    of_word = lambda k: F.least(F.expr(f"({k} * {RANGES}L + weight - 1) div weight"), F.lit(last))
+    served = copies.filter("size > 0 and weight > 0").select("end", "size", "weight", F.explode(F.sequence(of_word("(end - size + 1)"), of_word("end"))).alias("range"))
+    upper = F.when(F.col("range") < last, F.least(F.col("end"), F.expr(f"range * weight div {RANGES}L"))).otherwise(F.col("end"))
+    lower = F.greatest(F.col("end") - F.col("size"), F.expr(f"(range - 1) * weight div {RANGES}L"))
+    by = served.groupBy("range").agg(F.sum(upper - lower).alias("size"))
+    return by.withColumn("upto", F.sum("size").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target, copy, finish, taken: a row for each document and epoch.
+
+def _queue(docs: DataFrame, weights: tuple[int, ...], share: float, epochs: int, seed: str, *keep: Column) -> tuple[DataFrame, int]:
+    """The documents in their queues, and the last range that the budget pays for."""
+    sizes = materialised(sized(docs, seed, *keep), "mix-sizes")
+    by = materialised(targets(sizes, weights, share, epochs), "mix-targets")
+    queue = materialised(queued(sizes, by), "mix-queue")
+    budget = by.select(F.coalesce(F.sum(F.round("target").cast("bigint")), F.lit(0)).alias("n")).first().n
+    paid = totals(_copies(queue, epochs)).filter(F.col("upto") <= budget).agg(F.max("range").alias("range")).first().range
+    discard(sizes, by)
+    return queue, paid or 0
+
+
+def _taken(end: Column, paid: int) -> Column:
+    """Words of a copy in ranges up to the last one paid for."""
+    served = F.expr(f"{paid}L * weight div {RANGES}L") if paid < 2 * RANGES else end
+    return F.greatest(F.lit(0), F.least(F.col("size"), served - (end - F.col("size"))))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: str = SEED, keep: tuple[Column, ...] = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target, copy, finish, taken: a row for each document and epoch, then the columns in keep.
 
     finish is the copy's virtual finish time; copies with taken > 0, in order of finish, are the mix. Copies that the
     mix doesn't reach have taken 0."""
-    copies = queued(docs, weights, share, epochs, seed).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
-    end = F.col("copy") * F.col("source_size") + F.col("upto")
-    finish = F.when(F.col("target") > 0, end / F.col("target")).otherwise(F.lit(0.0))
-    return copies.select(
-        "doc_id", "source", "size", "source_size", "target", "copy", finish.alias("finish"), _taken(F.col("copy")).alias("taken")
-    )
+    queue, paid = _queue(docs, weights, share, epochs, seed, *keep)
+    rows = _copies(queue, epochs).withColumn("taken", _taken(F.col("end"), paid))
+    kept = rows.drop("doc_id", "source", "size", "source_size", "target", "weight", "upto", "copy", "end", "finish", "taken").columns
+    return rows.select("doc_id", "source", "size", "source_size", "target", "copy", "finish", "taken", *kept)
 
 
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     """The mix itself: the rows of docs that it takes, a row for each copy, range-sorted by virtual finish time.
 
-    A copy that is cut at the end of the budget comes whole. Rows that repeat a doc_id (or have none) come together,
-    as often as the mix takes one of them."""
-    taken = mix(docs, **settings).filter("taken > 0").groupBy(F.col("doc_id").alias("of"), F.col("copy").alias("mix_copy"))
-    taken = taken.agg(F.min("finish").alias("mix_finish"))
-    rows = docs.drop("mix_copy", "mix_finish").join(taken, F.col("doc_id").eqNullSafe(F.col("of"))).drop("of")
-    return rows.orderBy("mix_finish", "doc_id")
+    A copy that is cut at the end of the budget comes whole. Of rows that are equal in all columns, one is dealt to the
+    copies that the mix takes of any of them."""
+    given = docs.drop("mix_copy", "mix_finish", "mix_a", "mix_b")
+    row = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in given.columns]
+    keys = [F.xxhash64(*row).alias("mix_a"), F.hash(*row).alias("mix_b")]
+    taken = mix(given, keep=tuple(keys), **settings).filter("taken > 0")
+    taken = taken.select("mix_a", "mix_b", F.col("copy").alias("mix_copy"), F.col("finish").alias("mix_finish"))
+    rows = given.select("*", *keys).dropDuplicates(["mix_a", "mix_b"]).join(taken, ["mix_a", "mix_b"])
+    return rows.drop("mix_a", "mix_b").orderBy("mix_finish", "doc_id", "mix_copy")
 
 
 def shares(
     docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: str = SEED
 ) -> DataFrame:
     """doc_id, size, source_size, target, taken: a row for each row of docs with the words that the mix takes of it."""
-    taken = sum((_taken(F.lit(i)) for i in range(1, epochs)), _taken(F.lit(0)))
-    return queued(docs, weights, share, epochs, seed).select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    queue, paid = _queue(docs, weights, share, epochs, seed)
+    taken = sum((_taken(_end(i), paid) for i in range(1, epochs)), _taken(_end(0), paid))
+    return queue.select("doc_id", "size", "source_size", "target", taken.alias("taken"))

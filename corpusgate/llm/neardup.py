@@ -237,15 +237,17 @@ def linked_classes(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame,
     split = labelled.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
     rest = labelled.join(split.select("band"), "band", "left_semi").select("rep", "component").distinct()
     rest = materialised(rest, "neardup-rest")
-    more = materialised(_confirmed(_likely(_across(rest, sets, percent), reps, percent), sets, percent), "neardup-more")
-    # The components so far take part as links of their members.
-    old = labels
-    labels = components(more.unionByName(old.filter("id <> component").select(F.col("component").alias("u"), F.col("id").alias("v"))))
+    done = [wanted, placed, sets, links, rest]
+    if not rest.isEmpty():
+        more = materialised(_confirmed(_likely(_across(rest, sets, percent), reps, percent), sets, percent), "neardup-more")
+        # The components so far take part as links of their members.
+        done += [more, labels]
+        labels = components(more.unionByName(labels.filter("id <> component").select(F.col("component").alias("u"), F.col("id").alias("v"))))
     found = reps.drop("signature", "bands", "of").join(labels.withColumnRenamed("id", "rep"), "rep", "left").filter("members > 1 or component is not null")
     found = found.withColumn("component", F.coalesce("component", "rep"))
     least = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     found = materialised(found.drop("doc_id").join(least, "component").select(*EQUAL, "members", "component", "component_id"), "neardup-components")
-    discard(wanted, placed, sets, links, rest, more, old, labels, reps)
+    discard(*done, labels, reps)
     return marks.drop("signature", "bands"), found
 
 

@@ -61,7 +61,7 @@ SELECT doc_id, n_chars, edited_sha256, {_rendered('a')} AS fingerprint, {_render
 
 OP2 = f"""
 WITH s AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), {SPACED})) AS BIGINT) AS size,
-  {_hex(f"md5('{mixing.SEED}' || coalesce(CAST(doc_id AS VARCHAR), ''))", 1, 12)} / 281474976710656.0 AS place FROM documents),
+  {_hex(f"md5('{mixing.SEED}' || coalesce(CAST(doc_id AS VARCHAR), 'text|' || coalesce(text, '')))", 1, 12)} / 281474976710656.0 AS place FROM documents),
 b AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, list_extract([{', '.join(f'{w}.0::DOUBLE' for w in mixing.WEIGHTS)}], (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % {len(mixing.WEIGHTS)} + 1) AS weight
   FROM s GROUP BY source),
 l AS (SELECT *, source_size * {float(mixing.EPOCHS)}::DOUBLE AS cap, sum(source_size) OVER () * {mixing.SHARE}::DOUBLE AS budget FROM b),

@@ -136,6 +136,30 @@ def test_mix_is_even_and_stable(spark):
     assert one.filter("taken > 2 * size or taken < 0").count() == 0
 
 
+def test_cut_by_brute_force(spark):
+    """Words one by one in order of virtual finish time, up to the budget; rows that repeat or lack a doc_id take part as rows."""
+    rng = random.Random(12)
+    rows = [(rng.choice([None, 3, 100 + i]), "w " * rng.choice([0, 1, 5, 40, 400]), rng.choice([*"aab", None, f"s{i}"]), i % 3) for i in range(60)]
+    rows += rows[:20]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, mix_copy int")
+    copies = mixing.mix(docs, epochs=3, share=1.7).collect()
+    weight = {r.source: round(r.target + 1e-9) for r in copies}
+    words = [(k / weight[r.source], i) for i, r in enumerate(copies) for k in range(round(r.finish * weight[r.source]) - r.size + 1, round(r.finish * weight[r.source]) + 1) if weight[r.source]]
+    words.sort(key=lambda w: w[0])
+    cut = words[: sum(weight.values())]
+    assert len(words) > len(cut) and words[len(cut)][0] > cut[-1][0]
+    taken = [0] * len(copies)
+    for _, i in cut:
+        taken[i] += 1
+    assert [r.taken for r in copies] == taken
+    for source in weight:  # the queue of each source has every word once
+        spans = sorted((round(r.finish * weight[source]) - r.size, round(r.finish * weight[source])) for r in copies if r.source == source and r.size)
+        assert not weight[source] or all(a[1] == b[0] for a, b in zip(spans, spans[1:], strict=False))
+    out = mixing.mixed_documents(docs, epochs=3, share=1.7).collect()
+    assert sorted(str((r.doc_id, r.text, r.source)) for r in out) == sorted(str((r.doc_id, "w " * r.size, r.source)) for r in copies if r.taken)
+    assert [r.mix_finish for r in out] == sorted(r.finish for r in copies if r.taken)
+
+
 # sharding
 
 
