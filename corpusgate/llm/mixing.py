@@ -75,9 +75,9 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 def queued(sizes: DataFrame, by: DataFrame) -> DataFrame:
     """The rows of sizes, which has the columns of `sized`, with source_size, target, weight (the target in whole words) and upto, the
     words of the row's source up to it."""
-    by = by.withColumn("ranges", F.ceil(F.sqrt(F.col("docs").cast("double")))).withColumnRenamed("source", "of").drop("docs")
-    by = by.withColumn("weight", F.round("target").cast("bigint"))
-    joined = sizes.join(_sent(by), F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
+    ranges, weight = F.ceil(F.sqrt(F.col("docs").cast("double"))), F.round("target").cast("bigint")
+    by = by.select(F.col("source").alias("of"), "source_size", "target", weight.alias("weight"), ranges.alias("ranges"))
+    joined = sizes.join(by, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
     joined = joined.withColumn("range", F.floor(F.col("place") * F.col("ranges")))
     totals = joined.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     below = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -92,10 +92,6 @@ def queued(sizes: DataFrame, by: DataFrame) -> DataFrame:
     return placed.withColumn("upto", F.col("before") + F.col("inside")).drop("before", "inside", "range", "ranges", "of", "at", "place")
 
 
-def _sent(by: DataFrame) -> DataFrame:
-    return F.broadcast(by) if by.count() <= BROADCAST_SOURCES else by
-
-
 def _end(copy: Column | int) -> Column:
     """Words of the source up to the end of a row's copy."""
     return copy * F.col("source_size") + F.col("upto")
@@ -124,9 +120,9 @@ def _queue(docs: DataFrame, weights: tuple[int, ...], share: float, epochs: int,
     """The documents in their queues, and the last range that the budget pays for."""
     sizes = materialised(sized(docs, seed, *keep), "mix-sizes")
     by = materialised(targets(sizes, weights, share, epochs), "mix-targets")
-    queue = materialised(queued(sizes, by), "mix-queue")
-    budget = by.select(F.coalesce(F.sum(F.round("target").cast("bigint")), F.lit(0)).alias("n")).first().n
-    paid = totals(_copies(queue, epochs)).filter(F.col("upto") <= budget).agg(F.max("range").alias("range")).first().range
+    whole = by.agg(F.count(F.lit(1)).alias("sources"), F.coalesce(F.sum(F.round("target").cast("bigint")), F.lit(0)).alias("budget")).first()
+    queue = materialised(queued(sizes, F.broadcast(by) if whole.sources <= BROADCAST_SOURCES else by), "mix-queue")
+    paid = totals(_copies(queue, epochs)).filter(F.col("upto") <= whole.budget).agg(F.max("range").alias("range")).first().range
     discard(sizes, by)
     return queue, paid or 0
 

@@ -5,19 +5,21 @@ are symbols in a linked list; adjacent pairs that merge lie in a heap by rank, t
 merged as long as it still stands, which adds the pairs on both sides; the count is the initial symbols less the
 merges, and no identifiers are looked up. Pre-tokens repeat, so each task remembers the counts of CACHE of them.
 
-A null text counts as empty: no bytes, no tokens.
+What counts as a letter, a number or a space is asked of the library's own pre-tokenizer, once on the driver, so that
+versions of Unicode can't differ. A null text counts as empty: no bytes, no tokens.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
+import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +29,46 @@ LIMIT = 512
 CACHE = 400_000
 #: Pre-tokens longer than this aren't remembered.
 CACHED_BYTES = 64
-#: The pre-token pattern of byte-level vocabularies.
-PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The pre-token pattern of byte-level vocabularies, with classes of letters L, numbers N and spaces S.
+PRE_TOKENS = "'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+"
+#: Planes of Unicode that have characters; what lies between them and in private planes is of no class.
+PLANES = (range(0, 0xD800), range(0xE000, 0x40000), range(0xE0000, 0xF0000))
+_STEP = 1 << 15
+
+
+@lru_cache(maxsize=1)
+def library_classes() -> dict[str, list[tuple[int, int]]]:
+    """Ranges of code points of L, N and S, as the library's byte-level pre-tokenizer cuts text: next to a letter only a letter isn't cut
+    off, before a sign whatever is none of the three isn't."""
+    from tokenizers import pre_tokenizers
+
+    cutter = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
+
+    def cuts(points: list[int], before: str) -> tuple[list[bool], list[bool]]:
+        left, right = [], []
+        for k in range(0, len(points), _STEP):
+            part = points[k : k + _STEP]
+            ends = {end for _, (_, end) in cutter.pre_tokenize_str("".join(f"{before}{chr(c)}!" for c in part))}
+            left += [3 * i + 1 in ends for i in range(len(part))]
+            right += [3 * i + 2 in ends for i in range(len(part))]
+        return left, right
+
+    points = [c for plane in PLANES for c in plane]
+    left, right = cuts(points, "a")
+    found: dict[str, list[int]] = {"L": [c for c, cut in zip(points, left, strict=True) if not cut], "N": [], "S": []}
+    others = sorted({0x20, *(c for c, a, b in zip(points, left, right, strict=True) if a and b)})
+    for c, cut in zip(others, cuts(others, "1")[0], strict=True):
+        found["S" if cut else "N"].append(c)
+    out: dict[str, list[tuple[int, int]]] = {}
+    for name, values in found.items():
+        runs: list[tuple[int, int]] = []
+        for c in values:
+            if runs and runs[-1][1] == c - 1:
+                runs[-1] = (runs[-1][0], c)
+            else:
+                runs.append((c, c))
+        out[name] = runs
+    return out
 
 
 def byte_letters() -> dict[str, int]:
@@ -39,48 +79,67 @@ def byte_letters() -> dict[str, int]:
 
 
 class Counting:
-    """Counts tokens of texts; vocabulary is the content of a tokenizer's JSON file."""
+    """Counts tokens of texts; vocabulary is the content of a tokenizer's JSON file, with classes as `library_classes` gives them."""
 
     def __init__(self, vocabulary: dict) -> None:
         letters = byte_letters()
-        self.ids: dict[bytes, int] = {bytes([b]): b for b in range(256)}
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        ids: dict[bytes, int] = {bytes([b]): b for b in range(256)}
+        self.rank: dict[int, int] = {}  # by the pair's two symbols in one number
+        self.both: list[int] = []  # the symbol that the pair of each rank becomes
         for rank, pair in enumerate(vocabulary["model"]["merges"]):
             one, other = (bytes(letters[c] for c in part) for part in (pair.split(" ") if isinstance(pair, str) else pair))
-            both = self.ids.setdefault(one + other, len(self.ids))
-            self.merges.setdefault((self.ids[one], self.ids[other]), (rank, both))
+            self.both.append(ids.setdefault(one + other, len(ids)))
+            self.rank.setdefault(ids[one] << 32 | ids[other], rank)
         special = sorted((t["content"] for t in vocabulary.get("added_tokens", [])), key=len, reverse=True)
-        self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
-        self.pattern = regex.compile(PRE_TOKENS)
+        self.special = re.compile("|".join(map(re.escape, special))) if special else None
+        self.patterns = [re.compile(PRE_TOKENS.format(**self._classes(vocabulary["classes"], last))) for last in (0x7F, 0xFFFF, 0x10FFFF)]
         self.known: dict[str, int] = {}
 
+    @staticmethod
+    def _classes(ranges: dict, last: int) -> dict[str, str]:
+        """The classes, for texts without code points above last: fewer ranges are faster."""
+        shown = lambda c: re.escape(chr(c))
+        within = {k: [(a, min(b, last)) for a, b in runs if a <= last] for k, runs in ranges.items()}
+        return {k: "".join(f"{shown(a)}-{shown(b)}" if a < b else shown(a) for a, b in runs) for k, runs in within.items()}
+
+    def pieces(self, text: str) -> list[str]:
+        wide = 0 if text.isascii() else 1 if len(text.encode("utf-16-le")) == 2 * len(text) else 2
+        return self.patterns[wide].findall(text)
+
     def pre_token(self, data: bytes) -> int:
-        symbols = list(data)
-        n = len(symbols)
-        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        heap = [(*self.merges[pair], i) for i, pair in enumerate(zip(symbols, symbols[1:], strict=False)) if pair in self.merges]
+        """Symbols, links and the heap's entries (rank and place in one number) are numbers in flat arrays, whatever the length."""
+        n = len(data)
+        rank, both = self.rank, self.both
+        heap = [rank[pair] * n + i for i, pair in enumerate(a << 32 | b for a, b in zip(data, data[1:], strict=False)) if pair in rank]
+        if not heap:
+            return n
         heapq.heapify(heap)
+        flat = list if n <= CACHED_BYTES else lambda x: array("i", iter(x))
+        symbols, before, after = flat(data), flat(range(-1, n - 1)), flat(range(1, n + 1))
+        after[n - 1] = -1
         left = n
+        pop, push = heapq.heappop, heapq.heappush
         while heap:
-            _, both, i = heapq.heappop(heap)
+            r, i = divmod(pop(heap), n)
             j = after[i]
-            found = self.merges.get((symbols[i], symbols[j])) if j >= 0 and symbols[i] >= 0 else None
-            if found is None or found[1] != both:  # one of the two has merged otherwise
+            one = symbols[i]
+            if j < 0 or one < 0 or rank.get(one << 32 | symbols[j]) != r:  # one of the two has merged otherwise
                 continue
-            symbols[i], symbols[j] = both, -1
+            symbols[i] = new = both[r]
+            symbols[j] = -1
             after[i] = k = after[j]
             left -= 1
             if k >= 0:
                 before[k] = i
-                if pair := self.merges.get((both, symbols[k])):
-                    heapq.heappush(heap, (*pair, i))
-            if (h := before[i]) >= 0 and (pair := self.merges.get((symbols[h], both))):
-                heapq.heappush(heap, (*pair, h))
+                if (x := rank.get(new << 32 | symbols[k])) is not None:
+                    push(heap, x * n + i)
+            if (h := before[i]) >= 0 and (x := rank.get(symbols[h] << 32 | new)) is not None:
+                push(heap, x * n + h)
         return left
 
     def plain(self, text: str) -> int:
         total, known = 0, self.known
-        for piece, times in Counter(self.pattern.findall(text)).items():
+        for piece, times in Counter(self.pieces(text)).items():
             count = known.get(piece)
             if count is None:
                 data = piece.encode()
@@ -110,7 +169,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: st
     with open(vocabulary, encoding="utf-8") as file:
         whole = json.load(file)
     content = docs.sparkSession.sparkContext.broadcast(
-        json.dumps({"model": {"merges": whole["model"]["merges"]}, "added_tokens": whole.get("added_tokens", [])})
+        json.dumps({"model": {"merges": whole["model"]["merges"]}, "added_tokens": whole.get("added_tokens", []), "classes": library_classes()})
     )
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

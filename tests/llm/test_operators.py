@@ -318,13 +318,25 @@ def test_special_strings_and_long_runs():
 
     tokenizers = pytest.importorskip("tokenizers")
     with open(vocabulary(), encoding="utf-8") as file:
-        counting = tokencount.Counting(json.load(file))
+        counting = tokencount.Counting(json.load(file) | {"classes": tokencount.library_classes()})
     library = tokenizers.Tokenizer.from_file(vocabulary())
     rng = random.Random(9)
     texts = ["", "<|endoftext|>", "a<|endoftext|> b<|endoftext|>", "x" * 5000, "ab" * 4000, " \n \t  x", "don't we'll I'M", "é漢😀"]
     texts += ["".join(rng.choices("aAé1 '\n.<|", k=rng.randint(0, 60))) for _ in range(300)]
     for text in texts:
         assert counting.text(text) == len(library.encode(text, add_special_tokens=False).ids), text
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for _ in range(6000):
+        text = "".join(chr(rng.choice(points)) if rng.random() < 0.7 else rng.choice("a 1.\n") for _ in range(30))
+        assert counting.text(text) == len(library.encode(text, add_special_tokens=False).ids), text
+    for c in (0x40000, 0xD0000, 0xF0000, 0x10FFFD):  # planes without characters
+        assert len(library.pre_tokenizer.pre_tokenize_str(f"a{chr(c)}!")) == 2
+    import time
+
+    long = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000))
+    began = time.process_time()
+    assert counting.text(long) > 300_000
+    assert time.process_time() - began < 20
 
 
 # licenses
