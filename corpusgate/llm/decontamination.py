@@ -12,6 +12,7 @@ no words and no hits; a null item_id is read as "". Items that repeat an id coun
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -20,33 +21,56 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusgate.llm.common import shipped
-from corpusgate.llm.wordhash import blocks, hashed_words, mixed, odd_numbers, word_bytes
+from corpusgate.llm.common import materialised, shipped
+from corpusgate.llm.wordhash import blocks, hashed_words, mixed, odd_numbers
 
 WINDOW = 10
 LANE = 256
 #: Bytes of benchmark text that one pass over the documents searches for; more items take more passes.
-PASS_BYTES = 16 << 20
+PASS_BYTES = 8 << 20
 _TABLE = 1 << 20
 _BLOCK = odd_numbers(2, 7)
 
 
+class Items:
+    """The words of benchmark items: one run of bytes, where in it each word starts and ends, their hashes, each item's first word."""
+
+    def __init__(self, items: list[tuple[str, bytes]]) -> None:
+        self.names = sorted({name for name, _ in items}, key=lambda x: x.encode())
+        place = {name: i for i, name in enumerate(self.names)}
+        self.name = np.array([place[name] for name, _ in items], np.int64)
+        self.hashes, self.offsets, (self.data, self.starts, self.ends) = hashed_words([text for _, text in items], spaced=False, places=True)
+
+    def words(self, start: int, length: int) -> list[bytes]:
+        return [self.data[a:b] for a, b in zip(self.starts[start : start + length], self.ends[start : start + length], strict=True)]
+
+
 class TestStrings:
-    """Shift table and suffix buckets for the test strings of one length."""
+    """Shift table and suffix buckets for the test strings of one length, all in flat arrays.
+
+    Equal test strings are one entry with the items that have it; starts are the first words of all test strings."""
 
     __test__ = False
 
-    def __init__(self, length: int, windows: dict[tuple[bytes, ...], set[str]]) -> None:
-        self.length, self.block = length, min(2, length)
-        self.windows = list(windows.items())
-        hashes = hashed_words([b" ".join(w) for w, _ in self.windows], spaced=True)[0].reshape(-1, length)
+    def __init__(self, items: Items, length: int, starts: np.ndarray, owners: np.ndarray) -> None:
+        self.items, self.length, self.block = items, length, min(2, length)
+        with np.errstate(over="ignore"):
+            marks = [mixed(sum(items.hashes[starts + i] * f for i, f in enumerate(odd_numbers(length, seed)))) for seed in (8, 9)]
+        order = np.lexsort((owners, *marks))
+        new = np.ones(len(order), bool)
+        new[1:] = (marks[0][order][1:] != marks[0][order][:-1]) | (marks[1][order][1:] != marks[1][order][:-1])
+        first = np.flatnonzero(new)
+        self.owners, self.owned = owners[order], np.append(first, len(order))
+        self.starts = starts[order][first]
+        at = self.starts[:, None] + np.arange(length)
+        hashes = items.hashes[at]
         keys = self.keys(hashes.ravel()).reshape(-1, length)
         self.shifts = np.full(_TABLE, length - self.block + 1, np.int32)
         for j in range(length - self.block + 1):  # the block that ends at word j + block - 1
             end = j + self.block - 1
             np.minimum.at(self.shifts, keys[:, end] % np.uint64(_TABLE), length - 1 - end)
-        order = np.argsort(keys[:, -1], kind="stable")
-        self.order, self.suffixes, self.first = order, keys[order, -1], hashes[order, 0]
+        self.order = np.argsort(keys[:, -1], kind="stable")
+        self.suffixes, self.first = keys[self.order, -1], hashes[self.order, 0]
 
     def keys(self, words: np.ndarray) -> np.ndarray:
         """Hash of the block that ends at each word."""
@@ -72,8 +96,8 @@ class TestStrings:
             at, stop = at[going], stop[going]
         return np.concatenate(found) if found else np.zeros(0, np.int64)
 
-    def search(self, words: np.ndarray, offsets: np.ndarray, at_word) -> Iterator[tuple[int, set[str]]]:
-        """First word and items of each occurrence. at_word gives the bytes of words a to b."""
+    def search(self, words: np.ndarray, offsets: np.ndarray, at_word) -> Iterator[tuple[int, np.ndarray]]:
+        """First word and items (places in names) of each occurrence. at_word gives the bytes of words a to b."""
         if not len(words):
             return
         keys = self.keys(words)
@@ -85,56 +109,69 @@ class TestStrings:
             same = np.flatnonzero(self.first[a:b] == words[start])
             if len(same):
                 here = at_word(start, end + 1)
-                for i in same:
-                    window, items = self.windows[self.order[a + i]]
-                    if window == here:
-                        yield start, items
+                for i in self.order[a + same]:
+                    if self.items.words(self.starts[i], self.length) == here:
+                        yield start, self.owners[self.owned[i] : self.owned[i + 1]]
 
 
-def test_strings(items: list[tuple[str, bytes]], window: int = WINDOW) -> list[TestStrings]:
-    by_length: dict[int, dict[tuple[bytes, ...], set[str]]] = defaultdict(lambda: defaultdict(set))
-    for item, text in items:
-        words = tuple(word_bytes(text))
-        for i in range(max(1, len(words) - window + 1) if words else 0):
-            found = words[i : i + window]
-            by_length[len(found)][found].add(item)
-    return [TestStrings(length, windows) for length, windows in sorted(by_length.items())]
+def test_strings(items: list[tuple[str, bytes]], window: int = WINDOW) -> tuple[Items, list[TestStrings]]:
+    read = Items(items)
+    sizes = np.diff(read.offsets)
+    lengths = np.minimum(sizes, window)
+    parts = []
+    for length in np.unique(lengths[lengths > 0]):
+        of = np.flatnonzero(lengths == length)
+        n = sizes[of] - length + 1
+        starts = np.repeat(read.offsets[:-1][of] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        parts.append(TestStrings(read, int(length), starts, np.repeat(read.name[of], n)))
+    return read, parts
 
 
 test_strings.__test__ = False
+#: The tables of the last pass that this worker searched for, and its number.
+_built: dict[str, tuple[Items, list[TestStrings]]] = {}
+
+
+def _tables(number: str, content: list[tuple[str, bytes]], window: int) -> tuple[Items, list[TestStrings]]:
+    """Built once in each worker, which serves many tasks."""
+    if number not in _built:
+        _built.clear()
+        _built[number] = test_strings(content, window)
+    return _built[number]
 
 
-def _searched(parts: list[TestStrings], texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, dict[int, set[str]]]:
+def _searched(names: list[str], parts: list[TestStrings], texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, dict[int, set[str]]]:
     """Number of words of each text, a mark for each hit word, the items found in each text with any."""
     words, offsets, bounds = hashed_words(texts, spaced=False, places=True)
     data, starts, ends = bounds
     edges = np.zeros(len(words) + 1, np.int64)
     items: dict[int, set[str]] = defaultdict(set)
     for part in parts:
-        for start, found in part.search(words, offsets, lambda a, b: tuple(data[s:e] for s, e in zip(starts[a:b], ends[a:b], strict=True))):
+        for start, found in part.search(words, offsets, lambda a, b: [data[s:e] for s, e in zip(starts[a:b], ends[a:b], strict=True)]):
             edges[start] += 1
             edges[start + part.length] -= 1
-            items[int(np.searchsorted(offsets, start, "right")) - 1] |= found
+            items[int(np.searchsorted(offsets, start, "right")) - 1].update(names[k] for k in found)
     return offsets, np.cumsum(edges[:-1]) > 0, items
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of docs with n_words, hits (array<struct<start, end>>: runs of hit words) and items (item_ids, sorted).
 
-    The benchmark is read on the driver, as the stated set of things to look for; items of more than PASS_BYTES bytes
-    are searched for in several passes, whose runs are merged. Columns of docs by these names are replaced."""
+    The benchmark is the stated set of things to look for. It passes through the driver PASS_BYTES bytes at a time, each of
+    which is a pass over the documents; what one pass found is written before the next, so that a task holds the tables of one,
+    some ten times its bytes. Columns of docs by these names are replaced."""
     names = ("n_words", "hits", "items")
     rows = shipped(docs).select("*").drop(*names).withColumn("n_words", F.lit(0).cast("bigint"))
     rows = rows.withColumn("hits", F.array().cast("array<struct<start:bigint,end:bigint>>")).withColumn("items", F.array().cast("array<string>"))
     schema = rows.schema
     text_at = rows.columns.index("text")
 
-    def searching(content):
+    def searching(content, number: str):
         def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            parts = test_strings(content.value, window)
+            read, parts = _tables(number, content.value, window)
             for batch in batches:
                 for first, texts in blocks(batch.column(text_at).cast(pa.string())):
-                    offsets, marks, items = _searched(parts, texts)
+                    offsets, marks, items = _searched(read.names, parts, texts)
                     part = batch.slice(first, len(texts))
                     before = dict(zip(names, (part.column(part.schema.get_field_index(n)) for n in names), strict=True))
                     hits, found = [], []
@@ -158,9 +195,12 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
 
         return searched
 
+    before = None
     for content in _passes(benchmark):
-        rows = rows.mapInArrow(searching(content), schema)
-    return rows
+        if before is not None:
+            rows = materialised(before, "decontamination")
+        before = rows.mapInArrow(searching(content, uuid.uuid4().hex), schema)
+    return before
 
 
 def _passes(benchmark: DataFrame) -> Iterator:

@@ -12,6 +12,7 @@ has not seen gets the commonest language, with score 0. Words between ASCII whit
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,12 +30,15 @@ BITS = 18
 BUCKETS = 1 << BITS
 #: Labelled documents that training takes: all up to about this many, else as many by a hash of doc_id.
 SAMPLE = 20_000
+#: Languages that are learned: those with most labelled documents of the sample. Bounds the model, which every worker holds.
+LANGUAGES = 128
 #: What a switch costs in Viterbi, in units of log probability.
 SWITCH = 8.0
 #: A language is a candidate for a script that at least this share of its training letters has.
 SHARE = 0.001
 BLOCK = 1 << 20
 UND = "und"
+_GAP = re.compile(r"\s")
 #: First code points of the ranges of scripts, each up to the next; "" is no script of its own.
 SCRIPTS = (
     (0x0000, "Latin"), (0x0370, "Greek"), (0x0400, "Cyrillic"), (0x0530, "Armenian"), (0x0590, "Hebrew"), (0x0600, "Arabic"),
@@ -108,13 +112,24 @@ def words_of(texts: list[str]) -> Words:
 
 
 def word_scores(model: Model, words: Words) -> np.ndarray:
-    """Words by languages: the log probability of each candidate, less the best one's; -inf for the others."""
-    out = np.empty((len(words.starts), len(model.languages)), np.float32)
-    for i in range(len(model.languages)):
-        out[:, i] = np.add.reduceat(model.scores[i][words.buckets], words.starts)
-    out[~model.candidates[words.scripts]] = -np.inf
-    none = ~model.candidates[words.scripts].any(axis=1)
-    out[none] = 0
+    """Words by languages: the log probability of each candidate; -inf for the others, which aren't asked."""
+    out = np.full((len(words.starts), len(model.languages)), -np.inf, np.float32)
+    ends = np.append(words.starts[1:], len(words.buckets))
+    scripts = np.unique(words.scripts)
+    for script in scripts:
+        at = np.flatnonzero(words.scripts == script)
+        candidates = np.flatnonzero(model.candidates[script])
+        if not len(candidates):
+            out[at] = 0
+            continue
+        buckets, starts = words.buckets, words.starts
+        if len(scripts) > 1:
+            sizes = ends[at] - starts[at]
+            first = np.cumsum(sizes) - sizes
+            buckets = buckets[np.repeat(starts[at] - first, sizes) + np.arange(sizes.sum())]
+            starts = first
+        for i in candidates:
+            out[at, i] = np.add.reduceat(model.scores[i][buckets], starts)
     return out
 
 
@@ -158,13 +173,16 @@ def viterbi(scores: np.ndarray, offsets: np.ndarray, switch: float = SWITCH) ->
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fits a model on docs (text, lang, doc_id) with a language; takes about `sample` of them at most.
+    """Fits a model on docs (text, lang, doc_id) with a language; takes about `sample` of them at most, by a hash of doc_id and text.
 
-    What comes to the driver is a count for each language and trigram bucket: BUCKETS for a language at most."""
+    LANGUAGES languages at most are learned. What comes to the driver is a count for each of them and each trigram bucket: BUCKETS
+    for a language at most."""
     rows = shipped(docs).filter("text is not null and lang is not null")
     n = rows.count()
     if n > sample:
-        rows = rows.filter(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_000)) < int(1_000_000 * sample / n))
+        rows = rows.filter(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.col("text").cast("string")), F.lit(1_000_000)) < int(1_000_000 * sample / n))
+    learned = rows.groupBy(F.col("lang").cast("string").alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    rows = rows.filter(F.col("lang").cast("string").isin([r.lang for r in learned.collect()]))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -190,30 +208,55 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     parts = rows.select(F.col("text").cast("string"), F.col("lang").cast("string")).mapInArrow(counted, "lang string, kind string, at bigint, n bigint")
     found = parts.groupBy("lang", "kind", "at").agg(F.sum("n").alias("n")).collect()
     languages = sorted({r.lang for r in found}) or [UND]
-    counts = np.zeros((len(languages), BUCKETS))
+    place = {name: i for i, name in enumerate(languages)}
+    counts = np.zeros((len(languages), BUCKETS), np.float32)
     scripts = np.zeros((len(languages), len(_NAMES)))
     texts = np.zeros(len(languages))
     for r in found:
-        {"bucket": counts, "script": scripts, "texts": texts[:, None]}[r.kind][languages.index(r.lang), r.at] = r.n
-    seen = max(1, int((counts.sum(axis=0) > 0).sum()))
-    scores = np.log((counts + 0.1) / (counts.sum(axis=1, keepdims=True) + 0.1 * seen)).astype(np.float32)
+        {"bucket": counts, "script": scripts, "texts": texts[:, None]}[r.kind][place[r.lang], r.at] = r.n
+    seen = max(1, int((counts.max(axis=0) > 0).sum()))
+    whole = counts.sum(axis=1, keepdims=True, dtype=np.float64)
+    counts += np.float32(0.1)
+    scores = np.log(counts, out=counts)
+    scores -= np.log(whole + 0.1 * seen).astype(np.float32)
     share = scripts / np.maximum(1, scripts.sum(axis=1, keepdims=True))
     return Model(languages, scores, np.ascontiguousarray((share >= SHARE).T), int(texts.argmax()))
 
 
-def labelled(model: Model, texts: list[str]) -> tuple[Words, np.ndarray]:
-    words = words_of(texts)
-    return words, viterbi(word_scores(model, words), words.offsets) if len(words.starts) else np.zeros(0, np.int16)
+def _pieces(text: str, size: int = BLOCK) -> Iterator[str]:
+    """A long text in pieces of about `size`, cut at white space."""
+    at = 0
+    while len(text) - at > size:
+        gap = _GAP.search(text, at + size)
+        end = gap.start() if gap else len(text)
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
+def labelled(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Letters, script and label of each word, and where each text's words begin.
+
+    A text that is a block of its own is read and scored piece by piece; only what is kept for each word grows with it."""
+    parts = [words_of(texts)] if len(texts) > 1 else map(words_of, ([x] for x in _pieces(texts[0])))
+    letters, scripts, scores, offsets = [], [], [], np.zeros(1, np.int64)
+    for words in parts:
+        letters.append(words.letters)
+        scripts.append(words.scripts)
+        scores.append(word_scores(model, words))
+        offsets = words.offsets if len(texts) > 1 else np.array([0, offsets[-1] + words.offsets[-1]])
+    letters, scripts, scores = np.concatenate(letters), np.concatenate(scripts), np.concatenate(scores)
+    return letters, scripts, viterbi(scores, offsets) if len(scores) else np.zeros(0, np.int16), offsets
 
 
 def _letters_by_language(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Of each text: letters by language, and all letters."""
-    words, labels = labelled(model, texts)
+    letters, scripts, labels, offsets = labelled(model, texts)
     k = len(model.languages)
-    text = np.repeat(np.arange(len(texts)), np.diff(words.offsets))
-    known = model.candidates[words.scripts].any(axis=1) if len(words.scripts) else np.zeros(0, bool)
-    all_letters = np.bincount(text, words.letters, len(texts))
-    return np.bincount(text * k + labels, words.letters * known, len(texts) * k).reshape(-1, k), all_letters
+    text = np.repeat(np.arange(len(texts)), np.diff(offsets))
+    known = model.candidates[scripts].any(axis=1) if len(scripts) else np.zeros(0, bool)
+    all_letters = np.bincount(text, letters, len(texts))
+    return np.bincount(text * k + labels, letters * known, len(texts) * k).reshape(-1, k), all_letters
 
 
 def _blocks(values: pa.Array, size: int = BLOCK) -> Iterator[list[str]]:
@@ -262,15 +305,15 @@ def spans(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
             keys = batch.column(0)
             done = 0
             for texts in _blocks(batch.column(1).cast(pa.string())):
-                words, labels = labelled(sent.value, texts)
-                text = np.repeat(np.arange(len(texts)), np.diff(words.offsets))
+                of_word, _, labels, offsets = labelled(sent.value, texts)
+                text = np.repeat(np.arange(len(texts)), np.diff(offsets))
                 new = np.flatnonzero(np.concatenate([[True], (labels[1:] != labels[:-1]) | (text[1:] != text[:-1])])[: len(labels)])
                 sizes = np.diff(np.concatenate([new, [len(labels)]]))
-                letters = np.add.reduceat(words.letters, new) if len(new) else np.zeros(0, np.int64)
+                letters = np.add.reduceat(of_word, new) if len(new) else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         keys.take(pa.array(text[new] + done)),
-                        pa.array((new - words.offsets[text[new]]).astype(np.int64)),
+                        pa.array((new - offsets[text[new]]).astype(np.int64)),
                         pa.array(sizes.astype(np.int64)),
                         pa.array(letters.astype(np.int64)),
                         pa.array([sent.value.languages[i] for i in labels[new]], pa.string()),

@@ -44,11 +44,6 @@ def blocks(texts: pa.Array, size: int = BLOCK) -> Iterator[tuple[int, list[bytes
         yield first, run
 
 
-def word_bytes(text: bytes) -> list[bytes]:
-    """The words of one text that `hashed_words` takes if not spaced."""
-    return text.lower().translate(bytes(0x20 if x else i for i, x in enumerate(_PUNCTUATION))).split()
-
-
 def hashed_words(texts: list[bytes], spaced: bool = True, places: bool = False) -> tuple:
     """The hashes of all words in order, and where each text's words start, plus the end.
 

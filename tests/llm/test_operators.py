@@ -231,6 +231,81 @@ def test_viterbi_by_brute_force():
         assert worth(scores[a:b], labels[a:b]) == pytest.approx(best, abs=1e-4)
 
 
+def test_long_text_in_pieces(monkeypatch):
+    texts = [" ".join(["the of and", "og det er", "и в не", "漢字", "12"][i % 5] for i in range(400))]
+    whole = langid.labelled(model(), texts)
+    monkeypatch.setattr(langid._pieces, "__defaults__", (50,))
+    assert len(list(langid._pieces(texts[0]))) > 20
+    for a, b in zip(whole, langid.labelled(model(), texts), strict=True):
+        assert (a == b).all()
+
+
+def plain_languages(rows: list[tuple]) -> dict[int, tuple[str, float]]:
+    """The whole query in plain Python; rows are (doc_id, text, lang)."""
+    import unicodedata
+    import zlib
+
+    script_at = lambda c: [name for start, name in langid.SCRIPTS if start <= ord(c[0])][-1]
+
+    def words(text):
+        runs = []
+        for c in text.lower():
+            if unicodedata.category(c)[0] != "L":
+                runs.append(None)
+            elif runs and runs[-1] and script_at(runs[-1][-1]) == script_at(c):
+                runs[-1] += c
+            else:
+                runs.append(c)
+        return [r for r in runs if r]
+
+    def buckets(word):
+        for a, b, c in zip([0, *map(ord, word[:-1])], map(ord, word), [*map(ord, word[1:]), 1], strict=True):
+            mix = (a * 0x9E3779B1 & 0xFFFFFFFF) ^ (b * 0x85EBCA77 + 0x27D4EB2F & 0xFFFFFFFF) ^ (c * 0xC2B2AE3D & 0xFFFFFFFF)
+            yield ((mix ^ mix >> 15) * 0x2C1B3C6D & 0xFFFFFFFF) >> 32 - langid.BITS
+
+    counts, scripts, texts = {}, {}, {}
+    for i, text, lang in rows:
+        if text is not None and lang is not None and zlib.crc32(str(i).encode()) % 3 != 1:
+            own, of, texts[lang] = counts.setdefault(lang, {}), scripts.setdefault(lang, {}), texts.get(lang, 0) + 1
+            for w in words(text):
+                of[script_at(w)] = of.get(script_at(w), 0) + len(w)
+                for b in buckets(w):
+                    own[b] = own.get(b, 0) + 1
+    seen, names = len({b for own in counts.values() for b in own}), sorted(texts)
+    candidates = lambda w: [x for x in names if scripts[x].get(script_at(w), 0) >= langid.SHARE * sum(scripts[x].values())]
+    score = lambda w, x: sum(math.log((counts[x].get(b, 0) + 0.1) / (sum(counts[x].values()) + 0.1 * seen)) for b in buckets(w))
+    out = {}
+    for i, text, _ in rows:
+        found, best = words(text or ""), {}
+        for w in found:  # best: by last label, the worth and letters by label of the path there
+            of = candidates(w)
+            add = {x: (score(w, x) if x in of else -math.inf) if of else 0.0 for x in names}
+            top = max(names, key=lambda x: (best[x][0], -names.index(x))) if best else None
+            step = {}
+            for x in names:
+                worth, letters = (0.0, {}) if not best else best[x] if best[x][0] >= best[top][0] - langid.SWITCH else (best[top][0] - langid.SWITCH, best[top][1])
+                step[x] = (worth + add[x], letters | {x: letters.get(x, 0) + (len(w) if of else 0)})
+            best = step
+        letters = best[max(names, key=lambda x: (best[x][0], -names.index(x)))][1] if best else {}
+        most = max(names, key=lambda x: (letters.get(x, 0), -names.index(x)))
+        if not any(letters.values()):
+            most = max(names, key=lambda x: (texts[x], -names.index(x)))
+        out[i] = (most, letters.get(most, 0) / sum(map(len, found))) if found else (langid.UND, 0.0)
+    return out
+
+
+def test_languages_by_brute_force(spark):
+    import duckdb
+
+    rows = duckdb.sql("SELECT doc_id, text, lang FROM '/root/testdata/sf0.001/documents.parquet' WHERE length(text) < 3000").fetchall()
+    rows += [(-1, None, "en"), (-2, "", None), (-3, "12 !", None), (-4, "漢字", None), (-5, " ".join(t[:80] for _, t, _ in rows[:6]), None)]
+    wanted = plain_languages(rows)
+    got = langid.languages(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r.lang_pred, round(r.score, 9)) == (wanted[r.doc_id][0], round(wanted[r.doc_id][1], 9)), r
+
+
 # secrets
 
 
