@@ -27,7 +27,7 @@ from corpusgate.llm.wordhash import blocks, hashed_words, mixed, odd_numbers
 WINDOW = 10
 LANE = 256
 #: Bytes of benchmark text that one pass over the documents searches for; more items take more passes.
-PASS_BYTES = 8 << 20
+PASS_BYTES = 4 << 20
 _TABLE = 1 << 20
 _BLOCK = odd_numbers(2, 7)
 
@@ -159,7 +159,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
 
     The benchmark is the stated set of things to look for. It passes through the driver PASS_BYTES bytes at a time, each of
     which is a pass over the documents; what one pass found is written before the next, so that a task holds the tables of one,
-    some ten times its bytes. Columns of docs by these names are replaced."""
+    some 60 times its bytes while it builds them. Columns of docs by these names are replaced."""
     names = ("n_words", "hits", "items")
     rows = shipped(docs).select("*").drop(*names).withColumn("n_words", F.lit(0).cast("bigint"))
     rows = rows.withColumn("hits", F.array().cast("array<struct<start:bigint,end:bigint>>")).withColumn("items", F.array().cast("array<string>"))

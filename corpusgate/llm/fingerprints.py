@@ -179,13 +179,14 @@ def _search(value: Column, bounds: list[int], low: int, high: int) -> Column:
 def with_slots(rows: DataFrame, coarse: int = 256) -> DataFrame:
     """Adds slot, a number that doesn't fall as doc_id rises, four slots to a shuffle partition.
 
-    `coarse` ranges at most come from approximate quantiles of doc_id; each is cut evenly into more. A null doc_id
-    has slot -1."""
+    `coarse` ranges at most come from approximate quantiles of doc_id; each is cut evenly into more. Rows without a doc_id
+    have slots below 0, which fall as their digest rises."""
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     n = min(coarse, parts)
+    nowhere = F.lit(-1) - F.floor(F.conv(F.substring("digest", 1, 6), 16, 10).cast("bigint") * F.lit(4 * parts) / F.lit(1 << 24)).cast("bigint")
     found = rows.approxQuantile("doc_id", [i / n for i in range(n + 1)], 0.2 / n)
     if not found:
-        return rows.withColumn("slot", F.lit(-1).cast("bigint"))
+        return rows.withColumn("slot", nowhere)
     edges = sorted({int(x) for x in found[:-1]}) + [int(found[-1]) + 1]
     fine = -(-4 * parts // n)
     at = F.greatest(F.lit(1), F.least(F.lit(len(edges) - 1), _search(F.col("doc_id"), edges, 0, len(edges))))
@@ -193,7 +194,7 @@ def with_slots(rows: DataFrame, coarse: int = 256) -> DataFrame:
     low, high = F.element_at(ends, F.col("range")), F.element_at(ends, F.col("range") + 1)
     inner = F.floor((F.col("doc_id") - low).cast("double") / (high - low) * fine)
     slot = F.col("range") * fine + F.greatest(F.lit(0), F.least(F.lit(fine - 1), inner))
-    return rows.withColumn("range", at).withColumn("slot", F.coalesce(slot.cast("bigint"), F.lit(-1).cast("bigint"))).drop("range")
+    return rows.withColumn("range", at).withColumn("slot", F.coalesce(slot.cast("bigint"), nowhere)).drop("range")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -201,10 +202,12 @@ def with_next(docs: DataFrame) -> DataFrame:
 
     Documents are dealt by ranges of doc_id, so no task sorts all of them; the first document of each range is the
     next of the last of the range before, and those few are looked up on their own. Rows of one doc_id are ordered
-    by their text; a null doc_id comes last. head tells the text after the range's last document.
+    by their text; those without one come last, by a digest of their text, which deals them evenly. after_text tells the text
+    after the range's last document.
     """
-    rows = with_slots(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text")))
-    inside = Window.partitionBy("slot").orderBy(F.col("doc_id").desc_nulls_last(), "text")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
+    rows = with_slots(rows.withColumn("digest", F.when(F.col("doc_id").isNull(), F.md5("text"))))
+    inside = Window.partitionBy("slot").orderBy(F.col("doc_id").desc_nulls_last(), "digest", "text")
     paired = rows.withColumn("next_text", F.lead("text").over(inside)).withColumn("rn", F.row_number().over(inside))
     # The first document of each range, and the range that comes after it: numbers only, a row for each range.
     heads = rows.groupBy(F.col("slot").alias("at")).agg(F.max("doc_id").alias("head_id"))
@@ -214,10 +217,10 @@ def with_next(docs: DataFrame) -> DataFrame:
     firsts = (
         rows.join(F.broadcast(heads), (F.col("slot") == F.col("at")) & F.col("doc_id").eqNullSafe(F.col("head_id")))
         .groupBy(F.col("at").alias("after_at"))
-        .agg(F.min("text").alias("after_text"))
+        .agg(F.min(F.struct("digest", "text"))["text"].alias("after_text"))
     )
     after = order.join(firsts, "after_at").drop("after_at")
-    return paired.join(after, F.col("slot") == F.col("at"), "left").drop("at")
+    return paired.join(after, F.col("slot") == F.col("at"), "left").drop("at", "digest")
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:

@@ -53,7 +53,7 @@ def _likeness(a: str, b: str) -> str:
 
 OP1 = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-o AS (SELECT *, coalesce(lead(text) OVER w, first_value(text) OVER w) AS following FROM d WINDOW w AS (ORDER BY doc_id DESC NULLS LAST, text)),
+o AS (SELECT *, coalesce(lead(text) OVER w, first_value(text) OVER w) AS following FROM d WINDOW w AS (ORDER BY doc_id DESC NULLS LAST, CASE WHEN doc_id IS NULL THEN md5(text) END, text)),
 e AS (SELECT doc_id, text, following, CAST(length(text) AS BIGINT) AS n_chars,
   substr(text, 1, length(text) - length(text) // 3) || substr(following, 1, length(text) // 3) AS edited FROM o),
 f AS (SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, {_fingerprint('text')} AS a, {_fingerprint('edited')} AS b, {_fingerprint('following')} AS c FROM e)

@@ -21,8 +21,8 @@ BITS = 60
 #: Prefix bits that one round looks at: 65,536 sums for each bucket that it splits, at most.
 STEP = 16
 LIMIT = 64 << 20
-#: Leaves up to this many are broadcast to the rows; more are joined by a shuffle on their first bits.
-BROADCAST_LEAVES = 500_000
+#: Leaves up to this many, of some 100 bytes, are broadcast to the rows; more are joined by a shuffle on their first bits.
+BROADCAST_LEAVES = 100_000
 
 
 def _prefix(code: Column, bits: int) -> Column:
@@ -65,7 +65,7 @@ def directory(sizes: DataFrame, limit: int, step: int = STEP) -> DataFrame:
 
 
 def shards(docs: DataFrame, limit: int = LIMIT, keys: tuple[str, ...] = ("doc_id", "text"), size: str = "text", step: int = STEP) -> DataFrame:
-    """The rows of docs with shard, shard_bytes and oversized added; docs is read twice, its texts aren't shuffled.
+    """The rows of docs with shard, shard_bytes and oversized added; docs is read twice. Up to BROADCAST_LEAVES leaves its texts aren't shuffled.
 
     Columns of docs by these names are replaced."""
     coded = docs.drop("shard", "shard_bytes", "oversized").withColumn("code", hash_code(*keys))

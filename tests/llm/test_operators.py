@@ -102,6 +102,22 @@ def test_edited_by_brute_force(spark):
     assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in out)
 
 
+def test_edited_without_ids(spark):
+    """Rows without a doc_id come last, by a digest of their text, over many ranges."""
+    import hashlib
+
+    rows = [(None, f"text {i % 50} " * (i % 7)) for i in range(120)] + [(i, f"numbered {i}") for i in range(9)]
+    digest = lambda t: hashlib.md5(t.encode()).hexdigest()
+    for part in (rows, rows[:120]):
+        ordered = sorted(part, key=lambda r: (r[0] is None, -(r[0] or 0), digest(r[1]) if r[0] is None else "", r[1]))
+        wanted = []
+        for k, (i, t) in enumerate(ordered):
+            after, third = ordered[(k + 1) % len(ordered)][1], len(t) // 3
+            wanted.append((str(i), hashlib.sha256((t[: len(t) - third] + after[:third]).encode()).hexdigest()))
+        out = fingerprints.edited_fingerprints(spark.createDataFrame(part, "doc_id bigint, text string").repartition(5)).collect()
+        assert sorted((str(r.doc_id), r.edited_sha256) for r in out) == sorted(wanted)
+
+
 # mixing
 
 
