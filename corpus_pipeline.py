@@ -25,9 +25,8 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest doc_id."""
-    kept = neardup.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("of")).distinct()
-    return docs.select(*COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("of")), "left_semi")
+    """One document of each group of near duplicates, the one with the smallest doc_id; repeated rows are such a group."""
+    return neardup.first_of_each(docs.select(*COLUMNS))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
