@@ -279,7 +279,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def first_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of docs without near duplicates: of each component the row with the smallest doc_id, rows without one last, and of those
-    with equal doc_ids and texts one. Documents without words stay."""
+    with equal doc_ids and texts one. Documents without words stay. Columns neardup_text_a and neardup_text_b of docs go."""
     rows, classes = linked_classes(docs, percent)
     rows = of_rows(rows, classes.select(*EQUAL, "members", "component"))
     of = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *TEXT)
@@ -288,11 +288,11 @@ def first_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     first = materialised(first.withColumnRenamed("doc_id", "first_id"), "neardup-first")
     # Texts of components; each of them goes but for its first row.
     several = materialised(grouped.select(*TEXT).distinct(), "neardup-several")
-    marked = docs.select("*", *text_keys())
-    clash = [c for c in docs.columns if c in TEXT]
-    assert not clash, clash
+    own = [f"neardup_{c}" for c in TEXT]
+    marked = docs.drop(*own).select("*", *[key.alias(name) for key, name in zip(text_keys(), own, strict=True)])
+    same = lambda other: [marked[name] == other[c] for name, c in zip(own, TEXT, strict=True)]
     small = several.count() <= BROADCAST_IDS
     sent = F.broadcast if small else lambda df: df
-    single = marked.join(sent(several), TEXT, "left_anti")
-    chosen = marked.join(sent(first), [marked[c] == first[c] for c in TEXT] + [marked["doc_id"].eqNullSafe(first["first_id"])], "left_semi")
-    return single.unionByName(chosen.dropDuplicates(["doc_id", *TEXT])).drop(*TEXT)
+    single = marked.join(sent(several), same(several), "left_anti")
+    chosen = marked.join(sent(first), [*same(first), marked["doc_id"].eqNullSafe(first["first_id"])], "left_semi")
+    return single.unionByName(chosen.dropDuplicates(["doc_id", *own])).drop(*own)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections import Counter
+
 import pytest
 
 from conftest import DATA, same_rows
@@ -79,6 +82,7 @@ def test_pipeline_stage_by_stage(spark):
     clean = {r.doc_id for r in out["near duplicates"] if not contaminated(r.text, benchmark)}
     assert {r.doc_id for r in out["decontamination"]} == clean
     times = [r.doc_id for r in out["mixing"]]
+    assert Counter(times) == mixed_times(out["decontamination"])
     assert set(times) <= clean
     assert max(map(times.count, times)) <= 2
     assert sorted(times) == sorted(r.doc_id for r in out["sharding"])
@@ -88,6 +92,50 @@ def test_pipeline_stage_by_stage(spark):
     assert all(r.shard_bytes == by_shard[r.shard] and (r.oversized or r.shard_bytes <= 8 << 20) for r in out["sharding"])
 
 
+def mixed_times(rows: list) -> Counter:
+    """How often the mix takes each document: queues in shuffled order, twice over, up to the source's target."""
+    sizes = {r.doc_id: len(r.text.encode().split()) for r in rows}
+    queues: dict = {}
+    for r in sorted(rows, key=lambda r: hashlib.md5(f"mix-1|{r.doc_id}".encode()).hexdigest()[:12]):
+        queues.setdefault(r.source, []).append(r.doc_id)
+    names = sorted(queues, key=lambda s: (s is None, s))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    source = {s: sum(sizes[i] for i in queues[s]) for s in names}
+    budget, full, target = 1.5 * sum(source.values()), set(), {}
+    while True:
+        rest = [s for s in names if s not in full]
+        left = budget - sum(2 * source[s] for s in full)
+        target = {s: 2 * source[s] if s in full else left * weight[s] / sum(weight[x] for x in rest) for s in names}
+        over = {s for s in rest if target[s] > 2 * source[s]}
+        if not over:
+            break
+        full |= over
+    times: Counter = Counter()
+    for s in names:
+        at = 0
+        for i in queues[s] * 2:
+            times[i] += at < round(target[s]) and sizes[i] > 0
+            at += sizes[i]
+    return +times
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Repeated rows, rows without doc_id, source or text, and an empty table."""
+    import corpus_pipeline as pipeline
+
+    text = lambda n: " ".join(f"the word{n}x{i} and of it" for i in range(30))
+    rows = [(1, text(1), "en", "a"), (1, text(1), "en", "a"), (1, text(2), "en", "a"), (None, text(2), None, None), (None, text(3), "en", None)]
+    rows += [(None, text(3), "en", None), (7, None, None, "a"), (8, "", "en", "b"), (9, "123 456", "en", "b"), (10, "x " * 50_000, "en", "b")]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    for name, part in (("odd", rows), ("empty", [])):
+        spark.createDataFrame([(*r, len(r[1] or "")) for r in part], schema).write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.createDataFrame([(1, "nothing of this")], "item_id bigint, text string").write.parquet(str(tmp_path / name / "benchmark.parquet"))
+        out = pipeline.run(spark, str(tmp_path / name)).collect()
+        assert {(r.doc_id, r.text) for r in out} <= {(1, text(1)), (1, text(2)), (None, text(3)), (10, "x " * 50_000)}
+        assert len(out) == len(set(out)) or not part or max(Counter(out).values()) <= 2
+        assert bool(out) == bool(part)
+
+
 def shingles(text: str) -> set:
     words = text.encode().lower().split()
     return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else ({tuple(words)} if words else set())
