@@ -185,8 +185,8 @@ def _across(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     Each set is put in one order for all: shingles that only one component has, then the rarer before the more
     frequent. Of two similar sets the first ones can't all be unshared, so some shingle of both short prefixes is the
     same, and at their first such shingle enough must be left of both to reach the wanted overlap. No pair of
-    similar sets is lost. Shingles of one component only are counted, never joined; where a shingle's components meet in
-    pairs first, members of one component are never compared."""
+    similar sets is lost. Shingles of one component only are counted, never joined, and members of the component that has most
+    of a shingle's documents are never compared with each other: each pair has a document of another one, which looks for it."""
     rows = sets.join(rest, "rep").select("rep", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
     spread = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"), F.min("component").alias("low"), F.max("component").alias("high"))
     shared = materialised(rows.join(spread.filter("low < high").select("shingle", "df"), "shingle"), "neardup-shared")
@@ -197,14 +197,15 @@ def _across(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     ranked = shared.join(held.drop("of"), "rep").withColumn("place", F.col("n") - F.col("m") + F.row_number().over(order))
     prefix = materialised(ranked.filter(F.col("place") <= F.col("n") - needed + 1), "neardup-prefixes")
     discard(shared)
-    at = prefix.select("shingle", "component").distinct()
-    meet = at.withColumnRenamed("component", "c_u").join(at.withColumnRenamed("component", "c_v"), "shingle").filter("c_u < c_v")
+    most = prefix.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("held")).groupBy("shingle")
+    most = most.agg(F.max(F.struct("held", "component"))["component"].alias("most"))
     side = lambda c: prefix.select(
         "shingle", F.col("rep").alias(c), F.col("component").alias(f"c_{c}"), F.col("n").alias(f"n_{c}"), F.col("place").alias(f"p_{c}")
     )
     left = F.least(F.col("n_u") - F.col("p_u"), F.col("n_v") - F.col("p_v")) + 1
     enough = left * (100 + percent) >= (F.col("n_u") + F.col("n_v")) * percent
-    return meet.join(side("u"), ["shingle", "c_u"]).join(side("v"), ["shingle", "c_v"]).filter(enough).select("u", "v")
+    asking = side("u").join(most, "shingle").filter("c_u <> most")
+    return asking.join(side("v"), "shingle").filter("c_u <> c_v and (c_v = most or u < v)").filter(enough).select("u", "v")
 
 
 def linked_classes(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -235,7 +236,9 @@ def linked_classes(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame,
     labelled = placed.filter("held > 2").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
     labelled = labelled.withColumn("component", F.coalesce("component", "rep"))
     split = labelled.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    rest = labelled.join(split.select("band"), "band", "left_semi").select("rep", "component").distinct()
+    split = materialised(split.select("band"), "neardup-split")
+    split = F.broadcast(split) if split.count() <= BROADCAST_IDS else split
+    rest = labelled.join(split, "band", "left_semi").select("rep", "component").distinct()
     rest = materialised(rest, "neardup-rest")
     done = [wanted, placed, sets, links, rest]
     if not rest.isEmpty():
