@@ -4,6 +4,9 @@ Text rather than columns: nested lambdas that are built column by column take se
 
 from __future__ import annotations
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 
 def literal(text: str) -> str:
     escaped = text.replace("\\", "\\\\").replace("'", "\\'")
@@ -29,3 +32,17 @@ def running(values: str, combine: str, start: str) -> str:
 def running_sum(values: str) -> str:
     """Sums of an array of bigint up to and with each place."""
     return running(values, "x + y", "0L")
+
+
+def running_total(values: Column) -> Column:
+    """`running_sum` of a column."""
+
+    def scanned(v: Column) -> Column:
+        def round_of(acc: Column, k: Column) -> Column:
+            reach = F.pow(F.lit(2), k).cast("int")
+            return F.zip_with(F.concat(F.array_repeat(F.lit(0).cast("bigint"), reach), F.slice(acc, F.lit(1), F.size(v) - reach)), acc, lambda x, y: x + y)
+
+        rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.size(v))).cast("int") - 1)
+        return F.when(F.size(v) > 1, F.aggregate(rounds, v, round_of)).otherwise(v)
+
+    return F.element_at(F.transform(F.array(values), scanned), 1)

@@ -8,9 +8,12 @@ from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """What the session names in spark.checkpoint.dir; a temporary folder only where it names none."""
+    """What the session names in spark.checkpoint.dir. Only a local session may leave it open and gets a temporary folder: on a
+    cluster, executors would write to disks of their own, and rows would be lost."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder

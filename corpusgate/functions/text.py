@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusgate.functions.arrays import running_total
+
 #: Where a line ends, as in Python's splitlines.
 LINE_END = "\\r\\n|[\\n\\r\\x0B\\x0C\\x1C-\\x1E\\x85\\u2028\\u2029]"
 #: Suffixes and names that tell what a file is.
@@ -21,8 +23,8 @@ DOCUMENTATION_HOSTS = "(^|\\.)(example\\.(com|org|net)|localhost)$|\\.(example|t
 
 def splitlines(text: Column) -> Column:
     """The lines of a text; a last line end opens no line, and an empty text has none."""
-    parts = F.split(text, LINE_END, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    parts = F.split(F.regexp_replace(text, f"(?:{LINE_END})\\z", ""), LINE_END, -1)
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(parts)
 
 
 def explode_lines(files: DataFrame, keep: list[str], hit: str | None = None, text: str = "text") -> DataFrame:
@@ -84,14 +86,9 @@ def match_starts(text: Column, pattern: str) -> Column:
     """Array of 0-based places (code points) where the pattern's matches begin, leftmost and without overlap."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    steps = F.zip_with(found, F.slice(gaps, 1, F.size(gaps) - 1), lambda m, g: F.struct(F.char_length(g).alias("g"), F.char_length(m).alias("m")))
-    empty = F.array().cast("array<int>")
-    walked = F.aggregate(
-        steps,
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda acc, s: F.struct((acc["at"] + s["g"] + s["m"]).alias("at"), F.concat(acc["out"], F.array(acc["at"] + s["g"])).alias("out")),
-    )
-    return F.when(text.rlike(pattern), walked["out"]).otherwise(empty)
+    steps = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda m, g: (F.char_length(g) + F.char_length(m)).cast("bigint"))
+    starts = F.zip_with(found, running_total(steps), lambda m, stop: (stop - F.char_length(m)).cast("int"))
+    return F.when(text.rlike(pattern), starts).otherwise(F.array().cast("array<int>"))
 
 
 def line_of(text: Column, start: Column) -> Column:

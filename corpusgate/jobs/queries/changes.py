@@ -41,7 +41,7 @@ def added(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     changes, found = _changes(spark, sf_dir), view(spark, sf_dir, "pr_findings")
-    return diffs.keep_on_added(found, changes, diffs.added_lines(changes, PR), PR, EXCLUDE)
+    return diffs.keep_on_added(found, changes, diffs.added_ranges(changes, PR), PR, EXCLUDE)
 
 
 def globs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,7 +54,7 @@ def prescan_changes(changes: DataFrame, tree: DataFrame, prs: DataFrame, exclude
     files = tree.join(scanned, [*TREE, "path"], "left_semi")
     unparsed = astscan.unparsed(files)
     found = run_checks(files).unionByName(project_checks(tree, changes.select(*TREE, "ord", "path")))
-    kept = diffs.keep_on_added(found, changes, diffs.added_lines(shown, TREE), TREE, exclude)
+    kept = diffs.keep_on_added(found, changes, diffs.added_ranges(shown, TREE), TREE, exclude)
     prescan = findings.with_prescan_ids(findings.dedupe(kept), TREE)
     if budget is None:
         item = F.struct("id", F.col("path").alias("file"), "line", F.col("class_id").alias("class"), "message", "blocking")

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from corpusgate.functions.text import splitlines
 from corpusgate.operators.findings import PROJECT_CLASSES
 
-HUNK = "^@@ -[0-9]+(?:,[0-9]+)? \\+([0-9]+)(?:,[0-9]+)? @@"
+HUNK = "@@ -[0-9]+(?:,[0-9]+)? \\+([0-9]+)(?:,[0-9]+)? @@"
+#: Before each hunk's header, at whatever ends a line.
+_HUNKS = f"(?:\\A|(?<=[\\n\\r\\x0B\\x0C\\x1C-\\x1E\\x85\\u2028\\u2029]))(?={HUNK})"
 
 
 def split_patches(diffs: DataFrame, key: list[str], diff: str = "diff") -> DataFrame:
@@ -21,22 +23,19 @@ def split_patches(diffs: DataFrame, key: list[str], diff: str = "diff") -> DataF
 
 
 def added_numbers(patch: Column) -> Column:
-    """Line numbers, in the new file, of the lines that a patch adds.
+    """Line numbers, in the new file, of the lines that a patch adds, hunk by hunk, in time linear in the patch.
 
     A hunk header sets the number; added and unchanged lines move it on, others don't; what comes before the first
-    hunk is no content. State: next number (0 before the first hunk), numbers so far."""
-    start = F.struct(F.lit(0).alias("next"), F.lit(False).alias("inside"), F.array().cast("array<int>").alias("added"))
+    hunk is no content."""
 
-    def step(acc: Column, line: Column) -> Column:
-        header = line.rlike(HUNK)
-        number = F.when(header, F.regexp_extract(line, HUNK, 1).try_cast("int"))
-        plus = acc["inside"] & ~header & line.startswith("+")
-        moves = plus | (acc["inside"] & ~header & line.startswith(" "))
-        after = F.when(header, number).when(moves, acc["next"] + 1).otherwise(acc["next"])
-        added = F.when(plus, F.concat(acc["added"], F.array(acc["next"]))).otherwise(acc["added"])
-        return F.struct(F.coalesce(after, F.lit(0)).alias("next"), (acc["inside"] | header).alias("inside"), added.alias("added"))
+    def of_hunk(hunk: Column) -> Column:
+        start = F.regexp_extract(hunk, "^" + HUNK, 1).try_cast("int")
+        content = F.filter(splitlines(hunk), lambda line: line.startswith("+") | line.startswith(" "))
+        numbers = F.transform(content, lambda line, i: F.when(line.startswith("+"), F.coalesce(start, F.lit(0)) + i))
+        return F.filter(numbers, lambda n: n.isNotNull())
 
-    return F.aggregate(splitlines(patch), start, step)["added"]
+    hunks = F.filter(F.split(patch, _HUNKS, -1), lambda part: part.rlike("^" + HUNK))
+    return F.flatten(F.transform(hunks, of_hunk))
 
 
 def added_lines(changes: DataFrame, key: list[str]) -> DataFrame:
@@ -44,6 +43,15 @@ def added_lines(changes: DataFrame, key: list[str]) -> DataFrame:
     return changes.select(*key, "path", F.explode(added_numbers(F.col("patch"))).alias("line"))
 
 
+def added_ranges(changes: DataFrame, key: list[str]) -> DataFrame:
+    """key, path, ranges (array<struct<first, last>>) of each patch: one narrow row, however many they are."""
+    rows = changes.select(*key, "path", added_numbers(F.col("patch")).alias("numbers"))
+    beside = lambda i, by: F.get("numbers", i + by)
+    first = F.filter("numbers", lambda n, i: ~beside(i, -1).eqNullSafe(n - 1))
+    last = F.filter("numbers", lambda n, i: ~beside(i, 1).eqNullSafe(n + 1))
+    return rows.select(*key, "path", F.zip_with(first, last, lambda a, b: F.struct(a.alias("first"), b.alias("last"))).alias("ranges"))
+
+
 def glob_pattern(globs: Iterable[str]) -> str:
     """One anchored pattern for shell globs of which any may match; * and ? take slashes too."""
     out = []
@@ -68,22 +76,27 @@ def match_globs(path: Column, globs: Iterable[str]) -> Column:
     return path.rlike(glob_pattern(globs))
 
 
+def _on_added(findings: DataFrame, added: DataFrame, key: list[str]) -> DataFrame:
+    """Findings on lines within the ranges of added, as `added_ranges` gives them; files meet, and the line is looked for in the row."""
+    within = F.exists(added["ranges"], lambda r: (findings["line"] >= r["first"]) & (findings["line"] <= r["last"]))
+    same = [findings[k].eqNullSafe(added[k]) for k in [*key, "path"]]
+    return findings.join(added, [*same, within], "left_semi")
+
+
 def keep_on_added(findings: DataFrame, changes: DataFrame, added: DataFrame, key: list[str], exclude: Iterable[str] = ()) -> DataFrame:
     """Findings of changed, not excluded files that lie on added lines or are of a project class.
 
-    added are the lines that these changes add. Both sides are joined on equality of key, path and line, so a file with
-    very many added lines is spread."""
+    added: the ranges of lines that these changes add (`added_ranges`)."""
     kept = findings.filter(~match_globs(F.col("path"), exclude))
     project = F.col("class_id").isin(PROJECT_CLASSES)
     whole = kept.filter(project).join(changes.select(*key, "path").distinct(), [*key, "path"], "left_semi")
-    lines = kept.filter(~project).join(added, [*key, "path", "line"], "left_semi")
-    return lines.unionByName(whole)
+    return _on_added(kept.filter(~project), added, key).unionByName(whole)
 
 
 def keep_in_batch(findings: DataFrame, added: DataFrame, key: list[str]) -> DataFrame:
     """The rule for a scan without a change set: project classes stay, whatever their path."""
     project = F.col("class_id").isin(PROJECT_CLASSES)
-    return findings.filter(~project).join(added, [*key, "path", "line"], "left_semi").unionByName(findings.filter(project))
+    return _on_added(findings.filter(~project), added, key).unionByName(findings.filter(project))
 
 
 def latest_first(changes: DataFrame, key: list[str]) -> DataFrame:

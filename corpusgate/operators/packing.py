@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -37,35 +39,36 @@ def pack_chunks(sizes: DataFrame, key: list[str], budget: Column | int) -> DataF
     """key, ord, path, cost, chunk (from 1, null if oversized), oversized; sizes has key, ord, path, cost.
 
     Next fit in change order: a file goes to the open chunk if it fits, else to a new one; a file above the budget is
-    set aside and closes nothing. budget may be a column that is equal over a key."""
+    set aside and closes nothing. budget may be a column that is equal over a key. Change sets are dealt by key and sorted, and
+    packed as they pass by: a task holds a batch and the open chunk's number and size."""
+    ship(sizes.sparkSession)
     limit = F.lit(budget) if isinstance(budget, int) else budget
-    packed = sizes.withColumn("limit", limit).groupBy(*key).agg(
-        F.array_sort(F.collect_list(F.struct("ord", "path", "cost"))).alias("files"), F.max("limit").alias("limit")
-    )
-    kind = "array<struct<ord:int,path:string,cost:int,chunk:int>>"
-    start = F.struct(F.lit(1).alias("chunk"), F.lit(0).cast("bigint").alias("size"), F.array().cast(kind).alias("out"))
-
-    def placed(file: Column, chunk: Column) -> Column:
-        return F.array(
-            F.struct(
-                file["ord"].cast("int").alias("ord"), file["path"].alias("path"), file["cost"].cast("int").alias("cost"), chunk.cast("int").alias("chunk")
-            )
-        )
-
-    def step(acc: Column, file: Column) -> Column:
-        over = file["cost"] > F.col("limit")
-        new = (acc["size"] > 0) & (acc["size"] + file["cost"] > F.col("limit"))
-        chunk = F.when(new, acc["chunk"] + 1).otherwise(acc["chunk"])
-        size = F.when(new, file["cost"].cast("bigint")).otherwise(acc["size"] + file["cost"])
-        return F.when(
-            over,
-            F.struct(
-                acc["chunk"].alias("chunk"), acc["size"].alias("size"), F.concat(acc["out"], placed(file, F.lit(None))).alias("out")
-            ),
-        ).otherwise(F.struct(chunk.alias("chunk"), size.alias("size"), F.concat(acc["out"], placed(file, chunk)).alias("out")))
-
-    rows = packed.select(*key, F.explode(F.aggregate("files", start, step)["out"]).alias("f")).select(*key, "f.*")
-    return rows.withColumn("oversized", F.col("chunk").isNull())
+    whole = ["ord", "path", "cost"]
+    rows = sizes.select(*key, F.col("ord").cast("int").alias("ord"), "path", F.col("cost").cast("int").alias("cost"), limit.cast("bigint").alias("limit"))
+    rows = rows.repartition(*key).sortWithinPartitions(*key, *whole)
+    n = len(key)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_key, chunk, size = None, 1, 0
+        for batch in batches:
+            chunks = []
+            keys = zip(*[batch.column(i).to_pylist() for i in range(n)], strict=True)
+            for this, cost, most in zip(keys, batch.column(n + 2).to_pylist(), batch.column(n + 3).to_pylist(), strict=True):
+                if this != open_key:
+                    open_key, chunk, size = this, 1, 0
+                if cost is None or cost > most:
+                    chunks.append(None)
+                    continue
+                if size and size + cost > most:
+                    chunk, size = chunk + 1, 0
+                size += cost
+                chunks.append(chunk)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: n + 3], pa.array(chunks, pa.int32())], [*batch.schema.names[: n + 3], "chunk"])
+
+    schema = rows.drop("limit").withColumn("chunk", F.lit(0)).schema
+    for field in schema.fields:
+        field.nullable = True
+    return rows.mapInArrow(packed, schema).withColumn("oversized", F.col("chunk").isNull())
 
 
 def limit_chunks(packed: DataFrame, most: int | None = MAX_CHUNKS) -> DataFrame:
@@ -141,9 +144,12 @@ def build_envelopes(changes: DataFrame, packed: DataFrame, findings: DataFrame,
     rows = rows.withColumn("prescan", F.coalesce("prescan", none))
     label = F.concat_ws("/", F.col("chunk").cast("string"), F.col("chunks").cast("string"))
     rows = rows.withColumn("metadata", F.col("metadata").withField("chunk", label))
-    # A path that a chunk holds twice has its last patch.
-    last = F.filter("rows", lambda r, i: ~F.exists(F.slice(F.col("rows"), i + 2, F.size("rows")), lambda x: x["path"] == r["path"]))
-    rows = rows.withColumn("map", F.map_from_entries(F.transform(last, lambda r: F.struct(r["path"], r["patch"]))))
+    # A path that a chunk holds twice has its last patch: sorted by path and place, those that the same path doesn't follow.
+    by_path = F.array_sort(F.transform("rows", lambda r, i: F.struct(r["path"].alias("path"), i.alias("at"))))
+    rows = rows.withColumn("by_path", by_path)
+    last = F.filter("by_path", lambda r, i: ~F.get("by_path", i + 1)["path"].eqNullSafe(r["path"]))
+    at = F.array_sort(F.transform(last, lambda r: r["at"]))
+    rows = rows.withColumn("map", F.map_from_entries(F.transform(at, lambda i: F.struct(F.get("rows", i)["path"], F.get("rows", i)["patch"]))))
     options = {"ignoreNullFields": "false"}
     rows = rows.withColumn("trusted_hash", canonical_digest(F.to_json(F.struct("metadata", "prescan"), options)))
     rows = rows.withColumn("target_hash", canonical_digest(F.to_json(F.struct("context", F.col("map").alias("files")), options)))

@@ -124,7 +124,7 @@ def tables_of(sql: str) -> set[str]:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of a folder; the texts that scans work on are spread over the cores."""
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(rows) if name in ("documents", "orders", "part") else rows
+    return spread(rows) if name in ("documents", "orders", "part", "lineitem") else rows
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
