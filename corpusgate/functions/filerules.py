@@ -37,24 +37,30 @@ EXCEPTION = re.compile(r"\s*# runtime-root: this container .*\S.* \(Rule 12 exce
 CONTAINERS = ("containers", "initContainers", "ephemeralContainers")
 
 
+def stopped(limit: int) -> str:
+    return f"reached violation limit ({limit}), stopping"
+
+
 def _is_heading(lines: list[str], i: int) -> bool:
     """Whether line i underlines a heading: a line of plain text is above it."""
     above = lines[i - 1].strip() if i else ""
     return bool(above) and not above.startswith(("```", "~~~", "#", "<", ">", "|", "="))
 
 
-def conflicts(text: str, markdown: bool = False, size: int | None = None) -> Iterator[Row]:
-    """Conflict blocks and markers that belong to none, for markers of three characters and more, or of the given size."""
+def conflicts(text: str, markdown: bool = False, size: int | None = None, limit: int | None = MAX_CONFLICTS, width: int | None = MAX_LINE) -> Iterator[Row]:
+    """Conflict blocks and markers that belong to none, for markers of three characters and more, or of the given size.
+
+    After `limit` findings a row says so and ends it; of a line, the first `width` characters are read. None: no limit."""
     lines = text.splitlines()
     opened: tuple[int, int] | None = None  # line and width of the open block
     parted = False
     said = 0
     matters = lambda n: n >= 3 or n == size
     for number, line in enumerate(lines, 1):
-        if said >= MAX_CONFLICTS:
-            yield number, f"reached violation limit ({MAX_CONFLICTS}), stopping"
+        if limit is not None and said >= limit:
+            yield number, stopped(limit)
             break
-        match = MARKER.match(line[:MAX_LINE])
+        match = MARKER.match(line if width is None else line[:width])
         if match is None:
             continue
         mark = match["mark"] or match["base"] or match["parting"]
@@ -88,7 +94,7 @@ def excused(comment: str) -> bool:
     return any(w in words for w in EXCUSES) and not any(w in words for w in SECURITY)
 
 
-def weak_hash_text(text: str) -> Iterator[Row]:
+def weak_hash_text(text: str, limit: int | None = MAX_HASHES) -> Iterator[Row]:
     """Calls that look like weak hashes; a comment right after the call, on its line, may excuse it."""
     said = 0
     for match in HASH_CALL.finditer(text):
@@ -99,7 +105,8 @@ def weak_hash_text(text: str) -> Iterator[Row]:
             continue
         yield text.count("\n", 0, match.start()) + 1, HASH_MESSAGE
         said += 1
-        if said >= MAX_HASHES:
+        if limit is not None and said >= limit:
+            yield 0, stopped(limit)
             return
 
 
@@ -158,7 +165,7 @@ class _Hashes(ast.NodeVisitor):
         self.generic_visit(node)
 
 
-def weak_hash_python(text: str) -> Iterator[Row]:
+def weak_hash_python(text: str, limit: int | None = MAX_HASHES) -> Iterator[Row]:
     """Weak calls by what their names stand for; a file that can't be parsed is reported, not passed."""
     try:
         tree = ast.parse(text)
@@ -169,10 +176,12 @@ def weak_hash_python(text: str) -> Iterator[Row]:
         yield 0, "malformed Python cannot be checked"
         return
     comments = {(t.start[0], t.start[1]): t.string[1:].strip() for t in tokens}
-    for call in hashes.calls[:MAX_HASHES]:
+    for call in hashes.calls[:limit]:
         after = (x for (line, column), x in comments.items() if line == call.end_lineno and column >= call.end_col_offset)
         if not any(map(excused, after)):
             yield call.lineno, HASH_MESSAGE
+    if limit is not None and len(hashes.calls) > limit:
+        yield 0, stopped(limit)
 
 
 def is_dockerfile(name: str) -> bool:
@@ -345,11 +354,11 @@ def inferred_utf(content: bytes) -> str | None:
 _MARKS = ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe\x00\x00", "utf-32"), (b"\x00\x00\xfe\xff", "utf-32"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16"))
 
 
-def decode(content: bytes, mode: str = "conflict", hint: str | None = None) -> tuple[str | None, str | None]:
-    """Text and error. conflict: a mark, else the hint, else UTF-8, else null for a file with NUL, else Latin-1, within
-    MAX_BYTES. tree: a mark, else UTF-16 and 32 by their NULs, else UTF-8, else Latin-1."""
-    if mode == "conflict" and len(content) > MAX_BYTES:
-        return None, f"size ({len(content)} bytes) exceeds limit ({MAX_BYTES} bytes)"
+def decode(content: bytes, mode: str = "conflict", hint: str | None = None, most: int | None = MAX_BYTES) -> tuple[str | None, str | None]:
+    """Text and error. conflict: a mark, else the hint, else UTF-8, else null for a file with NUL, else Latin-1; of more than
+    `most` bytes (None: no limit) an error instead. tree: a mark, else UTF-16 and 32 by their NULs, else UTF-8, else Latin-1."""
+    if mode == "conflict" and most is not None and len(content) > most:
+        return None, f"size ({len(content)} bytes) exceeds limit ({most} bytes)"
     marked = next((e for m, e in _MARKS if content.startswith(m)), None)
     strict = "strict" if mode == "tree" else "replace"
     tried = [(marked, strict)] if marked else []

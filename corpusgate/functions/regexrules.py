@@ -22,6 +22,7 @@ _TOKEN = re.compile(
     |(?P<atom>.)""",
     re.VERBOSE | re.DOTALL,
 )
+#: Where JavaScript has regular expressions.
 JS_REGEXP = re.compile(r"new\s+RegExp\(\s*(?P<quote>['\"])(?P<body>(?:\\.|(?!(?P=quote))[^\\\n])*)(?P=quote)")
 JS_LITERAL = re.compile(r"(?:^|[=(,:!&|?{};])[ \t]*/(?![/*])(?P<body>(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])*)/", re.MULTILINE)
 

@@ -45,6 +45,22 @@ def coauthors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.coauthor_violations(_commits(spark, sf_dir), approved)
 
 
+def prose_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of all rules by source and category, in all documents."""
+    return prose.prose_counts(table(spark, sf_dir, "documents"), ["source"])
+
+
+#: A text without control characters that end lines elsewhere than in SQL.
+_SHOWN = "regexp_replace(coalesce(text, ''), '[\\r\\x0B\\x0C\\x1C-\\x1E\\x{85}\\x{2028}\\x{2029}]', ' ', 'g')"
+
+
+def masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as prose, as a fenced block, and as inline code that isn't closed."""
+    text = F.translate(F.regexp_replace(F.coalesce("text", F.lit("")), "[\\r\\x0B\\x0C\\x1C-\\x1E\\x{85}\\x{2028}\\x{2029}]", " "), "`~", "__")
+    built = F.concat(F.lit("see `a b` and"), text, F.lit("\n```py\n"), text, F.lit("\n```\n"), text, F.lit("`"), text)
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(prose.mask_markdown_code(built), 256).alias("digest"))
+
+
 def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.account_mismatch(_commits(spark, sf_dir), view(spark, sf_dir, "accounts"))
 
@@ -188,5 +204,15 @@ QUERIES = {
     ),
     "w1_w3_prose_findings": (prose_findings, None),
     "w5_message_prose": (message_prose, None),
-    "w8_sanitize_ascii": (sanitized, None),
+    "w2_prose_counts": (prose_counts, None),
+    "w3_mask_markdown_code": (
+        masked,
+        f"""SELECT doc_id, sha256('see       and' || t || chr(10) || '     ' || chr(10) || regexp_replace(t, '[^\\n]', ' ', 'g') || chr(10) || '   ' || chr(10) || t || ' ' || regexp_replace(t, '[^\\n]', ' ', 'g')) AS digest
+          FROM (SELECT doc_id, translate({_SHOWN}, '`~', '__') AS t FROM documents)""",
+    ),
+    "w8_sanitize_ascii": (
+        sanitized,
+        """SELECT doc_id, CASE WHEN length(t) <= 200 THEN t ELSE substr(t, 1, 200) || '...[truncated]' END AS shown FROM (SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text, '(?s).'), lambda c:
+          CASE WHEN c BETWEEN ' ' AND '~' THEN c WHEN unicode(c) <= 255 THEN '\\x' || lpad(lower(to_hex(unicode(c))), 2, '0') ELSE '\\u' || lpad(lower(to_hex(unicode(c))), 4, '0') END), '') AS t FROM documents)""",
+    ),
 }

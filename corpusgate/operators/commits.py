@@ -25,12 +25,17 @@ MAX_MESSAGE_BYTES = 256 * 1024
 MAX_TOTAL_BYTES = 4 * 1024 * 1024
 EXEMPT_BRANCHES = ["", "main", "master", "HEAD"]
 AGENT_PREFIX = "claude/"
-BANNED_TOKENS = "ass bastard bitch crap damn dick fuck piss porn sex shit slut whore".split()
-FOREIGN_TOKENS = (
-    "el la de que una para con las los por como pero esta este cuando le des une est dans avec pas pour sont vous nous cette mais der die das und ist "
-    "nicht auch eine einen sich auf nao dos com sao isso il di che sono questo anche sul"
-).split()
-TECHNICAL_TOKENS = "base64 es2022 oauth2 python310 sha256".split()
+BANNED_TOKENS = [
+    "ass", "bastard", "bitch", "crap", "damn", "dick", "fuck", "piss", "porn", "sex", "shit", "slut", "whore",
+]
+FOREIGN_TOKENS = [
+    "el", "la", "de", "que", "una", "para", "con", "las", "los", "por", "como", "pero", "esta", "este", "cuando", "le", "des", "une", "est",
+    "dans", "avec", "pas", "pour", "sont", "vous", "nous", "cette", "mais", "der", "die", "das", "und", "ist", "nicht", "auch", "eine",
+    "einen", "sich", "auf", "nao", "dos", "com", "sao", "isso", "il", "di", "che", "sono", "questo", "anche", "sul",
+]
+TECHNICAL_TOKENS = [
+    "base64", "es2022", "oauth2", "python310", "sha256",
+]
 
 
 def _when_list(*pairs: tuple[Column, Column | str]) -> Column:

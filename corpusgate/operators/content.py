@@ -30,23 +30,24 @@ def _quoted(text: str) -> str:
     return "\\Q" + text + "\\E"
 
 
-def _decoder(mode: str):
+def _decoder(mode: str, most: int | None):
     @F.pandas_udf(_DECODED)
     def decoded(contents: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([(None, None) if c is None else filerules.decode(bytes(c), mode) for c in contents], columns=["text", "error"])
+        return pd.DataFrame([(None, None) if c is None else filerules.decode(bytes(c), mode, most=most) for c in contents], columns=["text", "error"])
 
     return decoded
 
 
-def decode_text(files: DataFrame, mode: str = "conflict") -> DataFrame:
-    """files with text and error in place of content.
+def decode_text(files: DataFrame, mode: str = "conflict", most: int | None = filerules.MAX_BYTES) -> DataFrame:
+    """files with text and error in place of content. Larger files than `most` bytes are an error; None: no limit.
 
     Valid UTF-8 without a mark and without NUL, nearly all of a tree, is decoded by Spark; the helper sees the rest."""
     ship(files.sparkSession)
     head = F.hex(F.substring("content", 1, 3))
     plain = F.is_valid_utf8(F.col("content").cast("string")) & ~head.startswith("EFBBBF") & ~head.startswith("FFFE") & ~head.startswith("FEFF")
-    plain = plain & ~F.contains(F.col("content").cast("string"), F.lit("\0")) & (F.length("content") <= filerules.MAX_BYTES)
-    odd = _decoder(mode)(F.when(~plain, F.col("content")))
+    plain = plain & ~F.contains(F.col("content").cast("string"), F.lit("\0"))
+    plain = plain if most is None else plain & (F.length("content") <= most)
+    odd = _decoder(mode, most)(F.when(~plain, F.col("content")))
     rows = files.withColumn("plain", plain).withColumn("odd", odd)
     text = F.when(F.col("plain"), F.col("content").cast("string")).otherwise(F.col("odd.text"))
     return rows.withColumn("text", text).withColumn("error", F.when(~F.col("plain"), F.col("odd.error"))).drop("plain", "odd", "content")

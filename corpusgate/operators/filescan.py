@@ -45,9 +45,10 @@ def _by_rule(files: DataFrame, rule: Rule, check: str) -> DataFrame:
     return out.select(*names, F.lit(check).alias("check"), F.explode("found").alias("f")).select(*names, "check", "f.line", "f.message")
 
 
-def conflict_markers(files: DataFrame, size: int | None = None) -> DataFrame:
+def conflict_markers(files: DataFrame, size: int | None = None, limit: int | None = filerules.MAX_CONFLICTS, width: int | None = filerules.MAX_LINE) -> DataFrame:
+    """Conflicts of each file. limit: findings of a file, after which a row says so; width: characters of a line that are read; None: no limit."""
     hit = files.filter(F.col("text").rlike("(?m)^[<>=|]"))
-    return _by_rule(hit, lambda text, path: filerules.conflicts(text, _is_markdown(path), size), "conflict")
+    return _by_rule(hit, lambda text, path: filerules.conflicts(text, _is_markdown(path), size, limit, width), "conflict")
 
 
 def _is_markdown(path: str) -> bool:
@@ -58,14 +59,15 @@ def _lower(path: str = "path") -> Column:
     return F.lower(path)
 
 
-def weak_hash_text(files: DataFrame) -> DataFrame:
+def weak_hash_text(files: DataFrame, limit: int | None = filerules.MAX_HASHES) -> DataFrame:
+    """limit: findings of a file, after which a row says so; None: no limit."""
     code = files.filter(suffix(_lower()).isin([s for s in CODE if s not in (".py", ".pyw")]) & F.col("text").rlike("(?i)md5|sha-?1"))
-    return _by_rule(code, lambda text, path: filerules.weak_hash_text(text), "weak-hash")
+    return _by_rule(code, lambda text, path: filerules.weak_hash_text(text, limit), "weak-hash")
 
 
-def weak_hash_python(files: DataFrame) -> DataFrame:
-    """Every Python file, as one that can't be parsed is a finding too."""
-    return _by_rule(files.filter(suffix(_lower()).isin([".py", ".pyw"])), lambda text, path: filerules.weak_hash_python(text), "weak-hash")
+def weak_hash_python(files: DataFrame, limit: int | None = filerules.MAX_HASHES) -> DataFrame:
+    """Every Python file, as one that can't be parsed is a finding too. limit: as for weak_hash_text."""
+    return _by_rule(files.filter(suffix(_lower()).isin([".py", ".pyw"])), lambda text, path: filerules.weak_hash_python(text, limit), "weak-hash")
 
 
 def is_dockerfile(path: Column) -> Column:
@@ -120,13 +122,15 @@ def compliance_scan(files: DataFrame, limit: int | None = MAX_ROWS) -> DataFrame
     """repo, rev, path, check, line, message over whole trees: every rule on the files it is for, each distinct blob once.
 
     files: repo, rev, path, blob_id, mode, text. Fixtures aren't held to the rule on hashes. Beyond `limit` findings of
-    a tree, one row says so; conflicts are looked for only in trees below it. None: no limit."""
+    a tree, one row says so; conflicts are looked for only in trees below it. None: no limit,
+    in any file either."""
     tree = ["repo", "rev"]
     names = ["repo", "rev", "path", "blob_id", "mode"]
 
     def scan(rows: DataFrame) -> DataFrame:
         code = rows.filter(~F.lower("path").startswith(FIXTURES))
-        plain = [action_pins(rows), weak_hash_text(code), weak_hash_python(code), dockerfile_root(rows), manifest_root(rows)]
+        each = filerules.MAX_HASHES if limit is not None else None
+        plain = [action_pins(rows), weak_hash_text(code, each), weak_hash_python(code, each), dockerfile_root(rows), manifest_root(rows)]
         return union([p.select("blob_id", "dispatch", "check", "line", "message") for p in plain])
 
     held = files.select(*names, "text")
@@ -137,7 +141,7 @@ def compliance_scan(files: DataFrame, limit: int | None = MAX_ROWS) -> DataFrame
         full = rules.groupBy(*tree).count().filter(F.col("count") >= limit).select(*tree)
         rest = rest.join(full, tree, "left_anti")
     conflicts = scan_distinct_blobs(
-        rest, dispatch_key(), lambda rows: conflict_markers(rows).select("blob_id", "dispatch", "check", "line", "message")
+        rest, dispatch_key(), lambda rows: (conflict_markers(rows) if limit is not None else conflict_markers(rows, limit=None, width=None)).select("blob_id", "dispatch", "check", "line", "message")
     ).select(*tree, "path", "check", "line", "message")
 
     if limit is None:

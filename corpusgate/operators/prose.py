@@ -114,6 +114,23 @@ def message_prose(commits: DataFrame) -> DataFrame:
     return prose_findings(rows, ["repo", "sha", "part"])
 
 
+def mask_markdown_code(text: Column) -> Column:
+    """The text with its fenced blocks and inline code blank, places and line feeds kept, as the prose rules read it."""
+    blank = lambda part: F.regexp_replace(part, "[^\n]", " ")
+    outside = lambda part: F.array_join(F.transform(F.split(part, "`", -1), lambda x, i: F.when(i % 2 == 1, blank(x)).otherwise(x)), " ")
+    blocks = F.regexp_extract_all(text, F.lit(prosetext.FENCED), F.lit(0))
+    parts = F.zip_with(F.split(text, prosetext.FENCED, -1), blocks, lambda gap, block: F.concat(outside(gap), F.coalesce(blank(block), F.lit(""))))
+    return F.when(text.rlike("`|~~~"), F.array_join(parts, "")).otherwise(text)
+
+
+def prose_counts(docs: DataFrame, key: list[str]) -> DataFrame:
+    """key, category, texts and spans: how many texts have spans of each category, by all rules in their order and without overlaps."""
+    categories = F.array_distinct(F.transform("spans", lambda s: s["category"]))
+    counted = F.transform(categories, lambda c: F.struct(c.alias("category"), F.size(F.filter("spans", lambda s: s["category"] == c)).alias("n")))
+    rows = prose_spans(docs, key).select(*key, F.explode(counted).alias("c"))
+    return rows.groupBy(*key, F.col("c.category").alias("category")).agg(F.count(F.lit(1)).alias("texts"), F.sum("c.n").alias("spans"))
+
+
 #: Of the rules, those whose matches a plain pattern counts alike in every engine.
 COUNTED = {
     "comma_tail": ",\\s*(?:so|which)(?:[^A-Za-z0-9_]|$)",

@@ -222,3 +222,54 @@ def test_prose_handoff(spark):
     rows = spark.createDataFrame([("a.md", "As discussed, this session."), (prose.HANDOFF, "As discussed, this session.")], "path string, text string")
     found = prose.prose_findings(rows, ["path"], path="path").groupBy("path").count().collect()
     assert {r.path: r["count"] for r in found} == {"a.md": 2}
+
+
+def test_mask_in_both_engines(spark):
+    """Fences of other widths and signs, inline code over lines, odd line ends, by a walk over lines and signs."""
+    import random
+
+    from corpusgate.functions import prosetext
+    from corpusgate.operators.prose import mask_markdown_code
+
+    def walked(text):
+        out, fence, inline = "", None, False
+        for line in text.splitlines(keepends=True):
+            run = line.lstrip()
+            sign = run[:1] if run[:3] in ("```", "~~~") else ""
+            width = len(run) - len(run.lstrip(sign)) if sign else 0
+            if fence or sign:
+                out += "".join(c if c == "\n" else " " for c in line)
+                inline = False
+                if sign and not fence:
+                    fence = (sign, width)
+                elif sign and fence[0] == sign and width >= fence[1]:
+                    fence = None
+                continue
+            for c in line:
+                inline ^= c == "`"
+                out += " " if c == "`" or inline and c != "\n" else c
+        return out
+
+    rng = random.Random(17)
+    texts = ["".join(rng.choice(["`", "``", "```", "````", "~~~", "~~~~", "\n", "\n", "\n", "\r\n", "\x0b", "\u2028", " ", "\u3000", "a", "é😀"]) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    wanted = list(map(walked, texts))
+    assert list(map(prosetext.masked, texts)) == wanted
+    assert column(spark, texts, mask_markdown_code) == wanted
+
+
+def test_limits_or_none():
+    from corpusgate.functions import filerules
+
+    conflict = "<<<<<<< a\n=======\n>>>>>>> b\n" * 150
+    found = list(filerules.conflicts(conflict))
+    assert len(found) == filerules.MAX_CONFLICTS + 1 and "reached violation limit" in found[-1][1]
+    assert len(list(filerules.conflicts(conflict, limit=None))) == 150
+    far = " " * 70_000
+    assert list(filerules.conflicts(f"<<<<<<< {far}\n=======\n>>>>>>> b\n", limit=None, width=None))
+    text = "import hashlib\n" + "hashlib.md5(b'')\n" * 1200
+    capped, whole = list(filerules.weak_hash_python(text)), list(filerules.weak_hash_python(text, None))
+    assert len(whole) == 1200 and len(capped) == filerules.MAX_HASHES + 1 and "reached" in capped[-1][1]
+    script = "createHash('md5')\n" * 1200
+    assert len(list(filerules.weak_hash_text(script, None))) == 1200
+    assert len(list(filerules.weak_hash_text(script))) == filerules.MAX_HASHES + 1
+    assert filerules.decode(b"abc", most=2)[1] and filerules.decode(b"abc", most=None) == ("abc", None)

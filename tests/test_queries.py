@@ -29,6 +29,41 @@ def test_prose_of_every_language(spark, tmp_path):
     assert [(r.texts, r.history) for r in QUERIES["w2_prose_category_counts_all"](spark, str(tmp_path)).collect()] == [(3, 3)]
 
 
+def test_prose_counts_by_brute_force(spark):
+    from corpusgate.functions import prosetext
+    from corpusgate.operators.prose import default_denylist
+
+    deny, wanted = [(e, line) for e, _, line in default_denylist()], {}
+    for source, text in spark.read.parquet(f"{DATA}/documents.parquet").select("source", "text").collect():
+        of: dict = {}
+        for _, _, category, _ in prosetext.spans(text or "", deny):
+            of[category] = of.get(category, 0) + 1
+        for category, n in of.items():
+            texts, spans = wanted.get((source, category), (0, 0))
+            wanted[source, category] = (texts + 1, spans + n)
+    got = QUERIES["w2_prose_counts"](spark, str(DATA)).collect()
+    assert {(r.source, r.category): (r.texts, r.spans) for r in got} == wanted
+
+
+def test_message_prose_by_brute_force(spark):
+    """Subjects, their type blank, and bodies, each on its own, by the rules on one text."""
+    import re
+
+    from corpusgate.functions import prosetext
+    from corpusgate.operators import prose
+    from corpusgate.sources.synth import view
+
+    deny, wanted = [(e, line) for e, _, line in prose.default_denylist()], []
+    commits = view(spark, str(DATA), "commits").limit(400).cache()
+    for r in commits.collect():
+        subject = re.sub(prose.TYPE_PREFIX, lambda m: " " * len(m[0]), r.subject)
+        for part, text in (("subject", subject), ("body", r.body)):
+            for start, end, category, detail in prosetext.spans(text, deny):
+                wanted.append((r.repo, r.sha, part, text.count("\n", 0, start) + 1, start - text.rfind("\n", 0, start), category, detail, start, end))
+    assert sorted(tuple(r) for r in prose.message_prose(commits).collect()) == sorted(wanted)
+    assert wanted
+
+
 def test_entry_has_every_query():
     import __spark_entry__ as entry
 
