@@ -6,7 +6,7 @@ fewer words, the one run of all; without words, nothing, and such a document is
 1. Documents with equal sets form a class, which has a number of its own; what follows is between classes, so it doesn't
    depend on doc_ids being there or being different.
 2. BANDS x ROWS minima of each set make band keys, and the low B bits of each minimum a packed signature.
-3. Classes in a band's bucket are paired with the smallest of them, the hub. A pair is a candidate if set sizes allow
+3. Classes in a band's bucket are paired with that of the smallest doc_id, the hub. A pair is a candidate if set sizes allow
    the wanted similarity and the bit counts of the signatures, corrected for chance collisions, estimate it within
    SLACK (over five standard errors).
 4. Candidates are confirmed on the full sets, and links make components.
@@ -205,7 +205,7 @@ def _across(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = F.least(F.col("n_u") - F.col("p_u"), F.col("n_v") - F.col("p_v")) + 1
     enough = left * (100 + percent) >= (F.col("n_u") + F.col("n_v")) * percent
     asking = side("u").join(most, "shingle").filter("c_u <> most")
-    return asking.join(side("v"), "shingle").filter("c_u <> c_v and (c_v = most or u < v)").filter(enough).select("u", "v")
+    return asking.join(side("v"), "shingle").filter("c_u <> c_v and (c_v = most or u < v)").filter(enough).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
 
 
 def linked_classes(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -218,9 +218,11 @@ def linked_classes(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame,
         F.count(F.lit(1)).alias("members"), F.min("doc_id").alias("doc_id"), F.min(F.struct(*TEXT)).alias("of"), F.first("signature").alias("signature"), F.first("bands").alias("bands")
     )
     reps = materialised(classes.withColumn("rep", F.monotonically_increasing_id()), "neardup-classes")
-    members = reps.select("rep", F.explode("bands").alias("band"))
-    buckets = members.groupBy("band").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("held")).filter("held > 1")
-    placed = materialised(members.join(buckets, "band"), "neardup-buckets")
+    # The hub is the class with the smallest doc_id: copies come after what they are copies of.
+    members = reps.select("rep", "doc_id", F.explode("bands").alias("band"))
+    hub = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rep"))["rep"]
+    buckets = members.groupBy("band").agg(hub.alias("hub"), F.count(F.lit(1)).alias("held")).filter("held > 1")
+    placed = materialised(members.drop("doc_id").join(buckets, "band"), "neardup-buckets")
     first = placed.filter("rep <> hub").select(F.col("hub").alias("u"), F.col("rep").alias("v"))
     # Few documents share a bucket. Up to BROADCAST_IDS of them are sent around, so that only their texts are dealt.
     wanted = materialised(reps.join(placed.select("rep").distinct(), "rep", "left_semi").select("rep", *EQUAL, "of.*"), "neardup-wanted")
