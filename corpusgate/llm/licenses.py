@@ -85,6 +85,9 @@ def _constant(value: object, kind: str) -> str:
 
 def alignments(words: str, found: Index) -> str:
     """SQL for the matches in an array of words: array<struct<notice, share>>, share in parts of UNIT."""
+    none = "CAST(array() AS array<struct<notice:int,share:bigint>>)"
+    if not found.postings:  # no documents, no weights
+        return none
     postings = _constant(found.postings, "map<string,array<struct<n:int,p:int,w:bigint>>>")
     texts = _constant([[{"t": w, "w": x} for w, x in zip(*pair, strict=True)] for pair in zip(WORDS, found.weights, strict=True)], "array<array<struct<t:string,w:bigint>>>")
     asked = ", ".join(map(literal, sorted(found.postings)))
@@ -102,7 +105,7 @@ def alignments(words: str, found: Index) -> str:
     whole = f"filter(flatten(transform(sequence(0, greatest(size({words}) - 1, 0), {BLOCK}), s -> {aligned})), m -> m.share >= {math.ceil(SCORE * UNIT)})"
     keys = f"forall(element_at({_constant(_KEYS, 'array<array<string>>')}, m.notice + 1), k -> contains(joined, k))"
     sure = let("joined", f"concat(' ', array_join({words}, ' '), ' ')", f"filter({let('found', whole, 'found')}, m -> {keys})")
-    return f"CASE WHEN size({words}) > 0 THEN {sure} ELSE CAST(array() AS array<struct<notice:int,share:bigint>>) END"
+    return f"CASE WHEN size({words}) > 0 THEN {sure} ELSE {none} END"
 
 
 def _starts(words: Column, phrase: str) -> Column:
