@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusgate.llm import decontamination, extraction, fingerprints, langid, licenses, mixing, neardup, oracles, secrets, sharding, tokencount
+from corpusgate.llm import alignment, decontamination, extraction, fingerprints, langid, licenses, mixing, neardup, oracles, secrets, sharding, tokencount
 from corpusgate.llm.common import table
 
 
@@ -34,11 +34,11 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.counted(table(spark, sf_dir, "documents"))
 
 
-def vocabulary() -> str:
-    """Path of the vocabulary that op6 counts with."""
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    """Path of a vocabulary; the one that op6 counts with."""
     import public_tokenizers
 
-    return str(public_tokenizers.path("byte_bpe_50k.json"))
+    return str(public_tokenizers.path(name))
 
 
 def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +61,11 @@ def op10_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.main_texts(table(spark, sf_dir, "pages"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return alignment.digested(alignment.align(docs, vocabulary(), vocabulary("piece_bpe_32k.model")).documents)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_neardup,
         op9_decontamination,
         op10_extraction,
+        op13_alignment,
     )
 }
 ORACLES: dict[str, str] = {
