@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpusgate.llm import alignment, decontamination, extraction, fingerprints, langid, licenses, mixing, neardup, oracles, secrets, sharding, tokencount
+from corpusgate.llm import alignment, decontamination, extraction, fingerprints, langid, licenses, mixing, neardup, oracles, periodic, secrets, sharding, tokencount
 from corpusgate.llm.common import table
 
 
@@ -61,6 +62,12 @@ def op10_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.main_texts(table(spark, sf_dir, "pages"))
 
 
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    edited = docs.withColumn("text", periodic.made_periodic(F.col("doc_id"), F.col("text")))
+    return periodic.digested(periodic.periodic_runs(edited))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return alignment.digested(alignment.align(docs, vocabulary(), vocabulary("piece_bpe_32k.model")).documents)
@@ -79,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_neardup,
         op9_decontamination,
         op10_extraction,
+        op12_runs,
         op13_alignment,
     )
 }
