@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgate.llm import alignment, decontamination, extraction, fingerprints, langid, licenses, mixing, neardup, oracles, periodic, secrets, sharding, tokencount
+from corpusgate.llm import alignment, decontamination, extraction, fingerprints, langid, licenses, mixing, neardup, oracles, periodic, secrets, sharding, tokencount, toxicity
 from corpusgate.llm.common import table
 
 
@@ -62,6 +62,10 @@ def op10_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.main_texts(table(spark, sf_dir, "pages"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.predicted(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     edited = docs.withColumn("text", periodic.made_periodic(F.col("doc_id"), F.col("text")))
@@ -86,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_neardup,
         op9_decontamination,
         op10_extraction,
+        op11_toxicity,
         op12_runs,
         op13_alignment,
     )
