@@ -1,13 +1,13 @@
 """Toxicity by a classifier that is trained to say the same when identity terms are swapped.
 
-A text's features are its distinct lower-cased words. Training takes a bounded sample of labelled documents, keeps the words that go with a label
+A text's features are its distinct lower-cased words and their stems, that is their first letters. Training takes a bounded sample of labelled documents, keeps the features that go with a label
 beyond chance and every identity term, and fits a logistic model. For each labelled text with identity terms, counterfactual texts have each term
 replaced by the next ones of its group, and by none; the squares of the changes of score that this brings (before the logistic function) are added
-to the loss, so that what a label owes to a group being named isn't learned as that group's weight. Scoring is a sum over the words of a whole text.
+to the loss, so that what a label owes to a group being named isn't learned as that group's weight. Scoring is a sum over the features of a whole text.
 
-A text without known words, an empty one and a null one get the model's base score. Labels other than 0 and 1, and null ones, aren't learned from;
+A text without known features, an empty one and a null one get the model's base score. Labels other than 0 and 1, and null ones, aren't learned from;
 where training has no label of one kind the model is constant: the share of toxic labels, 0 without any. Of repeated rows of a doc_id training
-takes one, the one whose words come first.
+takes one, the one whose features come first.
 """
 
 from __future__ import annotations
@@ -26,19 +26,21 @@ from corpusgate.llm.common import PLAIN, materialised, shipped
 
 #: Labelled documents that training takes: all up to this many, else as many by a hash of doc_id.
 SAMPLE = 20_000
-#: Words that the model may weigh, besides identity terms: those that go with a label most clearly.
+#: Features that the model may weigh, besides identity terms: those that go with a label most clearly.
 FEATURES = 4096
-#: A word is a feature if so many documents of the sample have it, and its G statistic against the labels reaches this.
+#: A feature is weighed if so many documents of the sample have it, and its G statistic against the labels reaches this.
 LEAST_DOCUMENTS = 3
 LEAST_G = 12.0
 #: A longer word is no feature.
 WORD_LENGTH = 40
+#: Letters of a word's stems; longer words have them.
+STEMS = (3, 4, 5, 6)
 #: Weights of the squared weights and of the squared changes under a swap, for each document of the sample.
 SHRINK = 5e-4
 EVEN = 1.0
 #: Terms of a group that each term is swapped with, besides none.
 SWAPS = 3
-STEPS = 600
+STEPS = 150
 #: Words that name groups of people, by what they are told apart by; terms of a group can stand for each other.
 IDENTITY_TERMS = (
     ("women", "men", "girls", "boys", "ladies", "gentlemen", "females", "males", "transgender", "nonbinary"),
@@ -65,7 +67,7 @@ _WORD = re.compile(PLAIN)
 
 
 class Model(NamedTuple):
-    """The weight of each word, and the base; their sum goes through the logistic function."""
+    """The weight of each feature (a stem ends in *), and the base; their sum goes through the logistic function."""
 
     weights: dict[str, float]
     base: float
@@ -85,6 +87,16 @@ def swapped(words: set[str], groups: tuple[tuple[str, ...], ...] = IDENTITY_TERM
     return [rest, *(rest | {group[(i + k) % len(group)] for group, i, _ in named} for k in range(1, swaps + 1))]
 
 
+def features_of(words: set[str]) -> set[str]:
+    return words.union(*({f"{w[:k]}*" for w in words if len(w) > k} for k in STEMS))
+
+
+def changes_of(words: set[str], groups: tuple[tuple[str, ...], ...] = IDENTITY_TERMS, swaps: int = SWAPS) -> list[tuple[set[str], set[str]]]:
+    """The features that each counterfactual text loses and gains."""
+    own = features_of(words)
+    return [(own - other, other - own) for other in map(features_of, swapped(words, groups, swaps))]
+
+
 def _logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
@@ -110,23 +122,21 @@ def _sparse(rows: list[dict[int, float]]) -> Rows:
     return Rows(np.array(row, np.int64), np.array(feature, np.int64), np.array(value, float), len(rows))
 
 
-def fit(texts: list[set[str]], labels: list[int], features: list[str], groups: tuple[tuple[str, ...], ...] = IDENTITY_TERMS, even: float = EVEN, shrink: float = SHRINK) -> Model:
-    """A logistic model of the features, by accelerated gradient steps of a fixed size that the loss's curvature gives."""
+def fit(texts: list[set[str]], changes: list[tuple[set[str], set[str]]], labels: list[int], features: list[str], even: float = EVEN, shrink: float = SHRINK) -> Model:
+    """A logistic model of texts' features, by accelerated gradient steps, each feature's of a size that its curvature gives.
+
+    changes: what the counterfactuals of any text lose and gain."""
     y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
         return Model({}, -40.0 if not len(y) or not y.max() else 40.0)
     number = {w: i for i, w in enumerate(features)}
-    x = _sparse([{number[w]: 1.0 for w in words if w in number} for words in texts])
-    changes = []
-    for words in texts:
-        for other in swapped(words, groups):
-            changes.append({number[w]: float(w in other) - float(w in words) for w in words ^ other if w in number})
-    d = _sparse(changes)
+    x = _sparse([{number[w]: 1.0 for w in held if w in number} for held in texts])
+    d = _sparse([{number[w]: sign for sign, held in ((-1.0, lost), (1.0, gained)) for w in held if w in number} for lost, gained in changes])
     n, m = len(y), len(features)
-    # The greatest curvature: of the logistic part by rows' sizes, bounded by rows times columns, and of the penalties.
-    bound = lambda r, weight: weight * (np.bincount(r.row, abs(r.value), r.n)[r.row] * abs(r.value)).max(initial=0) * 1.0 if len(r.row) else 0.0
-    column = lambda r: np.bincount(r.feature, np.bincount(r.row, abs(r.value), r.n)[r.row] * abs(r.value), m).max(initial=0) if len(r.row) else 0.0
-    curvature = 0.25 * max(column(x) + 1, n) / n + 2 * even * column(d) / n + 2 * shrink
+    # A feature's curvature is no more than the sum of its row in X'X, which has the base as a feature of every text.
+    sums = lambda r, more: np.bincount(r.feature, (np.bincount(r.row, abs(r.value), r.n) + more)[r.row] * abs(r.value), m)
+    curvature = 0.25 * sums(x, 1) / n + 2 * even * sums(d, 0) / n + 2 * shrink
+    of_base = 0.25 * (n + len(x.row)) / n
     w = np.zeros(m)
     base = math.log(y.mean() / (1 - y.mean()))
     last_w, last_base = w, base
@@ -136,7 +146,7 @@ def fit(texts: list[set[str]], labels: list[int], features: list[str], groups: t
         last_w, last_base = w, base
         error = (_logistic(x.times(at_w) + at_base) - y) / n
         slope = x.back(error, m) + 2 * even / n * d.back(d.times(at_w), m) + 2 * shrink * at_w
-        w, base = at_w - slope / curvature, at_base - error.sum() / curvature
+        w, base = at_w - slope / curvature, at_base - error.sum() / of_base
     return Model({f: float(v) for f, v in zip(features, w, strict=True) if v}, float(base))
 
 
@@ -151,17 +161,21 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
     # At most `sample` rows of two numbers.
     chosen = told.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
-    def features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def told_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [sorted(words_of(x or "")) for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(words, pa.list_(pa.string()))], ["doc_id", "toxic", "words"])
+            words = [words_of(x or "") for x in batch.column("text").to_pylist()]
+            own = pa.array([sorted(features_of(w)) for w in words], pa.list_(pa.string()))
+            pair = pa.struct([("lost", pa.list_(pa.string())), ("gained", pa.list_(pa.string()))])
+            changes = pa.array([[{"lost": sorted(a), "gained": sorted(b)} for a, b in changes_of(w)] for w in words], pa.list_(pair))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), own, changes], ["doc_id", "toxic", "features", "changes"])
 
     labelled = shipped(docs).select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    rows = labelled.select("doc_id", "toxic", "text").mapInArrow(features_of, "doc_id bigint, toxic int, words array<string>")
-    rows = materialised(rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("words").alias("words")), "toxicity-sample")
+    schema = "doc_id bigint, toxic int, features array<string>, changes array<struct<lost:array<string>,gained:array<string>>>"
+    rows = labelled.select("doc_id", "toxic", "text").mapInArrow(told_apart, schema)
+    first = F.min(F.struct("features", "changes"))
+    rows = materialised(rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), first.alias("of")).select("doc_id", "toxic", "of.*"), "toxicity-sample")
     n, toxic = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    terms = sorted({t for group in IDENTITY_TERMS for t in group})
-    each = rows.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("k"))
+    each = rows.select("toxic", F.explode("features").alias("feature")).groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("k"))
     share = toxic / n if n else 0.0
     part = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
     missing, k = F.lit(n) - F.col("n"), F.col("k")
@@ -169,23 +183,30 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
         part(k, F.col("n") * share) + part(F.col("n") - k, F.col("n") * (1 - share)) + part(toxic - k, missing * share) + part(missing - toxic + k, missing * (1 - share))
     )
     clear = each.filter(F.col("n") >= LEAST_DOCUMENTS).withColumn("g", g).filter(F.col("g") >= LEAST_G)
-    best = [r.word for r in clear.orderBy(F.desc("g"), "word").limit(features).select("word").collect()] if 0 < toxic < n else []
-    vocabulary = sorted({*best, *terms})
-    known = F.array_intersect("words", F.array(*map(F.lit, vocabulary)))
-    found = rows.select("doc_id", "toxic", known.alias("words")).orderBy("doc_id").collect()
-    return fit([set(r.words) for r in found], [r.toxic for r in found], vocabulary, even=even)
+    best = [r.feature for r in clear.orderBy(F.desc("g"), "feature").limit(features).collect()] if 0 < toxic < n else []
+    vocabulary = sorted({*best, *(t for group in IDENTITY_TERMS for t in group)})
+    sent = docs.sparkSession.sparkContext.broadcast(frozenset(vocabulary))
+
+    def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [sorted(sent.value.intersection(x)) for x in batch.column("features").to_pylist()]
+            yield batch.set_column(2, "features", pa.array(kept, pa.list_(pa.string())))
+
+    found = rows.mapInArrow(weighed, schema).orderBy("doc_id").collect()
+    changes = [(set(c.lost), set(c.gained)) for r in found for c in r.changes]
+    return fit([set(r.features) for r in found], changes, [r.toxic for r in found], vocabulary, even)
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, score (0 to 1) and terms, the words of the text that speak for toxicity most, at most five, for each row."""
+    """key, score (0 to 1) and terms, the features of the text that speak for toxicity most, at most five, for each row."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, base = sent.value
         known = weights.keys()
         for batch in batches:
-            held = [words_of(x) & known if x else set() for x in batch.column(1).to_pylist()]
-            sums = np.array([base + math.fsum(map(weights.__getitem__, words)) for words in held])
+            held = [features_of(words_of(x)) & known if x else set() for x in batch.column(1).to_pylist()]
+            sums = np.array([base + math.fsum(map(weights.__getitem__, words)) for words in held], float)
             terms = [sorted((w for w in words if weights[w] > 0), key=lambda w: (-weights[w], w))[:5] for words in held]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_logistic(sums)), pa.array(terms, pa.list_(pa.string()))], [key, "score", "terms"])
 
