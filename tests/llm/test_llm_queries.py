@@ -22,7 +22,7 @@ def test_registered():
     import __spark_entry__ as entry
 
     assert {*llm.QUERIES, "pipeline"} <= set(entry.queries())
-    assert [n.split("_")[0] for n in llm.QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in llm.QUERIES] == [f"op{i}" for i in range(1, 14)]
 
 
 def test_tokens_as_the_library_counts(spark):
