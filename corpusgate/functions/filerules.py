@@ -64,24 +64,24 @@ def conflicts(text: str, markdown: bool = False, size: int | None = None, limit:
         if match is None:
             continue
         mark = match["mark"] or match["base"] or match["parting"]
-        kind, width = mark[0], len(mark)
+        kind, signs = mark[0], len(mark)
         rows: list[Row] = []
         if kind == "<":
             if opened and matters(opened[1]):
                 rows.append((opened[0], "unclosed conflict marker opener"))
-            opened, parted = (number, width), False
+            opened, parted = (number, signs), False
         elif kind == ">":
-            if opened and width == opened[1] and parted:
+            if opened and signs == opened[1] and parted:
                 rows.append((opened[0], f"unresolved conflict block to line {number}"))
             else:
                 if opened and matters(opened[1]):
                     rows.append((opened[0], "unclosed conflict marker opener"))
-                if matters(width):
+                if matters(signs):
                     rows.append((number, f"{'mismatched' if opened else 'orphan'} conflict marker closer"))
             opened = None
-        elif opened and width == opened[1]:
+        elif opened and signs == opened[1]:
             parted = True
-        elif matters(width) and not (kind == "=" and markdown and _is_heading(lines, number - 1)):
+        elif matters(signs) and not (kind == "=" and markdown and _is_heading(lines, number - 1)):
             rows.append((number, "orphan conflict marker separator"))
         said += len(rows)
         yield from rows

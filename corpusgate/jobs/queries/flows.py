@@ -11,7 +11,7 @@ from corpusgate.functions.shared import shared_folder
 from corpusgate.jobs import workloads
 from corpusgate.jobs.queries.scans import SQL_DEBUG, SQL_ENV, SQL_MARKERS, SQL_SUPPRESSED
 from corpusgate.operators import verdicts
-from corpusgate.sources.synth import view, with_views
+from corpusgate.sources.synth import VIEWS, view, with_views
 from corpusgate.streaming import prescan as streams
 
 
@@ -109,6 +109,28 @@ def stream_latest_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     return updates.groupBy("pr").agg(F.max(F.struct("seq", "head", "seen")).alias("n"), F.max("seen").alias("seen")).select("pr", "n.seq", "n.head", "seen")
 
 
+#: Longer than any table of events spans.
+REMEMBERED = "4000 days"
+#: Events as heads, in three deliveries by event_id; the last one repeats heads of the first and has heads from before the watermark.
+VIEWS["head_events"] = """
+SELECT user_id AS pr, event_type || '-' || CAST(event_id % 7 AS STRING) AS head, CAST(ts AS TIMESTAMP) AS at, CASE event_id % 3 WHEN 0 THEN 1 ELSE 0 END AS delivery FROM {events}
+UNION ALL SELECT user_id, event_type || '-' || CAST(event_id % 7 AS STRING), CAST(ts AS TIMESTAMP), 2 FROM {events} WHERE event_id % 3 = 0 OR event_id % 5 = 1
+UNION ALL SELECT user_id, 'late-' || CAST(event_id AS STRING), CAST(ts AS TIMESTAMP) - INTERVAL 9000 DAYS, 2 FROM {events} WHERE event_id % 4 = 0"""
+
+
+def stream_new_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heads to review, each once: two deliveries, a stop, and a third after the restart from the checkpoint."""
+    folder = f"{shared_folder(spark)}/new-heads-{uuid.uuid4().hex}"
+    events = view(spark, sf_dir, "head_events")
+    kept = spark.read.schema("pr bigint, head string")
+    for deliveries in ((0, 1), (2,)):
+        for number in deliveries:
+            events.filter(F.col("delivery") == number).drop("delivery").repartition(2).write.mode("append").parquet(f"{folder}/events")
+        heads = spark.readStream.schema(events.drop("delivery").schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/events")
+        streams.stream_new_heads(heads, f"{folder}/new", f"{folder}/checkpoint", REMEMBERED).awaitTermination()
+    return kept.parquet(f"{folder}/new")
+
+
 QUERIES = {
     "wa_prescan_to_envelopes": (prescan, None),
     "wb_reports_to_gate": (gate, None),
@@ -119,6 +141,7 @@ QUERIES = {
           CASE s_suppkey % 4 WHEN 2 THEN 'unknown verdict token MAYBE' WHEN 3 THEN 'model call failed: no answer' END AS problem FROM supplier""",
     ),
     "x1_stream_prescan": (stream_prescan, with_views(" UNION ALL ".join([SQL_MARKERS, SQL_SUPPRESSED, SQL_DEBUG, SQL_ENV]), "doc_files")),
+    "x2_stream_new_heads": (stream_new_heads, "SELECT DISTINCT user_id AS pr, event_type || '-' || CAST(event_id % 7 AS VARCHAR) AS head FROM events"),
     "x2_stream_latest_head": (
         stream_latest_head,
         "SELECT user_id AS pr, max(event_id) AS seq, arg_max(event_type || '-' || CAST(event_id % 7 AS VARCHAR), event_id) AS head, count(*) AS seen FROM events GROUP BY user_id",

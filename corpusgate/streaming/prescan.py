@@ -30,6 +30,15 @@ def distinct_heads(events: DataFrame, late: str = "1 hour") -> DataFrame:
     return events.withWatermark("at", late).dropDuplicatesWithinWatermark(["pr", "head"])
 
 
+def stream_new_heads(events: DataFrame, path: str, checkpoint: str, late: str = "1 hour") -> StreamingQuery:
+    """Appends pr and head of review events to Parquet, each head once for as long as it is remembered; a run goes on where the last one ended.
+
+    A head is forgotten when the watermark, `late` behind the newest event, has passed its first event by `late`; events older than the watermark are
+    dropped. So state holds the heads of about twice that time, not of all history."""
+    query = distinct_heads(events, late).select("pr", "head").writeStream.outputMode("append").format("parquet")
+    return query.option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def latest_heads(events: DataFrame) -> DataFrame:
     """pr, seq, head, seen: the newest head of each change set; an older one that arrives later doesn't replace it.
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import pathlib
+import random
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -273,3 +275,58 @@ def test_limits_or_none():
     assert len(list(filerules.weak_hash_text(script, None))) == 1200
     assert len(list(filerules.weak_hash_text(script))) == filerules.MAX_HASHES + 1
     assert filerules.decode(b"abc", most=2)[1] and filerules.decode(b"abc", most=None) == ("abc", None)
+
+
+def conflicts_restated(text, markdown, size):
+    """Blocks found first, from each opener to what ends it; what is in none is an orphan."""
+    lines = text.splitlines()
+    marks = []
+    for i, line in enumerate(lines):
+        match = re.fullmatch(r"(<+|>+)( .*)?|(\|+) *( .*)?|(=+)", line)
+        if match:
+            signs = next(g for g in (match[1], match[3], match[5]) if g)
+            marks.append((i, signs[0], len(signs)))
+    told = lambda n: n >= 3 or n == size
+    out, k = [], 0
+    while k < len(marks):
+        i, sign, n = marks[k]
+        if sign != "<":
+            heading = sign == "=" and markdown and filerules._is_heading(lines, i)
+            if told(n) and not heading:
+                out.append((i + 1, f"orphan conflict marker {'closer' if sign == '>' else 'separator'}"))
+            k += 1
+            continue
+        inner = []
+        k += 1
+        while k < len(marks) and marks[k][1] not in "<>":
+            inner.append(marks[k])
+            k += 1
+        parted = any(m == n for _, _, m in inner)
+        rows = [(j + 1, "orphan conflict marker separator") for j, s, m in inner if m != n and told(m) and not (s == "=" and markdown and filerules._is_heading(lines, j))]
+        closer = marks[k] if k < len(marks) and marks[k][1] == ">" else None
+        if closer and closer[2] == n and parted:
+            rows.append((i + 1, f"unresolved conflict block to line {closer[0] + 1}"))
+        else:
+            if told(n):
+                rows.append((i + 1, "unclosed conflict marker opener"))
+            if closer and told(closer[2]):
+                rows.append((closer[0] + 1, "mismatched conflict marker closer"))
+        out += rows
+        k += closer is not None
+    return out
+
+
+@pytest.mark.parametrize("markdown", [False, True])
+def test_conflicts_of_random_lines(markdown):
+    rng = random.Random(markdown)
+    for _ in range(3000):
+        lines = []
+        for _ in range(rng.randint(0, 12)):
+            n = rng.choice([1, 2, 3, 7, 7, 7, 9, 17])
+            lines.append(rng.choice(["<" * n, "<" * n + " ours", ">" * n, ">" * n + " theirs and more", "=" * n, "=" * n + " not a marker line", "|" * n + " base", "text", ""]))
+        text, size = "\n".join(lines), rng.choice([None, 2, 7])
+        wanted = conflicts_restated(text, markdown, size)
+        for limits in ({}, {"limit": None, "width": None}):
+            assert list(filerules.conflicts(text, markdown, size, **limits)) == wanted, text
+    block = f"<<<<<<< a\n======= {'x' * 30}\n=======\n>>>>>>> {'b' * 50}\n"
+    assert [n for n, _ in filerules.conflicts(block * 3, limit=2)] == [1, 5, 9]
