@@ -94,6 +94,14 @@ def prose_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prose.prose_findings(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
 
 
+def denied_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Occurrences in all documents of a deny list that is a table: the words of five plain letters and more of the benchmark's items."""
+    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{5,}"), F.lit(0)))
+    deny = table(spark, sf_dir, "benchmark").select("item_id", words.alias("entry")).groupBy("entry").agg(F.min("item_id").cast("int").alias("line"))
+    rows = prose.prose_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"], deny.withColumn("scope", F.lit("global")), rules=False)
+    return rows.select("doc_id", F.explode("spans").alias("s")).groupBy("doc_id", F.col("s.detail").alias("detail")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def message_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prose.message_prose(_commits(spark, sf_dir))
 
@@ -203,6 +211,11 @@ QUERIES = {
         UNION ALL SELECT s_suppkey, 'loose', NULL, 1, 'denylist entry lacks a scope' FROM supplier WHERE s_suppkey % 5 = 3""",
     ),
     "w1_w3_prose_findings": (prose_findings, None),
+    "w1_denylist_table": (
+        denied_words,
+        """SELECT doc_id, 'denylist line ' || line AS detail, count(*) AS n FROM (SELECT doc_id, lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) AS word FROM documents) AS d
+        JOIN (SELECT word, min(item_id) AS line FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z]{5,}')) AS word FROM benchmark) GROUP BY word) AS b USING (word) GROUP BY ALL""",
+    ),
     "w5_message_prose": (message_prose, None),
     "w2_prose_counts": (prose_counts, None),
     "w3_mask_markdown_code": (

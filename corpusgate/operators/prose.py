@@ -12,7 +12,10 @@ from corpusgate.functions import prosetext
 from corpusgate.functions.ship import ship
 from corpusgate.functions.text import column_of, line_of
 
-SCOPES = ["global", "handoff-exempt"]
+EXEMPT = "handoff-exempt"
+SCOPES = ["global", EXEMPT]
+#: Entries of a deny list that go out with one pass: some 50 MB of a worker.
+ENTRIES = 200_000
 #: The path of the notes for the next worker, and the deny list of the rules, by scope.
 HANDOFF = "plan/HANDOFF.md.example"
 DENYLIST = """[global]
@@ -33,6 +36,7 @@ denied outright
 Denied:
 the user"""
 TYPE_PREFIX = "^(?:feat|fix|chore|docs|test|ci):\\s+"
+_OCCURRENCES = "array<struct<line:int,start:int,end:int>>"
 _KIND = "array<struct<start:int,end:int,category:string,detail:string>>"
 
 
@@ -70,30 +74,69 @@ def default_denylist() -> list[tuple[str, str, int]]:
     return out
 
 
-def prose_spans(docs: DataFrame, key: list[str], deny: list[tuple[str, str, int]] | None = None, path: str | None = None) -> DataFrame:
-    """key, text, spans. deny: entries, scopes and lines, a short list that goes out with the function.
+def prose_spans(docs: DataFrame, key: list[str], deny: list[tuple[str, str, int]] | DataFrame | None = None, path: str | None = None, most: int = ENTRIES, rules: bool = True) -> DataFrame:
+    """key, text, spans. deny: entries, scopes and lines, or such a table (entry, scope, line, as `load_denylist` gives it; rows with an error don't count).
 
-    path: a column; on the handoff path, exempt entries and the provenance rule don't hold."""
-    ship(docs.sparkSession)
-    entries = default_denylist() if deny is None else deny
+    A table's entries are taken by line, then entry; an earlier one has priority. They go out with the function, `most` of them at a time: more take
+    more passes over a row, whose occurrences are kept in the row until all are known, and only then overlaps are settled and the other rules read.
+    path: a column; on the handoff path, exempt entries and the provenance rule don't hold. rules: False leaves the deny list alone."""
+    spark = docs.sparkSession
+    ship(spark)
     handoff = F.coalesce(F.col(path) == HANDOFF, F.lit(False)) if path else F.lit(False)
-    rows = docs.select(*key, F.coalesce(F.col("text"), F.lit("")).alias("text"), handoff.alias("handoff"))
+    none = F.array().cast(_OCCURRENCES)
+    rows = docs.select(*key, F.coalesce(F.col("text"), F.lit("")).alias("text"), handoff.alias("handoff"), none.alias("denied"))
     n = len(key)
+    names = rows.columns[: n + 2]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: n + 2])
+
+    def searched(entries: list[tuple[str, str, int]]):
+        """A pass that adds the occurrences of these entries."""
+        sent = spark.sparkContext.broadcast(tuple(entries))
+        kind = pa.list_(pa.struct([("line", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
+
+        def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            every = prosetext.denylist(tuple((e, line) for e, _, line in sent.value))
+            some = prosetext.denylist(tuple((e, line) for e, scope, line in sent.value if scope != EXEMPT))
+            for batch in batches:
+                out = batch.column(n + 2).to_pylist()
+                for held, text, note in zip(out, batch.column(n).to_pylist(), batch.column(n + 1).to_pylist(), strict=True):
+                    listed = some if note else every
+                    held += [{"line": listed.entries[i][1], "start": a, "end": b} for i, a, b in listed.matches(text)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[: n + 2], pa.array(out, kind)], [*names, "denied"])
+
+        return added
+
+    for entries in _entries(deny, most):
+        rows = rows.mapInArrow(searched(entries), f"{kinds}, denied {_OCCURRENCES}")
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every = [(e, line) for e, _, line in entries]
-        some = [(e, line) for e, scope, line in entries if scope != "handoff-exempt"]
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("category", pa.string()), ("detail", pa.string())]))
         for batch in batches:
             out = []
-            for text, note in zip(batch.column(n), batch.column(n + 1), strict=True):
-                found = prosetext.spans(text.as_py(), some if note.as_py() else every, note.as_py())
+            for text, note, held in zip(*(batch.column(n + i).to_pylist() for i in range(3)), strict=True):
+                found = prosetext.spans_beside(text, [(d["line"], d["start"], d["end"]) for d in held], note, rules)
                 out.append([{"start": a, "end": b, "category": c, "detail": d} for a, b, c, d in found])
-            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("category", pa.string()), ("detail", pa.string())]))
-            columns = [batch.column(i) for i in range(n + 1)] + [pa.array(out, kind)]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[: n + 1], "spans"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: n + 1], pa.array(out, kind)], [*names[: n + 1], "spans"])
+
+    return rows.mapInArrow(scanned, f"{kinds.rpartition(', ')[0]}, spans {_KIND}")
+
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: n + 1])
-    return rows.mapInArrow(scanned, f"{kinds}, spans {_KIND}")
+def _entries(deny: list[tuple[str, str, int]] | DataFrame | None, most: int) -> Iterator[list[tuple[str, str, int]]]:
+    """The entries in order, `most` at a time; of a table, one part is fetched after the other."""
+    if not isinstance(deny, DataFrame):
+        listed = default_denylist() if deny is None else deny
+        yield from (listed[i : i + most] for i in range(0, len(listed), most))
+        return
+    good = (deny.filter("error is null") if "error" in deny.columns else deny).select("entry", "scope", "line").distinct()
+    last = None
+    while True:
+        beyond = good if last is None else good.filter((F.col("line") > last[2]) | ((F.col("line") == last[2]) & ((F.col("entry") > last[0]) | ((F.col("entry") == last[0]) & (F.col("scope") > last[1])))))
+        part = [(r.entry, r.scope, r.line) for r in beyond.orderBy("line", "entry", "scope").limit(most).collect()]
+        if part:
+            yield part
+            last = part[-1]
+        if len(part) < most:
+            return
 
 
 def prose_findings(docs: DataFrame, key: list[str], **settings) -> DataFrame:
@@ -123,11 +166,11 @@ def mask_markdown_code(text: Column) -> Column:
     return F.when(text.rlike("`|~~~"), F.array_join(parts, "")).otherwise(text)
 
 
-def prose_counts(docs: DataFrame, key: list[str]) -> DataFrame:
+def prose_counts(docs: DataFrame, key: list[str], **settings) -> DataFrame:
     """key, category, texts and spans: how many texts have spans of each category, by all rules in their order and without overlaps."""
     categories = F.array_distinct(F.transform("spans", lambda s: s["category"]))
     counted = F.transform(categories, lambda c: F.struct(c.alias("category"), F.size(F.filter("spans", lambda s: s["category"] == c)).alias("n")))
-    rows = prose_spans(docs, key).select(*key, F.explode(counted).alias("c"))
+    rows = prose_spans(docs, key, **settings).select(*key, F.explode(counted).alias("c"))
     return rows.groupBy(*key, F.col("c.category").alias("category")).agg(F.count(F.lit(1)).alias("texts"), F.sum("c.n").alias("spans"))
 
 
