@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusgate.jobs.queries.scans import IN, SUFFIX, TEST
 from corpusgate.functions.text import SOURCE
 from corpusgate.operators import dependencies, diffs, findings, packing
-from corpusgate.sources.synth import VIEWS, view, with_views
+from corpusgate.operators.ranges import pack_ranges
+from corpusgate.sources.synth import VIEWS, table, view, with_views
 
 PR = ["pr"]
 BUDGET = 260
@@ -53,6 +54,17 @@ def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.limit_chunks(packing.pack_chunks(packing.measured(changes), PR, BUDGET), MOST)
 
 
+def packed_by_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All line items as the files of one change set, and each order's as those of another: packed over ranges."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("int").alias("cost"))
+    at = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "cost")).cast("int")
+    each = lines.withColumn("at", at).select(F.col("l_orderkey").alias("pr"), F.col("at").alias("ord"), F.lit("x").alias("path"), "cost")
+    whole = each.select(F.lit(0).cast("bigint").alias("pr"), (F.col("pr") * 100 + F.col("ord")).cast("int").alias("ord"), "path", "cost")
+    return pack_ranges(whole.unionByName(each), PR, 120).groupBy("pr", "chunk").agg(
+        F.count(F.lit(1)).alias("files"), F.sum("cost").alias("bytes"), F.min("ord").alias("first"), F.max("ord").alias("last")
+    )
+
+
 def unreviewed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.unreviewed_files(_changes(spark, sf_dir), _packed(spark, sf_dir), PR)
 
@@ -140,6 +152,17 @@ QUERIES = {
         with_views("SELECT DISTINCT * FROM pr_findings", "pr_findings"),
     ),
     "p8_p9_pack_chunks": (_packed, _with_packed("SELECT * FROM packed")),
+    "p8_pack_ranges": (
+        packed_by_ranges,
+        """WITH RECURSIVE each AS (SELECT l_orderkey AS pr, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, CAST(l_quantity AS INT)) AS INT) AS ord, CAST(l_quantity AS INT) AS cost FROM lineitem),
+        files AS (SELECT pr, ord, cost FROM each UNION ALL SELECT 0, CAST(pr * 100 + ord AS INT), cost FROM each),
+        sums AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY pr ORDER BY ord) AS rn, sum(cost) OVER (PARTITION BY pr ORDER BY ord) AS upto FROM files),
+        links AS MATERIALIZED (SELECT s.pr, s.rn, CAST(min(t.rn) AS BIGINT) AS nxt FROM (SELECT pr, rn, upto - cost + 120 AS most FROM sums) AS s
+          ASOF JOIN (SELECT pr, rn, upto FROM sums) AS t ON s.pr = t.pr AND t.upto > s.most GROUP BY s.pr, s.rn),
+        walk AS (SELECT pr, CAST(1 AS BIGINT) AS rn, 1 AS chunk FROM sums WHERE rn = 1 UNION ALL SELECT w.pr, l.nxt, w.chunk + 1 FROM walk AS w JOIN links AS l ON l.pr = w.pr AND l.rn = w.rn)
+        SELECT s.pr, CAST(chunk AS INT) AS chunk, count(*) AS files, CAST(sum(cost) AS BIGINT) AS bytes, min(ord) AS first, max(ord) AS last
+        FROM sums AS s ASOF JOIN walk AS w ON s.pr = w.pr AND s.rn >= w.rn GROUP BY s.pr, chunk""",
+    ),
     "p10_chunk_budget": (budgets, with_views(_BUDGET, "changes")),
     "p11_unreviewed_files": (
         unreviewed,

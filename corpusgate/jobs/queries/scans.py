@@ -110,6 +110,11 @@ def prescan_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings.with_prescan_ids(all_line_findings(spark, sf_dir), ["repo", "rev"])
 
 
+def prescan_ids_of_hot_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same ids, counted over ranges."""
+    return findings.with_prescan_ids(findings.dedupe(all_line_findings(spark, sf_dir)), ["repo", "rev"], hot=True)
+
+
 LIMIT = 5
 
 
@@ -238,6 +243,13 @@ QUERIES = {
             "doc_files",
         ),
     ),
+    "p6_prescan_ids_of_hot_units": (
+        prescan_ids_of_hot_units,
+        with_views(
+            f"SELECT *, 'P' || CAST(row_number() OVER (PARTITION BY repo, rev ORDER BY path, line, class_id, message) AS VARCHAR) AS id FROM ({SQL_LINE_CHECKS})",
+            "doc_files",
+        ),
+    ),
     "u9_cap_with_sentinel": (
         cap,
         with_views(

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusgate.operators.ranges import ranked
+
 #: A finding, after the columns that say which tree it is of.
 FIELDS = ["path", "line", "class_id", "message", "blocking"]
 #: Name, class, whether it blocks, whether it looks at a whole tree.
@@ -57,11 +59,17 @@ def ordered(findings: DataFrame, key: list[str]) -> DataFrame:
     return findings.orderBy(*key, "path", "line", "class_id", "message")
 
 
-def with_prescan_ids(findings: DataFrame, key: list[str]) -> DataFrame:
-    """findings with id P1, P2, ... in each unit of key: file checks before project checks, each by path and line."""
+def with_prescan_ids(findings: DataFrame, key: list[str], hot: bool = False) -> DataFrame:
+    """findings with id P1, P2, ... in each unit of key: file checks before project checks, each by path and line.
+
+    hot: ranks are counted over ranges, for units with more findings than one task should sort; equal findings must be taken out before."""
+    order = ["path", "line", "class_id", "message"]
     project = F.col("class_id").isin(PROJECT_CLASSES)
-    order = Window.partitionBy(*key).orderBy(project, "path", "line", "class_id", "message")
-    return findings.withColumn("id", F.concat(F.lit("P"), F.row_number().over(order).cast("string")))
+    if hot:
+        rows = ranked(findings.withColumn("__project", project), key, ["__project", *order, "blocking"], "__id").drop("__project")
+        return rows.withColumn("id", F.concat(F.lit("P"), F.col("__id").cast("string"))).drop("__id")
+    number = F.row_number().over(Window.partitionBy(*key).orderBy(project, *order))
+    return findings.withColumn("id", F.concat(F.lit("P"), number.cast("string")))
 
 
 def capped(rows: DataFrame, key: list[str], order: list[Column | str], limit: int, sentinel: Callable[[DataFrame], DataFrame]) -> DataFrame:
