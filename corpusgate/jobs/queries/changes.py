@@ -87,6 +87,13 @@ def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("pr", "chunk", "chunks", F.array_join("files", ",").alias("files"), "prescan_items", "error")
 
 
+def digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text of each envelope, as its digest, and the two digests in it."""
+    changes = _changes(spark, sf_dir)
+    rows = packing.build_envelopes(changes, _packed(spark, sf_dir), _prescan(spark, sf_dir), _prs(changes), PR)
+    return rows.select("pr", "chunk", F.sha2("envelope", 256).alias("envelope_sha256"), "trusted_hash", "target_hash", F.col("bytes").cast("bigint").alias("bytes"))
+
+
 def budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes that an envelope leaves for patches, without a prescan."""
     none = F.array().cast("array<struct<id:string,file:string,line:int,class:string,message:string,blocking:boolean>>")
@@ -130,6 +137,27 @@ SELECT pr, CAST({packing.MAX_BYTES} - strlen('{{"schema_version":"1","mode":"PR"
   || '","head_sha":"' || repeat('1', 40) || '","chunk":"","changed_files":["' || string_agg(path, '","') || '"],"unreviewed":[]}},"prescan":[],"sha256":"' || {_ZEROS}
   || '"}},"REVIEW_TARGET":{{"note":"{packing.TARGET_NOTE}","context":"Title: order ' || pr || '____","files":{{"' || string_agg(path, '":"","') || '":""}},"sha256":"' || {_ZEROS} || '"}}}}') AS BIGINT) AS budget,
   CAST(NULL AS VARCHAR) AS error FROM (SELECT DISTINCT pr, path FROM changes) GROUP BY pr"""
+#: Envelopes and what their digests are of, from aggregated parts: plain with "," and ":", and in canonical form.
+_ENVELOPES = f"""
+, kept AS (SELECT pr, ord, path, chunk, max(chunk) OVER (PARTITION BY pr) AS chunks FROM packed WHERE NOT oversized AND NOT overflow),
+last AS (SELECT k.pr, k.ord, k.path, k.chunk, k.chunks, CAST(to_json(patch) AS VARCHAR) AS patch FROM kept AS k JOIN changes AS c ON c.pr = k.pr AND c.ord = k.ord
+  QUALIFY row_number() OVER (PARTITION BY k.pr, k.chunk, k.path ORDER BY k.ord DESC) = 1),
+files AS (SELECT pr, chunk, chunks, string_agg('"' || path || '":' || patch, ',' ORDER BY ord) AS plain, string_agg('"' || path || '": ' || patch, ', ' ORDER BY path) AS canon FROM last GROUP BY ALL),
+ids AS (SELECT *, row_number() OVER (PARTITION BY pr ORDER BY class_id = 'D2', path, line, class_id, message, blocking) AS n FROM (SELECT DISTINCT * FROM pr_findings)),
+items AS (SELECT k.pr, k.chunk,
+  string_agg('{{"id":"P' || n || '","file":"' || i.path || '","line":' || line || ',"class":"' || class_id || '","message":"' || message || '","blocking":' || blocking || '}}', ',' ORDER BY n) AS plain,
+  string_agg('{{"blocking": ' || blocking || ', "class": "' || class_id || '", "file": "' || i.path || '", "id": "P' || n || '", "line": ' || line || ', "message": "' || message || '"}}', ', ' ORDER BY n) AS canon
+  FROM ids AS i JOIN kept AS k ON k.pr = i.pr AND k.path = i.path GROUP BY k.pr, k.chunk),
+paths AS (SELECT pr, string_agg('"' || path || '"', ',' ORDER BY path) AS plain, string_agg('"' || path || '"', ', ' ORDER BY path) AS canon FROM (SELECT DISTINCT pr, path FROM changes) GROUP BY pr),
+hashed AS (SELECT f.pr, f.chunk, f.chunks, f.plain AS files, coalesce(i.plain, '') AS items, p.plain AS paths,
+  sha256('{{"metadata": {{"base_sha": "' || repeat('0', 40) || '", "changed_files": [' || p.canon || '], "chunk": "' || f.chunk || '/' || f.chunks || '", "head_sha": "' || repeat('1', 40) || '", "pr_number": ' || f.pr
+    || ', "unreviewed": []}}, "prescan": [' || coalesce(i.canon, '') || ']}}') AS trusted_hash,
+  sha256('{{"context": "Title: order ' || f.pr || '\\n\\n", "files": {{' || f.canon || '}}}}') AS target_hash
+  FROM files AS f LEFT JOIN items AS i ON i.pr = f.pr AND i.chunk = f.chunk JOIN paths AS p ON p.pr = f.pr)
+SELECT pr, chunk, sha256(envelope) AS envelope_sha256, trusted_hash, target_hash, CAST(strlen(envelope) AS BIGINT) AS bytes FROM (SELECT *,
+  '{{"schema_version":"1","mode":"PR","TRUSTED_CONTEXT":{{"note":"{packing.TRUSTED_NOTE}","metadata":{{"pr_number":' || pr || ',"base_sha":"' || repeat('0', 40) || '","head_sha":"' || repeat('1', 40)
+  || '","chunk":"' || chunk || '/' || chunks || '","changed_files":[' || paths || '],"unreviewed":[]}},"prescan":[' || items || '],"sha256":"' || trusted_hash || '"}},"REVIEW_TARGET":{{"note":"{packing.TARGET_NOTE}","context":"Title: order '
+  || pr || '\\n\\n","files":{{' || files || '}},"sha256":"' || target_hash || '"}}}}' AS envelope FROM hashed)"""
 _SOURCE = f"({SUFFIX} IN {IN(SOURCE)} AND NOT {TEST})"
 QUERIES = {
     "p1_split_patches": (
@@ -182,6 +210,7 @@ LEFT JOIN (SELECT pr, chunk, count(*) AS n FROM (SELECT DISTINCT * FROM pr_findi
             "pr_findings",
         ),
     ),
+    "p12_envelope_digests": (digests, _with_packed(_ENVELOPES, "pr_findings").replace(", " + _PACK + _ENVELOPES, ", " + _PACK.rstrip() + _ENVELOPES)),
     "d3_untested_changes": (
         untested,
         with_views(

@@ -63,10 +63,10 @@ def with_prescan_ids(findings: DataFrame, key: list[str], hot: bool = False) ->
     """findings with id P1, P2, ... in each unit of key: file checks before project checks, each by path and line.
 
     hot: ranks are counted over ranges, for units with more findings than one task should sort; equal findings must be taken out before."""
-    order = ["path", "line", "class_id", "message"]
+    order = ["path", "line", "class_id", "message", "blocking"]
     project = F.col("class_id").isin(PROJECT_CLASSES)
     if hot:
-        rows = ranked(findings.withColumn("__project", project), key, ["__project", *order, "blocking"], "__id").drop("__project")
+        rows = ranked(findings.withColumn("__project", project), key, ["__project", *order], "__id").drop("__project")
         return rows.withColumn("id", F.concat(F.lit("P"), F.col("__id").cast("string"))).drop("__id")
     number = F.row_number().over(Window.partitionBy(*key).orderBy(project, *order))
     return findings.withColumn("id", F.concat(F.lit("P"), number.cast("string")))

@@ -6,16 +6,13 @@ holds the patches of a whole change set.
 
 from __future__ import annotations
 
-import hashlib
-import json
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
+from corpusgate.functions.canonical import canonical_digest
 from corpusgate.functions.ship import ship
 from corpusgate.functions.text import escaped_size
 
@@ -87,16 +84,6 @@ def unreviewed_files(changes: DataFrame, packed: DataFrame, key: list[str], unpa
     return rows if unparsed is None else rows.unionByName(part(unparsed, "unparsed"))
 
 
-def _canonical(value: object) -> str:
-    return hashlib.sha256(json.dumps(value, sort_keys=True, ensure_ascii=False).encode("utf-8", "surrogatepass")).hexdigest()
-
-
-@F.pandas_udf(StringType())
-def canonical_digest(values: pd.Series) -> pd.Series:
-    """SHA-256 of the canonical form (sorted keys, ", " and ": ") of a JSON text."""
-    return values.map(lambda x: None if x is None else _canonical(json.loads(x)))
-
-
 def _prescan_items(findings: DataFrame, key: list[str]) -> DataFrame:
     item = F.struct("id", F.col("path").alias("file"), "line", F.col("class_id").alias("class"), "message", "blocking")
     number = F.substring("id", 2, 12).cast("int")
@@ -130,10 +117,9 @@ def envelope_json(metadata: Column, context: Column, files: Column, prescan: Col
 
 
 def build_envelopes(changes: DataFrame, packed: DataFrame, findings: DataFrame, prs: DataFrame, key: list[str]) -> DataFrame:
-    """key, chunk, chunks, files, prescan_items, envelope, bytes, error: a row for each chunk within the limit.
+    """key, chunk, chunks, files, prescan_items, envelope, trusted_hash, target_hash, bytes, error: a row for each chunk within the limit.
 
     changes: key, ord, path, patch. findings: with id. prs: key, metadata (a struct without chunk), context."""
-    ship(changes.sparkSession)
     kept = packed.filter("not oversized and not overflow")
     placed = changes.select(*key, "ord", "patch").join(kept.select(*key, "ord", "path", "chunk"), [*key, "ord"])
     files = placed.groupBy(*key, "chunk").agg(F.array_sort(F.collect_list(F.struct("ord", "path", "patch"))).alias("rows"))
@@ -150,14 +136,14 @@ def build_envelopes(changes: DataFrame, packed: DataFrame, findings: DataFrame,
     last = F.filter("by_path", lambda r, i: ~F.get("by_path", i + 1)["path"].eqNullSafe(r["path"]))
     at = F.array_sort(F.transform(last, lambda r: r["at"]))
     rows = rows.withColumn("map", F.map_from_entries(F.transform(at, lambda i: F.struct(F.get("rows", i)["path"], F.get("rows", i)["patch"]))))
-    options = {"ignoreNullFields": "false"}
-    rows = rows.withColumn("trusted_hash", canonical_digest(F.to_json(F.struct("metadata", "prescan"), options)))
-    rows = rows.withColumn("target_hash", canonical_digest(F.to_json(F.struct("context", F.col("map").alias("files")), options)))
+    rows = rows.withColumn("trusted", F.struct("metadata", "prescan")).withColumn("target", F.struct("context", F.col("map").alias("files")))
+    for name in ("trusted", "target"):
+        rows = rows.withColumn(f"{name}_hash", canonical_digest(F.col(name), rows.schema[name].dataType))
     envelope = envelope_json(F.col("metadata"), F.col("context"), F.col("map"), F.col("prescan"), F.col("trusted_hash"), F.col("target_hash"))
     rows = rows.withColumn("envelope", envelope)
     return check_envelope_size(
         rows.select(
-            *key, "chunk", "chunks", F.transform("rows", lambda r: r["path"]).alias("files"), F.size("prescan").alias("prescan_items"), "envelope"
+            *key, "chunk", "chunks", F.transform("rows", lambda r: r["path"]).alias("files"), F.size("prescan").alias("prescan_items"), "envelope", "trusted_hash", "target_hash"
         )
     )
 
