@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusgate.jobs.queries import changes, code, flows, history, review, scans
+from corpusgate.jobs.queries import changes, code, flows, history, review, scans, stores
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (scans, code, changes, review, history, flows)
+MODULES = (scans, code, changes, review, history, flows, stores)
 
 
 def queries() -> dict[str, Query]:

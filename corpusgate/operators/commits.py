@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusgate.functions.text import LINE_END
+from corpusgate.operators.ranges import discard, written
 
 #: Subjects, addresses, names and limits.
 TYPES = ["feat", "fix", "chore", "docs", "test", "ci"]
@@ -161,6 +162,35 @@ def unpushed_commits(head: DataFrame, remote: DataFrame) -> DataFrame:
     return head.join(remote.select("repo", "sha"), ["repo", "sha"], "left_anti")
 
 
+def unreachable_commits(history: DataFrame, heads: DataFrame, remotes: DataFrame) -> DataFrame:
+    """repo, sha of the commits that a head reaches over parents and no remote ref does.
+
+    history: repo, sha, parents (array), generation (greater than that of every parent). heads and remotes: repo, sha; refs to commits that aren't in
+    the history reach nothing. Both sides go down in step, a generation's width at a time: each round follows the parents of what the last one
+    reached. Remote refs are followed only as long as something below them may still be in question, so rounds are bounded by how far heads and
+    refs have parted, not by the length of the history. A round reads what the last one wrote, and the edges."""
+    edges = written(history.select("repo", "sha", F.explode("parents").alias("parent")).join(history.select("repo", F.col("sha").alias("parent"), F.col("generation").alias("low")), ["repo", "parent"]), "edges")
+    known = history.select("repo", "sha", "generation")
+    refs = heads.select("repo", "sha", F.lit(False).alias("remote")).unionByName(remotes.select("repo", "sha", F.lit(True).alias("remote")))
+    reached = written(known.join(refs.groupBy("repo", "sha").agg(F.bool_or("remote").alias("remote")), ["repo", "sha"]).withColumn("fresh", F.lit(True)), "reached")
+    while True:
+        # What is in question in each repository: commits that only heads reach so far. Below the lowest of them, and of what they lead to, nothing matters.
+        open_ends = reached.filter("not remote").groupBy("repo").agg(F.min("generation").alias("lowest"), F.bool_or("fresh").alias("going"))
+        fresh = reached.filter("fresh").join(open_ends, "repo").filter("not remote or going or generation > lowest")
+        step = fresh.select("repo", "sha", "remote").join(edges, ["repo", "sha"]).select("repo", F.col("parent").alias("sha"), F.col("low").alias("generation"), "remote")
+        both = reached.withColumn("old", F.lit(True)).unionByName(step.withColumn("fresh", F.lit(True)).withColumn("old", F.lit(False)))
+        merged = both.groupBy("repo", "sha").agg(
+            F.max("generation").alias("generation"),
+            F.bool_or("remote").alias("remote"),
+            # A commit goes on if it is new, or if a remote ref comes to one that only heads had reached.
+            (~F.bool_or("old") | (F.bool_or("remote") & ~F.bool_or(F.col("remote") & F.col("old")))).alias("fresh"),
+        )
+        last, reached = reached, written(merged, "reached")
+        discard(last)
+        if reached.filter("fresh").isEmpty():
+            return reached.filter("not remote").select("repo", "sha")
+
+
 def identity_candidates(commits: DataFrame, k: int = 5, last: int = 50) -> DataFrame:
     """repo, place, name, email: the first k distinct numbered identities among each repository's latest commits."""
     latest = commits.withColumn("turn", F.row_number().over(Window.partitionBy("repo").orderBy(F.col("seq").desc(), "sha"))).filter(F.col("turn") <= last)

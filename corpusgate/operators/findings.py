@@ -96,9 +96,42 @@ def as_text() -> Column:
     return F.format_string("%s:%d: %s %s: %s", "path", "line", "class_id", level, "message")
 
 
-def write_findings(findings: DataFrame, path: str, form: str = "json") -> None:
-    """Writes findings by class: as JSON lines, Parquet, or lines of text."""
-    if form == "text":
-        findings.select("class_id", as_text().alias("value")).write.partitionBy("class_id").text(path)
-    else:
-        findings.withColumn("class", F.col("class_id")).write.partitionBy("class").format(form).save(path)
+def write_findings(findings: DataFrame, path: str, form: str = "json", units: list[str] | None = None, scanned: DataFrame | None = None) -> None:
+    """Writes findings in folders by unit and class: as JSON lines, Parquet, or lines of text.
+
+    What the folder holds of other units stays. A unit of `scanned` (the units of findings, if there is none) is replaced: classes that it has no finding
+    of any more go. One run writes the folder at a time; a run that was cut short is made good by running it again."""
+    units = units or []
+    by = [*units, "class"]
+    rows = findings.withColumn("class", F.col("class_id"))
+    rows = rows.select(*by, as_text().alias("value")) if form == "text" else rows
+    if units:
+        spark = findings.sparkSession
+        anew = (findings if scanned is None else scanned).select(*units).distinct()
+        for folder in _stale(spark, path, by, anew, rows.select(*by).distinct()):
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    mode = "dynamic" if units else "static"
+    rows.write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy(*by).format(form).save(path)
+
+
+def _stale(spark: SparkSession, path: str, by: list[str], anew: DataFrame, new: DataFrame) -> list:
+    """Folders under path of units that are written anew and classes that they no longer have; folders are told by their names, no file is read."""
+    jvm, root = spark.sparkContext._jvm, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = files.globStatus(jvm.org.apache.hadoop.fs.Path(root, "/".join(f"{c}=*" for c in by))) if files.exists(root) else []
+    folders = [status.getPath() for status in found or []]
+    unescape = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+
+    def values(folder) -> tuple[str, ...]:
+        parts = []
+        for _ in by:
+            parts.append(unescape(folder.getName().split("=", 1)[1]))
+            folder = folder.getParent()
+        return tuple(reversed(parts))
+
+    if not folders:
+        return []
+    named = spark.createDataFrame([(i, *values(f)) for i, f in enumerate(folders)], "at int, " + ", ".join(f"`{c}` string" for c in by))
+    as_names = lambda rows, names: rows.select(*[F.coalesce(F.col(c).cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__")).alias(c) for c in names])
+    gone = named.join(as_names(anew, by[:-1]), by[:-1], "left_semi").join(as_names(new, by), by, "left_anti")
+    return [folders[r.at] for r in gone.select("at").collect()]

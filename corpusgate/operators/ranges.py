@@ -23,7 +23,17 @@ def written(rows: DataFrame, name: str) -> DataFrame:
     """Rows in the shared folder: what reads them again computes nothing anew."""
     path = f"{shared_folder(rows.sparkSession)}/{name}-{uuid.uuid4().hex}"
     rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+    out = rows.sparkSession.read.schema(rows.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that `written` wrote and that nothing reads any more."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ranged(rows: DataFrame, key: list[str], order: list[Column | str], ranges: int | None = None) -> DataFrame:
@@ -177,9 +187,11 @@ def pack_ranges(sizes: DataFrame, key: list[str], budget: Column | int, ranges:
     longest = max(map(len, units.ranges.values()), default=1)
     for _ in range(math.ceil(math.log2(longest)) if longest > 1 else 0):
         further = reached.join(chain, ["unit", "at"]).filter("to is not null").select("unit", F.col("to").alias("at"), (F.col("before") + F.col("steps")).alias("before"))
+        last = [x for x in (reached, chain) if x is not links and hasattr(x, "written_to")]
         reached = written(reached.unionByName(further), "pack-reached")
         other = chain.select("unit", F.col("at").alias("to"), F.col("to").alias("end"), F.col("steps").alias("more"))
         chain = written(chain.join(other, ["unit", "to"]).select("unit", "at", F.col("end").alias("to"), (F.col("steps") + F.col("more")).alias("steps")), "pack-chain")
+        discard(*last)
     # One chunk at most is the first to begin in a range of a unit, so these are no more rows than `units` has.
     entries: dict[tuple[str, int], tuple[int, int]] = {}
     opened: dict[tuple[str, int], int] = {}
