@@ -107,9 +107,18 @@ def listed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The comment of each order: line items as chunks, with problems or a report that holds a fence, and as findings."""
     prs, chunks, found, unreviewed = _parts(spark, sf_dir)
     rows = verdicts.result_table(verdicts.merge_verdicts(prs, chunks, found, unreviewed, PR), chunks, found, unreviewed, PR)
-    return verdicts.render_report(rows).select("pr", "report")
+    rows = rows.withColumn("base_sha", F.lit("b" * 40)).withColumn("head_sha", F.md5(F.col("pr").cast("string")))
+    faulty = F.col("verdict") == "NEEDS-HUMAN"
+    problems = F.when(faulty, F.array(F.lit("unknown class\tZ9"), F.concat(F.lit("chunk "), F.col("chunk").cast("string")))).otherwise(F.col("problems"))
+    report = F.when(faulty, "").otherwise(F.concat(F.lit("```\ncode\n```\nVERDICT: "), "verdict", F.lit("\n\n")))
+    told = chunks.withColumn("problems", problems).withColumn("report", report)
+    items = view(spark, sf_dir, "changes").select(
+        "pr", F.concat(F.lit("P"), F.col("ord").cast("string")).alias("id"), "path", F.col("ord").alias("line"), F.lit("M12").alias("class_id"), F.lit("marker").alias("message"), (F.col("ord") >= 4).alias("blocking")
+    )
+    return verdicts.render_report(rows, told, items, PR)
 
 
 #: A policy for each nation: all classes but one by its key, with faults by its key.
@@ -249,6 +258,17 @@ SELECT slug, CAST(unnest(range(len(p))) AS INT) AS n, unnest(p) AS problem FROM
   WHEN 1 THEN ['unreadable case'] WHEN 2 THEN ['invalid mode ''Other'''] WHEN 3 THEN CASE WHEN mode = 'PR' THEN ['verdict ''RISK: LOW'' does not fit mode PR'] ELSE [] END
   WHEN 4 THEN ['unknown class ''Z1'''] WHEN 5 THEN ['notes must be a non-empty string'] WHEN 6 THEN ['active_work_elapsed_seconds must be a non-negative integer'] ELSE [] END
   || list_filter([{_FIXTURE}], lambda x: x IS NOT NULL) AS p FROM (SELECT slug, mode, slug % 10 AS k FROM eval_cases))"""
+_NL = "chr(10)"
+_RENDERED = f"""
+SELECT pr, '## Quality review: ' || verdict || {_NL} || {_NL} || 'Base `' || repeat('b', 40) || '`. Head `' || md5(CAST(pr AS VARCHAR)) || '`.' || {_NL}
+  || coalesce({_NL} || '### Blocking prescan findings' || {_NL} || {_NL} || '```text' || {_NL} || items || {_NL} || '```' || {_NL}, '')
+  || coalesce({_NL} || '### Unreviewed files' || {_NL} || {_NL} || '```text' || {_NL} || files || {_NL} || '```' || {_NL}, '') || coalesce(parts, '') AS report
+FROM {_MERGED} JOIN (SELECT pr, string_agg(path || ':' || ord || ' M12: marker', {_NL} ORDER BY ord) FILTER (ord >= 4) AS items,
+  string_agg(DISTINCT path, {_NL} ORDER BY path) FILTER (NOT decodable) AS files,
+  string_agg({_NL} || '### Chunk ' || ord || ': ' || CASE WHEN ord % 5 = 4 THEN 'BLOCK' WHEN ord % 4 = 3 THEN 'NEEDS-HUMAN' ELSE 'APPROVE' END || {_NL} || {_NL} || CASE WHEN ord % 5 <> 4 AND ord % 4 = 3
+    THEN 'Validation problems:' || {_NL} || {_NL} || '```text' || {_NL} || 'Validation: unknown class?Z9' || {_NL} || 'Validation: chunk ' || ord || {_NL} || '```' || {_NL}
+    ELSE {_NL} || '````text' || {_NL} || '```' || {_NL} || 'code' || {_NL} || '```' || {_NL} || 'VERDICT: ' || CASE WHEN ord % 5 = 4 THEN 'BLOCK' ELSE 'APPROVE' END || {_NL} || '````' || {_NL} END, '' ORDER BY ord)
+    FILTER (pr % 7 <> 3) AS parts FROM changes GROUP BY pr) USING (pr)"""
 QUERIES = {
     "r1_parse_reports": (
         parsed,
@@ -302,7 +322,7 @@ QUERIES = {
           || CASE WHEN len(string_split(text, chr(10))) > 3 THEN '|... and ' || CAST(len(string_split(text, chr(10))) - 3 AS VARCHAR) || ' more' ELSE '' END AS shown,
           CAST(length(regexp_replace(text, '\\s+$', '')) + 12 AS BIGINT) AS fenced FROM documents""",
     ),
-    "r12_render_report": (rendered, None),
+    "r12_render_report": (rendered, with_views(_RENDERED, "changes")),
     "c1_parse_classes": (policy_classes, with_views(f"SELECT * FROM {_PARSED}", "policies")),
     "c2_class_violations": (
         _on_policies(policy.class_violations),

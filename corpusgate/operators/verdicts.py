@@ -6,7 +6,7 @@ import json
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -132,12 +132,35 @@ def result_table(verdicts: DataFrame, chunks: DataFrame, findings: DataFrame, un
     )
 
 
-def render_report(results: DataFrame, title: str = "Quality review") -> DataFrame:
-    """results with report: verdict, files that weren't reviewed, and chunks, as markdown. Text from outside is fenced."""
-    files = F.when(F.size("unreviewed") > 0, F.concat(F.lit("\n### Unreviewed files\n\n"), fence(F.array_join(listed(F.col("unreviewed")), "\n"))))
-    chunks = F.transform(
-        F.coalesce("chunks", F.array().cast("array<struct<chunk:int,verdict:string,problems:int>>")),
-        lambda c: F.concat(F.lit("\n### Chunk "), c["chunk"].cast("string"), F.lit(": "), c["verdict"]),
-    )
-    head = F.concat(F.lit(f"## {title}: "), "verdict")
-    return results.withColumn("report", F.concat_ws("\n", head, files, F.array_join(chunks, "\n")))
+def render_report(
+    results: DataFrame, chunks: DataFrame, findings: DataFrame, key: list[str], title: str = "Quality review", marker: str | None = None, run_url: str | None = None
+) -> DataFrame:
+    """key, report: the comment on a change set, as markdown. Text from outside is fenced.
+
+    results: key, verdict, base_sha, head_sha, unreviewed (paths). chunks: key, chunk, verdict, problems, report. findings: key, id, path, line, class_id,
+    message, blocking; of the blocking ones the first are shown, by the number of their id, and how many more there are. marker: a first line by which
+    the comment is found again; run_url: a column's name in results, a link to the run."""
+    heading = lambda text: F.concat(F.lit("\n### "), text, F.lit("\n\n"))
+    by_id = Window.partitionBy(*key).orderBy(F.substring("id", 2, 12).cast("int"), "path", "line")
+    item = F.concat("path", F.lit(":"), F.col("line").cast("string"), F.lit(" "), "class_id", F.lit(": "), "message")
+    blocking = findings.filter("blocking").withColumn("n", F.row_number().over(by_id))
+    first = blocking.filter(F.col("n") <= MOST_ITEMS).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("n", item.alias("item")))).alias("first"))
+    first = first.join(findings.filter("blocking").groupBy(*key).agg(F.count(F.lit(1)).alias("held")), key)
+    more = F.when(F.col("held") > MOST_ITEMS, F.array(F.concat(F.lit("... and "), (F.col("held") - MOST_ITEMS).cast("string"), F.lit(" more"))))
+    shown = F.concat(cap_items(F.transform("first", lambda x: x["item"])), F.coalesce(more, F.array().cast("array<string>")))
+    parts = chunks.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("chunk", "verdict", "problems", "report"))).alias("parts"))
+
+    def part(c: Column) -> Column:
+        told = F.transform(c["problems"], lambda p: F.concat(F.lit("Validation: "), p))
+        problems = F.when(F.size(c["problems"]) > 0, F.concat(F.lit("Validation problems:\n\n"), fence(F.array_join(listed(told), "\n")), F.lit("\n")))
+        report = F.when(c["report"] != "", F.concat(F.lit("\n"), fence(c["report"]), F.lit("\n")))
+        none = F.lit("")
+        return F.concat(heading(F.concat(F.lit("Chunk "), c["chunk"].cast("string"), F.lit(": "), c["verdict"])), F.coalesce(problems, none), F.coalesce(report, none))
+
+    rows = results.join(first, key, "left").join(parts, key, "left")
+    found = F.when(F.col("held") > 0, F.concat(heading(F.lit("Blocking prescan findings")), fence(F.array_join(shown, "\n")), F.lit("\n")))
+    files = F.when(F.size("unreviewed") > 0, F.concat(heading(F.lit("Unreviewed files")), fence(F.array_join(listed(F.col("unreviewed")), "\n")), F.lit("\n")))
+    reviewed = F.array_join(F.transform("parts", part), "")
+    head = F.concat(F.lit(f"{marker}\n" if marker else ""), F.lit(f"## {title}: "), "verdict", F.lit("\n\nBase `"), "base_sha", F.lit("`. Head `"), "head_sha", F.lit("`.\n"))
+    run = F.concat(F.lit("Workflow run: "), F.col(run_url), F.lit("\n")) if run_url else F.lit("")
+    return rows.select(*key, F.concat(head, *(F.coalesce(x, F.lit("")) for x in (run, found, files, reviewed))).alias("report"))
