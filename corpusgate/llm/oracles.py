@@ -110,11 +110,12 @@ OP5 = f"""
 WITH base AS (SELECT * FROM {_spans('assign', _ASSIGN, f"length(regexp_replace(found[i], '{_HEAD_SQL}', '')) >= 12")}
   UNION ALL SELECT * FROM {_spans('access', secrets.PATTERNS['access'][0], 'length(found[i]) >= 18')} UNION ALL SELECT * FROM {_spans('hex', secrets.PATTERNS['hex'][0])}),
 narrow AS (SELECT * FROM {_entropy('upper')}), wide AS (SELECT * FROM {_entropy('b64')}),
-maybe AS (SELECT * FROM narrow UNION ALL SELECT * FROM wide AS x WHERE NOT EXISTS (SELECT 1 FROM narrow AS b WHERE b.doc_id = x.doc_id AND b.start < x.stop AND x.start < b.stop)),
+maybe AS (SELECT * FROM narrow UNION ALL SELECT * FROM wide),
 chars AS (SELECT doc_id, start, place, kind, stop, w, substr(found, w + k, 1) AS c FROM maybe, unnest(range(1, length(found) - {_WINDOW} + 2)) AS a(w), unnest(range({_WINDOW})) AS b(k)),
 counts AS (SELECT doc_id, start, place, kind, stop, w, c, count(*) AS n FROM chars GROUP BY ALL),
 windows AS (SELECT doc_id, start, place, kind, stop, w, log2({_WINDOW}.0) - sum(n * log2(n)) / {_WINDOW} AS h FROM counts GROUP BY ALL),
-extra AS (SELECT doc_id, start, place, kind, stop FROM windows GROUP BY ALL HAVING max(h) >= CASE kind WHEN 'b64' THEN {secrets.CLASSES['b64'][2]} ELSE {secrets.CLASSES['upper'][2]} END),
+high AS (SELECT doc_id, start, place, kind, stop FROM windows GROUP BY ALL HAVING max(h) >= CASE kind WHEN 'b64' THEN {secrets.CLASSES['b64'][2]} ELSE {secrets.CLASSES['upper'][2]} END),
+extra AS (SELECT * FROM high AS x WHERE kind = 'b64' OR NOT EXISTS (SELECT 1 FROM high AS b WHERE b.kind = 'b64' AND b.doc_id = x.doc_id AND b.start < x.stop AND x.start < b.stop)),
 each AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
   string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, place) AS base FROM base GROUP BY doc_id),
 every AS (SELECT doc_id, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, place) AS spans FROM (SELECT doc_id, start, place, kind, stop FROM base UNION ALL SELECT * FROM extra) GROUP BY doc_id)

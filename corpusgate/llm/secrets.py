@@ -148,10 +148,11 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     # What a step names more than once is a column by then.
     rows = rows.select(key, F.expr(base_spans()).alias("base"), *[F.expr(candidates(k)).alias(k) for k in CLASSES])
     rows = rows.select(key, "base", *[F.expr(clear_of(k, "base")).alias(k) for k in CLASSES])
-    # A string of both first classes counts once, as the narrower one.
-    rows = rows.withColumn("b64", F.expr(clear_of("b64", "upper")))
     high = lambda kind: F.expr(f"filter({kind}, m -> {reaches('m.found', CLASSES[kind][2])})")
-    rows = rows.select(key, "base", F.concat(high("b64"), high("upper")).alias("wider"), high("lower").alias("lower"))
+    rows = rows.select(key, "base", *[high(k).alias(k) for k in CLASSES])
+    # Of candidates that reach their entropy, those inside of a wider one are part of it.
+    rows = rows.select(key, "base", "b64", "lower", F.expr(clear_of("upper", "b64")).alias("upper"))
+    rows = rows.select(key, "base", F.concat("b64", "upper").alias("wider"), "lower")
     return rows.select(key, "base", F.concat("wider", F.expr(clear_of("lower", "wider"))).alias("entropy"))
 
 

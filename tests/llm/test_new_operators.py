@@ -254,3 +254,44 @@ def test_toxicity_of_odd_rows(spark):
             assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
             by_text = {}
             assert all(by_text.setdefault(r.doc_id, r.score) == r.score for r in rows)
+
+
+def secrets_by_brute_force(text: str) -> list[tuple[int, int, str]]:
+    """Every class's candidates that are clear of base spans and not allowed, with a window of enough entropy; then wide ones before narrow ones."""
+    import math
+
+    from corpusgate.llm import secrets
+
+    def entropy(s):
+        windows = [s[i : i + secrets.WINDOW] for i in range(len(s) - secrets.WINDOW + 1)]
+        return max((-sum(n / secrets.WINDOW * math.log2(n / secrets.WINDOW) for n in Counter(w).values()) for w in windows), default=0)
+
+    def allowed(s):
+        words = re.fullmatch(r"[/_+-]*(?:(?:[A-Z]?[a-z]+(?:[A-Z][a-z]{2,})*|[A-Z]+)[/_+-]+)+(?:[A-Z]?[a-z]+(?:[A-Z][a-z]{2,})*|[A-Z]+)?[0-9]{0,4}", s)
+        rest = re.sub(secrets._PLACEHOLDER, "", s)
+        return bool(re.search(secrets._UUID, s) or words or (rest != s and len(rest) < secrets.WINDOW))
+
+    base = []
+    for pattern, head, least in secrets.PATTERNS.values():
+        base += [m.span() for m in re.finditer(pattern, text) if len(re.sub(head, "", m[0]) if head else m[0]) >= least]
+    apart = lambda span, spans: all(span[1] <= a or b <= span[0] for a, b in spans)
+    out: list[tuple[int, int, str]] = []
+    for kind, (pattern, needed, least) in secrets.CLASSES.items():
+        found = [m for m in re.finditer(pattern, text) if all(re.search(n, m[0]) for n in needed) and not allowed(m[0]) and apart(m.span(), base)]
+        taken = [(a, b) for a, b, _ in out]
+        out += [(*m.span(), kind) for m in found if entropy(m[0]) >= least - 1e-9 and apart(m.span(), taken)]
+    return sorted(out)
+
+
+def test_added_secrets_by_brute_force(spark):
+    from corpusgate.llm import secrets
+
+    rng = random.Random(8)
+    wide = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
+    parts = ["Xk29fjLqP0sd83ncMWq2z", "A" * 20 + "1", "QWERT1YUIOP2ASDFG3HJKL4Z", "q1w2e3r4t5y6u7i8o9p0a", "the words", "password = hunter2hunter2", "a" * 30 + "1", "some_long_snake_case_name", "-", " ", " ", "x"]
+    texts = ["Xk29fjLqP0sd83ncMWq2z", "Xk29fjLqP0sd83ncMWq2z" + "A" * 20 + "1", "".join(rng.choice(wide) for _ in range(30_000))]
+    texts += ["".join(rng.choice([*parts, "".join(rng.choice(wide) for _ in range(24))]) for _ in range(rng.randint(1, 7))) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    found = {r.doc_id: sorted((m.start, m.end, m.kind) for m in r.entropy) for r in secrets.scan(docs).collect()}
+    assert found == {i: secrets_by_brute_force(t) for i, t in enumerate(texts)}
+    assert [found[i] for i in range(3)] == [[(0, 21, "b64")], [(0, 42, "b64")], [(0, 30_000, "b64")]]
