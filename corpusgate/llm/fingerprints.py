@@ -5,7 +5,8 @@ vectors of its lines, so it doesn't depend on their order, and lines are added o
 the text. A vector has two parts:
 
 - LANES words of 32 bits from SHA-256, summed modulo 2**32: equal sums mean equal multisets of lines.
-- BITS counters, one for each of as many hash bits of each clause of the line (a run without one of ``.,;:!?``),
+- BITS counters, one for each of as many hash bits of each clause of the line (a run without one of ``.,;:!?``;
+  one of more than LONG characters is cut further, after words that end in one of ENDING),
   and the number of clauses. Counters add up too; read as sums of +1 and -1 they are random projections of the
   multiset of clauses, so the cosine of two of them estimates how much of their clauses two texts share.
 
@@ -26,6 +27,10 @@ WORD = 1 << 32
 PAIR = 30
 _MASK = (1 << PAIR) | 1
 _LOW = (1 << PAIR) - 1
+#: Characters of a clause that isn't cut further, and last letters of words after which longer ones are: some four in ten words.
+LONG = 64
+ENDING = "adhlotyADHLOTYáéíóúаеиоуыяαεηιουω"
+_ENDS = f"([{ENDING}][!-/:-@\\[-`{{-~]{{0,8}})[ \\t]+"
 
 
 def _hex(digest: Column, start: int, n: int) -> Column:
@@ -59,10 +64,17 @@ def _clause_sums(hashes: Column) -> Column:
     return F.concat(half("a"), half("b"))
 
 
+def clauses(text: Column) -> Column:
+    """The clauses of a text, trimmed, without empty ones. A long one ends after each word whose last letter is one of ENDING as well, so that a text
+    without signs still has parts; where it is cut depends on the words there alone."""
+    split = lambda c: F.split(F.regexp_replace(c, _ENDS, "$1\n"), "\n", -1)
+    parts = F.transform(F.split(text, "[.,;:!?\\n]", -1), lambda c: F.when(F.char_length(c) > LONG, split(c)).otherwise(F.array(c)))
+    return F.filter(F.transform(F.flatten(parts), lambda c: F.trim(c)), lambda c: c != "")
+
+
 def fingerprint(text: Column) -> Column:
     """Text -> struct<lanes array<long>, n long, counts array<long>>; counts holds pairs of counters."""
-    clauses = F.filter(F.split(text, "[.,;:!?\\n]", -1), lambda c: F.trim(c) != "")
-    hashes = F.transform(clauses, lambda c: F.md5(F.trim(c)))
+    hashes = F.transform(clauses(text), F.md5)
     hashes = F.transform(hashes, lambda d: F.struct(_hex(d, 1, 15).alias("a"), _hex(d, 16, 15).alias("b")))
     return F.struct(
         _line_sums(F.split(text, "\\n", -1)).alias("lanes"),
@@ -124,9 +136,8 @@ def units(text: Column, kind: int) -> Column:
     lines = F.transform(
         F.split(text, "\\n", -1), lambda p: F.struct(F.lit(kind).alias("kind"), p.alias("line"), F.lit(None).cast("string").alias("clause"))
     )
-    clauses = F.filter(F.transform(F.split(text, "[.,;:!?\\n]", -1), lambda c: F.trim(c)), lambda c: c != "")
     return F.concat(
-        lines, F.transform(clauses, lambda c: F.struct(F.lit(kind).alias("kind"), F.lit(None).cast("string").alias("line"), c.alias("clause")))
+        lines, F.transform(clauses(text), lambda c: F.struct(F.lit(kind).alias("kind"), F.lit(None).cast("string").alias("line"), c.alias("clause")))
     )
 
 

@@ -18,7 +18,9 @@ def _hex(digest: str, start: int, n: int) -> str:
 def _fingerprint(text: str) -> str:
     """struct of lanes, n, counts, as in fingerprints.fingerprint."""
     lines = f"string_split({text}, chr(10))"
-    clauses = f"list_filter(list_transform(string_split_regex({text}, '[.,;:!?\\n]'), lambda c: trim(c)), lambda c: c <> '')"
+    cut = f"string_split(regexp_replace(c, '{fingerprints._ENDS}', '\\1' || chr(10), 'g'), chr(10))"
+    parts = f"flatten(list_transform(string_split_regex({text}, '[.,;:!?\\n]'), lambda c: CASE WHEN length(c) > {fingerprints.LONG} THEN {cut} ELSE [c] END))"
+    clauses = f"list_filter(list_transform({parts}, lambda c: trim(c)), lambda c: c <> '')"
     lanes = [f"CAST(list_sum(list_transform({lines}, lambda p: {_hex('sha256(p)', 1 + 8 * i, 8)})) % {fingerprints.WORD} AS BIGINT)" for i in range(8)]
     lanes += [f"CAST(list_sum(list_transform({lines}, lambda p: {_hex("sha256('2|' || p)", 1 + 8 * i, 8)})) % {fingerprints.WORD} AS BIGINT)" for i in range(8)]
     mask = (1 << fingerprints.PAIR) | 1

@@ -295,3 +295,16 @@ def test_added_secrets_by_brute_force(spark):
     found = {r.doc_id: sorted((m.start, m.end, m.kind) for m in r.entropy) for r in secrets.scan(docs).collect()}
     assert found == {i: secrets_by_brute_force(t) for i, t in enumerate(texts)}
     assert [found[i] for i in range(3)] == [[(0, 21, "b64")], [(0, 42, "b64")], [(0, 30_000, "b64")]]
+
+
+def test_likeness_of_texts_without_signs(spark):
+    from corpusgate.llm import fingerprints
+
+    rng = random.Random(10)
+    words = ["".join(rng.choice("abcdefghijklmnoprstuvwyz") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    texts = [" ".join(rng.choices(words, k=k)) for k in (20, 30, 60, 200) for _ in range(60)]
+    texts += [" ".join(f"{w}***" for w in rng.choices(words, k=80)) for _ in range(20)]
+    rows = fingerprints.edited_fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    short, long = [r for r in rows if r.doc_id < 120], [r for r in rows if r.doc_id >= 120]
+    assert all(r.near_edited > max(0.25, r.near_next) for r in long)
+    assert sum(r.near_edited > r.near_next for r in short) >= 0.95 * len(short)
