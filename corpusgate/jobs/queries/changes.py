@@ -59,7 +59,7 @@ def packed_by_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("int").alias("cost"))
     at = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "cost")).cast("int")
     each = lines.withColumn("at", at).select(F.col("l_orderkey").alias("pr"), F.col("at").alias("ord"), F.lit("x").alias("path"), "cost")
-    whole = each.select(F.lit(0).cast("bigint").alias("pr"), (F.col("pr") * 100 + F.col("ord")).cast("int").alias("ord"), "path", "cost")
+    whole = each.select(F.lit(-1).cast("bigint").alias("pr"), (F.col("pr") * 100 + F.col("ord")).cast("int").alias("ord"), "path", "cost")
     return pack_ranges(whole.unionByName(each), PR, 120).groupBy("pr", "chunk").agg(
         F.count(F.lit(1)).alias("files"), F.sum("cost").alias("bytes"), F.min("ord").alias("first"), F.max("ord").alias("last")
     )
@@ -183,7 +183,7 @@ QUERIES = {
     "p8_pack_ranges": (
         packed_by_ranges,
         """WITH RECURSIVE each AS (SELECT l_orderkey AS pr, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, CAST(l_quantity AS INT)) AS INT) AS ord, CAST(l_quantity AS INT) AS cost FROM lineitem),
-        files AS (SELECT pr, ord, cost FROM each UNION ALL SELECT 0, CAST(pr * 100 + ord AS INT), cost FROM each),
+        files AS (SELECT pr, ord, cost FROM each UNION ALL SELECT -1, CAST(pr * 100 + ord AS INT), cost FROM each),
         sums AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY pr ORDER BY ord) AS rn, sum(cost) OVER (PARTITION BY pr ORDER BY ord) AS upto FROM files),
         links AS MATERIALIZED (SELECT s.pr, s.rn, CAST(min(t.rn) AS BIGINT) AS nxt FROM (SELECT pr, rn, upto - cost + 120 AS most FROM sums) AS s
           ASOF JOIN (SELECT pr, rn, upto FROM sums) AS t ON s.pr = t.pr AND t.upto > s.most GROUP BY s.pr, s.rn),
