@@ -5,10 +5,12 @@ Words are runs of ASCII digits, ASCII letters (lower-cased) and everything above
 - Phrases (PHRASES) are found wherever their words stand one after another.
 - License texts (licensetexts.TEXTS) are found by their rare words. How many documents hold each of their words is counted
   over all documents. A text's anchors are its rarest words, enough of them that the others weigh less than half of SCORE.
-  A document looks up its anchors in the postings (word, text, position); places that agree on where the text begins,
-  position in the document less position in the text, are put together. Where anchors agree on enough weight for the
-  others to fill it up to SCORE, all words are compared. An alignment with SCORE of the text's weight, in a document
-  with all its key phrases, is a match.
+  A document looks up its anchors in the postings (word, text, position). Where a text would begin is a place's position in
+  the document less that in the text; words that were put in or left out move it, so places vote for two neighbouring
+  ranges of beginnings, as wide as the text's band (`band`). Where votes have enough weight for the other words to fill it up
+  to SCORE, all words are compared: from a beginning on, words of the text count that stand in their place, and those that
+  stand beside their neighbour, moved by less than a band. A beginning with SCORE of the text's weight, in a document with
+  all its key phrases, is a match: so up to a quarter of a text's length may be put in, as by signs of comments, or left out.
 
 Each row is matched by itself, in blocks of BLOCK words that overlap by the longest text, so rows that repeat a doc_id, or
 have none, get what their text alone gives, and memory doesn't depend on a text's length. A document without any text's first
@@ -45,8 +47,16 @@ VOCABULARY = sorted({w for words in WORDS for w in words})
 _KEYS = [[f" {k} " for k in keys] for _, keys, _ in TEXTS]
 
 
+def band(words: list[str]) -> int:
+    """Beginnings that one match of a text may have: a quarter of its words, four at least."""
+    return max(4, len(words) // 4)
+
+
+BANDS = [band(words) for words in WORDS]
+
+
 class Index(NamedTuple):
-    """postings: by anchor, its text, position and weight; weights: by text, of each position; need: what anchors must agree on."""
+    """postings: by anchor, its text, position, weight and the text's band; weights: by text, of each position; need: what anchors must agree on."""
 
     postings: dict[str, list[dict[str, int]]]
     weights: list[list[int]]
@@ -71,13 +81,27 @@ def index(idf: dict[str, float]) -> Index:
             if 2 * others < SCORE * UNIT:
                 break
             places = [i for i, w in enumerate(words) if w == anchor]
-            out.postings.setdefault(anchor, []).extend({"n": n, "p": i, "w": weights[i]} for i in places)
+            out.postings.setdefault(anchor, []).extend({"n": n, "p": i, "w": weights[i], "b": BANDS[n]} for i in places)
             others -= sum(weights[i] for i in places)
         out.weights.append(weights)
         out.need.append(max(1, math.ceil(SCORE * UNIT) - others))
     return out
 
 
+_TEXT = "array<struct<words:array<string>,pairs:map<string,array<int>>,weights:array<bigint>,band:int>>"
+
+
+def _texts(found: Index) -> list[dict]:
+    """Of each text: its words, where its pairs of neighbouring words stand, the weight of each word, its band."""
+    out = []
+    for words, weights, width in zip(WORDS, found.weights, BANDS, strict=True):
+        pairs: dict[str, list[int]] = {}
+        for i, pair in enumerate(zip(words, words[1:], strict=False)):
+            pairs.setdefault(" ".join(pair), []).append(i)
+        out.append({"words": words, "pairs": pairs, "weights": weights, "band": width})
+    return out
+
+
 def _constant(value: object, kind: str) -> str:
     """A literal of a nested type: Spark folds it once."""
     return f"from_json({literal(json.dumps(value))}, '{kind}')"
@@ -88,20 +112,26 @@ def alignments(words: str, found: Index) -> str:
     none = "CAST(array() AS array<struct<notice:int,share:bigint>>)"
     if not found.postings:  # no documents, no weights
         return none
-    postings = _constant(found.postings, "map<string,array<struct<n:int,p:int,w:bigint>>>")
-    texts = _constant([[{"t": w, "w": x} for w, x in zip(*pair, strict=True)] for pair in zip(WORDS, found.weights, strict=True)], "array<array<struct<t:string,w:bigint>>>")
+    postings = _constant(found.postings, "map<string,array<struct<n:int,p:int,w:bigint,b:int>>>")
     asked = ", ".join(map(literal, sorted(found.postings)))
-    places = f"filter(sequence(s, least(size({words}), s + {BLOCK + LONGEST}) - 1), i -> {words}[i] IN ({asked}))"
-    vote = "named_struct('n', p.n, 'begin', i - p.p, 'w', p.w)"
+    reach = BLOCK + LONGEST + 2 * max(BANDS)
+    places = f"filter(sequence(s, least(size({words}), s + {reach}) - 1), i -> {words}[i] IN ({asked}))"
+    vote = "named_struct('n', p.n, 'begin', (CAST(floor((i - p.p) / p.b) AS INT) - back) * p.b, 'w', p.w)"
     inside = f"v -> (s = 0 OR v.begin >= s) AND v.begin < s + {BLOCK}"
-    votes = f"array_sort(flatten(transform({places}, i -> filter(transform(element_at({postings}, {words}[i]), p -> {vote}), {inside}))))"
+    of_place = f"flatten(transform(array(0, 1), back -> transform(element_at({postings}, {words}[i]), p -> {vote})))"
+    votes = f"array_sort(flatten(transform({places}, i -> filter({of_place}, {inside}))))"
     agreed = running(votes, "named_struct('n', y.n, 'begin', y.begin, 'w', y.w + CASE WHEN x.n = y.n AND x.begin = y.begin THEN x.w ELSE 0L END)", "named_struct('n', -1, 'begin', 0, 'w', 0L)")
     enough = f"filter({agreed}, c -> c.w >= element_at({_constant(found.need, 'array<bigint>')}, c.n + 1))"
     begins = f"array_distinct(transform({enough}, c -> named_struct('n', c.n, 'begin', c.begin)))"
-    here = f"slice({words}, greatest(c.begin, 0) + 1, size(t))"
-    there = "slice(t, greatest(-c.begin, 0) + 1, size(t))"
-    share = f"aggregate(zip_with({here}, {there}, (x, y) -> CASE WHEN x = y.t THEN y.w ELSE 0L END), 0L, (a, w) -> a + w)"
-    aligned = f"transform({begins}, c -> named_struct('notice', c.n, 'share', {let('t', f'element_at({texts}, c.n + 1)', share)}))"
+    standing = f"filter(coalesce(try_element_at(t.pairs, concat(get({words}, i), ' ', get({words}, i + 1))), CAST(array() AS array<int>)), p -> i - p >= c.begin AND i - p < c.begin + 2 * t.band)"
+    near = "sequence(greatest(c.begin, 0), greatest(c.begin + 2 * t.band + size(t.words), 0))"
+    pairs = f"flatten(transform({near}, i -> transform({standing}, p -> named_struct('begin', i - p, 'p', p))))"
+    moved = "flatten(transform(filter(pairs, x -> x.begin >= b AND x.begin < b + t.band), x -> array(x.p, x.p + 1)))"
+    placed = f"filter(sequence(0, size(t.words) - 1), p -> b + p >= 0 AND coalesce(get({words}, b + p) = t.words[p], false))"
+    covered = f"array_distinct(concat({moved}, {placed}))"
+    share = f"array_max(transform(array_distinct(transform(pairs, x -> x.begin)), b -> aggregate({covered}, 0L, (a, p) -> a + t.weights[p])))"
+    text = f"element_at({_constant(_texts(found), _TEXT)}, c.n + 1)"
+    aligned = f"transform({begins}, c -> named_struct('notice', c.n, 'share', {let('t', text, let('pairs', pairs, f'coalesce({share}, 0L)'))}))"
     whole = f"filter(flatten(transform(sequence(0, greatest(size({words}) - 1, 0), {BLOCK}), s -> {aligned})), m -> m.share >= {math.ceil(SCORE * UNIT)})"
     keys = f"forall(element_at({_constant(_KEYS, 'array<array<string>>')}, m.notice + 1), k -> contains(joined, k))"
     sure = let("joined", f"concat(' ', array_join({words}, ' '), ' ')", f"filter({let('found', whole, 'found')}, m -> {keys})")

@@ -136,8 +136,13 @@ p AS (SELECT * FROM (VALUES {_POSTINGS}) AS t(notice, position, word)), k AS (SE
 df AS (SELECT word, count(*) AS df FROM (SELECT unnest(list_distinct(words)) AS word FROM w) WHERE word IN (SELECT word FROM p) GROUP BY word),
 idf AS (SELECT word, ln(((SELECT count(*) FROM documents) + 1.0) / coalesce(df, 1)) AS idf FROM (SELECT DISTINCT word FROM p) LEFT JOIN df USING (word)),
 shares AS (SELECT notice, position, word, CAST(round({licenses.UNIT} * idf / sum(idf) OVER (PARTITION BY notice)) AS BIGINT) AS share FROM p JOIN idf USING (word)),
-places AS (SELECT r, i - 1 AS here, words[i] AS word FROM w, unnest(range(1, len(words) + 1)) AS u(i) WHERE words[i] IN (SELECT word FROM p)),
-aligned AS (SELECT r, notice, here - position AS start, sum(share) AS share FROM places JOIN shares USING (word) GROUP BY ALL HAVING sum(share) >= {licenses.SCORE} * {licenses.UNIT}),
+pairs AS (SELECT a.notice, a.position, a.word, b.word AS next FROM p AS a JOIN p AS b ON b.notice = a.notice AND b.position = a.position + 1),
+places AS (SELECT r, i - 1 AS here, words[i] AS word, words[i + 1] AS next FROM w, unnest(range(1, len(words))) AS u(i) WHERE words[i] IN (SELECT word FROM p)),
+stands AS (SELECT r, notice, here - position AS start, position FROM places JOIN pairs USING (word, next)),
+bands AS (SELECT DISTINCT r, notice, start, start + greatest(4, n // 4) AS stop FROM stands JOIN (SELECT notice, count(*) AS n FROM p GROUP BY notice) USING (notice)),
+covered AS (SELECT b.r, b.notice, b.start, s.position + j AS position FROM bands AS b JOIN stands AS s ON s.r = b.r AND s.notice = b.notice AND s.start >= b.start AND s.start < b.stop, unnest([0, 1]) AS u(j)
+  UNION SELECT b.r, b.notice, b.start, p.position FROM bands AS b JOIN p USING (notice) JOIN w USING (r) WHERE b.start + p.position >= 0 AND words[b.start + p.position + 1] = p.word),
+aligned AS (SELECT r, notice, start, sum(share) AS share FROM covered JOIN shares USING (notice, position) GROUP BY ALL HAVING sum(share) >= {licenses.SCORE} * {licenses.UNIT}),
 sure AS (SELECT r, label, max(share) AS share FROM aligned JOIN k USING (notice) JOIN w USING (r)
   WHERE len(list_filter(keys, lambda x: NOT contains(' ' || array_to_string(words, ' ') || ' ', x))) = 0 GROUP BY ALL),
 ph AS ({_PHRASES}),

@@ -498,6 +498,49 @@ def test_licenses(spark):
     assert rows[3].labels == "cc-by-nc"
 
 
+def _share(p, w, weights, at):
+    """Weight of the text's words that stand in their place from `at` on, or beside a neighbour with which they are moved by less than a band."""
+    held = {k for k in range(len(w)) if 0 <= at + k < len(p) and p[at + k] == w[k]}
+    for move in range(at, at + licenses.band(w)):
+        for k in range(max(0, -move), len(w) - 1):
+            if p[move + k : move + k + 2] == w[k : k + 2]:
+                held |= {k, k + 1}
+    return sum(weights[k] for k in held)
+
+
+def test_licenses_with_words_put_in_or_left_out(spark):
+    """Whole texts with one to three words more or fewer outside of their key phrases, numbers of lists taken away, and signs
+    or a word before each line; none of them is lost, and their words in any other order are no license."""
+    rng = random.Random(5)
+    texts, wanted = [], []
+    for w, (label, keys, text) in zip(licenses.WORDS, licenses.TEXTS, strict=True):
+        if len(w) < 16:
+            continue
+        free = [i for i in range(1, len(w) - 1) if all(k in " ".join([*w[:i], "|", *w[i:]]) and k in " ".join([*w[:i], *w[i + 1 :]]) for k in keys)]
+        made = [" ".join([*w[: len(w) // 2], "zz", *w[len(w) // 2 :]])] if len(w) // 2 in free else []
+        for n in (1, 2, 3):
+            places = set(rng.sample(free, n))
+            made.append(" ".join(f"zz {x}" if i in places else x for i, x in enumerate(w)))
+            if len(w) > 40 or n == 1:
+                made.append(" ".join(x for i, x in enumerate(w) if i not in places))
+        made += ["/*\n" + "\n".join(f" {sign} {line}" for line in text.strip().split("\n")) + "\n*/" for sign in ("*", "#", "//", ";")]
+        made.append("\n".join(line.replace("1.", "*").replace("2.", "-").replace("3.", "*") if line[:2] in ("1.", "2.", "3.") else line for line in text.strip().split("\n")))
+        if all(k in " ".join(licenses._WORD.findall(" dnl ".join(text.lower().split("\n")))) for k in keys):
+            made.append("\n".join(f"dnl {line}" for line in text.strip().split("\n")))
+        texts += made
+        wanted += [label] * len(made)
+    plain = [" ".join(rng.choice("zo wu ke ra ti".split()) for _ in range(80)) for _ in range(200)]
+    mixed = [" ".join([*rng.sample(w, len(w)), *keys]) for w, (_, keys, _) in zip(licenses.WORDS, licenses.TEXTS, strict=True) if len(w) >= 16]
+    rows = list(enumerate([*texts, *plain, *mixed]))
+    got = {r.doc_id: r.labels.split(",") for r in licenses.counted(spark.createDataFrame(rows, "doc_id int, text string").repartition(4)).collect()}
+    assert [(texts[i], label) for i, label in enumerate(wanted) if label not in got[i]] == []
+    assert len(texts) > 200
+    assert all(got[i] == [""] for i in range(len(texts), len(texts) + len(plain)))
+    long = [label for w, (label, _, _) in zip(licenses.WORDS, licenses.TEXTS, strict=True) if len(w) >= 16]
+    for i, label in enumerate(long, len(texts) + len(plain)):
+        assert label not in set(got[i]) - set(licenses.PHRASES.values())
+
+
 def test_licenses_row_by_row(spark):
     """Rows that repeat or lack a doc_id, parts of texts, other words in place of some, and long documents, against a plain comparison."""
     rng = random.Random(21)
@@ -518,7 +561,7 @@ def test_licenses_row_by_row(spark):
             if not all(f" {k} " in joined for k in keys):
                 continue
             weights = [round(licenses.UNIT * idf[x] / sum(idf[y] for y in w)) for x in w]
-            share = max(sum(n for k, (x, n) in enumerate(zip(w, weights, strict=True)) if 0 <= at + k < len(p) and p[at + k] == x) for at in range(-len(w), len(p)))
+            share = max((_share(p, w, weights, at) for at in range(-len(w), len(p)) if any(p[at + k : at + k + 2] == w[k : k + 2] for k in range(max(0, -at), len(w) - 1))), default=0)
             if share >= licenses.SCORE * licenses.UNIT:
                 labels.add(label)
                 best = max(best, share)
