@@ -36,11 +36,11 @@ _TOKENS = re.compile(r"[a-z]+")
 class Node:
     """An element that has a variable: blocks, and inline elements with a class, id or role."""
 
-    __slots__ = ("tag", "parent", "tokens", "label", "own", "chars", "linked", "stops", "paragraphs")
+    __slots__ = ("tag", "parent", "tokens", "label", "own", "chars", "linked", "stops", "paragraphs", "kin")
 
     def __init__(self, tag: str, parent: int, tokens: tuple[str, ...], label: int | None) -> None:
         self.tag, self.parent, self.tokens, self.label = tag, parent, tokens, label
-        self.own = self.chars = self.linked = self.stops = self.paragraphs = 0
+        self.own = self.chars = self.linked = self.stops = self.paragraphs = self.kin = 0
 
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
@@ -134,6 +134,9 @@ class Tree:
             up = self.nodes[node.parent]
             up.chars, up.linked, up.stops = up.chars + node.chars, up.linked + node.linked, up.stops + node.stops
             up.paragraphs += node.tag == "p"
+        for node in self.nodes[1:]:
+            up = self.nodes[node.parent]
+            node.kin = 0 if up.tag in ("#page", "html", "body") else up.chars - up.linked - node.chars + node.linked
 
     def _close(self, upto: int) -> None:
         """Closes what is open from that place on."""

@@ -1,7 +1,7 @@
 """Main text of web pages by a graphical model over the page's tree.
 
 Every block element, and every inline one with a class, id or role, is a variable: content or not. Its own potential
-comes from its names, how much text and how many links it holds; a potential for each edge tells how
+comes from its names, how much text and how many links it holds, and how much text stands beside it in its parent; a potential for each edge tells how
 parents and children of each tag go together. Both are smoothed counts over labelled pages: pages made from seeds, and a
 bounded sample of the table's own pages that have one article element, which labels them. Sum-product messages go from the leaves up and
 from the root down, which gives the exact marginal of every element; the text of those above one half, outside of what
@@ -31,12 +31,12 @@ MADE = 2000
 #: Pages of the table to train on, about, at most; a hash of page_id chooses them.
 SAMPLE = 1000
 #: Elements and names inside an article that may be something else than content.
-OTHER_TAGS = frozenset("nav aside form footer header section".split())
+OTHER_TAGS = frozenset("nav aside form footer".split())
 OTHER_NAMES = frozenset(word for kind, names in NAMES.items() if kind != "content" for name in names for word in name.split("-") if word)
 SMOOTHING = 0.5
 #: Weight of the text's features, which depend on each other.
 TEXT_WEIGHT = 0.5
-_TEXT = ("own", "chars", "linked", "stops", "paragraphs")
+_TEXT = ("own", "chars", "linked", "stops", "paragraphs", "kin")
 
 
 class Model(NamedTuple):
@@ -50,12 +50,14 @@ class Model(NamedTuple):
 
 def features(node: Node) -> list[str]:
     share = node.linked / node.chars if node.chars else 0.0
+    linked = int(share > 0.5)
     return [
         *[f"name {x}" for x in node.tokens],
         f"paragraphs {min(8, node.paragraphs).bit_length()}",
-        f"own {node.tag} {min(node.own, 4000).bit_length() // 2}",
-        f"chars {min(node.chars, 20000).bit_length() // 2}",
-        f"linked {math.ceil(share * 4)}",
+        f"own {node.tag} {min(node.own, 4000).bit_length() // 2} {linked}",
+        f"chars {min(node.chars, 20000).bit_length() // 2} {linked}",
+        f"linked {node.tag} {math.ceil(share * 4)}",
+        f"kin {node.tag} {min(node.kin, 4000).bit_length() // 3} {linked}",
         f"stops {min(3, node.stops) if node.chars < 400 else 4 if node.stops * 60 > node.chars else 5}",
     ]
 

@@ -16,6 +16,7 @@ NAMES = {
     "notice": ["notice", "cookie", "cookie-notice", "alert", "consent", "gdpr", "popup", "modal", "newsletter", "subscribe", "message", "warning"],
     "comments": ["comments", "comment-list", "comment", "responses", "discussion", "replies", "reader-comments", "reply"],
     "share": ["share", "social", "share-buttons", "tools", "meta", "byline-links", "tags"],
+    "layout": ["container", "wrapper", "row", "col", "inner", "page", "grid", "block", "box", "main", "center", "section", "", "", "", ""],
 }
 TAGS = {
     "menu": ["nav", "div", "ul", "nav"], "header": ["header", "div"], "footer": ["footer", "div"], "sidebar": ["aside", "div", "section"],
@@ -55,7 +56,8 @@ class Page:
         items = "".join(self.el("li", y, self.link(3)) for _ in range(self.r.randint(2, 9)))
         return self.el(self.r.choice(["ul", "ul", "ol"]), y, items)
 
-    def boiler(self, kind: str) -> str:
+    def boiler(self, kind: str, inside: bool = False) -> str:
+        """A part that isn't content; inside of content its name tells so, as a list of links without one belongs to it."""
         r = self.r
         tag = r.choice(TAGS[kind])
         text = {
@@ -73,7 +75,7 @@ class Page:
             "share": lambda: " ".join(self.link(1) for _ in range(r.randint(2, 5))) if tag != "ul" else self.el("li", 0, self.link(1)),
         }[kind]()
         attrs = self.named(kind)
-        if tag in ("div", "section", "p", "ol", "ul") and not attrs and kind not in ("menu", "share"):
+        if tag in ("div", "section", "p", "ol", "ul") and not attrs and (inside or kind not in ("menu", "share")):
             attrs = f' class="{r.choice([n for n in NAMES[kind] if n])}"'
         return self.el(tag, 0, text, attrs)
 
@@ -95,35 +97,79 @@ class Page:
                 out.append(self.el("p", 1, r.choice([text, text, f"<b>{text}</b>", text + " " + self.link() + " " + self.words(4)])))
             elif kind < 0.8:
                 out.append(self.el("h2", 1, self.words(3)))
-            elif kind < 0.85:
-                out.append(self.el(r.choice(["ul", "ol"]), 1, "".join(self.el("li", 1, self.words(r.randint(1, 14))) for _ in range(4))))
-            elif kind < 0.88:
+            elif kind < 0.87:
+                out.append(self.listed(n))
+            elif kind < 0.89:
                 out.append(self.el("blockquote", 1, self.el("p", 1, self.words(n))))
-            elif kind < 0.9:
-                out.append(self.el("table", 1, self.el("tr", 1, self.el("td", 1, self.words(2)) + self.el("td", 1, self.words(3)))))
+            elif kind < 0.91:
+                out.append(self.table())
             elif kind < 0.92:
                 out.append(self.el("pre", 1, self.words(6)))
             elif kind < 0.95:
                 out.append(self.el("div", 1, self.words(n)))
             elif kind < 0.975:
-                out.append(self.boiler(r.choice(["ad", "ad", "share", "notice"])))
+                out.append(self.boiler(r.choice(["ad", "ad", "share", "notice"]), True))
             else:
                 out.append(self.el("figure", 1, self.el("figcaption", 1, self.words(6))))
         self.odd = False
         if r.random() < 0.1:
-            out.append(self.boiler("comments"))
+            out.append(self.boiler("comments", True))
         if r.random() < 0.08:
             out.append(self.words(12))
+        if r.random() < 0.3:
+            out = self.grouped(out)
+        if r.random() < 0.15 and out[0].startswith("<h"):
+            about = r.choice(["", "", self.el("p", 1, self.words(r.randint(2, 14))), self.el("div", 1, self.words(3), self.named("share")), self.boiler("share", True)])
+            out[0] = self.el("header", 1, out[0] + about, r.choice(["", "", ' class="entry-header"', ' class="article-header"']))
         inner = "".join(out)
-        tag = r.choice(["article", "article", "article", "main", "div", "div", "section"])
+        tag = r.choice(["article", "article", "article", "main", "main", "div", "div", "section"])
         attrs = self.named("content")
-        if tag in ("div", "section") and not attrs:
+        if tag in ("div", "section") and not attrs and r.random() < 0.5:
             attrs = f' class="{r.choice([n for n in NAMES["content"] if n])}"'
         inner = self.el(tag, 1, inner, attrs)
-        if depth and r.random() < 0.35:
-            inner = self.el("main", 0, inner) if r.random() < 0.5 else self.el("div", 0, inner, r.choice(["", ' id="wrapper"', ' class="container"']))
+        while depth and r.random() < 0.35:
+            beside = self.boiler(r.choice(["sidebar", "comments", "ad", "share"])) if r.random() < 0.3 else ""
+            inner = self.el(r.choice(["main", "div", "div"]), int(not beside), inner + beside, self.named("layout"))
+            depth -= r.random() < 0.5
         return inner
 
+    def listed(self, n: int) -> str:
+        """A list inside of content, some of links, of long items or of terms."""
+        r = self.r
+        kind, items = r.random(), r.choice([2, 3, 4, 4, 7, 12])
+        if kind < 0.15:
+            return self.el("dl", 1, "".join(self.el("dt", 1, self.words(r.randint(1, 3))) + self.el("dd", 1, self.words(r.randint(2, 20))) for _ in range(items)))
+        item = {
+            0: lambda: self.words(r.randint(1, 14)), 1: lambda: self.words(min(n, 80)), 2: lambda: self.el("p", 1, self.words(r.randint(2, 30))),
+            3: lambda: self.link(6), 4: lambda: self.words(r.randint(3, 12)) + " " + self.link(4),
+        }[r.choice([0, 0, 0, 1, 2, 3, 4])]
+        return self.el(r.choice(["ul", "ol"]), 1, "".join(self.el("li", 1, item()) for _ in range(items)))
+
+    def table(self) -> str:
+        r = self.r
+        width, rows = r.randint(2, 4), r.randint(1, 6)
+        cells = lambda tag: self.el("tr", 1, "".join(self.el(tag, 1, self.words(r.randint(1, 4))) for _ in range(width)))
+        body = "".join(cells("td") for _ in range(rows))
+        if r.random() < 0.5:
+            return self.el("table", 1, (cells("th") if r.random() < 0.5 else "") + body)
+        return self.el("table", 1, self.el("thead", 1, cells("th")) + self.el("tbody", 1, body))
+
+    def grouped(self, parts: list[str]) -> list[str]:
+        """Parts of content in sections or containers, some of them with a heading, or one in another."""
+        r = self.r
+        out, at = [], 1 if r.random() < 0.6 else 0
+        out += parts[:at]
+        tag = r.choice(["section", "section", "div"])
+        while at < len(parts):
+            n = r.randint(1, 4)
+            head = self.el(r.choice(["h2", "h2", "h3"]), 1, self.words(r.randint(1, 5))) if r.random() < 0.6 else ""
+            inner = head + "".join(parts[at : at + n])
+            for _ in range(r.choice([1, 1, 1, 2])):
+                inner = self.el(tag, 1, inner, self.named(r.choice(["layout", "layout", "content"])) if r.random() < 0.5 else "")
+            out.append(inner)
+            at += n
+        return out or [self.el("p", 1, self.words(20))]
+
     def html(self) -> str:
         r = self.r
         before = [self.boiler(k) for k in ("header", "menu", "notice", "ad") if r.random() < 0.6] + ([self.form()] if r.random() < 0.25 else [])
