@@ -96,11 +96,11 @@ def prose_spans(docs: DataFrame, key: list[str], deny: list[tuple[str, str, int]
 
         def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             every = prosetext.denylist(tuple((e, line) for e, _, line in sent.value))
-            some = prosetext.denylist(tuple((e, line) for e, scope, line in sent.value if scope != EXEMPT))
+            some = tuple((e, line) for e, scope, line in sent.value if scope != EXEMPT)
             for batch in batches:
                 out = batch.column(n + 2).to_pylist()
                 for held, text, note in zip(out, batch.column(n).to_pylist(), batch.column(n + 1).to_pylist(), strict=True):
-                    listed = some if note else every
+                    listed = prosetext.denylist(some) if note else every
                     held += [{"line": listed.entries[i][1], "start": a, "end": b} for i, a, b in listed.matches(text)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[: n + 2], pa.array(out, kind)], [*names, "denied"])
 

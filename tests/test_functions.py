@@ -330,3 +330,22 @@ def test_conflicts_of_random_lines(markdown):
             assert list(filerules.conflicts(text, markdown, size, **limits)) == wanted, text
     block = f"<<<<<<< a\n======= {'x' * 30}\n=======\n>>>>>>> {'b' * 50}\n"
     assert [n for n, _ in filerules.conflicts(block * 3, limit=2)] == [1, 5, 9]
+
+
+def test_phrases_grouped_by_first_sign_match_as_one_by_one():
+    import random
+    import re
+
+    from corpusgate.functions import prosetext
+
+    rng = random.Random(8)
+    lists = [prosetext.PRONOUNS, prosetext.HEDGES, prosetext.JUSTIFICATIONS, prosetext.HISTORY, prosetext.PROVENANCE, ("a b", "a", "B c", "#x", "-", "]"), (" a", "a"), ("\u00e9t\u00e9", "e"), ("one",)]
+    for parts in lists:
+        each = []
+        for part in sorted(parts, key=lambda p: (-len(p), p)):
+            body = r"\s+".join(map(re.escape, part.split(" ")))
+            each.append(("(?<![A-Za-z])" if part[:1].isalnum() else "") + body + ("(?![A-Za-z])" if part[-1:].isalnum() else ""))
+        plain, grouped = re.compile("|".join(each), re.IGNORECASE), re.compile(prosetext.bounded(*parts), re.IGNORECASE)
+        for _ in range(300):
+            text = "".join(rng.choice([p, p.upper(), p.title(), p[: len(p) // 2], p.replace(" ", "\n\t"), p.replace("s", "\u017f"), "x"]) + rng.choice(["", " ", ".", "\n", "1"]) for p in rng.choices(parts, k=12))
+            assert [m.span() for m in plain.finditer(text)] == [m.span() for m in grouped.finditer(text)], (parts, text)
