@@ -58,9 +58,10 @@ def packed_by_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All line items as the files of one change set, and each order's as those of another: packed over ranges."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("int").alias("cost"))
     at = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "cost")).cast("int")
-    each = lines.withColumn("at", at).select(F.col("l_orderkey").alias("pr"), F.col("at").alias("ord"), F.lit("x").alias("path"), "cost")
-    whole = each.select(F.lit(-1).cast("bigint").alias("pr"), (F.col("pr") * 100 + F.col("ord")).cast("int").alias("ord"), "path", "cost")
-    return pack_ranges(whole.unionByName(each), PR, 120).groupBy("pr", "chunk").agg(
+    of = lambda pr, order: F.struct(pr.cast("bigint").alias("pr"), order.cast("int").alias("ord"))
+    sets = F.array(of(F.lit(-1), F.col("l_orderkey") * 100 + F.col("at")), of(F.col("l_orderkey"), F.col("at")))
+    files = lines.withColumn("at", at).select(F.explode(sets).alias("f"), "cost").select("f.pr", "f.ord", F.lit("x").alias("path"), "cost")
+    return pack_ranges(files, PR, 120).groupBy("pr", "chunk").agg(
         F.count(F.lit(1)).alias("files"), F.sum("cost").alias("bytes"), F.min("ord").alias("first"), F.max("ord").alias("last")
     )
 

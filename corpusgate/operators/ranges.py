@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +20,10 @@ from corpusgate.functions.shared import shared_folder
 from corpusgate.functions.ship import ship
 
 
+#: Binary logarithm of the most rows of a range that is worked on as a whole: 131,072 rows, some 30 MB of a worker.
+BITS = 17
+
+
 def written(rows: DataFrame, name: str) -> DataFrame:
     """Rows in the shared folder: what reads them again computes nothing anew."""
     path = f"{shared_folder(rows.sparkSession)}/{name}-{uuid.uuid4().hex}"
@@ -42,6 +47,13 @@ def ranged(rows: DataFrame, key: list[str], order: list[Column | str], ranges: i
     return (rows.repartitionByRange(ranges, *by) if ranges else rows.repartitionByRange(*by)).sortWithinPartitions(*by)
 
 
+def numbered(sorted_rows: DataFrame, bits: int = BITS) -> DataFrame:
+    """Rows of `ranged` with range and first: partitions are cut into ranges of 2^bits rows at most, so that these don't grow with the table; first
+    tells a range's first row."""
+    rows = sorted_rows.withColumn("__at", F.monotonically_increasing_id())
+    return rows.withColumn("range", F.shiftright("__at", bits)).withColumn("first", F.col("__at").bitwiseAND(F.lit(2**bits - 1)) == 0).drop("__at")
+
+
 def ranked(rows: DataFrame, key: list[str], order: list[Column | str], name: str = "rank", ranges: int | None = None) -> DataFrame:
     """rows with their number, from 1, in each unit of key, as row_number over the unit gives it; the order must leave no ties.
 
@@ -100,13 +112,18 @@ class _Units:
         return self.ranges[unit][bisect_right(self.begins[unit], size) - 1]
 
 
+def _cuts(table: pa.Table) -> np.ndarray:
+    """Where the rows of each unit begin in a range that is sorted, and its end."""
+    units = table.column("unit").combine_chunks()
+    changed = pc.not_equal(units[1:], units[:-1]).to_numpy(zero_copy_only=False) if len(units) > 1 else np.zeros(0, bool)
+    return np.array([0, *(np.flatnonzero(changed) + 1).tolist(), len(units)] if len(units) else [0])
+
+
 def _pieces(table: pa.Table) -> Iterator[tuple[str, int, int]]:
     """unit, begin and end of each unit's rows in a range that is sorted."""
-    units = np.array(table.column("unit").to_pylist(), object)
-    cuts = [0, *(np.flatnonzero(units[1:] != units[:-1]) + 1).tolist(), len(units)]
+    cuts = _cuts(table).tolist()
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        if b > a:
-            yield units[a], a, b
+        yield table.column("unit")[a].as_py(), a, b
 
 
 def _links(sizes: np.ndarray, begin: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
@@ -115,8 +132,8 @@ def _links(sizes: np.ndarray, begin: int, limit: int) -> tuple[np.ndarray, np.nd
     return ends, np.searchsorted(ends, ends - sizes + limit, "right")
 
 
-def pack_ranges(sizes: DataFrame, key: list[str], budget: Column | int, ranges: int | None = None) -> DataFrame:
-    """What `packing.pack_chunks` gives, for change sets of any length: no task holds more than a range of one.
+def pack_ranges(sizes: DataFrame, key: list[str], budget: Column | int, ranges: int | None = None, bits: int = BITS) -> DataFrame:
+    """What `packing.pack_chunks` gives, for change sets of any length: no task holds more than a range of one, of 2^bits files at most.
 
     Next fit as links in a list: the chunk that begins with a file ends where the running size first exceeds that file's start by more than the budget,
     found by binary search, so each file links to the one with which the next chunk would begin. Within a range links are followed at once; those
@@ -128,8 +145,10 @@ def pack_ranges(sizes: DataFrame, key: list[str], budget: Column | int, ranges:
     unit = F.to_json(F.struct(*key), {"ignoreNullFields": "false"})
     rows = sizes.select(*key, F.col("ord").cast("int").alias("ord"), "path", F.col("cost").cast("int").alias("cost"), limit.cast("bigint").alias("limit"), unit.alias("unit"))
     fits = F.coalesce(F.col("cost") <= F.col("limit"), F.lit(False))
-    placed = written(ranged(rows.filter(fits), ["unit"], ["ord", "path", "cost"], ranges).withColumn("range", F.spark_partition_id()), "pack-ranges")
-    totals = placed.groupBy("unit", "range").agg(F.sum("cost").alias("total"))
+    placed = written(numbered(ranged(rows.filter(fits), ["unit"], ["ord", "path", "cost"], ranges), bits), "pack-ranges")
+    # A unit that goes over several ranges begins all of them but its first, so there are fewer such units than ranges.
+    wide = placed.join(F.broadcast(placed.filter("first").select("unit").distinct()), "unit", "left_semi")
+    totals = wide.groupBy("unit", "range").agg(F.sum("cost").alias("total"))
     several = F.count(F.lit(1)).over(Window.partitionBy("unit")) > 1
     # Units of several ranges have fewer than two rows for each range together.
     units = _Units(totals.withColumn("several", several).filter("several").orderBy("unit", "range").collect())
@@ -151,9 +170,9 @@ def pack_ranges(sizes: DataFrame, key: list[str], budget: Column | int, ranges:
             beyond = np.unique((ends - costs + most)[after == len(ends)])
             out += [(name, int(size), known.range_at(name, int(size))) for size in beyond if size < known.ends[name]]
         names, at, to = zip(*out, strict=True) if out else ((), (), ())
-        return pa.table({"unit": pa.array(names, pa.string()), "at": pa.array(at, pa.int64()), "range": pa.array(to, pa.int32())})
+        return pa.table({"unit": pa.array(names, pa.string()), "at": pa.array(at, pa.int64()), "range": pa.array(to, pa.int64())})
 
-    arrivals = placed.groupBy("range").applyInArrow(leaving, "unit string, at bigint, range int").distinct()
+    arrivals = wide.groupBy("range").applyInArrow(leaving, "unit string, at bigint, range bigint").distinct()
 
     def linked(table: pa.Table, arrived: pa.Table) -> pa.Table:
         """From each arrival, and from the first file of a unit (-1), to where the range is left, with the chunks begun on the way."""
@@ -182,7 +201,7 @@ def pack_ranges(sizes: DataFrame, key: list[str], budget: Column | int, ranges:
         return pa.table({"unit": pa.array(names, pa.string()), "at": pa.array(at, pa.int64()), "to": pa.array(to, pa.int64()), "steps": pa.array(steps, pa.int64())})
 
     by_range = arrivals.withColumnRenamed("range", "comes")
-    links = written(placed.groupBy("range").cogroup(by_range.groupBy("comes")).applyInArrow(linked, "unit string, at bigint, to bigint, steps bigint"), "pack-links")
+    links = written(wide.groupBy("range").cogroup(by_range.groupBy("comes")).applyInArrow(linked, "unit string, at bigint, to bigint, steps bigint"), "pack-links")
     chain, reached = links, links.filter("at = -1").select("unit", "at", F.lit(0).cast("bigint").alias("before"))
     longest = max(map(len, units.ranges.values()), default=1)
     for _ in range(math.ceil(math.log2(longest)) if longest > 1 else 0):
@@ -210,20 +229,28 @@ def pack_ranges(sizes: DataFrame, key: list[str], budget: Column | int, ranges:
     starts = spark.sparkContext.broadcast((entries, opened))
 
     def packed(table: pa.Table) -> pa.Table:
-        known, (entered, before) = shared.value, starts.value
+        """All units of a range at once: links that would leave a unit go to where the next one begins."""
+        known, (entered, opened) = shared.value, starts.value
         table = ordered(table)
-        number = table.column("range")[0].as_py() if len(table) else 0
-        chunks = np.zeros(len(table), np.int32)
-        for name, a, b in _pieces(table):
-            costs, most = table.column("cost")[a:b].to_numpy().astype(np.int64), table.column("limit")[a].as_py()
-            ends, after = _links(costs, known.begin(name, number), most)
-            at, chunk = entered.get((name, number), (None, 0)) if name in known.begins else (-1, 0)
-            chunks[a:b] = before.get((name, number), 0)
-            i = len(ends) if at is None else 0 if at < 0 else int(np.searchsorted(ends, at, "right"))
-            while i < len(ends):
-                chunk += 1
-                chunks[a + i : a + int(after[i])] = chunk
-                i = int(after[i])
+        cuts = _cuts(table)
+        costs, most = table.column("cost").to_numpy().astype(np.int64), table.column("limit").to_numpy()
+        ends, after = _links(costs, 0, most)
+        after = np.minimum(after, np.repeat(cuts[1:], np.diff(cuts))).tolist()
+        i, before = 0, np.zeros(len(cuts) - 1, np.int64)
+        if len(table):
+            # Only the first unit of a range may have begun in an earlier one.
+            at = table.column("unit")[0].as_py(), table.column("range")[0].as_py()
+            if at[0] in known.begins:
+                entry = entered.get(at, (None, 0))[0]
+                before[0] = opened.get(at, 0)
+                i = int(cuts[1]) if entry is None else 0 if entry < 0 else int(np.searchsorted(known.begin(*at) + ends[: cuts[1]], entry, "right"))
+        begun = np.zeros(len(table), bool)
+        while i < len(after):
+            begun[i] = True
+            i = after[i]
+        count = np.cumsum(begun)
+        before -= count[cuts[:-1]] - begun[cuts[:-1]]
+        chunks = (count + np.repeat(before, np.diff(cuts))).astype(np.int32)
         return table.select([*key, "ord", "path", "cost"]).append_column("chunk", pa.array(chunks))
 
     schema = placed.select(*key, "ord", "path", "cost").withColumn("chunk", F.lit(0)).schema

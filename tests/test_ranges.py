@@ -29,6 +29,20 @@ def test_packing_by_ranges_is_next_fit(spark):
         assert sorted(map(str, got.collect())) == sorted(map(str, wanted)), (budget, most, parts)
 
 
+def test_ranges_are_cut_to_so_many_rows(spark):
+    """However few partitions there are: a range that is worked on as a whole doesn't grow with the table."""
+    rng = random.Random(8)
+    rows = ranges.ranged(spark.range(5000).selectExpr("id % 3 AS unit", "id"), ["unit"], ["id"], 2)
+    held = ranges.numbered(rows, 6).groupBy("range").agg(F.count(F.lit(1)).alias("n"), F.count_if("first").alias("firsts")).collect()
+    assert max(r.n for r in held) <= 64 and {r.firsts for r in held} == {1} and sum(r.n for r in held) == 5000
+    for budget, most, parts in ((9, 600, 1), (100_000, 300, 2)):
+        sizes = spark.createDataFrame(made_files(rng, 30, most), "pr int, repo string, ord int, path string, cost int").repartition(3)
+        wanted = packing.pack_chunks(sizes, ["pr", "repo"], budget).collect()
+        for bits in (3,):
+            got = ranges.pack_ranges(sizes, ["pr", "repo"], budget, parts, bits)
+            assert sorted(map(str, got.collect())) == sorted(map(str, wanted)), (budget, most, parts, bits)
+
+
 def test_packing_with_a_budget_for_each_unit(spark):
     rng = random.Random(5)
     rows = [(*r, 5 + abs(r[0]) % 3 * 20) for r in made_files(rng, 12, 200)]
