@@ -16,6 +16,8 @@ EXEMPT = "handoff-exempt"
 SCOPES = ["global", EXEMPT]
 #: Entries of a deny list that go out with one pass: some 50 MB of a worker.
 ENTRIES = 200_000
+#: Texts that become Python objects at a time, with their spans.
+TEXTS = 200
 #: The path of the notes for the next worker, and the deny list of the rules, by scope.
 HANDOFF = "plan/HANDOFF.md.example"
 DENYLIST = """[global]
@@ -74,6 +76,12 @@ def default_denylist() -> list[tuple[str, str, int]]:
     return out
 
 
+def _few(batches: Iterator[pa.RecordBatch], most: int = TEXTS) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of a few rows: what a worker holds in Python objects doesn't depend on how many rows Spark sends at once."""
+    for batch in batches:
+        yield from (batch.slice(i, most) for i in range(0, batch.num_rows, most))
+
+
 def prose_spans(docs: DataFrame, key: list[str], deny: list[tuple[str, str, int]] | DataFrame | None = None, path: str | None = None, most: int = ENTRIES, rules: bool = True) -> DataFrame:
     """key, text, spans. deny: entries, scopes and lines, or such a table (entry, scope, line, as `load_denylist` gives it; rows with an error don't count).
 
@@ -89,32 +97,44 @@ def prose_spans(docs: DataFrame, key: list[str], deny: list[tuple[str, str, int]
     names = rows.columns[: n + 2]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: n + 2])
 
-    def searched(entries: list[tuple[str, str, int]]):
-        """A pass that adds the occurrences of these entries."""
+    def finder(entries: list[tuple[str, str, int]]):
+        """A function that adds the occurrences of these entries to those that a row has."""
         sent = spark.sparkContext.broadcast(tuple(entries))
-        kind = pa.list_(pa.struct([("line", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
 
-        def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(batch: pa.RecordBatch) -> Iterator[tuple[str, bool, list[tuple[int, int, int]]]]:
             every = prosetext.denylist(tuple((e, line) for e, _, line in sent.value))
             some = tuple((e, line) for e, scope, line in sent.value if scope != EXEMPT)
-            for batch in batches:
-                out = batch.column(n + 2).to_pylist()
-                for held, text, note in zip(out, batch.column(n).to_pylist(), batch.column(n + 1).to_pylist(), strict=True):
-                    listed = prosetext.denylist(some) if note else every
-                    held += [{"line": listed.entries[i][1], "start": a, "end": b} for i, a, b in listed.matches(text)]
+            for text, note, held in zip(*(batch.column(n + i).to_pylist() for i in range(3)), strict=True):
+                listed = prosetext.denylist(some) if note else every
+                yield text, note, [(d["line"], d["start"], d["end"]) for d in held] + [(listed.entries[i][1], a, b) for i, a, b in listed.matches(text)]
+
+        return found
+
+    def searched(found):
+        """A pass that keeps what is found."""
+        kind = pa.list_(pa.struct([("line", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
+
+        def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in _few(batches):
+                out = [[{"line": line, "start": a, "end": b} for line, a, b in denied] for _, _, denied in found(batch)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[: n + 2], pa.array(out, kind)], [*names, "denied"])
 
         return added
 
-    for entries in _entries(deny, most):
-        rows = rows.mapInArrow(searched(entries), f"{kinds}, denied {_OCCURRENCES}")
+    # The last entries are looked for in the pass that settles overlaps, so a short list costs one pass and one worker.
+    parts = _entries(deny, most)
+    last = next(parts, [])
+    for part in parts:
+        rows = rows.mapInArrow(searched(finder(last)), f"{kinds}, denied {_OCCURRENCES}")
+        last = part
+    found_last = finder(last)
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("category", pa.string()), ("detail", pa.string())]))
-        for batch in batches:
+        for batch in _few(batches):
             out = []
-            for text, note, held in zip(*(batch.column(n + i).to_pylist() for i in range(3)), strict=True):
-                found = prosetext.spans_beside(text, [(d["line"], d["start"], d["end"]) for d in held], note, rules)
+            for text, note, denied in found_last(batch):
+                found = prosetext.spans_beside(text, denied, note, rules)
                 out.append([{"start": a, "end": b, "category": c, "detail": d} for a, b, c, d in found])
             yield pa.RecordBatch.from_arrays([*batch.columns[: n + 1], pa.array(out, kind)], [*names[: n + 1], "spans"])
 

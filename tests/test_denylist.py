@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
+
 from corpusgate.functions import prosetext
 from corpusgate.operators import prose
 
@@ -69,3 +71,19 @@ def test_many_entries_cost_one_pass(spark):
     docs = spark.createDataFrame([(1, " ".join(f"see Entry  WORD{i}x," for i in range(0, 100_000, 1000)))], "doc_id bigint, text string")
     spans = prose.prose_spans(docs, ["doc_id"], entries, rules=False).first().spans
     assert [s.detail for s in spans] == [f"denylist line {i}" for i in range(0, 100_000, 1000)]
+
+
+def test_few_texts_are_held_at_a_time():
+    """Batches of any length are read in parts of a few rows, in order."""
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(n))], ["id"]) for n in (3000, 0, 1, prose.TEXTS)]
+    parts = list(prose._few(iter(batches)))
+    assert max(map(len, parts)) == prose.TEXTS
+    assert [i for part in parts for i in part.column(0).to_pylist()] == [i for batch in batches for i in batch.column(0).to_pylist()]
+
+
+def test_a_short_list_costs_one_pass(spark):
+    docs = spark.createDataFrame([(1, "the worst"), (2, None)], "doc_id bigint, text string")
+    for entries, passes in ((None, 1), ([("worst", "global", 1), ("the", "global", 2), ("a", "global", 3)], 3), ([], 1)):
+        spans = prose.prose_spans(docs, ["doc_id"], entries, most=1 if entries else prose.ENTRIES)
+        assert spans._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == passes
+        assert {r.doc_id: len(r.spans) for r in spans.collect()} == {1: 1 if entries is None else len((entries or [])[:2]), 2: 0}
