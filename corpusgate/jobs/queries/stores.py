@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpusgate.functions.shared import shared_folder
 from corpusgate.jobs.queries.scans import SQL_LINE_CHECKS, all_line_findings
 from corpusgate.operators import commits, content, findings
+from corpusgate.operators.ranges import written
 from corpusgate.sources.synth import table, view, with_views
 
 
@@ -19,7 +20,7 @@ def _folder(spark: SparkSession, name: str) -> str:
 
 def findings_written_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings written by repository and class in all three forms, then those of some repositories again, where markers are mended."""
-    found = all_line_findings(spark, sf_dir)
+    found = written(all_line_findings(spark, sf_dir), "found")
     scanned = view(spark, sf_dir, "doc_files").select("repo").distinct().filter("repo like '%1%'")
     again = found.filter("repo like '%1%' and class_id <> 'M12'")
     parts = []

@@ -28,6 +28,17 @@ def test_a_rerun_replaces_its_own_units(spark, tmp_path):
         assert {r.repo for r in spark.read.schema(kinds).format(form).load(path).collect()} == {"other", None}
 
 
+def test_findings_are_scanned_once_for_all_forms(spark, monkeypatch):
+    """What is written in three forms, twice, is read from a table; the scans aren't in the plan any more."""
+    from conftest import DATA
+    from corpusgate.jobs.queries import stores
+
+    plans, write = [], findings.write_findings
+    monkeypatch.setattr(findings, "write_findings", lambda rows, *rest: (plans.append(rows._jdf.queryExecution().optimizedPlan().toString()), write(rows, *rest)))
+    stores.findings_written_twice(spark, str(DATA))
+    assert len(plans) == 6 and not any("Generate" in plan for plan in plans)
+
+
 def test_a_second_run_scans_unseen_blobs_only(spark, tmp_path):
     files = [("r", "h", "a", "1", "x"), ("r", "h", "b", "1", "x"), ("r", "h", "c", "2", "yy"), ("r", "h", "d", None, "z"), ("r", "h", "e.md", "2", "yy")]
     files = spark.createDataFrame(files, "repo string, rev string, path string, blob_id string, text string")
