@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
 from corpusgate.streaming import prescan as streams
@@ -32,3 +34,19 @@ def test_heads_are_reviewed_once_and_forgotten_in_time(spark, tmp_path):
     seen, held = deliver(spark, tmp_path, [(1, "a", day + "15:10:00")])
     assert seen.count((1, "a")) == 2
     assert held == 2
+
+
+def test_deliveries_have_as_many_files_as_splits(spark, tmp_path):
+    """Four deliveries, however many splits the table has, and no task that takes a whole delivery."""
+    from corpusgate.functions.shared import shared_folder
+    from corpusgate.jobs.queries import flows
+
+    rows = spark.range(60).selectExpr("id AS doc_id", "'r' AS source", "concat('TODO ', id) AS text")
+    rows.repartition(12).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    before = set(Path(shared_folder(spark)).glob("arriving-*"))
+    found = flows.stream_prescan(spark, str(tmp_path)).count()
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    (folder,) = set(Path(shared_folder(spark)).glob("arriving-*")) - before
+    assert len(list(folder.glob("*.parquet"))) == 12
+    assert found > 0
