@@ -172,6 +172,8 @@ def message_prose(commits: DataFrame) -> DataFrame:
     """repo, sha, part and the spans of subjects (their type blank, places kept) and bodies."""
     prefix = F.regexp_extract("subject", TYPE_PREFIX, 0)
     subject = F.concat(F.repeat(F.lit(" "), F.char_length(prefix)), F.substr("subject", F.char_length(prefix) + 1))
+    # A number of partitions that is given isn't cut down: messages are short, but a task's time is that of the rules on them.
+    commits = commits.repartition(int(commits.sparkSession.conf.get("spark.sql.shuffle.partitions")), "repo", "sha")
     parts = F.array(F.struct(F.lit("subject").alias("part"), subject.alias("text")), F.struct(F.lit("body").alias("part"), F.col("body").alias("text")))
     rows = commits.select("repo", "sha", F.explode(parts).alias("p")).select("repo", "sha", "p.*")
     return prose_findings(rows, ["repo", "sha", "part"])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import DATA, same_rows
 from corpusgate.jobs import queries as own
@@ -64,6 +65,14 @@ def test_message_prose_by_brute_force(spark):
     assert wanted
 
 
+def test_messages_are_dealt_to_every_partition(spark):
+    """Small rows with long work: Spark isn't left to put them into few tasks."""
+    from corpusgate.operators import prose
+
+    rows = spark.range(500).selectExpr("'r' AS repo", "md5(CAST(id AS STRING)) AS sha", "'fix: it was made' AS subject", "'b' AS body").groupBy("repo", "sha", "subject", "body").count()
+    assert len(prose.message_prose(rows).select(F.spark_partition_id()).distinct().collect()) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_entry_has_every_query():
     import __spark_entry__ as entry
 
