@@ -57,8 +57,10 @@ _SHOWN = "regexp_replace(coalesce(text, ''), '[\\r\\x0B\\x0C\\x1C-\\x1E\\x{85}\\
 def masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document as prose, as a fenced block, and as inline code that isn't closed."""
     text = F.translate(F.regexp_replace(F.coalesce("text", F.lit("")), "[\\r\\x0B\\x0C\\x1C-\\x1E\\x{85}\\x{2028}\\x{2029}]", " "), "`~", "__")
-    built = F.concat(F.lit("see `a b` and"), text, F.lit("\n```py\n"), text, F.lit("\n```\n"), text, F.lit("`"), text)
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(prose.mask_markdown_code(built), 256).alias("digest"))
+    built = F.concat(F.lit("see `a b` and"), "text", F.lit("\n```py\n"), "text", F.lit("\n```\n"), "text", F.lit("`"), "text")
+    # Each step is a column of its own: what an expression names several times would be computed as often.
+    rows = table(spark, sf_dir, "documents").select("doc_id", text.alias("text")).select("doc_id", built.alias("text"))
+    return rows.select("doc_id", F.sha2(prose.mask_markdown_code(F.col("text")), 256).alias("digest"))
 
 
 def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:

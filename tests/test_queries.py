@@ -73,6 +73,22 @@ def test_messages_are_dealt_to_every_partition(spark):
     assert len(prose.message_prose(rows).select(F.spark_partition_id()).distinct().collect()) == int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def test_code_is_blanked_without_a_match_for_each_sign(spark):
+    from corpusgate.functions import prosetext
+    from corpusgate.operators import prose
+
+    texts = ["a `b\nc \U0001f600` d", "x\n```\n\n e \r\n\u2028f\n```\n`g", "```\n\n", "``", "`\n\n`\n", "no code"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "n int, text string").select("n", prose.mask_markdown_code(F.col("text")).alias("t"))
+    assert {r.n: r.t for r in rows.collect()} == {i: prosetext.masked(t) for i, t in enumerate(texts)}
+    assert "[^\n]" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_masked_texts_are_built_once(spark):
+    """A step that is named several times is no part of what names it."""
+    plan = QUERIES["w3_mask_markdown_code"](spark, str(DATA))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("translate(") == 1
+
+
 def test_entry_has_every_query():
     import __spark_entry__ as entry
 
