@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import os
 import uuid
+from collections.abc import Iterator
+from urllib.parse import unquote, urlsplit
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -55,13 +60,37 @@ def blobs_over_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 FOLDERS = ("src", "docs/a b", "web/node_modules/x", "vendor")
 
 
+def _write_tree(docs: DataFrame, root: str) -> None:
+    """A file for each row (k, value), in the folder of its k, as Spark's text writer has it.
+
+    On a mounted folder tasks open the files themselves, all in one pass: there Spark's writer starts two programs for each file, to set the rights of
+    it and of its checksum. A task that is run again writes the same names."""
+    where = urlsplit(root)
+    if where.scheme not in ("", "file"):
+        for i, folder in enumerate(FOLDERS):
+            docs.filter(F.col("k") == i).select("value").write.option("maxRecordsPerFile", 1).text(f"{root}/{folder}")
+        return
+    base = unquote(where.path) if where.scheme else root
+
+    def wrote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for folder in FOLDERS:
+            os.makedirs(f"{base}/{folder}", exist_ok=True)
+        part, n = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for k, value in zip(batch.column(0), batch.column(1), strict=True):
+                with open(f"{base}/{FOLDERS[k.as_py()]}/part-{part:05}-{n:09}.txt", "wb") as file:
+                    file.write(value.as_py().encode() + b"\n")
+                n += 1
+            yield batch.slice(0, 0)
+
+    docs.filter(F.col("k").between(0, len(FOLDERS) - 1)).select("k", "value").mapInArrow(wrote, "k bigint, value string").write.format("noop").mode("overwrite").save()
+
+
 def tree_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents written as files of a tree, a file each, and read again."""
     root = _folder(spark, "tree")
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("value"))
-    for i, folder in enumerate(FOLDERS):
-        part = docs.filter(F.col("doc_id") % len(FOLDERS) == i).select("value")
-        part.write.option("maxRecordsPerFile", 1).text(f"{root}/{folder}")
+    kept = (F.col("doc_id") % len(FOLDERS)).cast("bigint").alias("k")
+    _write_tree(table(spark, sf_dir, "documents").select(kept, F.coalesce("text", F.lit("")).alias("value")), root)
     files = content.read_tree(spark, root, "made")
     return files.select("repo", F.regexp_replace("path", "/[^/]*$", "").alias("folder"), F.md5("content").alias("digest"))
 

@@ -18,6 +18,8 @@ from corpusgate.functions.ship import ship
 from corpusgate.functions.text import in_skipped_folder
 from corpusgate.operators.ranges import written
 
+#: Bytes that a file counts for, beside its own, when files are only listed.
+LISTED_AS = 65_536
 _DECODED = "struct<text:string,error:string>"
 
 
@@ -27,12 +29,15 @@ def read_tree(spark: SparkSession, root: str, repo: str = "", rev: str = "head")
     Folders are listed first, without their files' contents, and only those that are kept are read. Their names pass through the driver, which holds
     the names of all files that Spark reads anyhow."""
     reader = spark.read.format("binaryFile")
+    # Only names are asked for, so a task takes some thousand files; a session of its own keeps the setting from others.
+    listing = spark.newSession()
+    listing.conf.set("spark.sql.files.openCostInBytes", LISTED_AS)
     inner = "^.*?" + _quoted(root.rstrip("/")) + "/"
-    listed = reader.option("recursiveFileLookup", "true").load(root).select(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder")).distinct()
+    listed = listing.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder")).distinct()
     within = F.regexp_replace(F.concat("folder", F.lit("/")), inner, "")
     folders = [r.folder for r in listed.filter(~in_skipped_folder(within)).select("folder").collect()]
     if any("=" in f.rpartition("/")[2] for f in folders):  # such a folder's name would be read as a column
-        found = reader.load(root)
+        found = reader.option("recursiveFileLookup", "true").load(root)
     else:
         found = spark.read.format("binaryFile").load([_literal(f) for f in folders or [root]])
     below = F.regexp_replace("path", inner, "")

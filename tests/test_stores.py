@@ -78,6 +78,30 @@ def test_trees_are_read_without_skipped_folders(spark, tmp_path):
     assert {r.path for r in content.read_tree(spark, str(only)).collect()} == {"deep/q.py"}
 
 
+def test_a_tree_is_written_without_checksums_and_listed_in_few_tasks(spark, tmp_path):
+    """Each document costs one file and no more; names are listed by tasks of many files."""
+    from corpusgate.jobs.queries import stores
+    from corpusgate.functions.shared import shared_folder
+    from pathlib import Path
+
+    rows = [(i, None if i in (5, 40) else f"text {i}\n\u00e9") for i in [*range(400), 3, None]]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    before, tracker = set(Path(shared_folder(spark)).glob("tree-*")), spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("tree", "tree")
+    read = stores.tree_read(spark, str(tmp_path))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    made = [p for p in (set(Path(shared_folder(spark)).glob("tree-*")) - before).pop().rglob("*") if p.is_file()]
+    assert len(made) == 401
+    jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup("tree")]
+    stages = [tracker.getStageInfo(s) for j in jobs for s in j.stageIds]
+    assert max(s.numTasks for s in stages if s) <= 8
+    import hashlib
+
+    digest = lambda t: hashlib.md5(((t or "") + "\n").encode()).hexdigest()
+    wanted = [("src", "docs/a b")[i % 4] + digest(t) for i, t in rows if i is not None and i % 4 < 2]
+    assert sorted(r.folder + r.digest for r in read.collect()) == sorted(wanted)
+
+
 def test_commits_that_no_remote_ref_reaches(spark):
     rng = random.Random(9)
     history, heads, remotes, wanted = [], [], [], set()
