@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusgate.jobs.queries.scans import IN, SUFFIX, TEST
 from corpusgate.functions.text import SOURCE
 from corpusgate.operators import dependencies, diffs, findings, packing
-from corpusgate.operators.ranges import pack_ranges
+from corpusgate.operators.ranges import dealt, pack_ranges
 from corpusgate.sources.synth import VIEWS, table, view, with_views
 
 PR = ["pr"]
@@ -18,6 +18,8 @@ MOST = 2
 VIEWS["pr_findings"] = """
 SELECT pr, path, CAST(1 + (length(patch) + ord * 7) % 60 AS INT) AS line, CASE WHEN ord % 3 = 0 THEN 'D2' ELSE 'M12' END AS class_id,
   'found ' || path AS message, ord % 2 = 0 AS blocking FROM ({changes}) AS c"""
+#: The same over changes that are at hand.
+FOUND = VIEWS["pr_findings"].replace("({changes})", "{c}")
 VIEWS["pr_findings"] = VIEWS["pr_findings"].replace("({changes})", "(" + VIEWS["changes"] + ")")
 EXCLUDE = ["web/*1.ts", "tests/test_p?[0-4].py"]
 
@@ -50,7 +52,11 @@ def globs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    changes = _changes(spark, sf_dir).filter("not is_binary and decodable and patch <> ''")
+    return _packed_of(_changes(spark, sf_dir))
+
+
+def _packed_of(changes: DataFrame) -> DataFrame:
+    changes = changes.filter("not is_binary and decodable and patch <> ''")
     return packing.limit_chunks(packing.pack_chunks(packing.measured(changes), PR, BUDGET), MOST)
 
 
@@ -78,20 +84,23 @@ def _prs(changes: DataFrame) -> DataFrame:
     return by.select(*PR, "paths", metadata.alias("metadata"), F.concat(F.lit("Title: order "), F.col("pr").cast("string"), F.lit("\n\n")).alias("context"))
 
 
-def _prescan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return findings.with_prescan_ids(findings.dedupe(view(spark, sf_dir, "pr_findings")), PR)
+def _built(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Envelopes of all change sets. The view's rows are numbered and dealt once, for patches, sizes, findings and lists of paths."""
+    lines = table(spark, sf_dir, "lineitem").repartition("l_orderkey")  # narrower than with the patches that the view makes of them
+    changes = dealt(spark.sql(VIEWS["changes"], lineitem=lines), PR, "changes")
+    found = spark.sql(FOUND, c=changes)
+    prescan = findings.with_prescan_ids(findings.dedupe(found), PR)
+    return packing.build_envelopes(changes, _packed_of(changes), prescan, _prs(changes), PR)
 
 
 def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    changes = _changes(spark, sf_dir)
-    rows = packing.build_envelopes(changes, _packed(spark, sf_dir), _prescan(spark, sf_dir), _prs(changes), PR)
+    rows = _built(spark, sf_dir)
     return rows.select("pr", "chunk", "chunks", F.array_join("files", ",").alias("files"), "prescan_items", "error")
 
 
 def digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text of each envelope, as its digest, and the two digests in it."""
-    changes = _changes(spark, sf_dir)
-    rows = packing.build_envelopes(changes, _packed(spark, sf_dir), _prescan(spark, sf_dir), _prs(changes), PR)
+    rows = _built(spark, sf_dir)
     return rows.select("pr", "chunk", F.sha2("envelope", 256).alias("envelope_sha256"), "trusted_hash", "target_hash", F.col("bytes").cast("bigint").alias("bytes"))
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusgate.functions.canonical import canonical_digest
@@ -84,11 +84,35 @@ def unreviewed_files(changes: DataFrame, packed: DataFrame, key: list[str], unpa
     return rows if unparsed is None else rows.unionByName(part(unparsed, "unparsed"))
 
 
-def _prescan_items(findings: DataFrame, key: list[str]) -> DataFrame:
-    item = F.struct("id", F.col("path").alias("file"), "line", F.col("class_id").alias("class"), "message", "blocking")
-    number = F.substring("id", 2, 12).cast("int")
-    rows = findings.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(number.alias("n"), item.alias("item")))).alias("items"))
-    return rows.select(*key, F.transform("items", lambda x: x["item"]).alias("prescan"))
+def _of_chunks(changes: DataFrame, packed: DataFrame, findings: DataFrame, key: list[str]) -> DataFrame:
+    """key, chunk, chunks, rows (ord, path, patch in order), prescan (items in order) of each chunk that has files.
+
+    Patches, places and findings are put below each other and meet within their key, so each crosses once at most, and rows that are dealt by their key
+    already don't; joins by place, path, chunk and key would deal the patches anew for each of them."""
+    found = F.struct("id", "line", "class_id", "message", "blocking")
+    parts = {"patch": (changes, F.col("patch")), "place": (packed.filter("not oversized and not overflow"), F.col("chunk")), "found": (findings, found)}
+    types = {name: rows.select(value.alias("v")).schema["v"].dataType for name, (rows, value) in parts.items()}
+    stacked = None
+    for name, (rows, value) in parts.items():
+        by = [*key, "path"] if name == "found" else [*key, "ord"]
+        for k in by:
+            rows = rows.filter(F.col(k).isNotNull())
+        ord_ = F.lit(None) if name == "found" else F.col("ord")
+        values = [(value if n == name else F.lit(None).cast(t)).alias(n) for n, t in types.items()]
+        rows = rows.select(*key, ord_.cast("int").alias("ord"), "path", F.lit(name).alias("what"), *values)
+        stacked = rows if stacked is None else stacked.unionByName(rows)
+    # The widest window comes first: rows that are dealt by key serve the others and the groups below.
+    rows = stacked.withColumn("chunks", F.max("place").over(Window.partitionBy(*key)))
+    rows = rows.withColumn("of", F.max("place").over(Window.partitionBy(*key, "ord"))).withColumn("at", F.collect_list("place").over(Window.partitionBy(*key, "path")))
+    chunk = F.when(F.col("what") == "found", F.col("at")).when((F.col("what") == "patch") & F.col("of").isNotNull(), F.array("of"))
+    file = F.when(F.col("what") == "patch", F.struct("ord", "path", "patch"))
+    item = F.struct("found.id", F.col("path").alias("file"), "found.line", F.col("found.class_id").alias("class"), "found.message", "found.blocking")
+    found = F.when(F.col("what") == "found", F.struct(F.substring("found.id", 2, 12).cast("int").alias("n"), item.alias("item")))
+    rows = rows.select(*key, "chunks", file.alias("file"), found.alias("found"), F.explode(chunk).alias("chunk"))
+    each = rows.groupBy(*key, "chunk").agg(
+        F.max("chunks").alias("chunks"), F.array_sort(F.collect_list("file")).alias("rows"), F.array_sort(F.collect_list("found")).alias("found")
+    )
+    return each.filter(F.size("rows") > 0).select(*key, "chunk", "chunks", "rows", F.transform("found", lambda x: x["item"]).alias("prescan"))
 
 
 def skeleton_bytes(prs: DataFrame) -> Column:
@@ -120,14 +144,7 @@ def build_envelopes(changes: DataFrame, packed: DataFrame, findings: DataFrame,
     """key, chunk, chunks, files, prescan_items, envelope, trusted_hash, target_hash, bytes, error: a row for each chunk within the limit.
 
     changes: key, ord, path, patch. findings: with id. prs: key, metadata (a struct without chunk), context."""
-    kept = packed.filter("not oversized and not overflow")
-    placed = changes.select(*key, "ord", "patch").join(kept.select(*key, "ord", "path", "chunk"), [*key, "ord"])
-    files = placed.groupBy(*key, "chunk").agg(F.array_sort(F.collect_list(F.struct("ord", "path", "patch"))).alias("rows"))
-    items = _prescan_items(findings.join(kept.select(*key, "path", "chunk"), [*key, "path"]), [*key, "chunk"])
-    total = kept.groupBy(*key).agg(F.max("chunk").alias("chunks"))
-    none = F.array().cast("array<struct<id:string,file:string,line:int,class:string,message:string,blocking:boolean>>")
-    rows = files.join(items, [*key, "chunk"], "left").join(total, key).join(prs, key)
-    rows = rows.withColumn("prescan", F.coalesce("prescan", none))
+    rows = _of_chunks(changes, packed, findings, key).join(prs, key)
     label = F.concat_ws("/", F.col("chunk").cast("string"), F.col("chunks").cast("string"))
     rows = rows.withColumn("metadata", F.col("metadata").withField("chunk", label))
     # A path that a chunk holds twice has its last patch: sorted by path and place, those that the same path doesn't follow.

@@ -33,6 +33,18 @@ def written(rows: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def dealt(rows: DataFrame, key: list[str], name: str) -> DataFrame:
+    """Rows in the shared folder as `written` has them, in as many buckets of key as shuffles have partitions: groups and windows over the key
+    read them without dealing them anew."""
+    spark = rows.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{table}"
+    rows.write.format("parquet").option("path", path).bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), *key).saveAsTable(table)
+    out = spark.table(table)
+    out.written_to = path
+    return out
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables that `written` wrote and that nothing reads any more."""
     for df in tables:

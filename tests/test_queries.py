@@ -89,6 +89,14 @@ def test_masked_texts_are_built_once(spark):
     assert plan.count("translate(") == 1
 
 
+def test_envelopes_deal_patches_once(spark):
+    """What the view numbers is written by change set, and patches, places and findings meet there in one shuffle; a join for each dealt them anew."""
+    for name in ("p12_p13_envelopes", "p12_envelope_digests"):
+        plan = QUERIES[name](spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
+        wide = [line for line in plan.splitlines() if "Exchange" in line and "Reused" not in line]
+        assert len(wide) <= 2, wide
+
+
 def test_entry_has_every_query():
     import __spark_entry__ as entry
 
