@@ -97,6 +97,12 @@ def test_envelopes_deal_patches_once(spark):
         assert len(wide) <= 2, wide
 
 
+def test_reports_are_parsed_once(spark):
+    """A report's findings are judged in its row; they aren't taken out of a second parse and joined back."""
+    plan = QUERIES["r7_validate_reports"](spark, str(DATA))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 2 and "Generate" not in plan
+
+
 def test_entry_has_every_query():
     import __spark_entry__ as entry
 
