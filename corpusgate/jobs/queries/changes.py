@@ -25,7 +25,8 @@ EXCLUDE = ["web/*1.ts", "tests/test_p?[0-4].py"]
 
 
 def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, "changes")
+    """The view, whose line items are dealt before it makes patches of them: they are narrower so."""
+    return spark.sql(VIEWS["changes"], lineitem=table(spark, sf_dir, "lineitem").repartition("l_orderkey"))
 
 
 def patches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +44,8 @@ def added(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    changes, found = _changes(spark, sf_dir), view(spark, sf_dir, "pr_findings")
+    changes = _changes(spark, sf_dir)
+    found = spark.sql(FOUND, c=changes)
     return diffs.keep_on_added(found, changes, diffs.added_ranges(changes, PR), PR, EXCLUDE)
 
 
@@ -86,8 +88,7 @@ def _prs(changes: DataFrame) -> DataFrame:
 
 def _built(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Envelopes of all change sets. The view's rows are numbered and dealt once, for patches, sizes, findings and lists of paths."""
-    lines = table(spark, sf_dir, "lineitem").repartition("l_orderkey")  # narrower than with the patches that the view makes of them
-    changes = dealt(spark.sql(VIEWS["changes"], lineitem=lines), PR, "changes")
+    changes = dealt(_changes(spark, sf_dir), PR, "changes")
     found = spark.sql(FOUND, c=changes)
     prescan = findings.with_prescan_ids(findings.dedupe(found), PR)
     return packing.build_envelopes(changes, _packed_of(changes), prescan, _prs(changes), PR)

@@ -8,13 +8,15 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusgate.functions.text import splitlines
+from corpusgate.functions.text import LINE_END
 from corpusgate.operators.findings import PROJECT_CLASSES
 
 HUNK = "@@ -[0-9]+(?:,[0-9]+)? \\+([0-9]+)(?:,[0-9]+)? @@"
 #: Before each hunk's header, at whatever ends a line.
 _HUNKS = f"(?:\\A|(?<=[\\n\\r\\x0B\\x0C\\x1C-\\x1E\\x85\\u2028\\u2029]))(?={HUNK})"
 
+_ODD_ENDS = "[\\r\\x0B\\x0C\\x1C-\\x1E\\x85\\u2028\\u2029]"
+
 
 def split_patches(diffs: DataFrame, key: list[str], diff: str = "diff") -> DataFrame:
     """key, ord (from 1), patch: one row for each file of a combined diff. A diff without a file header is one patch."""
@@ -28,14 +30,20 @@ def added_numbers(patch: Column) -> Column:
     A hunk header sets the number; added and unchanged lines move it on, others don't; what comes before the first
     hunk is no content."""
 
-    def of_hunk(hunk: Column) -> Column:
-        start = F.regexp_extract(hunk, "^" + HUNK, 1).try_cast("int")
-        content = F.filter(splitlines(hunk), lambda line: line.startswith("+") | line.startswith(" "))
-        numbers = F.transform(content, lambda line, i: F.when(line.startswith("+"), F.coalesce(start, F.lit(0)) + i))
-        return F.filter(numbers, lambda n: n.isNotNull())
+    def numbers(hunks: Column, ends: str) -> Column:
+        def of_hunk(hunk: Column) -> Column:
+            # The start is read once for a hunk, not for each of its lines.
+            start = F.coalesce(F.regexp_extract(hunk, "^" + HUNK, 1).try_cast("int"), F.lit(0))
+            content = F.filter(F.split(hunk, ends, -1), lambda line: line.startswith("+") | line.startswith(" "))
+            from_start = lambda s: F.transform(content, lambda line, i: F.when(line.startswith("+"), s + i))
+            return F.array_compact(F.element_at(F.transform(F.array(start), from_start), 1))
+
+        return F.flatten(F.transform(hunks, of_hunk))
 
-    hunks = F.filter(F.split(patch, _HUNKS, -1), lambda part: part.rlike("^" + HUNK))
-    return F.flatten(F.transform(hunks, of_hunk))
+    # Line feeds alone, nearly all patches, are cut at a sign; what stands before the first hunk is the first part.
+    plain = F.filter(F.split(F.concat(F.lit("\n"), patch), f"\n(?={HUNK})", -1), lambda part, i: i > 0)
+    odd = F.filter(F.split(patch, _HUNKS, -1), lambda part: part.rlike("^" + HUNK))
+    return F.when(patch.rlike(_ODD_ENDS), numbers(odd, LINE_END)).otherwise(numbers(plain, "\n"))
 
 
 def added_lines(changes: DataFrame, key: list[str]) -> DataFrame:

@@ -103,6 +103,32 @@ def test_reports_are_parsed_once(spark):
     assert plan.count("regexp_extract_all(") == 2 and "Generate" not in plan
 
 
+def test_lines_of_patches_need_no_pattern_for_each(spark):
+    """A hunk's start is read once, and plain line feeds are no search; with odd ends, overflows and text before the first hunk it stays right."""
+    import re
+
+    from corpusgate.operators import diffs
+
+    hunks = "@@ -1 +{} @@ x{e}+a{e} b{e}-c{e}+d{e}"
+    texts = ["", "@@", "+x\n@@ -1 +5,2 @@", "\n\n@@ -1 +7 @@\n+", "+@@ -1 +3 @@\n+a", "@@ -1 +99999999999 @@\n+a\n b\n+c", None]
+    texts += [before + "".join(hunks.format(n, e=e) for n in (4, 90)) for e in ("\n", "\r\n", "\r", "\u2028", "\x0b") for before in ("", "+q" + e)]
+    ends = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+
+    def added(text):
+        out, line = [], None
+        for part in re.split(ends, text or ""):
+            if head := re.match(diffs.HUNK, part):
+                line = int(head[1]) if int(head[1]) < 2**31 else 0
+            elif line is not None and part[:1] in ("+", " ") and part:
+                out += [line] if part[0] == "+" else []
+                line += 1
+        return out
+
+    rows = spark.createDataFrame(list(enumerate(texts)), "n int, patch string").select("n", diffs.added_numbers(F.col("patch")).alias("at"))
+    assert {r.n: r["at"] or [] for r in rows.collect()} == {i: added(t) for i, t in enumerate(texts)}
+    assert "regexp_replace" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_entry_has_every_query():
     import __spark_entry__ as entry
 
