@@ -134,3 +134,10 @@ def test_entry_has_every_query():
 
     assert set(QUERIES) <= set(entry.queries())
     assert set(ORACLES) <= set(entry.oracle_sql())
+
+
+def test_needed_words_stand_in_every_match():
+    from corpusgate.operators import prose
+
+    assert set(prose.NEEDED) == set(prose.COUNTED)
+    assert all(word in prose.COUNTED[name] for name, words in prose.NEEDED.items() for word in words)
