@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusgate.jobs.queries.scans import IN, SUFFIX, TEST
 from corpusgate.functions.text import SOURCE
 from corpusgate.operators import dependencies, diffs, findings, packing
-from corpusgate.operators.ranges import dealt, pack_ranges
+from corpusgate.operators.ranges import dealt, pack_ranges, written
 from corpusgate.sources.synth import VIEWS, table, view, with_views
 
 PR = ["pr"]
@@ -63,12 +63,18 @@ def _packed_of(changes: DataFrame) -> DataFrame:
 
 
 def packed_by_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All line items as the files of one change set, and each order's as those of another: packed over ranges."""
+    """All line items as the files of one change set, and each order's as those of another: packed over ranges.
+
+    first and last are int, as the SQL has them, where the places in the large set are; the SQL has no rows for others, and here they are bigint."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("int").alias("cost"))
-    at = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "cost")).cast("int")
-    of = lambda pr, order: F.struct(pr.cast("bigint").alias("pr"), order.cast("int").alias("ord"))
-    sets = F.array(of(F.lit(-1), F.col("l_orderkey") * 100 + F.col("at")), of(F.col("l_orderkey"), F.col("at")))
-    files = lines.withColumn("at", at).select(F.explode(sets).alias("f"), "cost").select("f.pr", "f.ord", F.lit("x").alias("path"), "cost")
+    at = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "cost"))
+    # The numbered rows are written, as packing reads its sizes three times: to find ranges, to deal files to them and for files above the budget.
+    lines = written(lines.select("l_orderkey", at.alias("at"), "cost"), "pack-lines")
+    place = F.col("l_orderkey") * 100 + F.col("at")
+    fit = lines.agg(F.bool_and(place.between(-(2**31), 2**31 - 1))).first()[0]
+    of = lambda pr, order: F.struct(pr.cast("bigint").alias("pr"), order.cast("bigint" if fit is False else "int").alias("ord"))
+    sets = F.array(of(F.lit(-1), place), of(F.col("l_orderkey"), F.col("at")))
+    files = lines.select(F.explode(sets).alias("f"), "cost").select("f.pr", "f.ord", F.lit("x").alias("path"), "cost")
     return pack_ranges(files, PR, 120).groupBy("pr", "chunk").agg(
         F.count(F.lit(1)).alias("files"), F.sum("cost").alias("bytes"), F.min("ord").alias("first"), F.max("ord").alias("last")
     )

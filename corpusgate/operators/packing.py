@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from corpusgate.functions.canonical import canonical_digest
 from corpusgate.functions.ship import ship
@@ -32,6 +33,12 @@ def measured(changes: DataFrame, unit: str = "bytes") -> DataFrame:
     return changes.withColumn("cost", escaped_size(F.col("patch")) if unit == "bytes" else F.char_length("patch"))
 
 
+def file_order(sizes: DataFrame) -> Column:
+    """ord as int, or as bigint where it comes as that: the places of a change set's files may be numbers of any size."""
+    wide = isinstance(sizes.schema["ord"].dataType, LongType)
+    return F.col("ord").cast("bigint" if wide else "int").alias("ord")
+
+
 def pack_chunks(sizes: DataFrame, key: list[str], budget: Column | int) -> DataFrame:
     """key, ord, path, cost, chunk (from 1, null if oversized), oversized; sizes has key, ord, path, cost.
 
@@ -41,7 +48,7 @@ def pack_chunks(sizes: DataFrame, key: list[str], budget: Column | int) -> DataF
     ship(sizes.sparkSession)
     limit = F.lit(budget) if isinstance(budget, int) else budget
     whole = ["ord", "path", "cost"]
-    rows = sizes.select(*key, F.col("ord").cast("int").alias("ord"), "path", F.col("cost").cast("int").alias("cost"), limit.cast("bigint").alias("limit"))
+    rows = sizes.select(*key, file_order(sizes), "path", F.col("cost").cast("int").alias("cost"), limit.cast("bigint").alias("limit"))
     rows = rows.repartition(*key).sortWithinPartitions(*key, *whole)
     n = len(key)
 
@@ -99,7 +106,7 @@ def _of_chunks(changes: DataFrame, packed: DataFrame, findings: DataFrame, key:
             rows = rows.filter(F.col(k).isNotNull())
         ord_ = F.lit(None) if name == "found" else F.col("ord")
         values = [(value if n == name else F.lit(None).cast(t)).alias(n) for n, t in types.items()]
-        rows = rows.select(*key, ord_.cast("int").alias("ord"), "path", F.lit(name).alias("what"), *values)
+        rows = rows.select(*key, ord_.cast(changes.schema["ord"].dataType).alias("ord"), "path", F.lit(name).alias("what"), *values)
         stacked = rows if stacked is None else stacked.unionByName(rows)
     # The widest window comes first: rows that are dealt by key serve the others and the groups below.
     rows = stacked.withColumn("chunks", F.max("place").over(Window.partitionBy(*key)))

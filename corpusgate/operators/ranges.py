@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from corpusgate.functions.shared import shared_folder
 from corpusgate.functions.ship import ship
-
+from corpusgate.operators import packing
 
 #: Binary logarithm of the most rows of a range that is worked on as a whole: 131,072 rows, some 30 MB of a worker.
 BITS = 17
@@ -155,7 +155,7 @@ def pack_ranges(sizes: DataFrame, key: list[str], budget: Column | int, ranges:
     ship(spark)
     limit = F.lit(budget) if isinstance(budget, int) else budget
     unit = F.to_json(F.struct(*key), {"ignoreNullFields": "false"})
-    rows = sizes.select(*key, F.col("ord").cast("int").alias("ord"), "path", F.col("cost").cast("int").alias("cost"), limit.cast("bigint").alias("limit"), unit.alias("unit"))
+    rows = sizes.select(*key, packing.file_order(sizes), "path", F.col("cost").cast("int").alias("cost"), limit.cast("bigint").alias("limit"), unit.alias("unit"))
     fits = F.coalesce(F.col("cost") <= F.col("limit"), F.lit(False))
     placed = written(numbered(ranged(rows.filter(fits), ["unit"], ["ord", "path", "cost"], ranges), bits), "pack-ranges")
     # A unit that goes over several ranges begins all of them but its first, so there are fewer such units than ranges.

@@ -129,6 +129,20 @@ def test_lines_of_patches_need_no_pattern_for_each(spark):
     assert "regexp_replace" not in rows._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_packing_by_ranges_of_high_order_keys(spark, tmp_path):
+    """Places in the set of all line items go above an int from order 21,474,836 on: the same chunks, at places so much higher."""
+    rows = [(k, n, float(1 + (k * 7 + n * 13) % 50)) for k in range(40) for n in range(k % 6)]
+    table = spark.createDataFrame(rows, "l_orderkey bigint, l_linenumber int, l_quantity double")
+    far, got = 359 * 150_000, []
+    for name, shift in (("low", 0), ("high", far)):
+        table.withColumn("l_orderkey", F.col("l_orderkey") + shift).write.parquet(f"{tmp_path}/{name}/lineitem.parquet")
+        packed = QUERIES["p8_pack_ranges"](spark, f"{tmp_path}/{name}")
+        kinds = {packed.schema[c].dataType.simpleString() for c in ("first", "last")}
+        assert kinds == {"bigint" if shift else "int"}
+        got.append(sorted((r.pr if r.pr < 0 else r.pr - shift, r.chunk, r.files, r.bytes, *(p - (100 * shift if r.pr < 0 else 0) for p in (r.first, r.last))) for r in packed.select("pr", "chunk", "files", "bytes", F.col("first").alias("first"), "last").collect()))
+    assert got[0] == got[1] and len(got[0]) > 40
+
+
 def test_entry_has_every_query():
     import __spark_entry__ as entry
 

@@ -85,3 +85,19 @@ def test_caps_take_the_first_rows_before_the_shuffle(spark):
     capped = findings.capped(rows, ["repo"], ["n"], 5, lambda full: full.selectExpr("repo", "-1L AS n"))
     assert "WindowGroupLimit" in capped._jdf.queryExecution().toString()
     assert capped.count() == 12
+
+
+def test_places_above_an_int(spark):
+    """Places of files keep the width that they come with, in packing, in ranges and where patches meet their chunk."""
+    far = 54 * 10**8
+    rows = [(*r[:2], far + r[2], *r[3:]) for r in made_files(random.Random(9), 12, 80)]
+    sizes = spark.createDataFrame(rows, "pr int, repo string, ord bigint, path string, cost int")
+    near = ranges.pack_ranges(sizes.withColumn("ord", (F.col("ord") - far).cast("int")), ["pr", "repo"], 40, 3)
+    wanted = sorted(str((r.pr, r.ord + far, r.path, r.cost, r.chunk)) for r in near.collect())
+    for got in (ranges.pack_ranges(sizes, ["pr", "repo"], 40, 3), packing.pack_chunks(sizes, ["pr", "repo"], 40)):
+        assert got.schema["ord"].dataType.simpleString() == "bigint" and near.schema["ord"].dataType.simpleString() == "int"
+        assert sorted(str((r.pr, r.ord, r.path, r.cost, r.chunk)) for r in got.collect()) == wanted
+    packed = packing.limit_chunks(packing.pack_chunks(sizes, ["pr", "repo"], 40), None)
+    found = spark.createDataFrame([], "pr int, repo string, path string, id string, line int, class_id string, message string, blocking boolean")
+    chunks = packing._of_chunks(sizes.withColumn("patch", F.lit("+a")), packed, found, ["pr", "repo"]).collect()
+    assert sorted((c.pr, f.ord) for c in chunks for f in c.rows) == sorted((r.pr, r.ord) for r in packed.filter("not oversized").collect())
