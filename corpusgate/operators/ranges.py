@@ -60,10 +60,11 @@ def ranged(rows: DataFrame, key: list[str], order: list[Column | str], ranges: i
 
 
 def numbered(sorted_rows: DataFrame, bits: int = BITS) -> DataFrame:
-    """Rows of `ranged` with range and first: partitions are cut into ranges of 2^bits rows at most, so that these don't grow with the table; first
-    tells a range's first row."""
+    """Rows of `ranged` with range and __row, their place in it from 0: partitions are cut into ranges of 2^bits rows at most, so that these don't grow
+    with the table. first tells a range's first row."""
     rows = sorted_rows.withColumn("__at", F.monotonically_increasing_id())
-    return rows.withColumn("range", F.shiftright("__at", bits)).withColumn("first", F.col("__at").bitwiseAND(F.lit(2**bits - 1)) == 0).drop("__at")
+    rows = rows.withColumn("range", F.shiftright("__at", bits)).withColumn("__row", F.col("__at").bitwiseAND(F.lit(2**bits - 1)).cast("int"))
+    return rows.withColumn("first", F.col("__row") == 0).drop("__at")
 
 
 def ranked(rows: DataFrame, key: list[str], order: list[Column | str], name: str = "rank", ranges: int | None = None) -> DataFrame:
@@ -159,7 +160,7 @@ def pack_ranges(sizes: DataFrame, key: list[str], budget: Column | int, ranges:
     fits = F.coalesce(F.col("cost") <= F.col("limit"), F.lit(False))
     placed = written(numbered(ranged(rows.filter(fits), ["unit"], ["ord", "path", "cost"], ranges), bits), "pack-ranges")
     # A unit that goes over several ranges begins all of them but its first, so there are fewer such units than ranges.
-    wide = placed.join(F.broadcast(placed.filter("first").select("unit").distinct()), "unit", "left_semi")
+    wide = placed.join(F.broadcast(placed.filter("first").select("unit").distinct()), "unit", "left_semi").select("unit", "range", "__row", "cost", "limit")
     totals = wide.groupBy("unit", "range").agg(F.sum("cost").alias("total"))
     several = F.count(F.lit(1)).over(Window.partitionBy("unit")) > 1
     # Units of several ranges have fewer than two rows for each range together.
@@ -167,7 +168,8 @@ def pack_ranges(sizes: DataFrame, key: list[str], budget: Column | int, ranges:
     shared = spark.sparkContext.broadcast(units)
 
     def ordered(table: pa.Table) -> pa.Table:
-        return table.sort_by([("unit", "ascending"), ("ord", "ascending"), ("path", "ascending"), ("cost", "ascending")])
+        """The range as it was sorted and cut: by the rows' places, so that nulls stand where Spark has them."""
+        return table.sort_by("__row")
 
     def leaving(table: pa.Table) -> pa.Table:
         """Where chunks that begin in this range may leave it, as (unit, size), with the range they come to."""
@@ -268,6 +270,6 @@ def pack_ranges(sizes: DataFrame, key: list[str], budget: Column | int, ranges:
     schema = placed.select(*key, "ord", "path", "cost").withColumn("chunk", F.lit(0)).schema
     for field in schema.fields:
         field.nullable = True
-    done = placed.groupBy("range").applyInArrow(packed, schema)
+    done = placed.drop("first").groupBy("range").applyInArrow(packed, schema)
     aside = rows.filter(~fits).select(*key, "ord", "path", "cost", F.lit(None).cast("int").alias("chunk"))
     return done.unionByName(aside).withColumn("oversized", F.col("chunk").isNull())

@@ -101,3 +101,23 @@ def test_places_above_an_int(spark):
     found = spark.createDataFrame([], "pr int, repo string, path string, id string, line int, class_id string, message string, blocking boolean")
     chunks = packing._of_chunks(sizes.withColumn("patch", F.lit("+a")), packed, found, ["pr", "repo"]).collect()
     assert sorted((c.pr, f.ord) for c in chunks for f in c.rows) == sorted((r.pr, r.ord) for r in packed.filter("not oversized").collect())
+
+
+def test_files_without_a_place_or_path(spark):
+    """A range keeps the order by which it was cut: files without a place or path come first, as in the walk."""
+    rng = random.Random(11)
+    rows = [("u", rng.choice([None, 1, 2, 3]), rng.choice([None, "a", "b"]), rng.choice([1, 2, 5, 9, 30])) for _ in range(400)]
+    sizes = spark.createDataFrame(rows, "unit_of string, ord int, path string, cost int")
+    wanted = packing.pack_chunks(sizes, ["unit_of"], 20).collect()
+    for parts, bits in ((1, 17), (3, 4)):
+        got = ranges.pack_ranges(sizes, ["unit_of"], 20, parts, bits)
+        assert sorted(map(str, got.collect())) == sorted(map(str, wanted)), (parts, bits)
+
+
+def test_linking_ranges_needs_no_places_or_paths(spark, monkeypatch):
+    """What ranges tell each other is made of sizes alone: keys, places and paths don't go to Python for it."""
+    seen, grouped = [], type(spark.range(1)).groupBy
+    monkeypatch.setattr(type(spark.range(1)), "groupBy", lambda self, *by: (seen.append(set(self.columns)) if by == ("range",) else None, grouped(self, *by))[1])
+    sizes = spark.createDataFrame(made_files(random.Random(3), 5, 200), "pr int, repo string, ord int, path string, cost int")
+    ranges.pack_ranges(sizes, ["pr", "repo"], 30, 4)
+    assert len(seen) == 3 and not (seen[0] | seen[1]) & {"pr", "repo", "ord", "path", "first"} and "first" not in seen[2]
